@@ -308,6 +308,8 @@ def combine(frames: Sequence[DataFrame], keys: Sequence[str] = tuple(KEYS)) -> D
     for frame in frames[1:]:
         merged = merged.unionByName(frame, allowMissingColumns=True)
     metrics = [c for c in merged.columns if c not in keys]
+    if not metrics:
+        return merged.distinct()
     return merged.groupBy(*keys).agg(*[F.max(c).alias(c) for c in metrics])
 
 
