@@ -189,7 +189,7 @@ VIEWS: dict[str, str | dict[str, str]] = {
         }.items()
     },
     # --- inventory side -----------------------------------------------------
-    "v_part": f"""
+    "v_part_master": f"""
         SELECT {_sku('p_partkey')} AS sku, p_name AS description, p_brand AS category,
                CASE WHEN p_partkey % 9 = 2 THEN ' ' ELSE 'Sales:' || p_type END AS income_account,
                CASE WHEN p_partkey % 5 = 0 THEN 'COG''s:' || p_brand ELSE 'COGS:Parts & Labor' END AS cogs_account,
