@@ -179,7 +179,7 @@ def xml_escape(text: Column) -> Column:
     out = F.replace(F.replace(F.replace(text, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
     # Characters outside ASCII leave as numeric references.
     chars = F.transform(F.split(out, ""), lambda c: F.when(
-        c.rlike(r"^[^\x00-\x7F]"), F.concat(F.lit("&#"), F.conv(F.hex(F.encode(c, "utf-32")), 16, 10), F.lit(";"))).otherwise(c))
+        c.rlike(r"^[^\x00-\x7F]"), F.concat(F.lit("&#"), F.ascii(c).cast("string"), F.lit(";"))).otherwise(c))
     return F.when(out.rlike(r"[^\x00-\x7F]"), F.array_join(chars, "")).otherwise(out)
 
 

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
-from saleswell.functions.numeric import ratio
+from saleswell.functions.numeric import ratio, round_half_up
 
 
 def _row(name: str, value, passed) -> list:
@@ -81,8 +81,8 @@ def drift(fact: DataFrame, days: int = 14, sales_band: float = 0.5, fee_jump: fl
     ).where(F.col("own").isNotNull())
     net = F.col("own.net").cast("double")
     return g.select(
-        "business_date", net.alias("net_sales"), F.round("median_net", 2).alias("median_net"), "past_days",
-        F.col("own.fee_ratio").alias("fee_ratio"), F.round("median_fee_ratio", 6).alias("median_fee_ratio"),
+        "business_date", net.alias("net_sales"), round_half_up(F.col("median_net"), 2).alias("median_net"), "past_days",
+        F.col("own.fee_ratio").alias("fee_ratio"), round_half_up(F.col("median_fee_ratio"), 6).alias("median_fee_ratio"),
         F.coalesce(F.abs(net - F.col("median_net")) > F.abs("median_net") * F.lit(sales_band), F.lit(False)).alias("sales_alert"),
         F.coalesce(F.col("own.fee_ratio") > F.col("median_fee_ratio") * F.lit(fee_jump), F.lit(False)).alias("fee_alert"),
     )
