@@ -282,7 +282,7 @@ def invoice_parse(f):
 @query("invoice_headers", """WITH t AS (SELECT order_id, SUM(base_total) AS total FROM v_line WHERE channel = 'wholesale' GROUP BY 1)
     SELECT CAST(order_id AS VARCHAR) AS order_id, order_date, 'Customer ' || CAST(customer_id AS VARCHAR) AS customer_name, 'Org ' || CAST(customer_id % 50 AS VARCHAR) AS company_name,
       'c' || CAST(customer_id AS VARCHAR) || '@example.com' AS customer_email, CASE WHEN order_id % 2 = 0 THEN '555-0100' ELSE '' END AS customer_phone,
-      'UPS' AS shipping_method, 'Net30' AS payment_method, CAST(total AS DOUBLE) AS subtotal, CAST(12.5 AS DOUBLE) AS shipping, CAST(0 AS DOUBLE) AS tax, CAST(total + 12.5 AS DOUBLE) AS grand_total
+      'UPS' AS shipping_method, 'Net30' AS payment_method, CAST(t.total AS DOUBLE) AS subtotal, CAST(12.5 AS DOUBLE) AS shipping, CAST(0 AS DOUBLE) AS tax, CAST(t.total + 12.5 AS DOUBLE) AS grand_total
     FROM v_order JOIN t USING (order_id)""")
 def invoice_headers(f):
     h = invoices.parse_headers(invoices.split_orders(invoice_documents(f)))
