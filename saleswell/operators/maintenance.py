@@ -135,7 +135,7 @@ def export_report(df: DataFrame, path: str, columns: Sequence[str], single_file:
 
 
 # ------------------------------------------------------------- safe replacement
-POINTER = "_current"
+POINTER = "CURRENT"
 
 
 def _fs(spark: SparkSession, path: str):

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,13 @@ def cut_lineage(df: DataFrame) -> DataFrame:
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="saleswell-ckpt-"))
     return df.checkpoint(eager=True)
+
+
+def work_folder(spark: SparkSession, name: str) -> str:
+    """A fresh sub-folder of the cluster's shared folder for checkpoints and stream output."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
+        folder = tempfile.mkdtemp(prefix="saleswell-")
+    return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"
