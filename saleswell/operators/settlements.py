@@ -10,8 +10,12 @@ _AMOUNT = "decimal(18,2)"
 
 
 def _amount(name: str) -> Column:
-    """Blank or non-numeric text counts as zero."""
-    return F.coalesce(F.trim(F.col(name)).try_cast(_AMOUNT), F.lit(0).cast(_AMOUNT))
+    """Blank or non-numeric text counts as zero.
+
+    Blanks, the common case, become NULL before the cast: a failing cast costs
+    an exception per value.
+    """
+    return F.coalesce(F.nullif(F.trim(F.col(name)), F.lit("")).try_cast(_AMOUNT), F.lit(0).cast(_AMOUNT))
 
 
 def _first_text(*parts: str | Column) -> Column:
@@ -35,32 +39,30 @@ def unpivot(wide: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
     something.  A narrow ``inline`` of a filtered array: no shuffle, no UDF.
     """
     keep = keep or ("settlement_id", "transaction_type", "order_id", "shipment_id", "sku")
-    qty = F.col("qty")
-    part = lambda kind, label, amount: F.struct(
-        F.lit(kind).alias("amount_type"), label.alias("amount_description"), amount.cast(_AMOUNT).alias("amount")
-    )
-    parts = F.array(
-        part("Price", _first_text("price_type", F.lit("Principal")), _amount("price_amount")),
-        part(
-            "Fee",
+    cells = {
+        "Price": (_first_text("price_type", F.lit("Principal")), _amount("price_amount")),
+        "Fee": (
             _first_text("item_fee_type", "order_fee_type", "shipment_fee_type", F.lit("Fee")),
             _amount("item_fee_amount") + _amount("order_fee_amount") + _amount("shipment_fee_amount"),
         ),
-        part("Promotion", _first_text("promotion_type", F.lit("Promotion")), _amount("promotion_amount")),
-        part(
-            "Other",
+        "Promotion": (_first_text("promotion_type", F.lit("Promotion")), _amount("promotion_amount")),
+        "Other": (
             _first_text("other_reason", F.lit("Other")),
             _amount("other_fee_amount") + _amount("other_amount") + _amount("misc_fee_amount"),
         ),
-    )
+    }
+    parts = F.array(*[
+        F.struct(F.lit(kind).alias("amount_type"), label.alias("amount_description"), amount.cast(_AMOUNT).alias("amount"))
+        for kind, (label, amount) in cells.items()
+    ])
+    qty = F.col("quantity_purchased")
     keeps = lambda p: (p["amount"] != 0) | (
         (p["amount_type"] == "Price") & (p["amount_description"] == "Principal") & (qty > 0)
     )
-    sized = wide.withColumn("qty", _quantity()).where(qty.isNotNull())
-    return sized.select(
+    rows = wide.withColumn("quantity_purchased", _quantity()).where(qty.isNotNull()).select(
         *keep,
         parse_timestamp(F.col("posted_date")).alias("posted_date_time"),
-        parse_timestamp(F.col("posted_date")).cast("date").alias("posted_date"),
-        qty.alias("quantity_purchased"),
+        qty,
         F.inline(F.filter(parts, keeps)),
     )
+    return rows.withColumn("posted_date", F.col("posted_date_time").cast("date"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+from functools import cached_property
 
 from pyspark.sql import DataFrame, functions as F
 
@@ -34,23 +35,32 @@ def nested_web(f: Feeds) -> DataFrame:
     )
 
 
-def inputs(f: Feeds) -> marts.ChannelInputs:
-    orders, lines = f.order, f.line
-    of = lambda df, name: df.where(F.col("channel") == name)
-    return marts.ChannelInputs(
-        storefront_orders=of(orders, "storefront"),
-        storefront_lines=of(lines, "storefront"),
-        wholesale_orders=of(orders, "wholesale"),
-        wholesale_lines=of(lines, "wholesale"),
-        products=f.product,
-        costs=f.cost,
-        sku_day=f.sku_day,
-        traffic=f.traffic,
-        settlements=unpivot(f.settle_wide),
-        web_events=nested_web(f),
-        web_backfill=f.backfill,
-        ads=f.ads,
-    )
+class FeedInputs:
+    """:class:`marts.ChannelInputs` over the canonical views, each opened on first use."""
+
+    def __init__(self, feeds: Feeds):
+        self._feeds = feeds
+
+    def _of(self, view: str, channel: str) -> DataFrame:
+        return getattr(self._feeds, view).where(F.col("channel") == channel)
+
+    # One cached attribute per field.
+    storefront_orders = cached_property(lambda self: self._of("order", "storefront"))
+    storefront_lines = cached_property(lambda self: self._of("line", "storefront"))
+    wholesale_orders = cached_property(lambda self: self._of("order", "wholesale"))
+    wholesale_lines = cached_property(lambda self: self._of("line", "wholesale"))
+    products = cached_property(lambda self: self._feeds.product)
+    costs = cached_property(lambda self: self._feeds.cost)
+    sku_day = cached_property(lambda self: self._feeds.sku_day)
+    traffic = cached_property(lambda self: self._feeds.traffic)
+    settlements = cached_property(lambda self: unpivot(self._feeds.settle_wide))
+    web_events = cached_property(lambda self: nested_web(self._feeds))
+    web_backfill = cached_property(lambda self: self._feeds.backfill)
+    ads = cached_property(lambda self: self._feeds.ads)
+
+
+def inputs(f: Feeds) -> FeedInputs:
+    return FeedInputs(f)
 
 
 # ------------------------------------------------------------------ oracle parts

@@ -285,6 +285,7 @@ class Feeds:
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
+        self._open: dict[str, DataFrame] = {}
 
     def base(self, table: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.folder}/{table}.parquet")
@@ -294,8 +295,9 @@ class Feeds:
         return self.spark.sql(re.sub(r"@(\w+)", lambda m: f"parquet.`{self.folder}/{m.group(1)}.parquet`", sql))
 
     def __getattr__(self, name: str) -> DataFrame:
-        if f"v_{name}" in VIEWS:
-            return self.view(f"v_{name}")
-        if name in BASE_TABLES:
-            return self.base(name)
-        raise AttributeError(name)
+        view = f"v_{name}"
+        if view not in VIEWS and name not in BASE_TABLES:
+            raise AttributeError(name)
+        if name not in self._open:
+            self._open[name] = self.view(view) if view in VIEWS else self.base(name)
+        return self._open[name]
