@@ -5,9 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 # Spellings that denote the same account segment.
-SEGMENT_REPLACEMENTS = (
-    ("\u00e2\u20ac\u2122", "'"),
+PATH_REPAIRS = (
     ("\u00c2\u00b7", "\u00b7"),
+    ("\u00e2\u20ac\u2122", "'"),
+)
+SEGMENT_REPLACEMENTS = (
     ("&", " and "),
     ("cog's", "cogs"),
 )
@@ -36,6 +38,8 @@ def _segment(seg: Column, abbreviations: tuple[tuple[str, str], ...]) -> Column:
 
 def canonical_path(path: Column, abbreviations: tuple[tuple[str, str], ...] = ()) -> Column:
     """Comparable segments; ``abbreviations`` are a deployment's own (long, short) names."""
+    for bad, good in PATH_REPAIRS:
+        path = F.replace(path, F.lit(bad), F.lit(good))
     parts = F.transform(path_segments(path), lambda s: _segment(s, abbreviations))
     return F.filter(parts, lambda s: s != "")
 

@@ -172,7 +172,7 @@ def account_for_posting(path: Column) -> Column:
     root = F.trim(F.substring_index(clean, ":", 1))
     name = F.when(F.contains(clean, F.lit(":")) & F.lower(root).startswith("cog"), root).otherwise(clean)
     parts = F.filter(F.transform(F.split(name, ":"), lambda s: F.trim(s)), lambda s: s != "")
-    return F.array_join(F.transform(parts, truncate_name), ":")
+    return F.array_join(F.transform(parts, lambda s: truncate_name(s)), ":")
 
 
 def xml_escape(text: Column) -> Column:

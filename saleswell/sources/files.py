@@ -45,10 +45,16 @@ def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multiline:
 
     ``multiline`` allows line breaks inside quotes, at the price of unsplittable files.
     """
+    # Spark reads no Windows code page; its bytes are Latin-1 but for one range of marks.
+    windows = encoding == "windows-1252"
     df = (
-        spark.read.option("header", True).option("encoding", encoding).option("escape", '"')
+        spark.read.option("header", True).option("encoding", "iso-8859-1" if windows else encoding).option("escape", '"')
         .option("multiLine", multiline).csv(path)
     )
+    if windows:
+        codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
+        marks = "".join(bytes([c]).decode("cp1252") for c in codes)
+        df = df.withColumns({c: F.translate(f"`{c}`", "".join(map(chr, codes)), marks) for c in df.columns})
     return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
@@ -179,7 +185,7 @@ def latest_file(spark: SparkSession, folder: str, pattern: str) -> str:
 
 def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md", skip: Sequence[str] = ("README.md",)) -> DataFrame:
     """Whole text files, one row each: ``file_name, content``."""
-    df = spark.read.option("wholetext", True).option("pathGlobFilter", pattern).text(folder)
+    df = spark.read.option("pathGlobFilter", pattern).text(folder, wholetext=True)
     name = F.element_at(F.split(F.input_file_name(), "/"), -1)
     return df.select(name.alias("file_name"), F.col("value").alias("content")).where(~F.col("file_name").isin(*skip))
 
