@@ -191,33 +191,36 @@ def _ref(name: str, value: Column) -> Column:
     return _tag(name, _tag("FullName", xml_escape(value)))
 
 
-def render_events(hydrated: DataFrame, default_account: str, guid_prefix: str = "inventory:") -> DataFrame:
-    """Request body per event, or ``reject_reason`` when it cannot be sent.
+LINES_PER_PART = 1000
 
-    Every line is rendered in parallel; only the finished line texts of one
-    event, whose total is the message itself, are put together.
+
+def render_events(
+    hydrated: DataFrame, default_account: str, guid_prefix: str = "inventory:", lines_per_part: int = LINES_PER_PART
+) -> DataFrame:
+    """Request text per event in numbered parts, or ``reject_reason`` when it cannot be sent.
+
+    Concatenating an event's parts in order gives the whole request.  An
+    ordinary event is one part; a huge one is never gathered in one place: its
+    checks are combinable aggregates and its lines join up part by part.
     """
-    h = hydrated.withColumn("_qty", F.coalesce("qty", F.lit(0.0)))
+    keys = ["event_id", "event_type", "effective_date", "created_by", "memo"]
     transfer = F.col("event_type") == "transfer"
     item = F.trim(sanitize_text(F.coalesce("item_full_name", "sku")))
-    qty = number_text(F.col("_qty"))
+    qty = number_text(F.coalesce("qty", F.lit(0.0)))
     move = _tag("TransferInventoryLineAdd", F.concat(_ref("ItemRef", item), _tag("QuantityToTransfer", qty)))
     change = F.when(F.col("new_qty").isNotNull(), _tag("NewQuantity", number_text(F.col("new_qty")))).otherwise(_tag("QuantityDifference", qty))
     adjust = _tag("InventoryAdjustmentLineAdd", F.concat(_ref("ItemRef", item), _tag("QuantityAdjustment", change)))
     site = lambda c: F.nullif(F.trim(sanitize_text(F.col(c))), F.lit(""))
-    rows = h.withColumns({
-        "_line": F.when(transfer, move).otherwise(adjust), "_no_item": (item == "").cast("int"),
-        "_site": site("site_name"), "_from": site("from_site_name"), "_to": site("to_site_name"),
-        "_acct": F.nullif(F.trim("account_full_name"), F.lit("")),
-    })
-    keys = ["event_id", "event_type", "effective_date", "created_by", "memo"]
-    g = rows.groupBy(*keys).agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", "_line"))), lambda p: p["_line"]), "").alias("_lines"),
+    rows = hydrated.select(
+        *keys, "line_id", F.when(transfer, move).otherwise(adjust).alias("_line"), (item == "").cast("int").alias("_no_item"),
+        site("site_name").alias("_site"), site("from_site_name").alias("_from"), site("to_site_name").alias("_to"),
+        F.nullif(F.trim("account_full_name"), F.lit("")).alias("_acct"),
+    )
+    events = rows.groupBy(*keys).agg(
         *[f(c).alias(f"{c}_{n}") for c in ("_site", "_from", "_to") for n, f in (("lo", F.min), ("hi", F.max))],
         F.min_by("_acct", F.when(F.col("_acct").isNotNull(), F.col("line_id"))).alias("_acct"),
         F.max("_no_item").alias("_no_item"), F.count("*").alias("line_count"),
     )
-    transfer = F.col("event_type") == "transfer"
     mixed = lambda c: F.col(f"{c}_lo") != F.col(f"{c}_hi")
     none = lambda c: F.col(f"{c}_lo").isNull()
     account = account_for_posting(F.coalesce("_acct", F.lit(default_account)))
@@ -233,10 +236,34 @@ def render_events(hydrated: DataFrame, default_account: str, guid_prefix: str =
     note = _tag("Memo", xml_escape(memo(F.col("event_type"), F.col("event_id"), F.col("created_by"), F.col("memo"))))
     date = _tag("TxnDate", F.col("effective_date").cast("string"))
     guid = _tag("ExternalGUID", F.concat(F.lit("{"), F.upper(name_uuid(F.concat(F.lit(guid_prefix), F.col("event_id").cast("string")))), F.lit("}")))
-    transfer_body = F.concat(date, _ref("FromInventorySiteRef", F.col("_from_lo")), _ref("ToInventorySiteRef", F.col("_to_lo")), note, F.col("_lines"))
-    adjust_body = F.concat(_ref("AccountRef", account), date, _ref("InventorySiteRef", F.col("_site_lo")), note, guid, F.col("_lines"))
-    wrap = lambda kind, body: F.concat(
-        F.lit(f'<{kind}AddRq requestID="'), F.col("event_id").cast("string"), F.lit('">'), _tag(f"{kind}Add", body), F.lit(f"</{kind}AddRq>")
+    head = F.when(transfer, F.concat(date, _ref("FromInventorySiteRef", F.col("_from_lo")), _ref("ToInventorySiteRef", F.col("_to_lo")), note)).otherwise(
+        F.concat(_ref("AccountRef", account), date, _ref("InventorySiteRef", F.col("_site_lo")), note, guid)
+    )
+    kind = F.when(transfer, F.lit("TransferInventory")).otherwise(F.lit("InventoryAdjustment"))
+    opening = F.concat(F.lit("<"), kind, F.lit('AddRq requestID="'), F.col("event_id").cast("string"), F.lit('"><'), kind, F.lit("Add>"), head)
+    closing = F.concat(F.lit("</"), kind, F.lit("Add></"), kind, F.lit("AddRq>"))
+    checked = events.select("event_id", "event_type", "line_count", reason.alias("reject_reason"), opening.alias("_open"), closing.alias("_close"))
+    parts = event_parts(rows.select("event_id", "line_id", "_line"), lines_per_part).groupBy("event_id", "chunk_no", "chunk_count").agg(
+        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", "_line"))), lambda p: p["_line"]), "").alias("_body")
     )
-    body = F.when(transfer, wrap("TransferInventory", transfer_body)).otherwise(wrap("InventoryAdjustment", adjust_body))
-    return g.select("event_id", "event_type", "line_count", reason.alias("reject_reason"), F.when(reason.isNull(), body).alias("request_xml"))
+    out = checked.join(parts, "event_id")
+    text = F.concat(
+        F.when(F.col("chunk_no") == 1, F.col("_open")).otherwise(F.lit("")), "_body",
+        F.when(F.col("chunk_no") == F.col("chunk_count"), F.col("_close")).otherwise(F.lit("")),
+    )
+    return out.select(
+        "event_id", "event_type", "line_count", F.col("chunk_no").alias("part_no"), "reject_reason",
+        F.when(F.col("reject_reason").isNull(), text).alias("request_xml"),
+    )
+
+
+def event_parts(lines: DataFrame, size: int = LINES_PER_PART) -> DataFrame:
+    """Number an event's lines into parts of at most ``size``."""
+    return chunk_lines(lines, ["event_id"], size, order="line_id", block=F.substring("line_id", 1, 12))
+
+
+def nest_lines(hydrated: DataFrame, header: Sequence[str], size: int = LINES_PER_PART) -> DataFrame:
+    """One row per event part, its lines as a sorted array of at most ``size`` structs."""
+    rest = [c for c in hydrated.columns if c not in header and c != "line_id"]
+    body = F.sort_array(F.collect_list(F.struct("line_id", *rest))).alias("lines")
+    return event_parts(hydrated, size).groupBy(*header, F.col("chunk_no").alias("part_no")).agg(body)

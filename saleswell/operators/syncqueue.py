@@ -94,7 +94,7 @@ def hydrate(events: DataFrame, lines: DataFrame, parts: DataFrame, locations: Da
     """Event lines with item, account and site names; one flat row per line.
 
     Dimensions join by equi keys and AQE broadcasts whichever is small enough.
-    Nest with :func:`nest_lines` only for the events about to be sent.
+    Nest with :func:`saleswell.operators.generators.nest_lines` only for the events about to be sent.
     """
     site = lambda role: locations.select(F.col("location_id").alias(role), F.col("site_name").alias(role.replace("location_id", "site")))
     item = parts.select(
@@ -121,13 +121,6 @@ def hydrate(events: DataFrame, lines: DataFrame, parts: DataFrame, locations: Da
     )
 
 
-def nest_lines(hydrated: DataFrame, header: Sequence[str]) -> DataFrame:
-    """One row per event with its lines as a sorted array of structs."""
-    rest = [c for c in hydrated.columns if c not in header]
-    body = F.sort_array(F.collect_list(F.struct("line_id", *[c for c in rest if c != "line_id"])))
-    return hydrated.groupBy(*header).agg(body.alias("lines"))
-
-
 def queue_summary(events: DataFrame) -> DataFrame:
     """Event count per queue status, zero included."""
     counts = events.groupBy("qb_status").agg(F.count("*").alias("events"))

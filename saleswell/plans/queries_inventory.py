@@ -307,7 +307,7 @@ def hydrate_events(f):
 def nested_events(f):
     ready = f.event.where("qb_status = 'pending' AND status = 'committed'")
     h = sq.hydrate(ready, f.event_line, f.part_master, f.location, f.reason)
-    return sq.nest_lines(h, ["event_id", "event_type", "effective_date"]).select("event_id", "event_type", F.size("lines").alias("line_count"), F.to_json("lines").alias("lines"))
+    return gen.nest_lines(h, ["event_id", "event_type", "effective_date"]).select("event_id", "event_type", "part_no", F.size("lines").alias("line_count"), F.to_json("lines").alias("lines"))
 
 
 @query("render_events")
@@ -319,7 +319,7 @@ def render_events(f):
     SELECT event_id, event_type, line_count, CASE WHEN event_type = 'transfer' AND (nf = 0 OR nt = 0) THEN 'missing transfer site' WHEN event_type = 'transfer' AND (nf > 1 OR nt > 1) THEN 'more than one transfer site'
       WHEN event_type <> 'transfer' AND ns = 0 THEN 'missing site' WHEN event_type <> 'transfer' AND ns > 1 THEN 'more than one site' END AS reject_reason FROM g""")
 def render_status(f):
-    return gen.render_events(hydrated(f), "COGS:Inventory Adjustment").drop("request_xml")
+    return gen.render_events(hydrated(f), "COGS:Inventory Adjustment").where("part_no = 1").drop("request_xml", "part_no")
 
 
 _PAIRS = """mp AS (SELECT sku AS from_sku, sku || 'R' AS to_sku FROM v_part_master WHERE reorder_point % 3 = 0)"""

@@ -221,6 +221,26 @@ def test_render_rejects_mixed_sites_and_escapes(spark):
     assert "<AccountRef><FullName>COGS</FullName></AccountRef>" in xml and "a &amp; b" in xml
 
 
+def test_large_events_render_in_parts(spark):
+    rows = spark.range(7).select(
+        F.lit(1).alias("event_id"), F.format_string("%03d", "id").alias("line_id"), F.lit("transfer").alias("event_type"), F.lit(D(2026, 1, 1)).alias("effective_date"),
+        F.lit("me").alias("created_by"), F.lit(None).cast("string").alias("memo"), F.lit("s").alias("sku"), F.col("id").cast("double").alias("qty"),
+        F.lit(None).cast("double").alias("new_qty"), F.lit(None).cast("string").alias("account_full_name"), F.lit("i").alias("item_full_name"),
+        F.lit(None).cast("string").alias("site_name"), F.lit("A").alias("from_site_name"), F.lit("B").alias("to_site_name"))
+    join = lambda n: "".join(r.request_xml for r in gen.render_events(rows, "x", lines_per_part=n).orderBy("part_no").collect())
+    assert join(3) == join(1000) and join(3).count("<TransferInventoryLineAdd>") == 7
+    assert gen.nest_lines(rows, ["event_id"], 3).count() == 3
+
+
+def test_hot_sku_keeps_totals(spark):
+    """One SKU with most rows: set and delta changes in many blocks still fold exactly."""
+    df = spark.range(20000).select(
+        F.when(F.col("id") % 3 == 0, F.lit("hot")).otherwise(F.concat(F.lit("s"), (F.col("id") % 500).cast("string"))).alias("sku"), F.lit(1).alias("location_id"),
+        F.col("id").alias("seq"), F.lit(1.0).alias("delta"), F.when(F.col("id") == 9000, F.lit(5.0)).alias("set_to"))
+    got = {r.sku: r.on_hand for r in ledger.final_balances(ledger.replay_requests(df, "seq", F.floor(F.col("seq") / 1000))).where("sku = 'hot'").collect()}
+    assert got == {"hot": 5.0 + sum(1 for i in range(9001, 20000) if i % 3 == 0)}
+
+
 def test_approval_gate(spark):
     r = spark.createDataFrame([(1, "1", "delta", 3.0), (1, "2", "delta", -25.0), (2, "1", "set", 1.0), (3, "1", "delta", 24.9)], "event_id long, line_id string, mode string, qty double")
     out = {x.event_id: (x.needs_approval, x.reason) for x in ledger.approval_gate(r).collect()}
