@@ -69,6 +69,13 @@ def compare_fields(
     theirs = items.select("item_full_name", F.struct(*[F.col(PARITY_FIELDS[f][1]).alias(f) for f in fields]).alias("t"))
     theirs = theirs.withColumnRenamed("item_full_name", "matched_name")
     both = ours.join(theirs, "matched_name")
+    # Paths are cleaned once per row, as columns of their own, and only then compared.
+    paths = {}
+    for field in fields:
+        ours_col, _, kind = PARITY_FIELDS[field]
+        if kind == "account":
+            paths[f"_a_{field}"], paths[f"_b_{field}"] = canonical_path(F.col(ours_col)), canonical_path(F.col(f"t.{field}"))
+    both = both.withColumns(paths)
     records = []
     for field in fields:
         ours_col, _, kind = PARITY_FIELDS[field]
@@ -76,7 +83,7 @@ def compare_fields(
         if kind == "number":
             ok, av, bv, delta = same_number(a, b, PARITY_TOLERANCE), a.cast("string"), b.cast("string"), b - a
         else:
-            pa, pb = canonical_path(a), canonical_path(b)
+            pa, pb = F.col(f"_a_{field}"), F.col(f"_b_{field}")
             ok = accounts_match(pa, pb, field, mode)
             av, bv, delta = F.array_join(pa, ":"), F.array_join(pb, ":"), F.lit(None).cast("double")
         records.append(F.struct(
