@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from saleswell.functions import text as tx
 from saleswell.functions.numeric import as_double, parse_decimal, parse_number
 from saleswell.operators import maintenance as mt, quality as dq
+from saleswell.operators.ordered import row_numbers
 from saleswell.operators.settlements import unparsable_rows, unpivot
 from saleswell.plans.registry import query, sql_ratio, sql_round
 from saleswell.sources import accounting, files, invoices, marketplace, parts
@@ -229,17 +230,19 @@ def invoice_documents(f):
     """Markdown invoices of every wholesale order, ten consecutive orders per file.
 
     One order in three uses bold labels and a four-column table; every second
-    file carries a page marker.
+    file carries a page marker.  An order with more than 200 lines goes on in
+    further documents, so no document grows with the data.
     """
     sku = f.product.select("product_id", "sku")
-    lines = f.line.where("channel = 'wholesale'").join(sku, "product_id")
+    numbered = row_numbers(f.line.where("channel = 'wholesale'"), ["order_id"], ["line_id"], F.substring("line_id", 1, 12))
+    lines = numbered.withColumn("part", F.floor((F.col("rn") - 1) / 200)).join(sku, "product_id")
     amount = lambda c: F.concat(F.lit("$"), F.format_number(c, 2), F.lit(" USD"))
     plain = F.concat(F.lit("| "), F.col("quantity").cast("string"), F.lit(" | "), "sku", F.lit(".x | Item "), F.col("product_id").cast("string"),
                      F.lit(" | some, detail | "), amount("base_cost_price"), F.lit(" | "), amount("base_total"), F.lit(" |"))
     bold = F.concat(F.lit("| "), F.col("quantity").cast("string"), F.lit(" | "), "sku", F.lit(".x | Item "), F.col("product_id").cast("string"),
                     F.lit(" | **"), amount("base_cost_price"), F.lit("** | **"), amount("base_total"), F.lit("** |"))
     row = F.when(F.col("order_id") % 9 == 2, bold).otherwise(plain)
-    table = lines.groupBy("order_id").agg(
+    table = lines.groupBy("order_id", "part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", row.alias("t")))), lambda r: r["t"]), "\n").alias("rows"),
         F.sum("base_total").alias("total"))
     o = f.order.where("channel = 'wholesale'").drop("total").join(table, "order_id")
@@ -260,7 +263,7 @@ def invoice_documents(f):
     )
     file_no = F.floor(F.col("order_id") / 30)
     head = F.when(F.col("file_no") % 2 == 0, F.lit("# Invoices\n\n## Page 1\n\n")).otherwise(F.lit("# Invoices\n\n"))
-    docs = o.select(file_no.alias("file_no"), "order_id", text.alias("t")).groupBy("file_no").agg(
+    docs = o.select(file_no.alias("file_no"), "part", "order_id", text.alias("t")).groupBy("file_no", "part").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_id", "t"))), lambda r: r["t"]), "\n").alias("body"))
     return docs.select(F.concat(F.lit("inv"), F.col("file_no").cast("string"), F.lit(".md")).alias("file_name"), F.concat(head, "body").alias("content"))
 

@@ -68,6 +68,9 @@ class LedgerProcessor(StatefulProcessor):
 def ledger_stream(requests: DataFrame) -> DataFrame:
     """``sku, seq, line_id, mode, qty, new_qty, location ids`` -> applied or rejected movements.
 
+    Limit the source (``maxFilesPerTrigger``): a micro-batch is ordered per SKU
+    in memory, so its size is the bound.
+
     Rejection is per line of a SKU; an event over several SKUs that must be all
     or nothing needs its rejected event ids voided downstream.
     """
