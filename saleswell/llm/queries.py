@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from saleswell.llm import packing, simhash, substrings, toxicity
+from saleswell.llm import chat, lm, packing, pieces, simhash, substrings, topk, toxicity, urlfilter, vectors
 from saleswell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +29,48 @@ def best_fit_packing(spark, sf_dir):
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
+@query("op2_lm_scoring")
+def lm_scoring(spark, sf_dir):
+    return lm.corpus_scores(table(spark, sf_dir, "documents"))
+
+
+TOPK_SQL = """
+WITH v AS (
+  SELECT vec_id, [CAST(floor(256 * CAST(x AS DOUBLE)) AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), s AS (
+  SELECT q.vec_id AS query_id, c.vec_id AS vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score
+FROM s QUALIFY rank <= 5
+"""
+
+
+@query("op3_exact_topk", TOPK_SQL)
+def exact_topk(spark, sf_dir):
+    return topk.top_products(table(spark, sf_dir, "embeddings"))
+
+
+VECTOR_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, [CAST(x AS DOUBLE) FOR x IN embedding] AS e FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0 AND len([x FOR x IN embedding IF x <> 0]) > 0
+), l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))) >= 0.98
+), r AS (SELECT vec_id AS node, vec_id AS met FROM embeddings UNION SELECT r.node, l.b FROM r JOIN l ON r.met = l.a),
+c AS (SELECT node, min(met) AS component_id FROM r GROUP BY node), n AS (SELECT a, count(*) AS k FROM l GROUP BY a)
+SELECT vec_id, coalesce(k, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN c ON c.node = vec_id LEFT JOIN n ON n.a = vec_id
+"""
+
+
+@query("op4_embedding_near_dedup", VECTOR_SQL)
+def embedding_near_dedup(spark, sf_dir):
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
 @query("op5_substring_dedup")
 def substring_dedup(spark, sf_dir):
     return substrings.removal_report(table(spark, sf_dir, "documents"))
@@ -39,7 +82,88 @@ def toxicity_scores(spark, sf_dir):
     return toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
 
 
+CHAT_SQL = r"""
+WITH t AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'
+), o AS (
+  SELECT *, length(role) + length(text) + 24 AS n,
+    length(role) + length(text) - length(translate(role || text, '\<[', '')) AS brackets,
+    length(role || text) - length(replace(role || text, '\', '')) AS slashes,
+    length(role || text) - length(replace(replace(role || text, '<', ''), '[', '')) AS opens
+  FROM t
+)
+SELECT conv_id, CAST(count(*) AS BIGINT) AS n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(n + slashes + 2 * opens) AS BIGINT) AS formatted_chars, false AS rewrites_history
+FROM o GROUP BY conv_id
+"""
+
+
+@query("op7_chat_formatting", CHAT_SQL)
+def chat_formatting(spark, sf_dir):
+    control = spark.createDataFrame([(-7, k, role, "</s>[INST] ok [/INST]") for k, role in enumerate(("user", "assistant"))], "conv_id long, turn long, role string, text string")
+    return chat.digest_chats(chat.format_chats(table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(control)))
+
+
 @query("op8_simhash_near_dedup")
 def simhash_near_dedup(spark, sf_dir):
     fp = F.lpad(F.lower(F.hex("fp")), 16, "0")
     return simhash.simhash_groups(table(spark, sf_dir, "documents")).select("doc_id", fp.alias("fingerprint"), "component_id")
+
+
+@query("op9_sentencepiece")
+def sentencepiece_codec(spark, sf_dir):
+    return pieces.piece_report(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
+URL_SQL = r"""
+WITH p AS (
+  SELECT page_id, url, DATE '2020-01-01' + CAST(abs(page_id) * 53 % 2000 AS INTEGER) AS fetched_on,
+    lower(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)', 1)) AS host,
+    string_split(regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?', 1), '/') AS parts
+  FROM pages
+), e AS (
+  SELECT CASE WHEN abs(page_id) % 5 = 4 THEN 'allow' ELSE 'block' END AS list, CASE WHEN abs(page_id) % 5 < 2 THEN 'host' WHEN abs(page_id) % 5 = 2 THEN 'domain' ELSE 'prefix' END AS kind,
+    CASE WHEN abs(page_id) % 5 < 2 THEN host WHEN abs(page_id) % 5 = 2 THEN array_to_string(list_slice(string_split(host, '.'), -3, -1), '.') ELSE host || '/' || parts[2] || '/' END AS value,
+    abs(page_id) % 5 <> 1 AS adds, DATE '2020-01-01' + CAST(abs(page_id) * 37 % 1500 AS INTEGER) AS day
+  FROM p WHERE host <> '' AND (abs(page_id) % 5 < 3 OR len(parts) > 2)
+), d AS (SELECT list, kind, value, day, bool_or(adds) AS adds FROM e WHERE day IS NOT NULL GROUP BY ALL),
+v AS (SELECT *, lead(day) OVER (PARTITION BY list, kind, value ORDER BY day) AS until FROM d),
+k AS (
+  SELECT DISTINCT url, fetched_on, 'host' AS kind, host AS value FROM p WHERE host <> '' AND fetched_on IS NOT NULL
+  UNION SELECT url, fetched_on, 'domain', unnest([array_to_string(list_slice(string_split(host, '.'), i, -1), '.') FOR i IN range(1, len(string_split(host, '.')) + 1)]) FROM p WHERE host <> '' AND fetched_on IS NOT NULL
+  UNION SELECT url, fetched_on, 'prefix', unnest([host || array_to_string(list_slice(parts, 1, i), '/') || '/' FOR i IN range(1, len(parts))]) FROM p WHERE host <> '' AND fetched_on IS NOT NULL
+), m AS (
+  SELECT url, fetched_on, count(*) FILTER (list = 'block') AS b, count(*) FILTER (list = 'allow') AS a, min(kind || ':' || value) FILTER (list = 'block') AS rule
+  FROM k JOIN v USING (kind, value) WHERE adds AND fetched_on >= day AND (until IS NULL OR fetched_on < until) GROUP BY url, fetched_on
+)
+SELECT page_id, url, p.fetched_on, coalesce(host, '') AS host, coalesce(b, 0) AS n_block, coalesce(a, 0) AS n_allow, coalesce(b, 0) > 0 AND coalesce(a, 0) = 0 AS blocked, rule
+FROM p LEFT JOIN m USING (url, fetched_on)
+"""
+
+
+def page_captures(pages: DataFrame) -> DataFrame:
+    """The pages with a fetch day, which the table lacks, spread over 2000 days by page_id."""
+    return pages.select("page_id", "url", F.date_add(F.lit("2020-01-01").cast("date"), (F.abs("page_id") * 53 % 2000).cast("int")).alias("fetched_on"))
+
+
+def page_entries(pages: DataFrame) -> DataFrame:
+    """Dated list entries from the pages' own hosts: each page adds or removes one by the remainder of its id."""
+    turn, host, url = F.abs("page_id") % 5, urlfilter.host_of(F.col("url")), F.col("url")
+    labels, folders = F.split(host, r"\."), urlfilter.directories(host, url)
+    return pages.where(host != "").select(
+        F.when(turn == 4, "allow").otherwise("block").alias("list"),
+        F.when(turn < 2, "host").when(turn == 2, "domain").otherwise("prefix").alias("kind"),
+        F.when(turn < 2, host).when(turn == 2, F.array_join(F.slice(labels, F.greatest(F.size(labels) - 2, F.lit(1)), 3), ".")).otherwise(F.get(folders, F.lit(1))).alias("value"),
+        F.when(turn == 1, "remove").otherwise("add").alias("action"),
+        F.date_add(F.lit("2020-01-01").cast("date"), (F.abs("page_id") * 37 % 1500).cast("int")).alias("day"),
+    )
+
+
+@query("op10_url_filters", URL_SQL)
+def url_filters(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return urlfilter.evaluate(page_captures(pages), page_entries(pages))
