@@ -9,7 +9,7 @@ piece's length among the residuals and goes on upwards until a bin accepts the
 piece: the tightest bin without a conflict.  None: a new bin.
 
 A bin holds no two texts of one cluster, and of one source at most PER_SOURCE
-pieces (one bit for each).  By default the cluster is the lower-cased word sequence's hash.
+pieces (one bit for each).  By default a text's cluster is the hash of its lower-cased words.
 
 Length is counted in words.  Null, empty and blank texts have length 0 and get no
 bin (null).  A null source is a source of its own.  Rows are told apart by position, so
@@ -79,24 +79,23 @@ def cut(data: bytes, capacity: int) -> list[tuple[int, bytes]]:
     return [*parts, (k, data[begin:])]
 
 
-def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, with_text: bool = False, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE, with_text: bool = False, cluster: str | None = None, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """doc_id, piece, n_pieces, n_words, bin_id, bin_words, position (from 0), offset (words before it), [text].
 
-    ``bin_id`` is shard-bin; a text without words has a null bin.
+    ``bin_id`` is shard-bin; a text without words has a null bin.  ``cluster`` names a column of duplicate groups (null: none).
     """
     total = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     shards = max(1, -(-total // shard_bytes))
-    cluster_of = (lambda c: c) if "cluster" in docs.columns else None
     rows = docs.select(
         F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64(F.coalesce(F.col("source").cast("string"), F.lit("\x00null"))).alias("source"),
-        *([F.xxhash64(F.col("cluster").cast("string")).alias("cluster")] if cluster_of else []),
+        *([F.when(F.col(cluster).isNotNull(), F.xxhash64(F.col(cluster).cast("string"))).alias("cluster")] if cluster else []),
     )
 
     def pieces(batches):
         seq = 0
         for batch in slices(batches, "text", 4 << 20):
             out = {k: [] for k in ("shard", "doc_id", "piece", "n_pieces", "n_words", "source", "cluster", "text")}
-            own = batch.column("cluster").to_pylist() if cluster_of else None
+            own = batch.column("cluster").to_pylist() if cluster else None
             for k, (doc, data, src) in enumerate(zip(batch.column("doc_id").to_pylist(), byte_texts(batch.column("text")), batch.column("source").to_pylist())):
                 parts = cut(data, capacity)
                 h = xxhash.xxh64()

@@ -23,7 +23,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from saleswell.llm.common import PARCEL, byte_texts, components, gather, local_labels, mix, parcels, slices, store, word_chunks
+from saleswell.llm.common import PARCEL, byte_texts, components, free_name, gather, local_labels, mix, parcels, slices, store, word_chunks
 
 SHINGLE, BITS, SEED = 3, 2, 42
 #: Variants per shard: bounds what one task holds.
@@ -148,7 +148,7 @@ def simhash_groups(docs: DataFrame) -> DataFrame:
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """Keep of each group the row with the smallest doc_id (of repeated rows one); rows without doc_id stay."""
-    c = "__component"
+    c = free_name("__component", docs)
     groups = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias(c)).distinct()
-    kept = docs.where("doc_id is not null").join(groups, F.col("doc_id") == F.col(c), "left_semi")
+    kept = docs.where("doc_id is not null").join(groups, docs["doc_id"] == groups[c], "left_semi")
     return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))

@@ -34,7 +34,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from saleswell.llm.common import PARCEL, byte_texts, gather, mix, pack, parcel_batch, parcels, slices, word_chunks
+from saleswell.llm.common import PARCEL, byte_texts, free_name, gather, mix, pack, parcel_batch, parcels, slices, word_chunks
 
 WINDOW = 50
 ROUNDS, CORE = 5, 3
@@ -261,18 +261,23 @@ def removed_mask(n: int, cell: bytes | None) -> np.ndarray:
     return np.cumsum(step[:-1]) > 0
 
 
-def _with_ranges(docs: DataFrame) -> DataFrame:
-    found = repeated_ranges(docs).select(F.col("doc_id").alias("__id"), F.col("text_key").alias("__key"), F.col("ranges").alias("__ranges"))
-    return docs.join(found, (F.col("doc_id").cast("long") == F.col("__id")) & (F.xxhash64("text") == F.col("__key")), "left").drop("__id", "__key")
+def _with_ranges(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a further column, of the returned name, for the ranges."""
+    doc, key, ranges = (free_name(c, docs) for c in ("__id", "__key", "__ranges"))
+    found = repeated_ranges(docs).withColumnsRenamed({"doc_id": doc, "text_key": key, "ranges": ranges})
+    on = (docs["doc_id"].cast("long") == found[doc]) & (F.xxhash64(docs["text"]) == found[key])
+    return docs.join(found, on, "left").drop(doc, key), ranges
 
 
 def removal_report(docs: DataFrame) -> DataFrame:
     """doc_id, n_words, n_removed, kept_sha256 (of the kept words joined by one space) for every row."""
 
+    rows, ranges = _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
+
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
             n_words, n_removed, sha = [], [], []
-            for data, cell in zip(byte_texts(batch.column("text")), batch.column("__ranges").to_pylist()):
+            for data, cell in zip(byte_texts(batch.column("text")), batch.column(ranges).to_pylist()):
                 digest, at, gone = hashlib.sha256(), 0, 0
                 mask = removed_mask(sum(map(len, word_chunks(data))), cell) if cell else None
                 sep = b""
@@ -287,7 +292,6 @@ def removal_report(docs: DataFrame) -> DataFrame:
                 sha.append(digest.hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()), pa.array(sha)], names=["doc_id", "n_words", "n_removed", "kept_sha256"])
 
-    rows = _with_ranges(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"))
     return rows.mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
@@ -310,17 +314,19 @@ def cut_words(data: bytes, mask: np.ndarray) -> bytes:
 def remove_repeats(docs: DataFrame) -> DataFrame:
     """``docs`` with repeated passages cut out of ``text`` (and ``n_chars``, where present, set anew); no row goes."""
 
+    rows, ranges = _with_ranges(docs)
+
     def run(batches):
         for batch in slices(batches, "text", 4 << 20):
             text, col = batch.column("text").to_pylist(), batch.schema.get_field_index("text")
-            for i, cell in enumerate(batch.column("__ranges").to_pylist()):
+            for i, cell in enumerate(batch.column(ranges).to_pylist()):
                 if cell:
                     data = text[i].encode()
                     text[i] = cut_words(data, removed_mask(sum(map(len, word_chunks(data))), cell)).decode()
             batch = batch.set_column(col, batch.schema.field(col), pa.array(text, batch.schema.field(col).type))
-            yield batch.drop_columns(["__ranges"])
+            yield batch.drop_columns([ranges])
 
-    out = _with_ranges(docs).mapInArrow(run, docs.schema)
+    out = rows.mapInArrow(run, docs.schema)
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return out.select(*docs.columns)

@@ -11,13 +11,15 @@ split further by the skew join), and a capture meets the intervals of its month
 
 A page is blocked when a block entry is active and no allow entry is.  Null urls
 or days, and urls without a scheme and host, match nothing.  Entries with a null field are ignored.  Repeated captures
-are answered one by one; extra columns of the captures are kept.
+are answered one by one; extra columns of the captures are kept, but give way to the result's where names clash.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from saleswell.llm.common import free_name
+
 HOST = r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)"
 PATH = r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*(/[^?#]*)?"
 
@@ -63,10 +65,10 @@ def as_of_matches(captures: DataFrame, entries: DataFrame) -> DataFrame:
             F.transform(directories(F.col("host"), F.col("url")), lambda v: F.struct(F.lit("prefix").alias("kind"), v.alias("value"))),
         )).alias("k"),
     ).select("url", "fetched_on", "month", "k.kind", "k.value")
-    last = captures.agg(F.max("fetched_on")).first()[0]
+    last = F.lit(captures.agg(F.max("fetched_on")).first()[0]).cast("date")
     pieces = (
-        intervals(entries).where(F.col("valid_from") <= F.lit(last))
-        .withColumn("month", F.explode(F.sequence(month("valid_from"), month(F.least(F.coalesce("valid_to", F.lit(last)), F.lit(last))), F.expr("interval 1 month"))))
+        intervals(entries).where(F.col("valid_from") <= last)
+        .withColumn("month", F.explode(F.sequence(month("valid_from"), month(F.least(F.coalesce("valid_to", last), last)), F.expr("interval 1 month"))))
     )
     on = ["kind", "value", "month"]
     active = (F.col("fetched_on") >= F.col("valid_from")) & (F.col("valid_to").isNull() | (F.col("fetched_on") < F.col("valid_to")))
@@ -75,14 +77,16 @@ def as_of_matches(captures: DataFrame, entries: DataFrame) -> DataFrame:
 
 def evaluate(captures: DataFrame, entries: DataFrame) -> DataFrame:
     """``captures`` (url, fetched_on, ...) with host, n_block, n_allow, blocked and rule (the first active block entry)."""
-    found = as_of_matches(captures, entries).groupBy(F.col("url").alias("__url"), F.col("fetched_on").alias("__day")).agg(
-        F.count_if(F.col("list") == "block").alias("__block"),
-        F.count_if(F.col("list") == "allow").alias("__allow"),
-        F.min(F.when(F.col("list") == "block", F.concat("kind", F.lit(":"), "value"))).alias("__rule"),
+    captures = captures.drop("host", "n_block", "n_allow", "blocked", "rule")
+    own = [free_name(c, captures) for c in ("__url", "__day", "__block", "__allow", "__rule")]
+    found = as_of_matches(captures, entries).groupBy(F.col("url").alias(own[0]), F.col("fetched_on").alias(own[1])).agg(
+        F.count_if(F.col("list") == "block").alias(own[2]),
+        F.count_if(F.col("list") == "allow").alias(own[3]),
+        F.min(F.when(F.col("list") == "block", F.concat("kind", F.lit(":"), "value"))).alias(own[4]),
     )
-    joined = captures.join(found, (F.col("url") == F.col("__url")) & (F.col("fetched_on") == F.col("__day")), "left")
-    n_block, n_allow = F.coalesce("__block", F.lit(0)), F.coalesce("__allow", F.lit(0))
+    joined = captures.join(found, (captures["url"] == found[own[0]]) & (captures["fetched_on"] == found[own[1]]), "left")
+    n_block, n_allow = F.coalesce(found[own[2]], F.lit(0)), F.coalesce(found[own[3]], F.lit(0))
     return joined.select(
         *[captures[c] for c in captures.columns], F.coalesce(host_of(captures["url"]), F.lit("")).alias("host"),
-        n_block.alias("n_block"), n_allow.alias("n_allow"), ((n_block > 0) & (n_allow == 0)).alias("blocked"), F.col("__rule").alias("rule"),
+        n_block.alias("n_block"), n_allow.alias("n_allow"), ((n_block > 0) & (n_allow == 0)).alias("blocked"), found[own[4]].alias("rule"),
     )
