@@ -62,7 +62,8 @@ class BallTree:
         """(query, node): no product in the ball exceeds it; rounding is allowed for."""
         norm = np.sqrt((queries**2).sum(axis=1))[:, None]
         reach = np.sqrt((self.centre**2).sum(axis=1)) + self.radius
-        return queries @ self.centre.T + norm * self.radius[None, :] + 1 + 1e-9 * norm * reach[None, :]
+        upper = queries @ self.centre.T + norm * self.radius[None, :] + 1 + 1e-9 * norm * reach[None, :]
+        return np.maximum(upper, LEAST)  # no score is below it either
 
 
 def products(rows: np.ndarray, q: np.ndarray) -> np.ndarray:

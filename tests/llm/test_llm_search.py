@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from saleswell.llm import topk, vectors
 
@@ -113,7 +114,7 @@ def test_crowded_nodes_are_compared_whole(spark):
     base = r.normal(size=8)
     rows = [(i, (base + 1e-4 * r.normal(size=8)).tolist(), 1) for i in range(300)] + [(300 + i, base.tolist(), 1) for i in range(100)]
     df = frame(spark, rows)
-    classes = df.groupBy("label", "embedding").agg({"vec_id": "min", "*": "count"}).toDF("label", "vec", "cls", "m").selectExpr("cast(label as string) label", "size(vec) dim", "cls", "m", "vec")
+    classes = df.groupBy("label", "embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("m")).selectExpr("cast(label as string) label", "size(embedding) dim", "cls", "m", "embedding vec")
     assert vectors.class_links(classes, leaf=64).count() == 301 * 300 // 2
     got = vectors.near_vectors(df).collect()
     assert {(x["n_links"], x["component_id"]) for x in got} == {(399, 0)}

@@ -144,12 +144,15 @@ def test_language_model_sums_to_one_and_odd_tables(spark):
     assert (only["n_known"], only["train_tokens"], only["base_score"], only["score"]) == (0, 0, 0.0, 0.0)
 
 
-class Trimming(chat.MarkedTemplate):
-    """Drops the first turn once a third comes."""
+def trimming():
+    class Trimming(chat.MarkedTemplate):  # local, so that tasks get it by value
+        """Drops the first turn once a third comes."""
 
-    @classmethod
-    def render(cls, turns):
-        return super().render(turns[1:] if len(turns) > 2 else turns)
+        @classmethod
+        def render(cls, turns):
+            return super().render(turns[1:] if len(turns) > 2 else turns)
+
+    return Trimming
 
 
 class Numbering(chat.MarkedTemplate):
@@ -167,7 +170,7 @@ def test_spans_are_located_from_outside():
     a, b = chat.text_span(chat.MarkedTemplate.render, turns, 3, found.spans[3], found.formatted)
     assert chat.MarkedTemplate.unescape(found.formatted[a:b]) == turns[3][1]
     assert chat.locate(chat.MarkedTemplate.render, turns, full=3, reach=1) == found
-    assert chat.locate(Trimming.render, turns).rewrites and not chat.locate(Trimming.render, turns[:2]).rewrites
+    assert chat.locate(trimming().render, turns).rewrites and not chat.locate(trimming().render, turns[:2]).rewrites
     numbered = chat.locate(Numbering.render, turns * 3, full=4, reach=2)
     assert not numbered.rewrites and numbered.spans[-1][1] == len(numbered.formatted) and numbered.formatted[slice(*numbered.spans[20])] == f"20:{turns[2][1]}\n"
 
@@ -204,7 +207,7 @@ def test_chats_read_back(spark):
         assert (x["n_turns"], x["turns_sha256"], x["loss_chars"], x["loss_sha256"]) == (len(turns), digest, len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert x["formatted_chars"] == len(chat.MarkedTemplate.render(turns)) and not x["rewrites_history"]
     assert chat.format_chats(df.limit(0)).count() == 0
-    trimmed = chat.format_chats(df.where("conv_id = 3"), Trimming).collect()
+    trimmed = chat.format_chats(df.where("conv_id = 3"), trimming()).collect()
     assert trimmed[0]["rewrites_history"] and trimmed[0]["loss_spans"] is None
 
 
