@@ -34,25 +34,26 @@ def week_monday(day: dt.date) -> dt.date:
     return day - dt.timedelta(days=day.weekday())
 
 
+def _months_begun(day: dt.date, size: int) -> dt.date:
+    """First day of the block of ``size`` months (1, 3, 12) that holds the day."""
+    return day.replace(month=day.month - (day.month - 1) % size, day=1)
+
+
+LOWER_BOUNDS = {
+    **{f"last{n}": (lambda day, n=n: day - dt.timedelta(days=n - 1)) for n in (7, 30)},
+    **{name: (lambda day, n=n: _months_begun(day, n)) for name, n in (("mtd", 1), ("qtd", 3), ("ytd", 12))},
+    "today": lambda day: day,
+}
+
+
 def range_bounds(
     name: str, as_of: dt.date, custom: tuple[dt.date, dt.date] | None = None
 ) -> tuple[dt.date, dt.date]:
-    """Inclusive bounds of a named range; an incomplete custom range means last 30."""
-    if name == "today":
-        return as_of, as_of
-    if name == "last7":
-        return as_of - dt.timedelta(days=6), as_of
-    if name == "last30":
-        return as_of - dt.timedelta(days=29), as_of
-    if name == "mtd":
-        return as_of.replace(day=1), as_of
-    if name == "qtd":
-        return as_of.replace(month=3 * ((as_of.month - 1) // 3) + 1, day=1), as_of
-    if name == "custom":
-        if custom and custom[0] and custom[1]:
-            return custom
-        return range_bounds("last30", as_of)
-    return as_of.replace(month=1, day=1), as_of
+    """Inclusive bounds of a named range; an incomplete custom range means last 30, an unknown name year to date."""
+    if name == "custom" and custom and all(custom):
+        return custom
+    first_day = LOWER_BOUNDS.get("last30" if name == "custom" else name, LOWER_BOUNDS["ytd"])
+    return first_day(as_of), as_of
 
 
 def shift_months(day: dt.date, months: int) -> dt.date:

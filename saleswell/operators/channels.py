@@ -34,20 +34,27 @@ def between_days(df: DataFrame, day: str, start: dt.date | None, end: dt.date |
 
 # --- storefront ---------------------------------------------------------------
 def storefront_sales(
-    orders: DataFrame, grain: str, start=None, statuses: Sequence[int] = config.STOREFRONT_REALISED
+    orders: DataFrame, grain: str, start=None, statuses: Sequence[int] = config.STOREFRONT_REALISED, end=None
 ) -> DataFrame:
-    kept = between_days(orders.where(F.col("status").isin(*statuses)), "order_date", start)
-    sums = with_bucket(kept, "order_date", grain).groupBy(*KEYS).agg(
-        F.countDistinct("order_id").alias("storefront_orders"),
-        F.sum("total").alias("storefront_revenue"),
-        F.count("total").alias("_n"),
-        F.countDistinct("customer_id").alias("storefront_customers"),
+    """Orders, revenue, average order and customers.
+
+    Rows are reduced per customer first, so the two distinct counts need no expanded copy of the input.
+    """
+    kept = between_days(orders.where(F.col("status").isin(*statuses)), "order_date", start, end)
+    per_customer = with_bucket(kept, "order_date", grain).groupBy(*KEYS, "customer_id").agg(
+        F.countDistinct("order_id").alias("_orders"), F.sum("total").alias("_total"), F.count("total").alias("_n")
+    )
+    sums = per_customer.groupBy(*KEYS).agg(
+        F.sum("_orders").alias("storefront_orders"),
+        F.sum("_total").alias("storefront_revenue"),
+        F.sum("_n").alias("_n"),
+        F.count("customer_id").alias("storefront_customers"),
     )
     return sums.withColumn("storefront_aov", ratio(F.col("storefront_revenue"), F.col("_n"))).drop("_n")
 
 
 def new_and_returning(
-    orders: DataFrame, grain: str, start=None, statuses: Sequence[int] = config.STOREFRONT_REALISED
+    orders: DataFrame, grain: str, start=None, statuses: Sequence[int] = config.STOREFRONT_REALISED, end=None
 ) -> DataFrame:
     """Distinct customers buying on, or after, their first-ever order day.
 
@@ -56,7 +63,7 @@ def new_and_returning(
     """
     days = orders.where(F.col("status").isin(*statuses)).select("customer_id", "order_date").distinct()
     first = F.min("order_date").over(Window.partitionBy("customer_id"))
-    flagged = between_days(days.withColumn("first_day", first), "order_date", start)
+    flagged = between_days(between_days(days, "order_date", None, end).withColumn("first_day", first), "order_date", start)
     per_customer = with_bucket(flagged, "order_date", grain).groupBy(*KEYS, "customer_id").agg(
         F.max((F.col("order_date") == F.col("first_day")).cast("int")).alias("is_new"),
         F.max((F.col("order_date") > F.col("first_day")).cast("int")).alias("is_back"),
@@ -69,8 +76,8 @@ def new_and_returning(
 
 
 # --- marketplace ----------------------------------------------------------------
-def marketplace_sales(sku_day: DataFrame, grain: str, start=None) -> DataFrame:
-    kept = between_days(sku_day, "business_date", start)
+def marketplace_sales(sku_day: DataFrame, grain: str, start=None, end=None) -> DataFrame:
+    kept = between_days(sku_day, "business_date", start, end)
     return with_bucket(kept, "business_date", grain).groupBy(*KEYS).agg(
         F.sum("gross_sales").alias("marketplace_revenue"),
         F.sum("units").alias("marketplace_units"),
@@ -93,23 +100,24 @@ def marketplace_pl(sku_day: DataFrame, grain: str = "month", start=None, end=Non
     )
 
 
-def marketplace_traffic(traffic: DataFrame, grain: str, start=None) -> DataFrame:
-    kept = between_days(traffic, "report_date", start)
+def marketplace_traffic(traffic: DataFrame, grain: str, start=None, end=None) -> DataFrame:
+    kept = between_days(traffic, "report_date", start, end)
     return with_bucket(kept, "report_date", grain).groupBy(*KEYS).agg(
         F.sum("sessions").alias("marketplace_sessions")
     )
 
 
-def settlement_orders(settlements: DataFrame, grain: str, start=None) -> DataFrame:
-    kept = between_days(settlements, "posted_date", start)
+def settlement_orders(settlements: DataFrame, grain: str, start=None, end=None) -> DataFrame:
+    """Orders with a settled component, from order days (or the unpivoted components)."""
+    kept = between_days(settlements.where(F.col("posted_date").isNotNull()), "posted_date", start, end)
     return with_bucket(kept, "posted_date", grain).groupBy(*KEYS).agg(
         F.countDistinct("order_id").alias("marketplace_orders")
     )
 
 
 # --- wholesale ------------------------------------------------------------------
-def wholesale_sales(orders: DataFrame, grain: str, start=None) -> DataFrame:
-    kept = between_days(orders.where(~F.col("status").isin(*config.WHOLESALE_EXCLUDED)), "order_date", start)
+def wholesale_sales(orders: DataFrame, grain: str, start=None, end=None) -> DataFrame:
+    kept = between_days(orders.where(~F.col("status").isin(*config.WHOLESALE_EXCLUDED)), "order_date", start, end)
     amount = lambda statuses: F.sum(
         F.when(F.col("status").isin(*statuses), F.col("sub_total")).otherwise(F.lit(0).cast("decimal(18,2)"))
     )
@@ -129,7 +137,7 @@ def is_organic() -> Column:
     )
 
 
-def web_traffic_live(events: DataFrame, grain: str, first_shard: str | None = None) -> DataFrame:
+def web_traffic_live(events: DataFrame, grain: str, first_shard: str | None = None, last_shard: str | None = None) -> DataFrame:
     """Sessions, users and their organic parts from the sharded event table.
 
     Rows are first reduced per bucket and user (and per bucket and transaction),
@@ -137,6 +145,8 @@ def web_traffic_live(events: DataFrame, grain: str, first_shard: str | None = No
     """
     if first_shard:
         events = events.where(F.col("event_date") >= first_shard)
+    if last_shard:
+        events = events.where(F.col("event_date") <= last_shard)
     e = events.withColumn("day", F.to_date("event_date", "yyyyMMdd")).withColumn("organic", is_organic())
     e = with_bucket(e, "day", grain)
     session, purchase = F.col("event_name") == config.SESSION_EVENT, F.col("event_name") == config.PURCHASE_EVENT
@@ -166,14 +176,17 @@ def web_traffic_live(events: DataFrame, grain: str, first_shard: str | None = No
 
 
 def web_traffic(
-    events: DataFrame, backfill: DataFrame, grain: str, first_shard: str | None = None, mode: str = "additive"
+    events: DataFrame, backfill: DataFrame, grain: str, first_shard: str | None = None, mode: str = "additive", start=None, end=None
 ) -> DataFrame:
-    """Live traffic plus the historical summary.
+    """Live traffic plus the historical summary; ``start`` and ``end`` bound both by day.
 
     ``additive`` adds both even where they overlap; ``prefer_live`` uses the
     summary only for days without live events.
     """
-    live = web_traffic_live(events, grain, first_shard)
+    shard = lambda day: day.strftime("%Y%m%d") if day else None
+    first_shard = max(filter(None, (first_shard, shard(start))), default=None)
+    backfill = between_days(backfill, "day", start, end)
+    live = web_traffic_live(events, grain, first_shard, shard(end))
     if mode == "prefer_live":
         shards = events.where(F.col("event_date") >= first_shard) if first_shard else events
         days = shards.select(F.to_date("event_date", "yyyyMMdd").alias("day")).distinct()
@@ -227,9 +240,9 @@ def cost_lookup(
 
 def line_cost_parts() -> list[Column]:
     """Aggregates that let the cost dimension be joined after grouping by product."""
-    qty = F.col("quantity").cast("decimal(12,0)")
+    qty = F.col("quantity").cast("decimal(20,0)")
     has_base = F.coalesce(F.col("base_cost_price") > 0, F.lit(False))
-    none = F.lit(0).cast("decimal(12,0)")
+    none = F.lit(0).cast("decimal(20,0)")
     return [
         F.sum(F.when(has_base, F.col("base_cost_price") * qty)).alias("base_cost"),
         F.sum(F.when(has_base, none).otherwise(qty)).alias("qty_no_base"),
@@ -258,6 +271,7 @@ def order_cogs(
     start=None,
     cost_mode: str = "raw",
     as_of: dt.date | None = None,
+    end=None,
 ) -> DataFrame:
     """COGS of an order channel.
 
@@ -269,7 +283,7 @@ def order_cogs(
         kept, how = orders.where(F.col("status").isin(*config.STOREFRONT_REALISED)), "inner"
     else:
         kept, how = orders.where(~F.col("status").isin(*config.WHOLESALE_EXCLUDED)), "left"
-    kept = with_bucket(between_days(kept, "order_date", start), "order_date", grain)
+    kept = with_bucket(between_days(kept, "order_date", start, end), "order_date", grain)
     grouped = (
         lines.join(kept.select("order_id", *KEYS), "order_id")
         .groupBy(*KEYS, "product_id")
@@ -284,11 +298,11 @@ def order_cogs(
 
 
 def marketplace_cogs(
-    sku_day: DataFrame, costs: DataFrame, grain: str, start=None, cost_mode: str = "raw", as_of=None
+    sku_day: DataFrame, costs: DataFrame, grain: str, start=None, cost_mode: str = "raw", as_of=None, end=None
 ) -> DataFrame:
-    kept = with_bucket(between_days(sku_day, "business_date", start), "business_date", grain)
+    kept = with_bucket(between_days(sku_day, "business_date", start, end), "business_date", grain)
     units = kept.groupBy(*KEYS, F.upper("msku").alias("cost_key")).agg(
-        F.sum(F.col("units").cast("decimal(12,0)")).alias("units")
+        F.sum(F.col("units").cast("decimal(20,0)")).alias("units")
     )
     priced = units.join(cost_lookup(costs, cost_mode, as_of), "cost_key", "left")
     zero = F.lit(0).cast("decimal(38,2)")

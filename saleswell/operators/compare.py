@@ -1,7 +1,8 @@
 """Period selection and comparison over a mart.
 
 A mart has one row per bucket (and optional entity key), so its size is bounded
-by the calendar; the ordered windows below run on that, never on facts.
+by the calendar; the ordered windows below run on that, never on facts.  Windows
+over the whole mart (one task) are for marts without an entity key.
 """
 
 from __future__ import annotations
@@ -48,6 +49,16 @@ def headline(mart: DataFrame, range_name: str, as_of: dt.date, grain: str = "wee
     return trim_incomplete_week(in_range(mart, lower, upper, grain), range_name, as_of, grain)
 
 
+def fact_days(range_name: str, as_of: dt.date, custom=None, tolerance: int = 3, offset: int = YEAR_OFFSET) -> tuple[dt.date, dt.date]:
+    """Days that a headline and its prior year need, with whole weekly buckets at both ends.
+
+    A bucket that touches the range begins up to six days before it; its partner
+    begins up to ``offset + tolerance`` days earlier.  Older, partial buckets match nothing.
+    """
+    lower, upper = range_bounds(range_name, as_of, custom)
+    return lower - dt.timedelta(days=6 + offset + tolerance), upper + dt.timedelta(days=6)
+
+
 def _spread(pair: str, prefix: str, metrics: Sequence[str]) -> list[Column]:
     return [F.col(f"{pair}.{m}").alias(f"{prefix}_{m}") for m in metrics]
 

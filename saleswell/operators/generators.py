@@ -68,9 +68,13 @@ def zero_out_lines(skus: DataFrame) -> DataFrame:
 
 
 def sync_lines(mismatches: DataFrame, fields: Sequence[str], onhand: DataFrame) -> DataFrame:
-    """Set-mode lines that restate our on-hand for the SKUs with a mismatch in ``fields``."""
+    """Set-mode lines that restate our on-hand for the SKUs with a mismatch in ``fields``.
+
+    ``reject_reason`` is NULL for a line that may be sent: missing or negative stock must never become a quantity.
+    """
     wanted = mismatches.where(F.col("field").isin(*fields) & ~F.col("is_match")).select(F.trim("sku").alias("sku")).where("sku <> ''").distinct()
-    return wanted.join(onhand, "sku", "left").select("sku", F.coalesce("on_hand", F.lit(0.0)).alias("new_qty"))
+    reason = F.when(F.col("on_hand").isNull(), "missing stock").when(F.col("on_hand") < 0, "negative stock")
+    return wanted.join(onhand, "sku", "left").select("sku", F.when(reason.isNull(), F.col("on_hand")).alias("new_qty"), reason.alias("reject_reason"))
 
 
 def rebatch(events: DataFrame, lines: DataFrame, size: int) -> DataFrame:
@@ -163,7 +167,7 @@ def remap_summary(remapped: DataFrame, sample: int = 25) -> DataFrame:
 # --------------------------------------------------------------------- rendering
 def memo(event_type: Column, event_id: Column, created_by: Column, note: Column) -> Column:
     parts = [F.nullif(sanitize_text(c.cast("string")), F.lit("")) for c in (event_type, event_id, created_by, note)]
-    return F.substring(F.trim(F.concat_ws(" ", *parts)), 1, config.MEMO_MAX)
+    return F.trim(F.concat_ws(" ", *parts))
 
 
 def account_for_posting(path: Column) -> Column:
@@ -191,17 +195,14 @@ def _ref(name: str, value: Column) -> Column:
     return _tag(name, _tag("FullName", xml_escape(value)))
 
 
-LINES_PER_PART = 1000
-
-
 def render_events(
-    hydrated: DataFrame, default_account: str, guid_prefix: str = "inventory:", lines_per_part: int = LINES_PER_PART
+    hydrated: DataFrame, default_account: str, guid_prefix: str = "inventory:", lines_per_part: int | None = None
 ) -> DataFrame:
-    """Request text per event in numbered parts, or ``reject_reason`` when it cannot be sent.
+    """Request text per event, or ``reject_reason`` when it cannot be sent.
 
-    Concatenating an event's parts in order gives the whole request.  An
-    ordinary event is one part; a huge one is never gathered in one place: its
-    checks are combinable aggregates and its lines join up part by part.
+    One row holds the whole request (``part_no`` 1).  With ``lines_per_part`` a
+    long event comes in numbered parts, which concatenated in order give the request.
+    ``memo_truncated`` tells that the memo was longer than the receiver's field.
     """
     keys = ["event_id", "event_type", "effective_date", "created_by", "memo"]
     transfer = F.col("event_type") == "transfer"
@@ -233,7 +234,8 @@ def render_events(
         F.when(~transfer & mixed("_site"), F.lit("more than one site")),
         F.when(~transfer & (account == ""), F.lit("missing account")),
     )
-    note = _tag("Memo", xml_escape(memo(F.col("event_type"), F.col("event_id"), F.col("created_by"), F.col("memo"))))
+    whole_memo = memo(F.col("event_type"), F.col("event_id"), F.col("created_by"), F.col("memo"))
+    note = _tag("Memo", xml_escape(F.substring(whole_memo, 1, config.MEMO_MAX)))
     date = _tag("TxnDate", F.col("effective_date").cast("string"))
     guid = _tag("ExternalGUID", F.concat(F.lit("{"), F.upper(name_uuid(F.concat(F.lit(guid_prefix), F.col("event_id").cast("string")))), F.lit("}")))
     head = F.when(transfer, F.concat(date, _ref("FromInventorySiteRef", F.col("_from_lo")), _ref("ToInventorySiteRef", F.col("_to_lo")), note)).otherwise(
@@ -242,7 +244,7 @@ def render_events(
     kind = F.when(transfer, F.lit("TransferInventory")).otherwise(F.lit("InventoryAdjustment"))
     opening = F.concat(F.lit("<"), kind, F.lit('AddRq requestID="'), F.col("event_id").cast("string"), F.lit('"><'), kind, F.lit("Add>"), head)
     closing = F.concat(F.lit("</"), kind, F.lit("Add></"), kind, F.lit("AddRq>"))
-    checked = events.select("event_id", "event_type", "line_count", reason.alias("reject_reason"), opening.alias("_open"), closing.alias("_close"))
+    checked = events.select("event_id", "event_type", "line_count", reason.alias("reject_reason"), (F.length(whole_memo) > config.MEMO_MAX).alias("memo_truncated"), opening.alias("_open"), closing.alias("_close"))
     parts = event_parts(rows.select("event_id", "line_id", "_line"), lines_per_part).groupBy("event_id", "chunk_no", "chunk_count").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", "_line"))), lambda p: p["_line"]), "").alias("_body")
     )
@@ -252,18 +254,20 @@ def render_events(
         F.when(F.col("chunk_no") == F.col("chunk_count"), F.col("_close")).otherwise(F.lit("")),
     )
     return out.select(
-        "event_id", "event_type", "line_count", F.col("chunk_no").alias("part_no"), "reject_reason",
+        "event_id", "event_type", "line_count", F.col("chunk_no").alias("part_no"), "reject_reason", "memo_truncated",
         F.when(F.col("reject_reason").isNull(), text).alias("request_xml"),
     )
 
 
-def event_parts(lines: DataFrame, size: int = LINES_PER_PART) -> DataFrame:
-    """Number an event's lines into parts of at most ``size``."""
+def event_parts(lines: DataFrame, size: int | None) -> DataFrame:
+    """Number an event's lines into parts of at most ``size``; ``None``: one part."""
+    if size is None:
+        return lines.withColumns({"chunk_no": F.lit(1).cast("bigint"), "chunk_count": F.lit(1).cast("bigint")})
     return chunk_lines(lines, ["event_id"], size, order="line_id", block=F.substring("line_id", 1, 12))
 
 
-def nest_lines(hydrated: DataFrame, header: Sequence[str], size: int = LINES_PER_PART) -> DataFrame:
-    """One row per event part, its lines as a sorted array of at most ``size`` structs."""
+def nest_lines(hydrated: DataFrame, header: Sequence[str], size: int | None = None) -> DataFrame:
+    """One row per event, its lines as a sorted array of structs; with ``size``, one per part of so many lines."""
     rest = [c for c in hydrated.columns if c not in header and c != "line_id"]
     body = F.sort_array(F.collect_list(F.struct("line_id", *rest))).alias("lines")
     return event_parts(hydrated, size).groupBy(*header, F.col("chunk_no").alias("part_no")).agg(body)

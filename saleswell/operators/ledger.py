@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from saleswell import config
-from saleswell.operators.ordered import replay, running_sum
+from saleswell.operators.ordered import replay, running_sum, spread_nulls
 
 EPS = config.BALANCE_EPSILON
 KEYS = ["sku", "location_id"]
@@ -27,8 +27,13 @@ def movements(lines: DataFrame) -> DataFrame:
     return lines.withColumn("_leg", F.explode(legs)).drop("location_id", "from_location_id", "to_location_id").select("*", "_leg.*").drop("_leg")
 
 
+def committed_lines(lines: DataFrame, events: DataFrame) -> DataFrame:
+    """Lines of committed events; a voided event's lines and their compensation cancel out and are both left out."""
+    return lines.join(events.where("status = 'committed'").select("event_id"), "event_id", "left_semi")
+
+
 def balances(lines: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
-    """On-hand per SKU and location from the stored quantities of a log.
+    """On-hand per SKU and location from the stored quantities of a log of lines that took effect.
 
     Stored quantities are already deltas (zero for clean-up events), so their
     order does not matter and the sum combines on the map side.
@@ -43,16 +48,16 @@ def balances(lines: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
     return joined.withColumn("available", F.col("on_hand") - F.col("reserved"))
 
 
-def running_balance(lines: DataFrame, order: str = "seq", block: Column | None = None) -> DataFrame:
-    """Balance after every movement; below-zero ones are flagged."""
-    moves = movements(lines).where(F.col("location_id").isNotNull()).withColumn("_o", F.struct(order, "line_id", "leg"))
-    run = running_sum(moves, KEYS, ["_o"], block if block is not None else F.col(order), "delta", "balance")
+def running_balance(lines: DataFrame, order: str, block: Column) -> DataFrame:
+    """Balance after every movement; below-zero ones are flagged.  ``block`` never decreases along ``order`` (a day, say)."""
+    moves = movements(lines).where(F.col("location_id").isNotNull()).withColumn("_o", F.struct(order, "line_id", "leg", "delta"))
+    run = running_sum(moves, KEYS, ["_o"], block, "delta", "balance")
     return run.withColumn("negative", F.col("balance") < -EPS).drop("_o")
 
 
-def replay_requests(requests: DataFrame, order: str = "seq", block: Column | None = None) -> DataFrame:
+def replay_requests(requests: DataFrame, order: str, block: Column) -> DataFrame:
     """Balances after each request when some add and some set the quantity."""
-    return replay(requests, KEYS, order, block if block is not None else F.col(order))
+    return replay(requests, KEYS, order, block)
 
 
 def final_balances(replayed: DataFrame, order: str = "seq") -> DataFrame:
@@ -97,12 +102,12 @@ def validate_lines(requests: DataFrame, parts: DataFrame, locations: DataFrame)
     known = parts.select(F.trim("sku").alias("_sku")).distinct().withColumn("_known", F.lit(True))
     r = requests.withColumn("sku", F.trim("sku")).join(known, F.col("sku") == F.col("_sku"), "left").drop("_sku")
     for role in ("location_id", "from_location_id", "to_location_id"):
-        side = locations.select(F.col("location_id").alias("_id"), F.col("active").alias(f"_act_{role}"))
-        r = r.join(side, F.col(role) == F.col("_id"), "left").drop("_id")
+        side = locations.select(F.col("location_id").cast("bigint").alias("_id"), F.col("active").alias(f"_act_{role}"))
+        r = r.join(side, spread_nulls(F.col(role).cast("bigint"), "bigint", F.struct("sku", "qty", "new_qty")) == F.col("_id"), "left").drop("_id")
     transfer, delta, setting = F.col("mode") == "transfer", F.col("mode") == "delta", F.col("mode") == "set"
     infinite = lambda c: F.isnan(c) | (F.abs(c) == F.lit(float("inf")))
     q, n = F.col("qty"), F.col("new_qty")
-    dead = lambda role: ~F.coalesce(F.col(f"_act_{role}"), F.lit(False))
+    dead = lambda role: F.col(role).isNull() | ~F.coalesce(F.col(f"_act_{role}"), F.lit(False))
     rules = {
         "bad_date": ~F.coalesce(F.col("effective_date").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.lit(False)),
         "empty_sku": F.coalesce(F.col("sku"), F.lit("")) == "",

@@ -117,8 +117,8 @@ def read_evolving(spark: SparkSession, path: str) -> DataFrame:
 
 def log_run(spark: SparkSession, path: str, run_date: dt.date, status: str, row_count: int, started: dt.datetime,
             finished: dt.datetime, query_id: str = "", document_id: str = "", error: str | None = None) -> None:
-    """Append one run record; long errors are cut to 1000 characters."""
-    row = (run_date, status, query_id, document_id, row_count, started, finished, error[:1000] if error else None)
+    """Append one run record, the error whole."""
+    row = (run_date, status, query_id, document_id, row_count, started, finished, error)
     schema = ("run_date date, status string, query_id string, document_id string, row_count long, "
               "started_at timestamp, finished_at timestamp, error string")
     spark.createDataFrame([row], schema).write.mode("append").parquet(path)
@@ -144,6 +144,11 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), jvm.org.apache.hadoop.fs.Path
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    fs, of = _fs(spark, path)
+    return fs.getFileStatus(of(path)).isDirectory()
+
+
 def current_version(spark: SparkSession, table: str) -> str | None:
     fs, path = _fs(spark, table)
     pointer = path(f"{table}/{POINTER}")
@@ -166,26 +171,58 @@ def publish(
     """Write a new version, check what was written, then switch readers over.
 
     ``checks`` returns ``check_name, passed``.  A failed check leaves the old
-    version current; an empty result is skipped or, with ``fail``, refused.
+    version current; an empty result is skipped, refused (``fail``) or published
+    (``keep``).  What is not published is removed.  If the pointer moved since the call began, the publish is refused.
     """
+    if empty_input not in ("skip", "fail", "keep"):
+        raise ValueError(f"empty_input must be skip, fail or keep: {empty_input!r}")
     spark = df.sparkSession
+    seen = current_version(spark, table)
     version = f"v={uuid.uuid4().hex}"
     target = f"{table}/{version}"
     df.write.mode("errorifexists").partitionBy(*partition_by).parquet(target)
     written = spark.read.schema(df.schema).parquet(target)
-    if not written.head(1):
-        if empty_input == "fail":
-            raise ValueError(f"refusing to publish an empty {table}")
-        if empty_input == "skip":
+    try:
+        if empty_input != "keep" and not written.head(1):
+            if empty_input == "fail":
+                raise ValueError(f"refusing to publish an empty {table}")
+            _remove(spark, target)
             return None
-    if checks is not None:
-        failed = [r.check_name for r in checks(written).where(~F.col("passed")).select("check_name").collect()]
-        if failed:
-            raise ValueError(f"checks failed for {table}: {failed}")
+        if checks is not None:
+            failed = [r.check_name for r in checks(written).where(~F.col("passed")).select("check_name").collect()]
+            if failed:
+                raise ValueError(f"checks failed for {table}: {failed}")
+        move_pointer(spark, table, seen, version)
+    except Exception:
+        _remove(spark, target)
+        raise
+    return version
+
+
+def move_pointer(spark: SparkSession, table: str, seen: str | None, version: str) -> None:
+    """Make ``version`` current, unless another writer has moved the pointer from ``seen`` meanwhile.
+
+    The pointer is written aside and renamed over the old one, so readers meet the old
+    name or the new one, never an empty file.
+    """
     fs, path = _fs(spark, table)
-    stream = fs.create(path(f"{table}/{POINTER}"), True)
+    aside = path(f"{table}/{POINTER}.{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
     try:
         stream.write(bytearray(version, "utf-8"))
     finally:
         stream.close()
-    return version
+    if current_version(spark, table) != seen:
+        fs.delete(aside, False)
+        raise RuntimeError(f"{table} was published by another writer")
+    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
+    rename = jvm.org.apache.hadoop.fs.Options.Rename
+    options = gateway.new_array(rename, 1)
+    options[0] = rename.OVERWRITE
+    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
+    context.rename(aside, path(f"{table}/{POINTER}"), options)
+
+
+def _remove(spark: SparkSession, target: str) -> None:
+    fs, path = _fs(spark, target)
+    fs.delete(path(target), True)

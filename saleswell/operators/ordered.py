@@ -14,6 +14,25 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
+def first_rows(df: DataFrame, order: Sequence[str | Column], limit: int | None) -> DataFrame:
+    """The first ``limit`` rows of an order (all, unsorted, for ``None``); the number is taken as given."""
+    if limit is None:
+        return df
+    if limit < 1:
+        raise ValueError(f"limit must be at least 1: {limit}")
+    return df.orderBy(*order).limit(limit)
+
+
+def spread_nulls(key: Column, kind: str, salt: Column, ways: int = 4096) -> Column:
+    """A join key whose NULLs become many values that no dimension holds, so they don't meet in one partition.
+
+    Mask the joined columns where the key is NULL: the stand-ins are only unlikely, not impossible.
+    """
+    way = F.pmod(F.xxhash64(salt), F.lit(ways))
+    stand_in = F.concat(F.lit("\x00"), way.cast("string")) if kind == "string" else F.lit(-(1 << 62)) - way
+    return F.coalesce(key, stand_in)
+
+
 def _before(keys: Sequence[str]):
     return Window.partitionBy(*keys).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
 

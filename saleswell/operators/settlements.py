@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from saleswell.functions.text import parse_timestamp
@@ -32,14 +34,14 @@ def unparsable_rows(wide: DataFrame) -> DataFrame:
     return wide.where(_quantity().isNull())
 
 
-def unpivot(wide: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
-    """Up to four components per row: price, fee, promotion, other.
+def _posted(wide: DataFrame) -> Column:
+    """Posting time; the older column name is the fall-back where the newer one is blank."""
+    return parse_timestamp(_first_text(*[c for c in ("posted_date", "posted_date_time") if c in wide.columns]))
 
-    Zero components vanish, except the principal price of a row that sold
-    something.  A narrow ``inline`` of a filtered array: no shuffle, no UDF.
-    """
-    keep = keep or ("settlement_id", "transaction_type", "order_id", "shipment_id", "sku")
-    cells = {
+
+def _cells() -> dict[str, tuple[Column, Column]]:
+    """Label and amount of each component."""
+    return {
         "Price": (_first_text("price_type", F.lit("Principal")), _amount("price_amount")),
         "Fee": (
             _first_text("item_fee_type", "order_fee_type", "shipment_fee_type", F.lit("Fee")),
@@ -51,6 +53,35 @@ def unpivot(wide: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
             _amount("other_fee_amount") + _amount("other_amount") + _amount("misc_fee_amount"),
         ),
     }
+
+
+def settled_orders(wide: DataFrame) -> DataFrame:
+    """``order_id, posted_date`` of the rows that keep any component: the count needs no unpivoting."""
+    cells = _cells()
+    sold = (cells["Price"][0] == "Principal") & (_quantity() > 0)
+    kept = sold
+    for _, amount in cells.values():
+        kept = kept | (amount != 0)
+    return wide.where(_quantity().isNotNull() & kept).select("order_id", _posted(wide).cast("date").alias("posted_date"))
+
+
+TEXTS = (
+    "settlement_id", "currency", "transaction_type", "order_id", "merchant_order_id", "adjustment_id", "shipment_id",
+    "marketplace_name", "fulfillment_id", "sku",
+)
+TIMES = ("settlement_start_date", "settlement_end_date", "deposit_date")
+
+
+def unpivot(wide: DataFrame, keep: tuple[str, ...] | None = None, ingested_at: dt.datetime | None = None) -> DataFrame:
+    """Up to four components per row: price, fee, promotion, other.
+
+    Zero components vanish, except the principal price of a row that sold
+    something.  A narrow ``inline`` of a filtered array: no shuffle, no UDF.
+    Settlement period, deposit time and total come along where the file has them; ``ingested_at`` is the caller's.
+    """
+    has = lambda names: [c for c in names if c in wide.columns]
+    keep = keep or tuple(has(TEXTS))
+    cells = _cells()
     parts = F.array(*[
         F.struct(F.lit(kind).alias("amount_type"), label.alias("amount_description"), amount.cast(_AMOUNT).alias("amount"))
         for kind, (label, amount) in cells.items()
@@ -61,7 +92,10 @@ def unpivot(wide: DataFrame, keep: tuple[str, ...] | None = None) -> DataFrame:
     )
     rows = wide.withColumn("quantity_purchased", _quantity()).where(qty.isNotNull()).select(
         *keep,
-        parse_timestamp(F.col("posted_date")).alias("posted_date_time"),
+        *[parse_timestamp(F.col(c)).alias(c) for c in has(TIMES)],
+        *[_amount(c).alias(c) for c in has(("total_amount",))],
+        _posted(wide).alias("posted_date_time"),
+        *([F.lit(ingested_at).alias("ingested_at")] if ingested_at else []),
         qty,
         F.inline(F.filter(parts, keeps)),
     )

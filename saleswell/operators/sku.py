@@ -11,6 +11,7 @@ from saleswell import config
 from saleswell.functions.keys import canonical_sku, has_prefix, normalize_sku
 from saleswell.functions.numeric import as_double, pct_change, ratio
 from saleswell.operators.channels import between_days, combine, cost_lookup, cost_value, line_cost_parts
+from saleswell.operators.ordered import first_rows
 
 Period = tuple[dt.date, dt.date]
 
@@ -51,7 +52,7 @@ def _marketplace_sales(sku_day, costs, periods) -> DataFrame:
         .agg(F.sum("gross_sales").alias("revenue"), F.sum("units").alias("units"))
     )
     priced = grouped.join(cost_lookup(costs, trim=True), "cost_key", "left")
-    cost = F.coalesce(F.col("cost_per_unit") * F.col("units").cast("decimal(12,0)"), F.lit(0).cast("decimal(38,2)"))
+    cost = F.coalesce(F.col("cost_per_unit") * F.col("units").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,2)"))
     return priced.groupBy("period", F.col("cost_key").alias("sku")).agg(
         F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.sum(cost).alias("cogs")
     )
@@ -122,8 +123,9 @@ def category_totals(sales: DataFrame, categories: DataFrame) -> DataFrame:
     )
 
 
-def top_categories(totals: DataFrame, limit: int = 8) -> DataFrame:
-    return totals.orderBy(F.desc("revenue"), "category").limit(min(max(int(limit), 1), 25))
+def top_categories(totals: DataFrame, limit: int | None = 8) -> DataFrame:
+    """Largest categories first; ``None`` keeps all."""
+    return first_rows(totals, [F.desc("revenue"), "category"], limit)
 
 
 def category_movers(totals: DataFrame) -> DataFrame:
@@ -239,6 +241,7 @@ def top_customers(orders: DataFrame, billing: DataFrame, since: dt.date, limit:
     zero = F.lit(0).cast("decimal(18,2)")
     amount = lambda s: F.sum(F.when(F.col("status").isin(*s), F.col("sub_total")).otherwise(zero))
     company = F.coalesce(F.nullif("company", F.lit("")), F.col("full_name"))
+    # Rank first: names are listed for the companies that stay only.
     per_name = (
         kept.join(billing, "order_id", "left")
         .groupBy(company.alias("company_name"), "full_name")
@@ -249,19 +252,21 @@ def top_customers(orders: DataFrame, billing: DataFrame, since: dt.date, limit:
         )
     )
     out = per_name.groupBy("company_name").agg(
-        F.array_join(F.sort_array(F.collect_set("full_name")), ", ").alias("customer_name"),
         F.sum("orders").alias("total_orders"),
         F.sum("revenue").alias("r"),
         F.sum("future").alias("f"),
     )
     out = out.select(
-        "company_name", "customer_name", "total_orders",
+        "company_name", "total_orders",
         as_double(F.col("r")).alias("total_revenue"), as_double(F.col("f")).alias("future_revenue"),
         (F.col("r") + F.col("f")).alias("_rank"),
     )
-    if limit is not None:
-        out = out.orderBy(F.desc("_rank"), "company_name").limit(limit)
-    return out.drop("_rank")
+    out = first_rows(out, [F.desc("_rank"), "company_name"], limit).drop("_rank")
+    names = (
+        per_name.join(out.select("company_name"), "company_name", "left_semi").groupBy("company_name")
+        .agg(F.array_join(F.sort_array(F.collect_set("full_name")), ", ").alias("customer_name"))
+    )
+    return out.join(names, "company_name", "left")
 
 
 # ------------------------------------------------------------------- SKU report
@@ -395,7 +400,7 @@ def sku_report(x, variants, refunds, aliases, since: dt.date, until: dt.date, pr
     unit_cost = F.coalesce("dim_cost", "catalog_cost")
     margin = (
         d("retail_gross_sales") + d("wholesale_gross_sales") + d("marketplace_net_proceeds")
-        - unit_cost * units.cast("decimal(12,0)")
+        - unit_cost * units.cast("decimal(38,0)")
     )
     counts = (
         "retail_units retail_orders retail_bundled_units retail_refund_units wholesale_units wholesale_orders "
@@ -493,7 +498,7 @@ def margin_enrich(sales: DataFrame, lookup: DataFrame) -> DataFrame:
     """
     joined = sales.withColumn("sku_key", F.lower("sku")).join(lookup, "sku_key", "left")
     cost = F.coalesce("unit_cost", F.lit(0).cast("decimal(18,2)"))
-    cogs = cost * F.col("quantity").cast("decimal(12,0)")
+    cogs = cost * F.col("quantity").cast("decimal(38,0)")
     return joined.withColumns(
         {"category_name": F.coalesce("category_name", F.lit("Uncategorized")), "cogs": cogs, "margin": F.col("income") - cogs}
     ).drop("sku_key", "unit_cost")
@@ -638,7 +643,7 @@ def cost_at_sale(lines, orders, products, costs) -> DataFrame:
         F.max(sums.quantity).alias("quantity"),
         F.max(F.when(dim.valid_from.isNotNull(), F.struct(dim.valid_from, dim.cost_per_unit))).alias("top"),
     )
-    cost = F.col("top.cost_per_unit") * F.col("quantity").cast("decimal(12,0)")
+    cost = F.col("top.cost_per_unit") * F.col("quantity").cast("decimal(38,0)")
     return per_day.groupBy(F.col("cost_key").alias("sku")).agg(
         F.sum("quantity").alias("units"), as_double(F.sum(cost)).alias("cogs"),
         F.sum(F.when(F.col("top").isNull(), F.col("quantity")).otherwise(0)).alias("units_without_cost"),

@@ -7,16 +7,17 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saleswell import config
+from saleswell.operators.ordered import first_rows, spread_nulls
 
 
-def next_pending(events: DataFrame, now_ms: int, limit: int = 1) -> DataFrame:
-    """Oldest eligible committed events.
+def next_pending(events: DataFrame, now_ms: int, limit: int | None = None) -> DataFrame:
+    """Oldest eligible committed events, all of them without a limit.
 
     The commit filter comes before the limit, so a run of uncommitted events
     cannot hide an eligible one.
     """
     ready = events.where((F.col("qb_status") == "pending") & (F.col("retry_at") <= now_ms) & (F.col("status") == "committed"))
-    return ready.orderBy("retry_at", "created_at").limit(min(max(int(limit), 1), 20))
+    return first_rows(ready, ["retry_at", "created_at", "event_id"], limit)
 
 
 def retry_delay_ms(retry_count: Column) -> Column:
@@ -32,17 +33,23 @@ def is_retryable(code: Column) -> Column:
 def apply_results(events: DataFrame, results: DataFrame) -> DataFrame:
     """Fold result rows into event states.
 
-    ``results``: ``event_id, seq, at_ms, success, error_code, retryable``.
+    ``results``: ``event_id, seq, at_ms, success, error_code, retryable`` and, optionally,
+    ``txn_id, txn_type, error_message``; events keep what they knew of these.
     The state only depends on how many failures came in total, on the last
     result and on the last failure, so the fold is a plain aggregate that
     combines on the map side; no event's results are gathered in order.
     """
     fail = ~F.col("success")
     order = F.struct("at_ms", "seq")
+    more = ("txn_id", "txn_type", "error_message")
+    results = results.withColumns({c: F.lit(None).cast("string") for c in more if c not in results.columns})
+    events = events.withColumns({c: F.lit(None).cast("string") for c in more if c not in events.columns})
     last = results.groupBy("event_id").agg(
+        F.max_by(F.struct("txn_id"), F.when(F.col("success"), order)).alias("_ok"),
+        F.max_by("txn_type", F.when(F.col("success") & F.col("txn_type").isNotNull(), order)).alias("_type"),
         F.count_if(fail).alias("_fails"),
         F.max_by(F.struct("success", "at_ms"), order).alias("_last"),
-        F.max_by(F.struct("error_code", "retryable", "at_ms"), F.when(fail, order)).alias("_fail"),
+        F.max_by(F.struct("error_code", "error_message", "retryable", "at_ms"), F.when(fail, order)).alias("_fail"),
     )
     e = events.join(last, "event_id", "left")
     touched, ok = F.col("_last").isNotNull(), F.col("_last.success")
@@ -56,7 +63,36 @@ def apply_results(events: DataFrame, results: DataFrame) -> DataFrame:
         "retry_count": count,
         "retry_at": F.when(failed_any, fail_at + F.when(again, retry_delay_ms(count)).otherwise(0)).otherwise(F.col("retry_at")),
         "last_attempt_at": F.coalesce("_last.at_ms", "last_attempt_at"),
-    }).drop("_fails", "_last", "_fail")
+        "error_message": F.when(~touched, F.col("error_message")).when(ok, None).otherwise(F.coalesce("_fail.error_message", F.lit("sync failed"))),
+        "txn_id": F.when(F.col("_ok").isNotNull(), F.col("_ok.txn_id")).otherwise(F.col("txn_id")),
+        "txn_type": F.coalesce("_type", "txn_type"),
+    }).drop("_fails", "_last", "_fail", "_ok", "_type")
+
+
+def mark_in_flight(events: DataFrame, asked: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Hand events to a sync session: (events after, outcome per request, sessions).
+
+    ``asked``: ``event_id, ticket, at_ms``.  A request needs a ticket and a committed event that
+    is pending or already in flight.  The last request of a ticket names what its session works on.
+    """
+    known = events.select("event_id", F.col("status").alias("_status"), F.col("qb_status").alias("_queue"))
+    outcome = (
+        F.when(F.trim(F.coalesce("ticket", F.lit(""))) == "", "ticket required").when(F.col("_status").isNull(), "event not found")
+        .when(F.col("_status") != "committed", "not committed").when(~F.coalesce(F.col("_queue").isin("pending", "in_flight"), F.lit(False)), "not eligible")
+        .otherwise("marked")
+    )
+    result = asked.join(known, "event_id", "left").select("event_id", F.trim("ticket").alias("ticket"), "at_ms", outcome.alias("outcome"))
+    marked = result.where("outcome = 'marked'")
+    latest = marked.groupBy("event_id").agg(F.max("at_ms").alias("_at"))
+    after = events.join(latest, "event_id", "left").withColumns({
+        "qb_status": F.when(F.col("_at").isNotNull(), F.lit("in_flight")).otherwise(F.col("qb_status")),
+        "last_attempt_at": F.coalesce("_at", "last_attempt_at"),
+    }).drop("_at")
+    sessions = marked.groupBy("ticket").agg(
+        F.min("at_ms").alias("started_at"), F.max("at_ms").alias("last_seen_at"),
+        F.max_by("event_id", F.struct("at_ms", "event_id")).alias("in_flight_event_id"),
+    )
+    return after, result, sessions
 
 
 def release_stale(events: DataFrame, now_ms: int, older_than_ms: int = config.STALE_IN_FLIGHT_SECONDS * 1000) -> DataFrame:
@@ -96,20 +132,23 @@ def hydrate(events: DataFrame, lines: DataFrame, parts: DataFrame, locations: Da
     Dimensions join by equi keys and AQE broadcasts whichever is small enough.
     Nest with :func:`saleswell.operators.generators.nest_lines` only for the events about to be sent.
     """
-    site = lambda role: locations.select(F.col("location_id").alias(role), F.col("site_name").alias(role.replace("location_id", "site")))
+    # Most lines have one of three locations and few have a reason: their NULL keys are spread.
+    def named(df, side, key, kind, column, name):
+        table = side.select(F.col(key.removeprefix("from_").removeprefix("to_")).cast(kind).alias("_key"), F.col(column).alias("_name"))
+        joined = df.join(table, spread_nulls(F.col(key).cast(kind), kind, F.col("line_id")) == F.col("_key"), "left")
+        return joined.withColumn(name, F.when(F.col(key).isNotNull(), F.col("_name"))).drop("_key", "_name")
+
     item = parts.select(
         "sku", F.col("item_full_name").alias("_item"), F.col("income_account").alias("_income"), "category",
         F.col("cogs_account").alias("_cogs"), F.col("asset_account").alias("_asset"), "description", "price", "cost",
         F.lit(True).alias("_part"),
     )
+    rows = lines.join(events, "event_id").join(item, "sku", "left")
+    rows = named(rows, reasons, "reason_code", "string", "account_full_name", "account_full_name")
+    for role in ("location_id", "from_location_id", "to_location_id"):
+        rows = named(rows, locations, role, "bigint", "site_name", role.replace("location_id", "site"))
     return (
-        lines.join(events, "event_id")
-        .join(item, "sku", "left")
-        .join(reasons.select("reason_code", "account_full_name"), "reason_code", "left")
-        .join(site("location_id"), "location_id", "left")
-        .join(site("from_location_id"), "from_location_id", "left")
-        .join(site("to_location_id"), "to_location_id", "left")
-        .select(
+        rows.select(
             "event_id", "line_id", "event_type", "effective_date", "created_by", "memo", "sku", "qty", "new_qty", "reason_code",
             F.coalesce("account_full_name", "_cogs").alias("account_full_name"),
             F.coalesce("_item", "sku").alias("item_full_name"),
@@ -129,24 +168,24 @@ def queue_summary(events: DataFrame) -> DataFrame:
     return all_statuses.join(counts, "qb_status", "left").select("qb_status", F.coalesce("events", F.lit(0)).alias("events"))
 
 
-def recent_events(events: DataFrame, lines: DataFrame, limit: int = 25) -> DataFrame:
-    """Newest events with their line count; the event list is bounded by ``limit``."""
-    newest = events.orderBy(F.desc("created_at"), "event_id").limit(min(max(int(limit), 1), 100))
-    counts = lines.join(F.broadcast(newest.select("event_id")), "event_id", "left_semi").groupBy("event_id").agg(F.count("*").alias("line_count"))
+def recent_events(events: DataFrame, lines: DataFrame, limit: int | None = None) -> DataFrame:
+    """Newest events with their line count; all events without a limit."""
+    newest = first_rows(events, [F.desc("created_at"), "event_id"], limit)
+    counts = lines.join(newest.select("event_id"), "event_id", "left_semi").groupBy("event_id").agg(F.count("*").alias("line_count"))
     return newest.join(counts, "event_id", "left").select(
         "event_id", "event_type", "status", "qb_status", "effective_date", "created_at", "created_by", "memo",
         F.coalesce("line_count", F.lit(0)).alias("line_count"),
     )
 
 
-def events_by_author(events: DataFrame, author: str, statuses: Sequence[str] = (), limit: int = 5000) -> DataFrame:
+def events_by_author(events: DataFrame, author: str, statuses: Sequence[str] = (), limit: int | None = None) -> DataFrame:
     if not author.strip():
         raise ValueError("author is required")
     known = [s.strip() for s in statuses if s.strip() in config.QUEUE_STATUSES]
     hit = events.where(F.coalesce("created_by", F.lit("")) == author.strip())
     if known:
         hit = hit.where(F.col("qb_status").isin(*known))
-    return hit.orderBy(F.desc("created_at"), "event_id").limit(min(max(int(limit), 1), 5000)).select(
+    return first_rows(hit, [F.desc("created_at"), "event_id"], limit).select(
         "event_id", "created_at", "created_by", "qb_status", "status", "memo"
     )
 

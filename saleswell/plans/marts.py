@@ -25,6 +25,7 @@ class ChannelInputs:
     sku_day: DataFrame
     traffic: DataFrame
     settlements: DataFrame
+    settled_orders: DataFrame
     web_events: DataFrame
     web_backfill: DataFrame
     ads: DataFrame
@@ -49,23 +50,25 @@ def channel_aggregates(
     traffic_mode: str = "additive",
     cost_mode: str = "raw",
     as_of: dt.date | None = None,
+    end: dt.date | None = None,
 ) -> list[DataFrame]:
-    web = ch.web_traffic(x.web_events, x.web_backfill, grain, first_shard, traffic_mode)
+    """Every channel metric; ``start`` and ``end`` reach the fact scans."""
+    web = ch.web_traffic(x.web_events, x.web_backfill, grain, first_shard, traffic_mode, start, end)
     return [
-        ch.storefront_sales(x.storefront_orders, grain, start),
-        ch.new_and_returning(x.storefront_orders, grain, start),
-        ch.marketplace_sales(x.sku_day, grain, start),
-        ch.marketplace_traffic(x.traffic, grain, start),
+        ch.storefront_sales(x.storefront_orders, grain, start, end=end),
+        ch.new_and_returning(x.storefront_orders, grain, start, end=end),
+        ch.marketplace_sales(x.sku_day, grain, start, end),
+        ch.marketplace_traffic(x.traffic, grain, start, end),
         web.withColumnsRenamed({"sessions": "storefront_sessions", "users": "storefront_users"}),
-        ch.settlement_orders(x.settlements, grain, start),
-        ch.wholesale_sales(x.wholesale_orders, grain, start),
-        ch.ads_cost(x.ads, grain, start),
+        ch.settlement_orders(x.settled_orders, grain, start, end),
+        ch.wholesale_sales(x.wholesale_orders, grain, start, end),
+        ch.ads_cost(x.ads, grain, start, end),
         ch.order_cogs(
-            x.storefront_lines, x.storefront_orders, x.products, x.costs, "storefront", grain, start, cost_mode, as_of
+            x.storefront_lines, x.storefront_orders, x.products, x.costs, "storefront", grain, start, cost_mode, as_of, end
         ),
-        ch.marketplace_cogs(x.sku_day, x.costs, grain, start, cost_mode, as_of),
+        ch.marketplace_cogs(x.sku_day, x.costs, grain, start, cost_mode, as_of, end),
         ch.order_cogs(
-            x.wholesale_lines, x.wholesale_orders, x.products, x.costs, "wholesale", grain, start, cost_mode, as_of
+            x.wholesale_lines, x.wholesale_orders, x.products, x.costs, "wholesale", grain, start, cost_mode, as_of, end
         ),
     ]
 
@@ -73,7 +76,7 @@ def channel_aggregates(
 def channel_mart(x: ChannelInputs, grain: str = "week", start=None, limit: int | None = None, **options) -> DataFrame:
     """One row per bucket with every channel metric and the derived ratios.
 
-    ``limit`` keeps the newest buckets, as a display does; by default all are kept.
+    ``start`` and ``end`` bound the facts by day, so the first and last bucket may be partial.  ``limit`` keeps the newest buckets, as a display does; by default all are kept.
     """
     raw = ch.combine(channel_aggregates(x, grain, start, **options))
     money = lambda c: F.coalesce(F.col(c), F.lit(0).cast("decimal(38,2)"))

@@ -10,14 +10,14 @@ from pyspark.sql import DataFrame, functions as F
 from saleswell.functions.calendar import month_spine_bounds, range_bounds
 from saleswell.functions.numeric import as_double
 from saleswell.operators import channels as ch
-from saleswell.operators.settlements import unpivot
+from saleswell.operators.settlements import settled_orders, unpivot
 from saleswell.plans import marts
 from saleswell.plans.registry import query, sql_ratio, sql_round
 from saleswell.sources.sample import Feeds
 
-START = dt.date(1996, 1, 1)
+START = None  # whole history; a lower bound is the caller's choice
 AS_OF = dt.date(2001, 7, 18)
-D = f"DATE '{START}'"
+D = "DATE '0001-01-01'"
 
 
 def nested_web(f: Feeds) -> DataFrame:
@@ -54,6 +54,7 @@ class FeedInputs:
     sku_day = cached_property(lambda self: self._feeds.sku_day)
     traffic = cached_property(lambda self: self._feeds.traffic)
     settlements = cached_property(lambda self: unpivot(self._feeds.settle_wide))
+    settled_orders = cached_property(lambda self: settled_orders(self._feeds.settle_wide))
     web_events = cached_property(lambda self: nested_web(self._feeds))
     web_backfill = cached_property(lambda self: self._feeds.backfill)
     ads = cached_property(lambda self: self._feeds.ads)
@@ -126,7 +127,7 @@ def sql_web(grain, backfill="v_backfill"):
 
 def sql_settlement(grain, start=D):
     return f"""SELECT {keys('posted', grain)}, CAST(COUNT(DISTINCT order_id) AS BIGINT) AS marketplace_orders FROM (
-        SELECT order_id, coalesce(try_cast(substr(posted_date, 1, 10) AS DATE),
+        SELECT order_id, coalesce(try_cast(substr(coalesce(nullif(posted_date, ''), posted_date_time), 1, 10) AS DATE),
                  CAST(try_strptime(posted_date, '%d.%m.%Y') AS DATE)) AS posted
         FROM v_settle_wide WHERE try_cast(CASE WHEN quantity_purchased = '' THEN '0' ELSE quantity_purchased END AS BIGINT) IS NOT NULL
           AND (coalesce(try_cast(price_amount AS DECIMAL(18,2)), 0) <> 0
@@ -302,7 +303,7 @@ def traffic_backfill(f):
 
 @query("settlement_orders", sql_settlement("week"))
 def settlement_orders(f):
-    return ch.settlement_orders(unpivot(f.settle_wide), "week", START)
+    return ch.settlement_orders(settled_orders(f.settle_wide), "week", START)
 
 
 @query("wholesale_bucket", dbl(sql_wholesale("week"), "wholesale_revenue", "wholesale_future_revenue"))

@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from saleswell.functions import text as tx
 from saleswell.functions.numeric import as_double, parse_decimal, parse_number
 from saleswell.operators import maintenance as mt, quality as dq
-from saleswell.operators.ordered import row_numbers
 from saleswell.operators.settlements import unparsable_rows, unpivot
 from saleswell.plans.registry import query, sql_ratio, sql_round
 from saleswell.sources import accounting, files, invoices, marketplace, parts
@@ -22,7 +21,8 @@ LOADED = dt.datetime(2001, 7, 18)
 
 
 # ------------------------------------------------------------------- economics
-def economics_raw(f):
+def economics_text(f):
+    """Economics documents as JSON lines."""
     amount = lambda c: F.struct(F.col(c).cast("double").alias("amount")) if isinstance(c, str) else F.struct(c.alias("amount"))
     charge = lambda v: F.struct(F.struct(amount(v.cast("double")).alias("totalAmount")).alias("aggregatedDetail"))
     fees = F.array(
@@ -42,8 +42,11 @@ def economics_raw(f):
         F.when(F.col("units") % 5 != 0, ads).alias("ads"),
         F.struct(amount("net_proceeds").alias("total")).alias("netProceeds"),
     )
-    text = f.sku_day.select(F.to_json(doc).alias("value"))
-    return text.select(F.from_json("value", marketplace.ECONOMICS_SCHEMA).alias("r")).select("r.*")
+    return f.sku_day.select(F.to_json(doc).alias("value"))
+
+
+def economics_raw(f):
+    return economics_text(f).select(F.from_json("value", marketplace.ECONOMICS_SCHEMA).alias("r")).select("r.*")
 
 
 _FEES = "CAST(CASE WHEN units % 7 <> 0 THEN fees - 0.25 ELSE 0 END AS DOUBLE)"
@@ -103,7 +106,8 @@ def flatten_traffic_report(f):
 _Q = "CASE WHEN quantity_purchased = '' THEN '0' ELSE quantity_purchased END"
 _A = lambda c: f"coalesce(try_cast({c} AS DECIMAL(18,2)), 0)"
 _POSTED = "coalesce(try_cast(substr(posted_date, 1, 10) AS DATE), CAST(try_strptime(posted_date, '%d.%m.%Y') AS DATE))"
-_COMP = f"""w AS (SELECT *, try_cast({_Q} AS BIGINT) AS qty, {_POSTED} AS posted FROM v_settle_wide),
+_TIME = lambda c: f"coalesce(try_cast(replace({c}, 'Z', '') AS TIMESTAMP), try_strptime({c}, '%d.%m.%Y'))"
+_COMP = f"""w AS (SELECT *, try_cast({_Q} AS BIGINT) AS qty, {_TIME("coalesce(nullif(posted_date, ''), posted_date_time)")} AS posted FROM v_settle_wide),
   c AS (SELECT *, 'Price' AS amount_type, coalesce(nullif(price_type, ''), 'Principal') AS amount_description, {_A('price_amount')} AS amount FROM w
     UNION ALL SELECT *, 'Fee', coalesce(nullif(item_fee_type, ''), nullif(order_fee_type, ''), nullif(shipment_fee_type, ''), 'Fee'),
       {_A('item_fee_amount')} + {_A('order_fee_amount')} + {_A('shipment_fee_amount')} FROM w
@@ -112,10 +116,15 @@ _COMP = f"""w AS (SELECT *, try_cast({_Q} AS BIGINT) AS qty, {_POSTED} AS posted
   st AS (SELECT * FROM c WHERE qty IS NOT NULL AND (amount <> 0 OR (amount_type = 'Price' AND amount_description = 'Principal' AND qty > 0)))"""
 
 
-@query("settlement_unpivot", f"""WITH {_COMP} SELECT settlement_id, transaction_type, order_id, shipment_id, sku, posted AS posted_date, qty AS quantity_purchased,
+@query("settlement_unpivot", f"""WITH {_COMP} SELECT settlement_id, currency, transaction_type, order_id, merchant_order_id, adjustment_id, shipment_id, marketplace_name, fulfillment_id, sku,
+    {', '.join(f"CAST({_TIME(c)} AS VARCHAR) AS {c}" for c in ('settlement_start_date', 'settlement_end_date', 'deposit_date'))}, CAST({_A('total_amount')} AS DOUBLE) AS total_amount,
+    CAST(posted AS VARCHAR) AS posted_date_time, CAST(posted AS DATE) AS posted_date, qty AS quantity_purchased, '2002-01-01 00:00:00' AS ingested_at,
     amount_type, amount_description, CAST(amount AS DOUBLE) AS amount FROM st""")
 def settlement_unpivot(f):
-    return unpivot(f.settle_wide).drop("posted_date_time").withColumn("amount", F.col("amount").cast("double"))
+    """All columns of the settlement fact; times as text, which both engines print alike."""
+    out = unpivot(f.settle_wide, ingested_at=dt.datetime(2002, 1, 1))
+    times = ("settlement_start_date", "settlement_end_date", "deposit_date", "posted_date_time", "ingested_at")
+    return out.withColumns({**{c: F.col(c).cast("string") for c in times}, **{c: F.col(c).cast("double") for c in ("amount", "total_amount")}})
 
 
 @query("settlement_quarantine", f"SELECT shipment_id, quantity_purchased FROM v_settle_wide WHERE try_cast({_Q} AS BIGINT) IS NULL")
@@ -123,7 +132,7 @@ def settlement_quarantine(f):
     return unparsable_rows(f.settle_wide).select("shipment_id", "quantity_purchased")
 
 
-@query("scan_settlement_tsv", "SELECT settlement_id, order_id, shipment_id, posted_date, nullif(price_amount, '') AS price_amount FROM v_settle_wide")
+@query("scan_settlement_tsv", "SELECT settlement_id, order_id, shipment_id, nullif(posted_date, '') AS posted_date, nullif(price_amount, '') AS price_amount FROM v_settle_wide")
 def scan_settlement_tsv(f):
     cols = ["settlement_id", "order_id", "shipment_id", "posted_date", "price_amount"]
     text = f.settle_wide.select(F.concat_ws("\t", *cols).alias("value"))
@@ -198,12 +207,13 @@ def skip_rules(f):
     return kept.select("sku", F.col("price").try_cast("double").alias("price")).where(F.col("price").isNotNull())
 
 
-@query("dates_from_filename", """SELECT o_orderkey AS order_id, CAST(o_orderdate AS DATE) AS report_start_date, CAST(o_orderdate AS DATE) + 6 AS report_end_date
-    FROM orders WHERE o_orderkey % 3 <> 2 AND o_orderdate >= TIMESTAMP '2000-01-01 00:00:00'""")
+@query("dates_from_filename", """SELECT o_orderkey AS order_id, CAST(o_orderdate + INTERVAL 8 YEAR AS DATE) AS report_start_date, CAST(o_orderdate + INTERVAL 8 YEAR AS DATE) + 6 AS report_end_date
+    FROM orders WHERE o_orderkey % 3 <> 2""")
 def dates_from_filename(f):
     day = F.col("o_orderdate").cast("date")
-    # Two-digit years only denote 2000 onwards, as in the report names.
-    rows = f.orders.where(day >= F.lit(dt.date(2000, 1, 1))).select("o_orderkey", day.alias("a"), F.date_add(day, 6).alias("b"))
+    # Report names write years with two digits, from 2000 on; the orders are moved there.
+    day = F.add_months(day, 96)
+    rows = f.orders.select("o_orderkey", day.alias("a"), F.date_add(day, 6).alias("b"))
     dash = F.concat(F.lit("Econ "), F.date_format("a", "M-d-yy"), F.lit(" to "), F.date_format("b", "M-d-yy"), F.lit(".csv"))
     line = F.concat(F.lit("econ_"), F.date_format("a", "M_d_yy"), F.lit("_to_"), F.date_format("b", "M_d_yy"), F.lit(".csv"))
     name = F.when(F.col("o_orderkey") % 3 == 0, dash).when(F.col("o_orderkey") % 3 == 1, line).otherwise(F.lit("econ latest.csv"))
@@ -230,19 +240,17 @@ def invoice_documents(f):
     """Markdown invoices of every wholesale order, ten consecutive orders per file.
 
     One order in three uses bold labels and a four-column table; every second
-    file carries a page marker.  An order with more than 200 lines goes on in
-    further documents, so no document grows with the data.
+    file carries a page marker.  An order is one document section, however many lines it has.
     """
     sku = f.product.select("product_id", "sku")
-    numbered = row_numbers(f.line.where("channel = 'wholesale'"), ["order_id"], ["line_id"], F.substring("line_id", 1, 12))
-    lines = numbered.withColumn("part", F.floor((F.col("rn") - 1) / 200)).join(sku, "product_id")
+    lines = f.line.where("channel = 'wholesale'").join(sku, "product_id")
     amount = lambda c: F.concat(F.lit("$"), F.format_number(c, 2), F.lit(" USD"))
     plain = F.concat(F.lit("| "), F.col("quantity").cast("string"), F.lit(" | "), "sku", F.lit(".x | Item "), F.col("product_id").cast("string"),
                      F.lit(" | some, detail | "), amount("base_cost_price"), F.lit(" | "), amount("base_total"), F.lit(" |"))
     bold = F.concat(F.lit("| "), F.col("quantity").cast("string"), F.lit(" | "), "sku", F.lit(".x | Item "), F.col("product_id").cast("string"),
                     F.lit(" | **"), amount("base_cost_price"), F.lit("** | **"), amount("base_total"), F.lit("** |"))
     row = F.when(F.col("order_id") % 9 == 2, bold).otherwise(plain)
-    table = lines.groupBy("order_id", "part").agg(
+    table = lines.groupBy("order_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", row.alias("t")))), lambda r: r["t"]), "\n").alias("rows"),
         F.sum("base_total").alias("total"))
     o = f.order.where("channel = 'wholesale'").drop("total").join(table, "order_id")
@@ -263,7 +271,7 @@ def invoice_documents(f):
     )
     file_no = F.floor(F.col("order_id") / 30)
     head = F.when(F.col("file_no") % 2 == 0, F.lit("# Invoices\n\n## Page 1\n\n")).otherwise(F.lit("# Invoices\n\n"))
-    docs = o.select(file_no.alias("file_no"), "part", "order_id", text.alias("t")).groupBy("file_no", "part").agg(
+    docs = o.select(file_no.alias("file_no"), "order_id", text.alias("t")).groupBy("file_no").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("order_id", "t"))), lambda r: r["t"]), "\n").alias("body"))
     return docs.select(F.concat(F.lit("inv"), F.col("file_no").cast("string"), F.lit(".md")).alias("file_name"), F.concat(head, "body").alias("content"))
 
@@ -325,7 +333,7 @@ def parse_responses(f):
     return accounting.parse_response(rows).drop("response_xml")
 
 
-@query("assemble_snapshot", "SELECT item_full_name, CAST(CASE WHEN length(item_full_name) % 2 = 0 THEN 3 ELSE 1 END AS INTEGER) AS page_no, CASE WHEN length(item_full_name) % 2 = 0 THEN quantity + 5 ELSE quantity END AS quantity FROM v_item")
+@query("assemble_snapshot", "SELECT item_full_name, CAST(CASE WHEN length(item_full_name) % 2 = 0 THEN 3 ELSE 1 END AS INTEGER) AS page_no, CASE WHEN length(item_full_name) % 2 = 0 THEN quantity + 5 ELSE quantity END AS quantity, true AS complete FROM v_item")
 def assemble_snapshot(f):
     """Three pages; items of even name length come again on the last one."""
     i = f.item.select("item_full_name", "quantity")
@@ -354,7 +362,8 @@ def truncate_hash(f):
     return f.part.select("p_partkey", tx.truncate_name(F.concat("p_name", extra, F.lit(" "), "p_type")).alias("name"))
 
 
-@query("deterministic_id")
+@query("deterministic_id", """SELECT o_orderkey, concat_ws('-', h[1:8], h[9:12], '5' || h[14:16], substr('89ab', CAST(strpos('0123456789abcdef', h[17:17]) - 1 AS INTEGER) % 4 + 1, 1) || h[18:20], h[21:32]) AS id
+    FROM (SELECT o_orderkey, sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('order:' || CAST(o_orderkey AS VARCHAR))) AS h FROM orders) q""")
 def deterministic_id(f):
     return f.orders.select("o_orderkey", tx.name_uuid(F.concat(F.lit("order:"), F.col("o_orderkey").cast("string"))).alias("id"))
 

@@ -17,12 +17,12 @@ DAY_MS = 86_400_000
 _MOVES = """mv AS (SELECT line_id, event_id, sku, location_id, qty AS delta, 0 AS leg FROM v_event_line WHERE from_location_id IS NULL
     UNION ALL SELECT line_id, event_id, sku, from_location_id, -qty, 0 FROM v_event_line WHERE from_location_id IS NOT NULL
     UNION ALL SELECT line_id, event_id, sku, to_location_id, qty, 1 FROM v_event_line WHERE from_location_id IS NOT NULL)"""
-_BAL = f"{_MOVES}, bal AS (SELECT sku, location_id, SUM(delta) AS on_hand FROM mv GROUP BY 1, 2)"
+_BAL = f"{_MOVES}, bal AS (SELECT sku, location_id, SUM(delta) AS on_hand FROM mv WHERE event_id IN (SELECT event_id FROM v_event WHERE status = 'committed') GROUP BY 1, 2)"
 _ACTIVE = "coalesce(is_active, lower(active_status) = 'active', false)"
 
 
 def bal(f: Feeds):
-    return ledger.balances(f.event_line)
+    return ledger.balances(ledger.committed_lines(f.event_line, f.event))
 
 
 @query("balances", f"WITH {_BAL} SELECT sku, location_id, on_hand, CAST(0 AS DOUBLE) AS reserved, on_hand AS available FROM bal")
@@ -89,9 +89,9 @@ def lookup_parts(f):
 
 @query("item_detail", """SELECT l.sku, l.event_id, l.line_id, e.event_type, e.status, e.qb_status, e.created_at, l.qty, l.new_qty, o.code AS location_code
     FROM v_event_line l JOIN v_event e USING (event_id) LEFT JOIN v_location o ON o.location_id = coalesce(l.location_id, l.from_location_id, l.to_location_id)
-    WHERE l.sku IN (SELECT sku FROM v_part_master WHERE reorder_point = 13)""")
+    WHERE l.sku IN (SELECT sku FROM v_part_master)""")
 def item_detail(f):
-    return ledger.item_detail(f.event_line, f.event, f.location, f.part_master.where("reorder_point = 13"))
+    return ledger.item_detail(f.event_line, f.event, f.location, f.part_master)
 
 
 # --------------------------------------------------------------------- replay
@@ -105,7 +105,7 @@ def block():
 
 
 @query("running_balance", f"""WITH {_MOVES}, r AS (SELECT m.*, e.created_at AS seq, SUM(delta) OVER (PARTITION BY sku, location_id
-        ORDER BY e.created_at, line_id, leg ROWS UNBOUNDED PRECEDING) AS balance FROM mv m JOIN v_event e USING (event_id))
+        ORDER BY e.created_at, line_id, leg, delta ROWS UNBOUNDED PRECEDING) AS balance FROM mv m JOIN v_event e USING (event_id))
     SELECT sku, location_id, line_id, CAST(leg AS INTEGER) AS leg, delta, balance, balance < -1e-9 AS negative FROM r""")
 def running_balance(f):
     return ledger.running_balance(sequenced(f), "seq", block()).select("sku", "location_id", "line_id", "leg", "delta", "balance", "negative")
@@ -201,7 +201,7 @@ def approval_status(f):
 
 
 # ----------------------------------------------------------------- sync queue
-@query("next_pending", f"""SELECT event_id, retry_at, created_at FROM v_event WHERE qb_status = 'pending' AND retry_at <= {NOW} AND status = 'committed' ORDER BY retry_at, created_at LIMIT 20""")
+@query("next_pending", f"""SELECT event_id, retry_at, created_at FROM v_event WHERE qb_status = 'pending' AND retry_at <= {NOW} AND status = 'committed' ORDER BY retry_at, created_at, event_id LIMIT 20""")
 def next_pending(f):
     return sq.next_pending(f.event, NOW, 20).select("event_id", "retry_at", "created_at")
 
@@ -233,6 +233,38 @@ def queue_replay(f):
     return sq.apply_results(f.event, results(f)).select("event_id", "qb_status", "error_code", "retry_count", "retry_at", "last_attempt_at")
 
 
+_ASKED = """aq AS (SELECT CASE WHEN l_linenumber = 7 THEN -l_orderkey ELSE l_orderkey END AS event_id, CASE WHEN l_linenumber = 6 THEN ' ' ELSE ' t' || CAST(l_suppkey AS VARCHAR) END AS ticket,
+    CAST(l_partkey * 1000 AS BIGINT) + l_linenumber AS at_ms FROM lineitem),
+  ao AS (SELECT aq.event_id, trim(ticket) AS ticket, at_ms, CASE WHEN trim(ticket) = '' THEN 'ticket required' WHEN e.event_id IS NULL THEN 'event not found' WHEN status <> 'committed' THEN 'not committed'
+    WHEN qb_status NOT IN ('pending', 'in_flight') THEN 'not eligible' ELSE 'marked' END AS outcome FROM aq LEFT JOIN v_event e USING (event_id))"""
+
+
+def marked(f):
+    n = F.col("l_linenumber")
+    asked = f.lineitem.select(
+        F.when(n == 7, -F.col("l_orderkey")).otherwise(F.col("l_orderkey")).alias("event_id"),
+        F.when(n == 6, F.lit(" ")).otherwise(F.concat(F.lit(" t"), F.col("l_suppkey").cast("string"))).alias("ticket"),
+        (F.col("l_partkey") * 1000 + n).cast("bigint").alias("at_ms"))
+    return sq.mark_in_flight(f.event, asked)
+
+
+@query("mark_in_flight", f"""WITH {_ASKED}, m AS (SELECT event_id, max(at_ms) AS marked_at FROM ao WHERE outcome = 'marked' GROUP BY 1)
+    SELECT event_id, CASE WHEN marked_at IS NULL THEN qb_status ELSE 'in_flight' END AS qb_status, coalesce(marked_at, last_attempt_at) AS last_attempt_at FROM v_event LEFT JOIN m USING (event_id)""")
+def mark_in_flight(f):
+    return marked(f)[0].select("event_id", "qb_status", "last_attempt_at")
+
+
+@query("mark_outcomes", f"WITH {_ASKED} SELECT * FROM ao")
+def mark_outcomes(f):
+    return marked(f)[1]
+
+
+@query("sync_sessions", f"""WITH {_ASKED} SELECT ticket, min(at_ms) AS started_at, max(at_ms) AS last_seen_at, max_by(event_id, (at_ms, event_id)) AS in_flight_event_id
+    FROM ao WHERE outcome = 'marked' GROUP BY 1""")
+def sync_sessions(f):
+    return marked(f)[2]
+
+
 @query("stale_in_flight", f"""SELECT event_id, CASE WHEN s THEN 'pending' ELSE qb_status END AS qb_status, CASE WHEN s THEN {NOW} ELSE retry_at END AS retry_at, s AS released
     FROM (SELECT *, qb_status = 'in_flight' AND coalesce(last_attempt_at, created_at) <= {NOW} - 600000 AS s FROM v_event) q""")
 def stale_in_flight(f):
@@ -262,8 +294,7 @@ def recent_events(f):
     return sq.recent_events(f.event, f.event_line, 25)
 
 
-@query("events_by_author", """SELECT event_id, created_at, created_by, qb_status, status, memo FROM v_event WHERE created_by = 'user2' AND qb_status IN ('pending', 'error')
-    ORDER BY created_at DESC, event_id LIMIT 5000""")
+@query("events_by_author", """SELECT event_id, created_at, created_by, qb_status, status, memo FROM v_event WHERE created_by = 'user2' AND qb_status IN ('pending', 'error')""")
 def events_by_author(f):
     return sq.events_by_author(f.event, " user2 ", ["pending", "error", "nonsense"])
 
@@ -281,10 +312,9 @@ def queue_coverage(f):
     return sq.queue_coverage(zero_pairs(f))
 
 
-@query("dup_events", """SELECT event_id, memo, created_at FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(memo, '') ORDER BY created_at DESC, event_id DESC) AS rn FROM v_event
-    WHERE created_by = 'user1') q WHERE rn > 1""")
+@query("dup_events", """SELECT event_id, memo, created_at FROM (SELECT *, row_number() OVER (PARTITION BY coalesce(memo, '') ORDER BY created_at DESC, event_id DESC) AS rn FROM v_event) q WHERE rn > 1""")
 def dup_events(f):
-    return sq.duplicate_events(f.event.where("created_by = 'user1'")).select("event_id", "memo", "created_at")
+    return sq.duplicate_events(f.event).select("event_id", "memo", "created_at")
 
 
 _HYDRATED = """h AS (SELECT l.event_id, l.line_id, e.event_type, e.effective_date, e.created_by, e.memo, l.sku, l.qty, l.new_qty, l.reason_code,
@@ -305,9 +335,7 @@ def hydrate_events(f):
 
 @query("nested_events")
 def nested_events(f):
-    ready = f.event.where("qb_status = 'pending' AND status = 'committed'")
-    h = sq.hydrate(ready, f.event_line, f.part_master, f.location, f.reason)
-    return gen.nest_lines(h, ["event_id", "event_type", "effective_date"]).select("event_id", "event_type", "part_no", F.size("lines").alias("line_count"), F.to_json("lines").alias("lines"))
+    return gen.nest_lines(hydrated(f), ["event_id", "event_type", "effective_date"]).select("event_id", "event_type", "part_no", F.size("lines").alias("line_count"), F.to_json("lines").alias("lines"))
 
 
 @query("render_events")
@@ -319,7 +347,7 @@ def render_events(f):
     SELECT event_id, event_type, line_count, CASE WHEN event_type = 'transfer' AND (nf = 0 OR nt = 0) THEN 'missing transfer site' WHEN event_type = 'transfer' AND (nf > 1 OR nt > 1) THEN 'more than one transfer site'
       WHEN event_type <> 'transfer' AND ns = 0 THEN 'missing site' WHEN event_type <> 'transfer' AND ns > 1 THEN 'more than one site' END AS reject_reason FROM g""")
 def render_status(f):
-    return gen.render_events(hydrated(f), "COGS:Inventory Adjustment").where("part_no = 1").drop("request_xml", "part_no")
+    return gen.render_events(hydrated(f), "COGS:Inventory Adjustment").drop("request_xml", "part_no", "memo_truncated")
 
 
 _PAIRS = """mp AS (SELECT sku AS from_sku, sku || 'R' AS to_sku FROM v_part_master WHERE reorder_point % 3 = 0)"""
@@ -507,7 +535,7 @@ def zero_out_event(f):
     return gen.zero_out_lines(rows.unionByName(rows.withColumn("sku", F.lit("  "))))
 
 
-@query("sync_lines", f"""WITH {_CMP}, ohs AS (SELECT sku, SUM(on_hand) AS on_hand FROM bal GROUP BY 1) SELECT s.sku, coalesce(o.on_hand, 0) AS new_qty
+@query("sync_lines", f"""WITH {_CMP}, ohs AS (SELECT sku, SUM(on_hand) AS on_hand FROM bal GROUP BY 1) SELECT s.sku, CASE WHEN o.on_hand >= 0 THEN o.on_hand END AS new_qty, CASE WHEN o.on_hand IS NULL THEN 'missing stock' WHEN o.on_hand < 0 THEN 'negative stock' END AS reject_reason
     FROM (SELECT DISTINCT sku FROM cmp WHERE field IN ('quantity', 'sales_price') AND NOT is_match) s LEFT JOIN ohs o USING (sku)""")
 def sync_lines(f):
     return gen.sync_lines(compared(f), ["quantity", "sales_price"], ledger.onhand_totals(bal(f)))

@@ -28,12 +28,14 @@ _SUM = lambda c: f"coalesce(CAST(SUM(CAST({c} AS DECIMAL(28,2))) AS DOUBLE), 0)
 TOTALS = f"{PAIRS}, t AS (SELECT {', '.join(_SUM(f'{p}_{m}') for p in ('cur', 'prev') for m in kpi.SUMMED)} FROM pairs)"
 
 
-def mart(f):
-    return marts.channel_mart(inputs(f), "week", START)
+def mart(f, start=START, end=None):
+    return marts.channel_mart(inputs(f), "week", start, end=end)
 
 
 def pairs(f):
-    return compare.headline(compare.prior_year(mart(f), kpi.SUMMED), "ytd", AS_OF)
+    """Year to date beside the year before; only the days that these buckets need are read."""
+    start, end = compare.fact_days("ytd", AS_OF)
+    return compare.headline(compare.prior_year(mart(f, start, end), kpi.SUMMED), "ytd", AS_OF)
 
 
 def pos(num, den, scale=None, other="0.0"):

@@ -198,7 +198,7 @@ _VS = "coalesce(v.variant_sku, p.sku)"
 _ALIAS = "al AS (SELECT lower(sku) || '-m' AS raw, lower(sku) AS canonical FROM v_product WHERE product_id % 10 = 3)"
 _LINES = """v_line li JOIN v_order o ON o.order_id = li.order_id JOIN v_product p ON p.product_id = li.product_id
       LEFT JOIN v_variant v ON v.variant_id = li.variant_id AND v.product_id = li.product_id"""
-_SETTLED = """st AS (SELECT order_id, sku, transaction_type, coalesce(try_cast(substr(posted_date, 1, 10) AS DATE),
+_SETTLED = """st AS (SELECT order_id, sku, transaction_type, coalesce(try_cast(substr(coalesce(nullif(posted_date, ''), posted_date_time), 1, 10) AS DATE),
       CAST(try_strptime(posted_date, '%d.%m.%Y') AS DATE)) AS posted FROM v_settle_wide
       WHERE try_cast(CASE WHEN quantity_purchased = '' THEN '0' ELSE quantity_purchased END AS BIGINT) IS NOT NULL
         AND (coalesce(try_cast(price_amount AS DECIMAL(18,2)), 0) <> 0 OR (price_type = '' AND coalesce(try_cast(quantity_purchased AS BIGINT), 0) > 0)

@@ -13,7 +13,7 @@ _KPI = """CAST(COUNT(*) FILTER (event_type = 'view') AS BIGINT) AS sessions, CAS
 
 def stream(f):
     cols = ("event_id", "ts", "user_id", "event_type", "value")
-    return jobs.parquet_stream(f.spark, f.folder, "events.parquet").select(*cols)
+    return jobs.parquet_stream(f.spark, f"{f.folder}/events.parquet").select(*cols)
 
 
 _DAYS = f"SELECT date_trunc('day', ts) AS window_start, date_trunc('day', ts) + INTERVAL 1 DAY AS window_end, {_KPI} FROM events GROUP BY 1, 2"

@@ -15,6 +15,7 @@ class Query:
     name: str
     build: Callable[[Feeds], DataFrame]
     sql: str | None
+    source: str | None = None  # the SQL as written, over the views
 
 
 REGISTRY: dict[str, Query] = {}
@@ -26,7 +27,7 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Feeds], DataFrame]) -> Callable[[Feeds], DataFrame]:
         if name in REGISTRY:
             raise ValueError(f"query registered twice: {name}")
-        REGISTRY[name] = Query(name, fn, oracle(sql) if sql else None)
+        REGISTRY[name] = Query(name, fn, oracle(sql) if sql else None, sql)
         return fn
 
     return wrap

@@ -41,15 +41,15 @@ def item_columns(raw: DataFrame) -> DataFrame:
 def assemble_snapshot(pages: DataFrame) -> DataFrame:
     """Union of snapshot pages: the latest page wins per item.
 
-    ``pages`` carries ``page_no, remaining``; an item list whose last page is
-    missing (nothing reached remaining = 0) gives no rows.
+    ``pages`` carries ``page_no, remaining``.  ``complete`` tells on every row whether the last page
+    (remaining = 0) has come; an unfinished list is returned as far as it is known.
     """
     # The completeness flag is one row, so broadcasting it is bounded.
-    done = pages.agg(F.min("remaining").alias("_left")).where("_left = 0")
+    done = pages.agg(F.coalesce(F.min("remaining") == 0, F.lit(False)).alias("complete"))
     others = [c for c in pages.columns if c not in ("item_full_name", "remaining")]
     latest = pages.groupBy("item_full_name").agg(F.max(F.struct("page_no", *[c for c in others if c != "page_no"])).alias("r"))
-    flagged = latest.withColumn("_k", F.lit(0)).join(F.broadcast(done.withColumn("_k", F.lit(0))), "_k", "left_semi")
-    return flagged.select("item_full_name", "r.*")
+    flagged = latest.withColumn("_k", F.lit(0)).join(F.broadcast(done.withColumn("_k", F.lit(0))), "_k")
+    return flagged.select("item_full_name", "r.*", "complete")
 
 
 def parse_response(responses: DataFrame, column: str = "response_xml") -> DataFrame:

@@ -10,6 +10,7 @@ import csv
 import datetime as dt
 import functools
 import io
+import itertools
 import re
 from collections.abc import Sequence
 
@@ -93,18 +94,17 @@ def normalize_name(name: str | None) -> str:
 
 
 def flatten_headers(top: Sequence[str | None], bottom: Sequence[str | None]) -> list[str]:
-    """Join a category row (blank = same as before) with a metric row."""
-    names, category = [], "Info"
-    for i, cat in enumerate(top):
-        metric = bottom[i] if i < len(bottom) else None
-        has_cat = bool(cat and cat.strip())
-        category = cat if has_cat else category
-        if metric and metric.strip():
-            raw = f"{category}_{metric}"
-        else:
-            raw = cat if has_cat else f"col_{i}"
-        names.append(normalize_name(raw) or f"col_{i}")
-    return names
+    """Column names of a two-row header: the category carried to the right, joined to the metric.
+
+    Columns before any category belong to "Info"; a column without a metric is named by its own
+    category cell, and one without either by its position.
+    """
+    own = [(cell or "").strip() for cell in top]
+    metrics = [(cell or "").strip() for cell in itertools.islice(itertools.chain(bottom, itertools.repeat("")), len(own))]
+    carried = itertools.accumulate(own, lambda before, cell: cell or before, initial="Info")
+    next(carried)
+    labels = [f"{category}_{metric}" if metric else cell for category, metric, cell in zip(carried, metrics, own)]
+    return [normalize_name(label) or f"col_{i}" for i, label in enumerate(labels)]
 
 
 def report_layouts(spark: SparkSession, path: str, pattern: str = "*.csv") -> dict[tuple[str, str], list[str]]:

@@ -6,13 +6,9 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from saleswell.functions.text import parse_ordinal_date
 
-# The two label dialects and the line table layout.
+# How an order header and an order number read.
 ORDER_HEADER = r"(?i)\n(?=#{1,3}[^\n]*order #\d+)"
 ORDER_ID = r"(?i)(?:order #|order: #)(\d+)"
-LINE = (
-    r"(?m)^\|\s*(\d+)\s*\|\s*([A-Za-z0-9.\-]+)\s*\|\s*(.+?)\s*\|\s*(?:\*\*)?\$?([\d,.]+)\s*(?:USD)?\s*(?:\*\*)?\s*\|"
-    r"\s*(?:\*\*)?\$?([\d,.]+)\s*(?:USD)?\s*(?:\*\*)?\s*\|"
-)
 
 
 def split_orders(documents: DataFrame) -> DataFrame:
@@ -38,6 +34,15 @@ def _label(block: Column, *labels: str) -> Column:
     return F.nullif(F.trim(F.regexp_replace(found, r"^\*+|\*+$", "")), F.lit(""))
 
 
+def _section(block: Column, heading: str) -> Column:
+    """Text under a heading, up to the next heading, rule or bold order label."""
+    titled = F.filter(F.split(block, r"\n#+[ \t]*"), lambda part: F.lower(part).startswith(heading))
+    body = F.coalesce(F.get(titled, F.lit(0)), F.lit(""))
+    for mark in ("\n---", "\n**Order"):
+        body = F.substring_index(body, mark, 1)
+    return F.substring(body, len(heading) + 1, 1 << 30)
+
+
 def _amount(block: Column, label: str) -> Column:
     text = F.regexp_extract(block, rf"(?i){label}.*?\$?([\d,]*\d[\d,.]*)", 1)
     return F.coalesce(F.regexp_replace(text, r"[^\d.]", "").try_cast("decimal(18,2)"), F.lit(0).cast("decimal(18,2)"))
@@ -45,13 +50,14 @@ def _amount(block: Column, label: str) -> Column:
 
 def parse_headers(blocks: DataFrame) -> DataFrame:
     b = F.col("block")
-    billing = F.regexp_extract(b, r"(?is)#+ Billing Details\s*\n(.*?)(?=\n#+|\n---|\n\*\*Order|\z)", 1)
+    billing = _section(b, "billing details")
     name, company = _label(billing, "Name"), _label(billing, "Company", "Organization")
     email = F.regexp_extract(billing, r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})", 1)
     phone = F.regexp_extract(billing, r"(?im)^[*\s]*(?:\*\*)?Phone:(?:\*\*)?[ \t]*([\d\-() +]*\d[\d\-() +]*)", 1)
     date = F.regexp_extract(b, r"(?i)Order Date:.*?(\d+(?:st|nd|rd|th)?\s+\w+\s+\d{4})", 1)
     shipping_method = _label(b, "Shipping Method")
-    payment = F.regexp_replace(_label(b, "Payment Method"), r"\s*\(\$[\d,.]+\)$", "")
+    # An amount in brackets may follow the method.
+    payment = F.rtrim(F.substring_index(_label(b, "Payment Method"), "($", 1))
     summary = F.regexp_extract(b, r"(?is)(Subtotal.*)\z", 1)
     address = _label(billing, "Address")
     return blocks.select(
@@ -70,17 +76,23 @@ def parse_headers(blocks: DataFrame) -> DataFrame:
 
 
 def parse_lines(blocks: DataFrame) -> DataFrame:
-    """Line rows of every block, numbered in table order."""
+    """Line rows of every block, numbered in table order.
+
+    A table row is cut at its bars: quantity, SKU and name come first, price and
+    total last, whatever stands between.  Heads, rules and other tables have no whole
+    number in the first cell or no amounts in the last two.
+    """
     b = F.col("block")
-    groups = [F.regexp_extract_all(b, F.lit(LINE), F.lit(i)) for i in range(1, 6)]
-    rows = blocks.select(order_id(b).alias("order_id"), F.arrays_zip(*groups).alias("rows")).select(
-        "order_id", F.posexplode("rows").alias("pos", "r")
+    cells = lambda row: F.transform(F.split(F.trim(F.trim(row), F.lit("|")), r"\|"), lambda cell: F.trim(cell))
+    money = lambda cell: F.trim(F.translate(F.replace(cell, F.lit("USD"), F.lit("")), "*$,", "")).try_cast("decimal(18,2)")
+    parsed = lambda c: F.struct(
+        F.get(c, F.lit(1)).alias("sku"), F.get(c, F.lit(2)).alias("product_name"), F.get(c, F.lit(0)).try_cast("int").alias("quantity"),
+        money(F.get(c, F.size(c) - 2)).alias("unit_price"), money(F.get(c, F.size(c) - 1)).alias("line_total"),
     )
-    # A six-column table carries details after the name; the price columns stay last.
-    field = lambda i: F.col("r")[str(i)]
-    money = lambda i: F.replace(field(i), F.lit(","), F.lit("")).try_cast("decimal(18,2)")
-    return rows.select(
-        "order_id", (F.col("pos") + 1).alias("line_number"), F.trim(field(1)).alias("sku"),
-        F.trim(F.regexp_replace(field(2), r"\s*\|.*$", "")).alias("product_name"),
-        field(0).cast("int").alias("quantity"), money(3).alias("unit_price"), money(4).alias("line_total"),
+    rows = F.filter(F.split(b, "\n"), lambda line: F.startswith(line, F.lit("|")))
+    wide = F.filter(F.transform(rows, cells), lambda c: F.size(c) >= 5)
+    is_line = lambda r: r["quantity"].isNotNull() & r["unit_price"].isNotNull() & r["line_total"].isNotNull() & r["sku"].rlike(r"^[\w.\-]+$")
+    lines = F.filter(F.transform(wide, parsed), is_line)
+    return blocks.select(order_id(b).alias("order_id"), F.posexplode(lines).alias("pos", "r")).select(
+        "order_id", (F.col("pos") + 1).alias("line_number"), "r.*"
     )

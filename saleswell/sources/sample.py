@@ -131,11 +131,17 @@ VIEWS: dict[str, str | dict[str, str]] = {
         GROUP BY {_SHIP}, l_partkey""",
     "v_settle_wide": f"""
         SELECT 'S' || substr({_SHIP_TEXT}, 1, 4) || substr({_SHIP_TEXT}, 6, 2) AS settlement_id,
+               substr({_SHIP_TEXT}, 1, 8) || '01T00:00:00Z' AS settlement_start_date, substr({_SHIP_TEXT}, 1, 8) || '28T00:00:00Z' AS settlement_end_date,
+               CASE WHEN l_linenumber = 5 THEN '' ELSE '03.' || substr({_SHIP_TEXT}, 6, 2) || '.' || substr({_SHIP_TEXT}, 1, 4) END AS deposit_date,
+               CASE WHEN l_linenumber = 1 THEN CAST({_EXT} AS STRING) ELSE '' END AS total_amount, 'USD' AS currency,
+               'M' || CAST(l_orderkey AS STRING) AS merchant_order_id, CASE WHEN l_returnflag = 'R' THEN 'A' || CAST(l_suppkey AS STRING) ELSE '' END AS adjustment_id,
+               CASE WHEN l_suppkey % 2 = 0 THEN 'us' ELSE 'ca' END AS marketplace_name, CASE WHEN l_suppkey % 4 = 0 THEN 'MFN' ELSE 'AFN' END AS fulfillment_id,
                CASE WHEN l_returnflag = 'R' THEN 'Refund' ELSE 'Order' END AS transaction_type,
                CAST(l_orderkey AS STRING) AS order_id, {_LINE_ID} AS shipment_id,
                CASE WHEN l_partkey % 5 = 0
                     THEN substr({_SHIP_TEXT}, 9, 2) || '.' || substr({_SHIP_TEXT}, 6, 2) || '.' || substr({_SHIP_TEXT}, 1, 4)
-                    WHEN l_partkey % 97 = 13 THEN 'soon' ELSE {_SHIP_TEXT} || 'T00:00:00Z' END AS posted_date,
+                    WHEN l_partkey % 97 = 13 THEN 'soon' WHEN l_partkey % 7 = 3 THEN '' ELSE {_SHIP_TEXT} || 'T00:00:00Z' END AS posted_date,
+               CASE WHEN l_partkey % 7 = 3 THEN {_SHIP_TEXT} || 'T06:30:00Z' ELSE '' END AS posted_date_time,
                {_sku('l_partkey')} AS sku,
                CASE WHEN l_partkey % 50 = 7 THEN 'x' WHEN l_linenumber = 6 THEN ''
                     ELSE CAST(CAST(l_quantity AS BIGINT) AS STRING) END AS quantity_purchased,

@@ -12,13 +12,18 @@ from saleswell.session import work_folder
 from saleswell.sources import invoices
 
 
-def parquet_stream(spark: SparkSession, folder: str, pattern: str, files_per_trigger: int | None = None) -> DataFrame:
-    """New files of a folder as a stream; the schema comes from the files already there."""
-    schema = spark.read.option("pathGlobFilter", pattern).parquet(folder).schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", pattern)
+def parquet_stream(spark: SparkSession, table: str, files_per_trigger: int | None = None) -> DataFrame:
+    """The files of a table, a folder of parts or a single file, as a stream; the schema comes from what is there.
+
+    ``files_per_trigger`` bounds a micro-batch; without it the whole history is one.
+    """
+    reader = spark.readStream.schema(spark.read.parquet(table).schema)
     if files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", files_per_trigger)
-    return reader.parquet(folder)
+    if not maintenance.is_folder(spark, table):  # a stream watches folders: take the one file of its folder
+        table, _, name = table.rpartition("/")
+        reader = reader.option("pathGlobFilter", name)
+    return reader.parquet(table)
 
 
 def run_append(stream: DataFrame, target: str, checkpoint: str) -> None:
@@ -34,7 +39,7 @@ def run_replace(stream: DataFrame, table: str, checkpoint: str) -> None:
     """Complete-mode result, published whole after every batch (bounded by its windows)."""
 
     def swap(batch: DataFrame, _batch_id: int) -> None:
-        maintenance.publish(batch, table, empty_input="publish")
+        maintenance.publish(batch, table, empty_input="keep")
 
     query = (
         stream.writeStream.outputMode("complete").foreachBatch(swap).option("checkpointLocation", checkpoint)

@@ -4,8 +4,8 @@ import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
 
-from saleswell.operators import channels as ch, compare, generators as gen, ledger, maintenance as mt, parity, quality, syncqueue as sq
-from saleswell.operators.ordered import replay, row_numbers, running_sum
+from saleswell.operators import channels as ch, compare, generators as gen, ledger, maintenance as mt, parity, quality, sku, syncqueue as sq
+from saleswell.operators.ordered import replay, row_numbers, running_sum, spread_nulls
 from saleswell.operators.settlements import unparsable_rows, unpivot
 
 D = dt.date
@@ -196,7 +196,7 @@ def test_sinks(spark, tmp_path):
     assert mt.read_evolving(spark, str(tmp_path / "e")).where("extra IS NULL").count() == 2
     now = dt.datetime(2026, 1, 1)
     mt.log_run(spark, str(tmp_path / "l"), D(2026, 1, 1), "failed", 0, now, now, error="x" * 3000)
-    assert len(spark.read.parquet(str(tmp_path / "l")).first().error) == 1000
+    assert len(spark.read.parquet(str(tmp_path / "l")).first().error) == 3000
     mt.export_report(rows.where("n > 5"), str(tmp_path / "c"), ["sku", "n"], single_file=True)
     assert spark.read.option("header", True).csv(str(tmp_path / "c")).columns == ["sku", "n"]
     mt.land_raw(rows.select("day", "sku"), str(tmp_path / "b"), ["day"])
@@ -228,8 +228,12 @@ def test_large_events_render_in_parts(spark):
         F.lit(None).cast("double").alias("new_qty"), F.lit(None).cast("string").alias("account_full_name"), F.lit("i").alias("item_full_name"),
         F.lit(None).cast("string").alias("site_name"), F.lit("A").alias("from_site_name"), F.lit("B").alias("to_site_name"))
     join = lambda n: "".join(r.request_xml for r in gen.render_events(rows, "x", lines_per_part=n).orderBy("part_no").collect())
-    assert join(3) == join(1000) and join(3).count("<TransferInventoryLineAdd>") == 7
+    assert join(3) == join(None) and join(3).count("<TransferInventoryLineAdd>") == 7
     assert gen.nest_lines(rows, ["event_id"], 3).count() == 3
+    assert [(r.part_no, len(r.lines)) for r in gen.nest_lines(rows, ["event_id"]).collect()] == [(1, 7)]
+    assert gen.render_events(rows, "x").count() == 1 and not gen.render_events(rows, "x").first().memo_truncated
+    long = gen.render_events(rows.withColumn("memo", F.lit("m" * 5000)), "x").first()
+    assert long.memo_truncated
 
 
 def test_hot_sku_keeps_totals(spark):
@@ -245,3 +249,68 @@ def test_approval_gate(spark):
     r = spark.createDataFrame([(1, "1", "delta", 3.0), (1, "2", "delta", -25.0), (2, "1", "set", 1.0), (3, "1", "delta", 24.9)], "event_id long, line_id string, mode string, qty double")
     out = {x.event_id: (x.needs_approval, x.reason) for x in ledger.approval_gate(r).collect()}
     assert out[1] == (True, "line qty -25.0 exceeds threshold 25.0") and out[2][0] and out[3] == (False, None)
+
+
+def test_limits_are_taken_as_given(spark):
+    ev = spark.range(130).select(
+        F.col("id").alias("event_id"), F.lit("pending").alias("qb_status"), F.lit("committed").alias("status"), F.lit(0).cast("long").alias("retry_at"),
+        F.lit(0).cast("long").alias("created_at"), F.lit("me").alias("created_by"), F.lit("x").alias("memo"))
+    assert sq.next_pending(ev, 5).count() == 130 and [r.event_id for r in sq.next_pending(ev, 5, 25).orderBy("event_id").collect()] == list(range(25))
+    assert sq.events_by_author(ev, "me").count() == 130
+    with pytest.raises(ValueError):
+        sq.next_pending(ev, 5, 0)
+
+
+def test_units_beyond_twelve_digits(spark):
+    sales = spark.createDataFrame([("a", 2 * 10**12, None)], "sku string, quantity long, income decimal(38,2)")
+    lookup = spark.sql("select 'a' as sku_key, cast(1.50 as decimal(18,2)) as unit_cost, 'c' as category_name")
+    assert float(sku.margin_enrich(sales, lookup).first().cogs) == 3e12
+
+
+def test_publish_is_atomic_and_refuses_lost_updates(spark, tmp_path):
+    table = str(tmp_path / "t")
+    first = mt.publish(spark.range(3), table)
+    with pytest.raises(RuntimeError):
+        mt.move_pointer(spark, table, None, "v=other")
+    assert mt.current_version(spark, table) == first
+    fail = lambda df: df.agg(F.lit(False).alias("passed")).withColumn("check_name", F.lit("never"))
+    with pytest.raises(ValueError):
+        mt.publish(spark.range(9), table, fail)
+    assert mt.publish(spark.range(0), table) is None and mt.read_table(spark, table).count() == 3
+    second = mt.publish(spark.range(5), table)
+    left = {p.name for p in (tmp_path / "t").iterdir() if not p.name.startswith(".")}
+    assert left == {first, second, "CURRENT"} and mt.read_table(spark, table).count() == 5
+    assert mt.publish(spark.range(0), table, empty_input="keep") and mt.read_table(spark, table).count() == 0
+
+
+def test_null_keys_spread_and_never_match(spark):
+    df = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 3).alias("location_id"))
+    keys = df.select(spread_nulls(F.col("location_id"), "bigint", F.col("id")).alias("k")).groupBy("k").count()
+    assert keys.agg(F.max("count")).first()[0] < 200 and keys.count() > 1000
+
+
+def test_mark_in_flight(spark):
+    ev = spark.createDataFrame([(1, "committed", "pending", None), (2, "draft", "pending", None), (3, "committed", "applied", 7)], "event_id long, status string, qb_status string, last_attempt_at long")
+    asked = spark.createDataFrame([(1, " t ", 5), (1, "t", 9), (2, "t", 6), (3, "t", 6), (4, "t", 6), (1, "", 20), (1, None, 21)], "event_id long, ticket string, at_ms long")
+    after, outcome, sessions = sq.mark_in_flight(ev, asked)
+    assert {r.event_id: (r.qb_status, r.last_attempt_at) for r in after.collect()} == {1: ("in_flight", 9), 2: ("pending", None), 3: ("applied", 7)}
+    assert sorted(r.outcome for r in outcome.collect()) == ["event not found", "marked", "marked", "not committed", "not eligible", "ticket required", "ticket required"]
+    assert [tuple(r) for r in sessions.collect()] == [("t", 5, 9, 1)]
+
+
+def test_results_carry_transactions(spark):
+    ev = spark.createDataFrame([(1, "in_flight", None, 0, 0, None)], "event_id long, qb_status string, error_code string, retry_count int, retry_at long, last_attempt_at long")
+    res = spark.createDataFrame(
+        [(1, 1, 10, True, None, None, "T1", "Adj", None), (1, 2, 20, True, None, None, "T2", None, None), (1, 3, 30, False, "500", None, None, None, "busy")],
+        "event_id long, seq long, at_ms long, success boolean, error_code string, retryable boolean, txn_id string, txn_type string, error_message string")
+    r = sq.apply_results(ev, res).first()
+    assert (r.qb_status, r.txn_id, r.txn_type, r.error_message) == ("pending", "T2", "Adj", "busy")
+    r = sq.apply_results(ev, res.where("seq < 3")).first()
+    assert (r.qb_status, r.txn_id, r.txn_type, r.error_message) == ("applied", "T2", "Adj", None)
+
+
+def test_missing_stock_is_never_sent(spark):
+    miss = spark.createDataFrame([("a", "quantity", False), ("b", "quantity", False), ("c", "quantity", False)], "sku string, field string, is_match boolean")
+    hand = spark.createDataFrame([("a", 4.0), ("b", -1.0)], "sku string, on_hand double")
+    assert {r.sku: (r.new_qty, r.reject_reason) for r in gen.sync_lines(miss, ["quantity"], hand).collect()} == {
+        "a": (4.0, None), "b": (None, "negative stock"), "c": (None, "missing stock")}

@@ -1,5 +1,6 @@
 import datetime as dt
 
+import pytest
 from pyspark.sql import functions as F
 
 from saleswell.sources import accounting, files, invoices, marketplace, parts
@@ -53,7 +54,7 @@ def test_item_snapshot_file_and_responses(spark, tmp_path):
     rows = accounting.read_item_snapshot(spark, str(tmp_path / "i.xml")).collect()
     assert [(r.item_full_name, r.quantity, r.income_account) for r in rows] == [("A:n", None, "Sales")]
     incomplete = spark.createDataFrame([("a", 1.0, 1, 5)], "item_full_name string, quantity double, page_no int, remaining int")
-    assert accounting.assemble_snapshot(incomplete).count() == 0
+    assert [r.complete for r in accounting.assemble_snapshot(incomplete).collect()] == [False]
 
 
 INVOICE = """# Head
@@ -103,3 +104,13 @@ def test_invoices(spark, tmp_path):
     assert heads["8"].customer_name == "Sam" and heads["8"].customer_phone == "555-1"
     lines = {(r.order_id, r.sku, r.product_name, r.quantity, float(r.line_total)) for r in invoices.parse_lines(blocks).collect()}
     assert lines == {("7", "w1.5x", "Wire", 8, 8400.0), ("8", "T-1", "Tool", 1, 5.0)}
+
+
+@pytest.mark.parametrize("count", [250, 5000])
+def test_long_orders_stay_whole(spark, count):
+    rows = "\n".join(f"| {i + 1} | s{i} | Item {i} | $1.00 USD | ${i + 1}.00 USD |" for i in range(count))
+    text = f"# Invoices\n\n## Order #9\n\n### Billing Details\n* Name: A\n\n### Order Items\n\n| Qty | Code | Name | Price | Total |\n|---|---|---|---|---|\n{rows}\n\n### Summary\n* Subtotal: $5.00 USD\n"
+    blocks = invoices.split_orders(spark.createDataFrame([("a.md", text)], "file_name string, content string"))
+    assert invoices.parse_headers(blocks).count() == 1
+    lines = invoices.parse_lines(blocks)
+    assert [(r.line_number, r.quantity) for r in lines.orderBy("line_number").collect()] == [(i + 1, i + 1) for i in range(count)]

@@ -49,3 +49,15 @@ def test_invoice_stream_and_snapshots(spark, tmp_path):
     spark.createDataFrame([(1, "pending"), (2, "pending"), (3, "error")], schema).write.parquet(p("q"))
     jobs.status_snapshots(spark.readStream.schema(schema).parquet(p("q")), p("snap"), p("ck2"), stamp=lambda: "t0")
     assert {(r.qb_status, r.events, r.taken_at) for r in spark.read.json(p("snap")).collect()} == {("pending", 2, "t0"), ("error", 1, "t0")}
+
+
+def test_streams_read_a_file_or_a_folder_of_parts(spark, tmp_path):
+    from conftest import SMALL
+    from saleswell.streaming import traffic
+
+    events = spark.read.parquet(f"{SMALL}/events.parquet")
+    events.repartition(3).write.parquet(str(tmp_path / "events.parquet"))
+    key = lambda df: sorted(map(str, df.collect()))
+    one, many = (jobs.parquet_stream(spark, f"{d}/events.parquet", n) for d, n in ((SMALL, None), (tmp_path, 1)))
+    kpi = [traffic.window_columns(jobs.once_complete(traffic.daily_kpi(s), "daily")) for s in (one, many)]
+    assert key(kpi[0]) == key(kpi[1])
