@@ -311,6 +311,22 @@ def marketplace_cogs(
     )
 
 
+def marketplace_totals(
+    sku_day: DataFrame, costs: DataFrame, grain: str, start=None, cost_mode: str = "raw", as_of=None, end=None
+) -> DataFrame:
+    """Sales and COGS of the marketplace from one aggregate per bucket and SKU.
+
+    The costs of a key are added up first (a key listed twice counts twice in ``raw`` mode), so
+    the join keeps one row per SKU and sales can be summed after it.
+    """
+    kept = with_bucket(between_days(sku_day, "business_date", start, end), "business_date", grain)
+    sums = {"gross_sales": "marketplace_revenue", "units": "marketplace_units", "net_proceeds": "marketplace_net_proceeds", "ad_spend": "marketplace_ad_spend"}
+    per_sku = kept.groupBy(*KEYS, F.upper("msku").alias("cost_key")).agg(*[F.sum(c).alias(n) for c, n in sums.items()])
+    cost = cost_lookup(costs, cost_mode, as_of).groupBy("cost_key").agg(F.sum("cost_per_unit").alias("cost"))
+    value = F.coalesce(F.col("cost") * F.col("marketplace_units").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,2)"))
+    return per_sku.join(cost, "cost_key", "left").groupBy(*KEYS).agg(*[F.sum(n).alias(n) for n in sums.values()], F.sum(value).alias("marketplace_cogs"))
+
+
 # --- spine ----------------------------------------------------------------------
 def combine(frames: Sequence[DataFrame], keys: Sequence[str] = tuple(KEYS)) -> DataFrame:
     """Outer-merge aggregates on their shared keys with one small shuffle.

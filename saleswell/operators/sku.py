@@ -296,8 +296,12 @@ def report_catalog(products, prefixes=config.REPORT_PREFIXES) -> DataFrame:
 
 def _named_lines(lines, orders, products, variants, prefixes, order_filter) -> DataFrame:
     names = products.select("product_id", "sku")
+    # Only products that can name a wanted SKU, themselves or by a variant, reach the other joins.
+    own = names.where(has_prefix(F.col("sku"), prefixes)).select("product_id")
+    by_variant = variants.where(has_prefix(F.col("variant_sku"), prefixes)).select("product_id")
     return (
-        lines.join(orders.where(order_filter).select("order_id"), "order_id")
+        lines.join(own.unionByName(by_variant).distinct(), "product_id", "left_semi")
+        .join(orders.where(order_filter).select("order_id"), "order_id")
         .join(names, "product_id")
         .join(variants, ["variant_id", "product_id"], "left")
         .where(has_prefix(F.coalesce("variant_sku", "sku"), prefixes))

@@ -57,7 +57,7 @@ def channel_aggregates(
     return [
         ch.storefront_sales(x.storefront_orders, grain, start, end=end),
         ch.new_and_returning(x.storefront_orders, grain, start, end=end),
-        ch.marketplace_sales(x.sku_day, grain, start, end),
+        ch.marketplace_totals(x.sku_day, x.costs, grain, start, cost_mode, as_of, end),
         ch.marketplace_traffic(x.traffic, grain, start, end),
         web.withColumnsRenamed({"sessions": "storefront_sessions", "users": "storefront_users"}),
         ch.settlement_orders(x.settled_orders, grain, start, end),
@@ -66,7 +66,6 @@ def channel_aggregates(
         ch.order_cogs(
             x.storefront_lines, x.storefront_orders, x.products, x.costs, "storefront", grain, start, cost_mode, as_of, end
         ),
-        ch.marketplace_cogs(x.sku_day, x.costs, grain, start, cost_mode, as_of, end),
         ch.order_cogs(
             x.wholesale_lines, x.wholesale_orders, x.products, x.costs, "wholesale", grain, start, cost_mode, as_of, end
         ),

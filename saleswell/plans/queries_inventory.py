@@ -333,9 +333,12 @@ def hydrate_events(f):
     return hydrated(f)
 
 
-@query("nested_events")
+@query("nested_events", f"WITH {_HYDRATED} SELECT *, CAST(1 AS BIGINT) AS part_no, CAST(COUNT(*) OVER (PARTITION BY event_id) AS INTEGER) AS line_count FROM h")
 def nested_events(f):
-    return gen.nest_lines(hydrated(f), ["event_id", "event_type", "effective_date"]).select("event_id", "event_type", "part_no", F.size("lines").alias("line_count"), F.to_json("lines").alias("lines"))
+    """Nested and taken apart again: every event keeps its header, its lines and their fields."""
+    header = ["event_id", "event_type", "effective_date"]
+    nested = gen.nest_lines(hydrated(f), header)
+    return nested.select(*header, "part_no", F.size("lines").alias("line_count"), F.inline("lines"))
 
 
 @query("render_events")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import functools
+import shutil
 import tempfile
 import uuid
 
@@ -28,6 +31,14 @@ def build_session(app: str = "saleswell", master: str | None = None, **conf: str
     return builder.getOrCreate()
 
 
+@functools.cache
+def _local_folder() -> str:
+    """A scratch folder for sessions on one machine, removed when the process ends."""
+    folder = tempfile.mkdtemp(prefix="saleswell-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    return folder
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Checkpoint to the shared folder the cluster names; survives executor loss."""
     sc = df.sparkSession.sparkContext
@@ -36,7 +47,7 @@ def cut_lineage(df: DataFrame) -> DataFrame:
         # Only a local test session has no configured folder.
         if folder is None and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="saleswell-ckpt-"))
+        sc.setCheckpointDir(folder or _local_folder())
     return df.checkpoint(eager=True)
 
 
@@ -46,5 +57,5 @@ def work_folder(spark: SparkSession, name: str) -> str:
     if folder is None:
         if not spark.sparkContext.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
-        folder = tempfile.mkdtemp(prefix="saleswell-")
+        folder = _local_folder()
     return f"{folder.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -15,7 +15,8 @@ from tools.check import compare
 SAMPLE = (
     "new_vs_returning web_traffic cogs_bucket channel_week pl_monthly yoy_tolerance prior_period kpi_totals pl_variance sales_by_sku top_categories "
     "top_skus_channel sku_report buy_forecast cost_asof noise_products settlement_unpivot economics_flatten invoice_parse drift_checks upsert_parts "
-    "ledger_replay running_balance queue_replay item_match parity_stats validate_lines chunk_events purge_selector session_kpi"
+    "ledger_replay running_balance queue_replay item_match parity_stats validate_lines chunk_events purge_selector session_kpi nested_events "
+    "mark_in_flight sync_lines invoice_headers economics_gz settlement_tsv_file item_xml_file publish_roundtrip write_fact_pruned stream_daily_kpi"
 ).split()
 NAMES = list(REGISTRY) if os.environ.get("SALESWELL_ALL") else SAMPLE
 
@@ -59,6 +60,23 @@ def test_no_cross_join_in_reports(spark):
         assert "BroadcastNestedLoopJoin" not in p, name
 
 
+def test_kpi_range_reaches_the_fact_scans(spark):
+    p = plan(REGISTRY["kpi_totals"].build(Feeds(spark, SMALL)))
+    filters = [line for line in p.split("\n") if "FileScan" in line and re.search(r"(orders|lineitem)\.parquet", line)]
+    dated = [line for line in filters if re.search(r"GreaterThan\w*\([ol]_(orderdate|shipdate),1999-12", line)]
+    assert p.count("FileScan") < 26 and len(dated) >= 6, (p.count("FileScan"), len(dated), len(filters))
+
+
+def test_no_cross_join_without_broadcasts(spark):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for name in ("sku_report", "channel_week", "item_match", "validate_lines", "hydrate_events"):
+            p = plan(REGISTRY[name].build(Feeds(spark, SMALL)))
+            assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p, name
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
 def test_retail_channel_is_empty(spark):
     f = Feeds(spark, SMALL)
     from saleswell.plans.queries_sku import PERIODS
