@@ -8,8 +8,10 @@ An automaton over all pieces gives the candidates that end at each k; the
 table is filled from left to right in one pass, and the ids are read backwards from its end.
 Characters that are no piece stand alone and become their UTF-8 bytes' ids.
 
-No piece spans from a non-space to a space mark, so a text is encoded word by word (a run of
-space marks and what follows); results are kept in a table of bounded size.
+No piece spans from a non-space to a space mark, nor from a letter to a character that no
+piece joins to letters, so a text is encoded word by word (space marks and letters, or space marks
+and other characters).  The new words of a batch are taken in sorted order, and a word keeps the part of
+the table that it shares with the one before.  Results are kept in a table of bounded size.
 
 Nulls and empty texts have no ids and decode to the empty text.  Repeated rows are
 answered one by one, extra columns ignored.
@@ -19,7 +21,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import ahocorasick
 import pyarrow as pa
@@ -62,12 +64,33 @@ class PieceModel:
                 raise ValueError(f"unsupported piece type: {p.piece}")
         if any(MARK in p.lstrip(MARK) for p in self.id):
             raise ValueError("a piece spans a word boundary")
+        self.longest = max(map(len, self.id))
         self.automaton = ahocorasick.Automaton()
         for p in self.id:
             self.automaton.add_word(p, p)
         self.automaton.make_automaton()
+        self.word = re.compile(self._word_pattern())
         self.words: dict[str, tuple[int, bytes, bytes]] = {}
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.n_pairs = 0
+
+    def _word_pattern(self) -> str:
+        """Space marks with what follows: characters that pieces join to letters, directly or through others, or the rest."""
+        beside: dict[str, set[str]] = {}
+        for p in self.id:
+            for a, b in zip(p, p[1:]):
+                if MARK not in (a, b):
+                    beside.setdefault(a, set()).add(b)
+                    beside.setdefault(b, set()).add(a)
+        known = {c for p in self.id for c in p} | set(map(chr, range(128)))
+        todo = [c for c in known if c.isalpha()]
+        joined = set(todo)
+        while todo:
+            fresh = beside.get(todo.pop(), set()) - joined
+            joined |= fresh
+            todo += fresh
+        rest = "".join(map(re.escape, sorted(known - joined - {MARK})))
+        return f"{MARK}*[^{MARK}{rest}]+|{MARK}*[{rest}]+|{MARK}+"
 
     def merged(self, text: str) -> list[str]:
         """Plain merging, for short strings: the best-scored pair, leftmost first, until none is left."""
@@ -88,72 +111,103 @@ class PieceModel:
 
     def follows(self, left: str, right: str) -> bool:
         """Whether merging leaves left and right as two tokens; an empty left asks about right alone."""
-        if len(self.pairs) >= PAIRS:
+        if self.n_pairs >= PAIRS:
             self.pairs.clear()
-        known = self.pairs[left, right] = self.merged(left + right) == ([left, right] if left else [right])
+            self.n_pairs = 0
+        self.n_pairs += 1
+        known = self.merged(left + right) == ([left, right] if left else [right])
+        self.pairs.setdefault(left, {})[right] = known
         return known
 
-    def tokens(self, word: str) -> list[str]:
-        """The tokens of a text without word boundaries inside."""
-        ends: list[list[str]] = [[] for _ in word]
-        for k, piece in self.automaton.iter(word):  # at each end the longest first
-            ends[k].append(piece)
-        last, pairs, follows = [""], self.pairs.get, self.follows
-        for k, candidates in enumerate(ends, 1):
-            if not candidates or len(candidates[-1]) > 1:  # a character that is no piece stands alone
-                candidates.append(word[k - 1])
-            for t in candidates:
-                left = last[k - len(t)]
-                if (left or k == len(t)) and ((known := pairs((left, t))) or known is None and follows(left, t)):
-                    last.append(t)
+    def tokens(self, words: Iterable[str]) -> Iterator[list[str]]:
+        """The tokens of each word; neighbours that begin alike share the work."""
+        before, last, empty = "", [""], {}
+        find, pairs, follows = self.automaton.iter, self.pairs, self.follows
+        for word in words:
+            same = 0
+            for a, b in zip(before, word):
+                if a != b:
                     break
-            else:
-                raise AssertionError(f"no last token at {k} of {word!r}")
-        out, k = [], len(word)
-        while k:
-            out.append(last[k])
-            k -= len(last[k])
-        return out[::-1]
-
-    def encode_word(self, word: str) -> list[int]:
-        ids = []
-        for t in self.tokens(word):
+                same += 1
+            del last[same + 1 :]
+            # Pieces by their end; at each end the longest first.
+            ends: list[list[str]] = [[] for _ in range(len(word) - same)]
+            for k, piece in find(word, max(0, same + 1 - self.longest)):
+                if k >= same:
+                    ends[k - same].append(piece)
+            for k, candidates in enumerate(ends, same + 1):
+                if not candidates or len(candidates[-1]) > 1:  # a character that is no piece stands alone
+                    candidates.append(word[k - 1])
+                for t in candidates:
+                    left = last[k - len(t)]
+                    if (left or k == len(t)) and ((known := pairs.get(left, empty).get(t)) or known is None and follows(left, t)):
+                        last.append(t)
+                        break
+                else:
+                    raise AssertionError(f"no last token at {k} of {word!r}")
+            before, out, k = word, [], len(word)
+            while k:
+                out.append(last[k])
+                k -= len(last[k])
+            yield out[::-1]
+
+    def ids(self, tokens: list[str]) -> list[int]:
+        out = []
+        for t in tokens:
             i = self.id.get(t)
-            ids.extend([i] if i is not None else [self.byte[b] for b in t.encode("utf-8", "surrogatepass")])
-        return ids
+            if i is None:
+                out.extend([self.byte[b] for b in t.encode("utf-8", "surrogatepass")])
+            else:
+                out.append(i)
+        return out
 
-    def entry(self, word: str) -> tuple[int, bytes, bytes]:
-        """Number of ids, ids in decimal, decoded bytes."""
-        ids = self.encode_word(word)
-        if len(self.words) >= WORDS:
+    def learn(self, words: set[str]) -> None:
+        """Enter new words: number of ids, ids in decimal, decoded bytes."""
+        new = sorted(words - self.words.keys())
+        if len(self.words) + len(new) > WORDS:
             self.words.clear()
-        found = self.words[word] = (len(ids), ",".join(map(str, ids)).encode(), self.decode_bytes(ids))
-        return found
+            new = sorted(words)
+        for word, tokens in zip(new, self.tokens(new)):
+            ids = self.ids(tokens)
+            self.words[word] = (len(ids), ",".join(map(str, ids)).encode(), self.decode_bytes(ids))
 
     def decode_bytes(self, ids: list[int]) -> bytes:
         return b"".join([self.text[i] for i in ids])
 
     def encode(self, text: str) -> list[int]:
-        return [i for block in blocks(text) for w in WORD.findall(block) for i in self.encode_word(w)]
+        return [i for block in blocks(text) for t in self.tokens(self.word.findall(block)) for i in self.ids(t)]
 
     def decode(self, ids: list[int]) -> str:
         """Text of the ids; bytes that are no UTF-8 become U+FFFD each; the dummy prefix goes."""
         return self.decode_bytes(ids).decode("utf-8", "replace").removeprefix(" ")
 
-    def digests(self, text: str) -> tuple[int, str, str]:
-        """Number of ids, and the digests of the ids and of the decoded text."""
-        n, ids, decoded = 0, hashlib.sha256(), hashlib.sha256()
-        get, entry, first = self.words.get, self.entry, True
-        for block in blocks(text):
-            found = [get(w) or entry(w) for w in WORD.findall(block)]
-            n += sum([f[0] for f in found])
-            ids.update((b"" if first else b",") + b",".join([f[1] for f in found]))
-            decoded.update(b"".join([f[2] for f in found])[1 if first else 0 :])
-            first = False
-        return n, ids.hexdigest(), decoded.hexdigest()
+    def digests(self, texts: list[str]) -> list[tuple[int, str, str]]:
+        """For each text the number of ids and the digests of the ids and of the decoded text."""
+        states = [[0, hashlib.sha256(), hashlib.sha256()] for _ in texts]
+        held: list[tuple[int, list[str]]] = []
+        size = 0
+
+        def flush():
+            self.learn(set().union(*(words for _, words in held)))
+            for k, words in held:
+                found, state = [self.words[w] for w in words], states[k]
+                first = state[0] == 0
+                state[0] += sum([f[0] for f in found])
+                state[1].update((b"" if first else b",") + b",".join([f[1] for f in found]))
+                state[2].update(b"".join([f[2] for f in found])[1 if first else 0 :])
+            held.clear()
+
+        for k, text in enumerate(texts):
+            for block in blocks(text):
+                held.append((k, self.word.findall(block)))
+                size += len(block)
+                if size >= BLOCK:
+                    flush()
+                    size = 0
+        flush()
+        return [(n, ids.hexdigest(), decoded.hexdigest()) for n, ids, decoded in states]
 
 
-WORD = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
 _BREAK = re.compile(f"(?<!{MARK}){MARK}")
 
 
@@ -185,8 +239,7 @@ def piece_report(docs: DataFrame, path: str) -> DataFrame:
     def run(batches):
         model = load(path)
         for batch in slices(batches, "text", 4 << 20):
-            found = [model.digests(t or "") for t in batch.column("text").to_pylist()]
-            n, ids, decoded = zip(*found)
+            n, ids, decoded = zip(*model.digests([t or "" for t in batch.column("text").to_pylist()]))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids), pa.array(decoded)], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
