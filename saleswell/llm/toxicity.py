@@ -77,7 +77,7 @@ class Model:
 
 
 def fit(
-    rows: list[np.ndarray], twins: list[np.ndarray], labels: np.ndarray, size: int, swap_weight: float = 1.0, ridge: float = 2e-3, steps: int = 300
+    rows: list[np.ndarray], twins: list[np.ndarray], labels: np.ndarray, size: int, swap_weight: float = 1.0, ridge: float = 2e-4, steps: int = 300
 ) -> tuple[np.ndarray, float]:
     """Weights and bias of the logistic loss + ridge + swap_weight * mean squared score change over the twins."""
 

@@ -20,7 +20,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
-from saleswell.llm.common import components, store
+from saleswell.llm.common import components, local_labels, store
 from saleswell.session import cut_lineage
 
 THRESHOLD = 0.98
@@ -79,13 +79,23 @@ def _compare(threshold: float):
         x, y = (np.concatenate(z) if z else np.empty(0, np.int64) for z in (a, b))
         swap = cls[x] > cls[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
-        return pa.table({"a": cls[x], "b": cls[y], "ma": m[x], "mb": m[y]})
+        # For the components a spanning star of each group of links is enough: it is not larger than the leaf.
+        root = local_labels(len(cls), x, y)
+        star = np.flatnonzero(root != np.arange(len(cls)))
+        none = np.zeros(len(star), np.int64)
+        return pa.table({
+            "a": np.concatenate([cls[x], cls[star]]), "b": np.concatenate([cls[y], cls[root[star]]]),
+            "ma": np.concatenate([m[x], none]), "mb": np.concatenate([m[y], none]),
+        })
 
     return run
 
 
 def class_links(classes: DataFrame, threshold: float = THRESHOLD, trees: int = TREES, leaf: int = LEAF, spill: float = SPILL) -> DataFrame:
-    """Distinct links (a, b, ma, mb), a < b, among classes (label, dim, cls, m, vec as double array)."""
+    """Distinct links (a, b, ma, mb), a < b, among classes (label, dim, cls, m, vec as double array).
+
+    Rows with ma = mb = 0 are no links but spanning edges, enough to connect what the links connect.
+    """
     seed = classes.mapInArrow(_prepare, "label string, dim int, cls long, m long, vec binary")
     rows = cut_lineage(seed.select(F.explode(F.array(*[F.lit(i) for i in range(trees)])).alias("tree"), "label", "dim", F.lit(1).cast("long").alias("node"), "cls", "m", "vec"))
     leaves = None
@@ -126,10 +136,11 @@ def near_vectors(embeddings: DataFrame, threshold: float = THRESHOLD) -> DataFra
     rows = embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("label").cast("string").alias("label"), F.col("embedding").cast("array<double>").alias("vec"))
     valid = F.coalesce(F.expr(fine), F.lit(False))
     classes = store(rows.where(valid).groupBy("label", "vec").agg(F.min("vec_id").alias("cls"), F.count("*").alias("m")).withColumn("dim", F.size("vec")), "vectors")
-    links = store(class_links(classes, threshold), "vector-links")
+    found = store(class_links(classes, threshold), "vector-links")
+    links = found.where("ma > 0")
     both = links.select(F.col("a").alias("cls"), F.col("mb").alias("k")).unionByName(links.select(F.col("b").alias("cls"), F.col("ma").alias("k")))
     degree = both.groupBy("cls").agg(F.sum("k").alias("k"))
-    group = components(links)
+    group = components(found.where("ma = 0"))
     known = (
         classes.join(degree, "cls", "left").join(group.withColumnRenamed("node", "cls"), "cls", "left")
         .select(F.col("label").alias("__label"), F.col("vec").alias("__vec"), (F.coalesce("k", F.lit(0)) + F.col("m") - 1).alias("n"), F.coalesce("component", "cls").alias("c"))
