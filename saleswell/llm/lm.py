@@ -36,15 +36,17 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from saleswell.llm.common import PARCEL, byte_texts, gather, parcels, slices, word_chunks
+from saleswell.llm.common import PARCEL, byte_texts, parcel_batch, slices, word_chunks
 from saleswell.llm.eliasfano import EliasFano, encode
 from saleswell.session import work_folder
 
-ORDER, MU = 2, 16.0
+ORDER, MU = 3, 16.0
 HELD_OUT = (7, 2)
 #: Bytes of text behind one shard of a level, about.
 SHARD_BYTES = 8 << 20
 BATCH_BYTES = 4 << 20
+#: Text counted at once: n-grams that repeat in it leave as one entry.
+COUNT_BYTES = 8 << 20
 U = np.uint64
 END = U(xxhash.xxh3_64_intdigest(b"\x00end of text"))
 
@@ -80,6 +82,42 @@ def _octets(codes: np.ndarray) -> np.ndarray:
     return np.concatenate([codes, np.zeros(-len(codes) % 8, np.uint8)]).view(U)
 
 
+def _planes(values: np.ndarray) -> np.ndarray:
+    """The bytes of numbers, place by place, without the places that are zero in all of them."""
+    width = (int(values.max(initial=0)).bit_length() + 7) // 8
+    return np.ascontiguousarray(np.ascontiguousarray(values, U).view(np.uint8).reshape(-1, 8)[:, :width].T).reshape(-1)
+
+
+def _numbers(planes: np.ndarray, n: int) -> np.ndarray:
+    out = np.zeros((n, 8), np.uint8)
+    out[:, : len(planes) // n] = planes.reshape(-1, n).T
+    return out.view(U).reshape(-1)
+
+
+def narrow(key: np.ndarray, count: np.ndarray) -> bytes:
+    """Ascending keys as byte planes of their steps, and counts less one likewise, in one cell; keys are whole."""
+    steps, counts = _planes(np.diff(key)), _planes(count.astype(U) - U(1))
+    return np.array([len(key), len(steps), key[0]], U).tobytes() + steps.tobytes() + counts.tobytes()
+
+
+def widen(cell) -> tuple[np.ndarray, np.ndarray]:
+    data = np.frombuffer(cell, np.uint8)
+    n, size, first = (int(x) for x in data[:24].copy().view(U))
+    steps = _numbers(data[24 : 24 + size], n - 1) if n > 1 else np.empty(0, U)
+    return np.cumsum(np.concatenate([np.array([first], U), steps]), dtype=U), _numbers(data[24 + size :], n) + U(1)
+
+
+def _narrow_parcels(shard: np.ndarray, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of PARCEL of ascending keys."""
+    if len(key) == 0:
+        return
+    order = np.argsort(shard, kind="stable")
+    shard, key, count = shard[order], key[order], count[order]
+    cuts = np.flatnonzero(np.diff(shard)) + 1
+    first, last = [0, *cuts.tolist()], [*cuts.tolist(), len(shard)]
+    yield parcel_batch(shard[first].astype(np.int64), [narrow(key[i:j], count[i:j]) for i, j in zip(first, last)])
+
+
 class Shard:
     """One file of a level; arrays are used in place."""
 
@@ -296,9 +334,10 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
     _write(f"{folder}/texts", [np.array([texts, shards], U)])
 
     def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        key, count = gather(t.column("parcel"), [U, np.uint32])
+        parts = [widen(x.as_buffer()) for x in t.column("parcel")]
+        key, count = (np.concatenate(x) for x in zip(*parts))
         order_ = np.argsort(key, kind="stable")
-        key, count = key[order_], count[order_].astype(U)
+        key, count = key[order_], count[order_]
         at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
         return key[at], np.add.reduceat(count, at)
 
@@ -306,9 +345,9 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
         return pa.table({"shard": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64()), "total": pa.array([int(total)], pa.int64())})
 
     def count_tokens(batches):
-        for batch in slices(batches, "text", BATCH_BYTES):
+        for batch in slices(batches, "text", COUNT_BYTES):
             key, count = np.unique(_laid(byte_texts(batch.column("text")))[0], return_counts=True)
-            yield from parcels(token_shard(key, shards), [key, count.astype(np.uint32)])
+            yield from _narrow_parcels(token_shard(key, shards), key, count)
 
     def write_tokens(t):
         k = t.column("shard")[0].as_py()
@@ -321,14 +360,14 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
     def count_grams(level):
         def run(batches):
             trie = Trie(folder, level - 1)
-            for batch in slices(batches, "text", BATCH_BYTES):
+            for batch in slices(batches, "text", COUNT_BYTES):
                 names, opens = _laid(byte_texts(batch.column("text")))
                 unique, back = np.unique(names, return_inverse=True)
                 ids = trie.words(unique)[back]
                 (context, word), which = _distinct(_contexts(trie, ids, opens, level), ids, trie.vocabulary)
-                count = np.bincount(which[which >= 0], minlength=len(context)).astype(np.uint32)
+                count = np.bincount(which[which >= 0], minlength=len(context))
                 key = context.astype(U) * U(trie.vocabulary) + word.astype(U)
-                yield from parcels(trie.gram_shard(level, context, word), [key, count])
+                yield from _narrow_parcels(trie.gram_shard(level, context, word), key, count)
 
         return run
 

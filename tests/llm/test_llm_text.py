@@ -134,6 +134,24 @@ def test_language_model_equals_recursion(spark, order):
         assert abs(r["score"] - want[i]) < 0.02 * len(t) + 1e-9  # stored probabilities are quantised
 
 
+def test_registered_model_uses_contexts_of_two_tokens(spark):
+    texts = corpus()
+    train = [zlib.crc32(str(i).encode()) % 7 != 2 for i in range(len(texts))]
+    want, tokens = plain_model(texts, train, 3)[1], plain_model(texts, train, 3)[3]
+    short = plain_model(texts, train, 2)[1]
+    rows = {r["doc_id"]: r["score"] for r in lm.corpus_scores(frame(spark, texts)).collect()}
+    assert all(abs(rows[i] - want[i]) < 0.02 * len(t) + 1e-9 for i, t in enumerate(tokens))
+    assert any(abs(rows[i] - short[i]) > 0.02 * len(t) + 1e-9 for i, t in enumerate(tokens))
+
+
+def test_narrow_parcels_give_back_keys_and_counts():
+    r = np.random.default_rng(3)
+    for key, count in (([7], [1]), ([0, 2**64 - 1], [300, 1]), (np.unique(r.integers(0, 2**63, 500)), r.integers(1, 2**33, 500)), (np.arange(9), np.ones(9))):
+        key, count = np.array(key, np.uint64), np.array(count, np.int64)[: len(key)]
+        got = lm.widen(lm.narrow(key, count))
+        assert (got[0] == key).all() and (got[1] == count.astype(np.uint64)).all()
+
+
 def test_language_model_sums_to_one_and_odd_tables(spark):
     rows = lm.corpus_scores(frame(spark, ["x y", None, "x y"], ids=[None, None, None])).collect()
     assert len(rows) == 3 and not any(r["held_out"] for r in rows) and {r["train_tokens"] for r in rows} == {7}
