@@ -389,12 +389,23 @@ def margin_drivers(f):
     return sku.margin_drivers(enriched(f).where("year = 2000"), ["product_name", "category_name"])
 
 
+@query("margin_drivers_all_years", f"WITH {_ALLSALES} SELECT product_name, category_name, {d2('SUM(margin)')} AS margin, {d2('SUM(revenue)')} AS revenue FROM enr GROUP BY 1, 2")
+def margin_drivers_all_years(f):
+    return sku.margin_drivers(enriched(f), ["product_name", "category_name"])
+
+
 @query("noise_products", f"""WITH {_ALLSALES}, s AS (SELECT product_name, channel, CAST(SUM(quantity) AS BIGINT) AS quantity, SUM(revenue) AS r, SUM(margin) AS m FROM enr WHERE year = 2000 GROUP BY 1, 2)
     SELECT product_name, channel, quantity, {d2('r')} AS revenue, {d2('m')} AS margin, {sql_ratio('m', 'r', digits=6)} AS margin_pct FROM s WHERE r > 500 ORDER BY margin_pct, product_name, channel LIMIT 5""")
 def noise_products(f):
     return sku.noise_products(enriched(f).where("year = 2000"))
 
 
+@query("noise_products_all_years", f"""WITH {_ALLSALES}, s AS (SELECT product_name, channel, CAST(SUM(quantity) AS BIGINT) AS quantity, SUM(revenue) AS r, SUM(margin) AS m FROM enr GROUP BY 1, 2)
+    SELECT product_name, channel, quantity, {d2('r')} AS revenue, {d2('m')} AS margin, {sql_ratio('m', 'r', digits=6)} AS margin_pct FROM s WHERE r > 500 ORDER BY margin_pct, product_name, channel LIMIT 5""")
+def noise_products_all_years(f):
+    return sku.noise_products(enriched(f))
+
+
 _VARIANTS = f"""vs AS (SELECT lower(trim(p.sku)) AS parent_sku, p.product_name, trim(coalesce(v.variant_sku, 'Unknown')) AS variant_sku, o.order_date, li.quantity, li.total_ex_tax AS revenue
     FROM v_line li JOIN v_order o USING (order_id) JOIN v_product p ON p.product_id = li.product_id LEFT JOIN v_variant v ON v.variant_id = li.variant_id
     WHERE o.channel = 'storefront' AND o.status IN (2, 10, 11, 3) AND o.order_date {_C} AND {_PFX('p.sku')}),
@@ -438,6 +449,14 @@ def sku_totals(f):
     return sku.sku_totals(both.where(has_prefix(F.col("sku"), REPORT_PREFIXES)))
 
 
+@query("sku_totals_all_years", f"""WITH {_ALLSALES} SELECT lower(trim(sku)) AS sku, min(product_name) AS product_name, CAST(SUM(quantity) AS BIGINT) AS quantity, {d2('SUM(revenue)')} AS revenue
+    FROM alls WHERE {_PFX('sku')} GROUP BY 1 ORDER BY SUM(revenue) DESC, 1 LIMIT 10""")
+def sku_totals_all_years(f):
+    from saleswell.config import REPORT_PREFIXES
+    both = named_sales(f).unionByName(market_sales(f))
+    return sku.sku_totals(both.where(has_prefix(F.col("sku"), REPORT_PREFIXES)))
+
+
 @query("sku_lifetime", f"""SELECT lower({_VS}) AS sku, p.product_name, p.brand, CAST(SUM(li.quantity) AS BIGINT) AS units, {d2('SUM(li.base_total)')} AS gross_sales,
       COUNT(DISTINCT li.order_id) AS orders, min(o.order_date) AS first_sale, max(o.order_date) AS last_sale
     FROM {_LINES} WHERE o.channel = 'storefront' AND o.order_date >= {_S} AND o.status NOT IN (4, 6) AND {_PFX(_VS)} GROUP BY 1, 2, 3""")
