@@ -14,6 +14,7 @@ of its core, the one of least hash at the highest level where the core has
 CORE symbols (level 0 always has 50): equal windows are filed alike, wherever they
 stand.  In a shuffle by symbol, symbols that two documents share reveal possible repeats,
 and the windows filed there are verified by their own hashes (48 bits beside the symbol's 64).
+Heavy symbols, found by counts beforehand, are dealt by symbol and window hash, so none is bound to one task.
 
 Before the shuffle, windows that repeat within a batch are settled: all but those of the smallest
 doc_id are known to be repeats.  A passage thus leaves a batch once, however many
@@ -34,12 +35,15 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from saleswell.llm.common import PARCEL, byte_texts, free_name, gather, mix, pack, parcel_batch, parcels, slices, word_chunks
+from saleswell.llm.common import PARCEL, byte_texts, free_name, gather, mix, pack, parcel_batch, parcels, slices, store, word_chunks
 
 WINDOW = 50
 ROUNDS, CORE = 5, 3
 #: Bytes of text filed in one shard, about.
 SHARD_BYTES = 3 << 20
+BATCH_BYTES = 2 << 20
+#: A symbol with this many windows for each byte of a shard is heavy, about half of a shard's windows.
+HEAVY = 1 / 12
 #: Words parsed at once; longer texts overlap by a window less one word.
 PART = 1 << 19
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
@@ -147,6 +151,64 @@ def _above_least(a: np.ndarray, b: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
+def shard_of(symbol: np.ndarray, verify: np.ndarray, shards: int, heavy: np.ndarray) -> np.ndarray:
+    """Shards of windows: by their symbol, for ``heavy`` (sorted) symbols by symbol and window hash; equal windows meet."""
+    out = (symbol % np.uint64(shards)).astype(np.int64)
+    if len(heavy):
+        some = np.flatnonzero(heavy[np.minimum(np.searchsorted(heavy, symbol), len(heavy) - 1)] == symbol)
+        out[some] = (mix(symbol[some] ^ mix(verify[some])) % np.uint64(shards)).astype(np.int64)
+    return out
+
+
+def heavy_symbols(rows: DataFrame, total: int, window: int, most: int) -> np.ndarray:
+    """Sorted symbols under which ``most`` windows or more are filed (and some with half as many).
+
+    A slice of text tells the symbols with at least its share of ``most`` / 2, so less than ``most`` / 2 of a symbol
+    stay untold.  There are at most 2 / ``most`` as many such symbols as windows.
+    """
+    # Holds while slices have a quarter of BATCH_BYTES on average.
+    least = max(1, most * BATCH_BYTES // (8 * max(total, BATCH_BYTES)))
+
+    def count(batches):
+        for batch in slices(batches, "text", BATCH_BYTES):
+            names = [token_names(t) for t in byte_texts(batch.column("text"))]
+            symbol = _laid(names, window)[0]
+            key, n = np.unique(symbol, return_counts=True)
+            told = n >= least
+            yield pa.RecordBatch.from_arrays([pa.array(key[told].view(np.int64)), pa.array(n[told], pa.int64())], names=["symbol", "n"])
+
+    counts = store(rows.select("text").mapInArrow(count, "symbol long, n long").groupBy("symbol").agg(F.sum("n").alias("n")).where(f"n >= {-(-most // 2)}"), "heavy-symbols")
+    return np.sort(np.array([r["symbol"] for r in counts.select("symbol").collect()], np.int64).view(np.uint64))
+
+
+def _laid(names: list[np.ndarray], window: int) -> tuple[np.ndarray, ...]:
+    """(symbol, verifying hash, text, start) of every window of the texts; long texts are parsed in overlapping parts."""
+    size = np.array([len(x) for x in names], np.int64)
+    begin = np.cumsum(size) - size
+    parts = []  # (text, first word, words)
+    for k, n in enumerate(size.tolist()):
+        at = 0
+        while n - at >= window:
+            parts.append((k, at, min(PART, n - at)))
+            if at + PART >= n:
+                break
+            at += PART - window + 1
+    if not parts:
+        return np.empty(0, np.uint64), np.empty(0, np.uint64), np.empty(0, np.int64), np.empty(0, np.int64)
+    all_names = np.concatenate(names)
+    k, at, n = (np.array(x, np.int64) for x in zip(*parts))
+    left, own = (lambda c: (np.cumsum(c) - c, np.cumsum(c)))(n)
+    place = np.arange(own[-1]) - np.repeat(left, n) + np.repeat(begin[k] + at, n)
+    flat = all_names[place]
+    opens = np.zeros(len(flat), bool)
+    opens[left] = True
+    windows = n - window + 1
+    step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
+    where = np.repeat(left, windows) + step
+    verify = _window_hashes(flat, where, window) & np.uint64((1 << 48) - 1)
+    return filing_symbols(flat, opens, where, window), verify, np.repeat(k, windows), np.repeat(at, windows) + step
+
+
 def _bucket(doc: np.ndarray, n: int) -> np.ndarray:
     return (mix(doc.view(np.uint64)) % np.uint64(n)).astype(np.int64)
 
@@ -157,34 +219,13 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SH
     shards = max(64, -(-total // shard_bytes))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text").where("doc_id is not null and text is not null")
 
+    heavy = docs.sparkSession.sparkContext.broadcast(heavy_symbols(rows, total, window, max(2, int(shard_bytes * HEAVY))))
+
     def file(docs_, keys, names):
         """Parcels of one batch: windows by symbol, and settled ranges by document (shards from ``shards`` on)."""
-        size = np.array([len(x) for x in names], np.int64)
-        begin = np.cumsum(size) - size
-        parts = []  # (text, first word, words): long texts overlap
-        for k, n in enumerate(size.tolist()):
-            at = 0
-            while n - at >= window:
-                parts.append((k, at, min(PART, n - at)))
-                if at + PART >= n:
-                    break
-                at += PART - window + 1
-        if not parts:
+        symbol, verify, text, start = _laid(names, window)
+        if len(symbol) == 0:
             return
-        all_names = np.concatenate(names)
-        k, at, n = (np.array(x, np.int64) for x in zip(*parts))
-        left, own = (lambda c: (np.cumsum(c) - c, np.cumsum(c)))(n)
-        place = np.arange(own[-1]) - np.repeat(left, n) + np.repeat(begin[k] + at, n)
-        flat = all_names[place]
-        opens = np.zeros(len(flat), bool)
-        opens[left] = True
-        windows = n - window + 1
-        step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
-        where = np.repeat(left, windows) + step
-        symbol = filing_symbols(flat, opens, where, window)
-        verify = _window_hashes(flat, where, window) & np.uint64((1 << 48) - 1)
-        text = np.repeat(k, windows)
-        start = np.repeat(at, windows) + step
         doc, key = docs_[text], keys[text]
         known = _above_least(symbol, verify, doc)
         if known.any():
@@ -192,15 +233,16 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SH
             yield from parcels(shards + _bucket(settled[0], shards), settled)
         keep = np.flatnonzero(~known)
         symbol, verify, text, start = symbol[keep], verify[keep], text[keep], start[keep]
+        place = shard_of(symbol, verify, shards, heavy.value)
         fresh = np.ones(len(keep), bool)
-        fresh[1:] = (symbol[1:] != symbol[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
+        fresh[1:] = (place[1:] != place[:-1]) | (symbol[1:] != symbol[:-1]) | (text[1:] != text[:-1]) | (start[1:] != start[:-1] + 1)
         seg = np.flatnonzero(fresh)
         length = np.diff(np.append(seg, len(keep)))
         while length.max(initial=0) > 65535:  # runs of one token in long texts
             extra = np.concatenate([np.arange(s + 65535, s + n, 65535) for s, n in zip(seg[length > 65535].tolist(), length[length > 65535].tolist())])
             seg = np.union1d(seg, extra)
             length = np.diff(np.append(seg, len(keep)))
-        shard = (symbol[seg] % np.uint64(shards)).astype(np.int64)
+        shard = place[seg]
         order = np.argsort(shard, kind="stable")
         shard, seg, length = shard[order], seg[order], length[order]
         at_window = np.concatenate([[0], np.cumsum(length)])
@@ -215,7 +257,7 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SH
         yield parcel_batch(np.array(ids), cells)
 
     def parse(batches):
-        for batch in slices(batches, "text", 2 << 20):
+        for batch in slices(batches, "text", BATCH_BYTES):
             names = [token_names(t) for t in byte_texts(batch.column("text"))]
             yield from file(np.asarray(batch.column("doc_id")), np.asarray(batch.column("text_key")), names)
 

@@ -151,6 +151,25 @@ def test_repeated_passages_equal_brute_force(spark):
     assert removed > 2000
 
 
+def test_a_line_in_all_documents_is_dealt_to_many_shards(spark):
+    r = random.Random(2)
+    words = lambda n: ["u%d" % r.randrange(10**6) for _ in range(n)]
+    line, texts = words(45), []
+    for _ in range(120):
+        texts.append(" ".join([*words(20), *line, *words(20)]))
+    texts += [" ".join([*words(5), *t.split()[10:80]]) for t in texts[:30]]
+    df = frame(spark, texts).repartition(5)
+    heavy = substrings.heavy_symbols(df.select("text"), sum(map(len, texts)), 50, 64)
+    symbol, verify = substrings._laid([substrings.token_names(t.encode()) for t in texts], 50)[:2]
+    most = lambda h: np.bincount(substrings.shard_of(symbol, verify, 64, h), minlength=64).max()
+    assert set(heavy.tolist()) >= {k for k, n in zip(*(x.tolist() for x in np.unique(symbol, return_counts=True))) if n >= 64} != set()
+    assert most(heavy) < most(np.empty(0, np.uint64)) / 4
+    rows = {x["doc_id"]: x["ranges"] for x in substrings.repeated_ranges(df, 50, 12 * 64).collect()}
+    want = plain_removal(list(enumerate(texts)))
+    assert all(substrings.removed_mask(len(w), rows.get(d)).tolist() == gone for d, w, gone in want)
+    assert sum(sum(gone) for _, _, gone in want) > 1000
+
+
 def test_texts_longer_than_a_part(spark, monkeypatch):
     monkeypatch.setattr(substrings, "PART", 120)
     texts = passages()
