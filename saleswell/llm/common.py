@@ -14,12 +14,14 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from saleswell.session import cut_lineage, work_folder
 
 SPACE = re.compile(rb"[\x20\x09-\x0d]")
 PARCEL = "shard long, parcel binary"
+#: A-Z in lower case; every ASCII character other than letters and digits a space.
+TERMS = bytes(b if b >= 0x80 or chr(b).isalnum() else 0x20 for b in bytes(range(256)).lower())
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +70,23 @@ def word_chunks(data: bytes, size: int = 1 << 20) -> Iterator[list[bytes]]:
     yield data[at:].split()
 
 
+def numbered(df: DataFrame, order: list, name: str) -> DataFrame:
+    """``df`` with ``name``, the row's place (from 1) in the whole order.
+
+    Rows are dealt by ranges of the order, and a row's place is the number of rows in
+    earlier ranges and before it in its own.  Rows that the order leaves equal are
+    told apart by where they stood, so equal rows are split too.
+    """
+    stood, part = free_name("__stood", df), free_name("__part", df)
+    keys = [*order, F.col(stood)]
+    ranged = df.withColumn(stood, F.monotonically_increasing_id()).repartitionByRange(*keys).sortWithinPartitions(*keys)
+    placed = store(ranged.drop(stood).withColumn(name, F.monotonically_increasing_id()).withColumn(part, F.shiftright(name, 33)), "numbered")
+    before = Window.orderBy(F.col(part)).rowsBetween(Window.unboundedPreceding, -1)
+    start = placed.groupBy(part).agg(F.count("*").alias("n")).select(F.col(part), F.coalesce(F.sum("n").over(before), F.lit(0)).alias(free_name("__start", df)))
+    place = F.col(name) - F.shiftleft(F.col(part), 33) + F.col(start.columns[1]) + 1
+    return placed.join(start, part).withColumn(name, place).select(*df.columns, name)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads what is equal in few bits over all bits."""
     x = (x ^ (x >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)

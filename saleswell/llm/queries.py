@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from saleswell.llm import chat, lm, packing, pieces, simhash, substrings, topk, toxicity, urlfilter, vectors
+from saleswell.llm import chat, lm, packing, pieces, prints, ranked, resample, simhash, substrings, topk, toxicity, urlfilter, vectors
 from saleswell.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -167,3 +167,75 @@ def page_entries(pages: DataFrame) -> DataFrame:
 def url_filters(spark, sf_dir):
     pages = table(spark, sf_dir, "pages")
     return urlfilter.evaluate(page_captures(pages), page_entries(pages))
+
+
+RESAMPLE_SQL = r"""
+WITH RECURSIVE t AS (
+  SELECT 's' AS side, row_number() OVER () AS row, doc_id, coalesce(text, '') AS text FROM documents
+  UNION ALL SELECT 't', row_number() OVER (), NULL, coalesce(text, '') FROM benchmark
+), w AS (
+  SELECT side, row, doc_id, regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM t
+), f AS (
+  SELECT side, row, unnest(words) AS feature FROM w
+  UNION ALL SELECT side, row, unnest([words[i] || ' ' || words[i + 1] FOR i IN range(1, len(words))]) FROM w
+), c AS (SELECT side, row, feature, count(*) AS k FROM f GROUP BY ALL),
+d AS (SELECT DISTINCT feature, hex(encode(feature)) AS h, strlen(feature) AS n FROM c),
+b AS (SELECT feature, n, i, CAST('0x' || substr(h, 2 * i - 1, 2) AS BIGINT) AS byte FROM (SELECT feature, h, n, unnest(range(1, n + 1)) AS i FROM d)),
+z AS (
+  SELECT 0 AS step, byte, byte AS state FROM range(256) r(byte)
+  UNION ALL SELECT step + 1, byte, CASE WHEN state & 1 = 1 THEN xor(state >> 1, 3988292384) ELSE state >> 1 END FROM z WHERE step < 8
+), tab AS (SELECT byte, state FROM z WHERE step = 8),
+-- crc32 is linear: what a byte, or the start value, has become after the bytes that follow it.
+far AS (
+  SELECT 0 AS rest, byte, state FROM tab
+  UNION ALL SELECT rest + 1, far.byte, xor(far.state >> 8, tab.state) FROM far JOIN tab ON tab.byte = far.state & 255 WHERE rest < (SELECT max(n) FROM d)
+), start AS (
+  SELECT 0 AS n, CAST(4294967295 AS BIGINT) AS state
+  UNION ALL SELECT n + 1, xor(start.state >> 8, tab.state) FROM start JOIN tab ON tab.byte = start.state & 255 WHERE n < (SELECT max(n) FROM d)
+), bucket AS (
+  SELECT feature, xor(xor(any_value(start.state), 4294967295), bit_xor(far.state)) % 10000 AS bucket
+  FROM b JOIN far ON far.rest = b.n - b.i AND far.byte = b.byte JOIN start ON start.n = b.n GROUP BY feature
+), total AS (SELECT bucket, coalesce(sum(k) FILTER (side = 's'), 0) AS s, coalesce(sum(k) FILTER (side = 't'), 0) AS t FROM c JOIN bucket USING (feature) GROUP BY bucket),
+al AS (SELECT CAST(sum(s) AS DOUBLE) AS s_all, CAST(sum(t) AS DOUBLE) AS t_all FROM total),
+gain AS (SELECT bucket, CAST(floor(1000 * ln((CAST(t AS DOUBLE) + 1) * (s_all + 10000) / ((CAST(s AS DOUBLE) + 1) * (t_all + 10000)))) AS BIGINT) AS gain FROM total, al),
+g AS (SELECT row, sum(k * gain) AS total FROM c JOIN bucket USING (feature) JOIN gain USING (bucket) WHERE side = 's' GROUP BY row),
+m AS (
+  SELECT row, doc_id, len(words) AS n_words, greatest(2 * len(words) - 1, 0) AS n, coalesce(total, 0) AS total,
+    CAST('0x' || substr(sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')), 1, 8) AS BIGINT) AS h
+  FROM w LEFT JOIN g USING (row) WHERE side = 's'
+), v AS (
+  SELECT *, CASE WHEN n = 0 THEN 0 ELSE CAST((total - ((total % n + n) % n)) // n AS BIGINT) END AS weight FROM m
+), x AS (SELECT *, weight + CAST(floor(-1000 * ln(-ln((h + 0.5) / 4294967296))) AS BIGINT) AS score FROM v),
+r AS (SELECT row, row_number() OVER (ORDER BY score DESC, doc_id NULLS LAST, weight, n) AS rank, 25 * count(*) OVER () // 100 AS quota FROM x WHERE n_words >= 20)
+SELECT doc_id, CAST(n AS BIGINT) AS n_features, weight, score, CAST(CASE WHEN rank <= quota THEN rank END AS BIGINT) AS rank FROM x LEFT JOIN r USING (row)
+"""
+
+
+@query("op11_importance_resampling", RESAMPLE_SQL)
+def importance_resampling(spark, sf_dir):
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+RANKED_SQL = r"""
+WITH t AS (
+  SELECT row_number() OVER () AS row, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS terms FROM documents
+), i AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')) AS term FROM benchmark WHERE item_id IS NOT NULL
+), al AS (SELECT count(*) AS n_all, CAST(sum(len(terms)) AS BIGINT) AS l_all FROM t WHERE len(terms) > 0),
+e AS (SELECT row, doc_id, len(terms) AS n, term, count(*) AS tf FROM (SELECT row, doc_id, terms, unnest(terms) AS term FROM t) WHERE term IN (SELECT term FROM i) GROUP BY row, doc_id, n, term, terms),
+d AS (SELECT term, count(*) AS df FROM e GROUP BY term),
+w AS (SELECT term, CAST(floor(1000 * ln(CAST(2 * n_all + 2 AS DOUBLE) / CAST(2 * df + 1 AS DOUBLE))) AS BIGINT) AS w FROM d, al),
+p AS (SELECT row, doc_id, term, 1000000000 * tf // (1000 * tf + 8 * (100 - 90 + 90 * n * n_all // l_all)) AS impact FROM e, al),
+s AS (SELECT item_id, row, doc_id, CAST(sum(w * impact) AS BIGINT) AS score FROM i JOIN w USING (term) JOIN p USING (term) WHERE doc_id IS NOT NULL GROUP BY item_id, row, doc_id)
+SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank, doc_id, score FROM s WHERE score > 0 QUALIFY rank <= 10
+"""
+
+
+@query("op12_ranked_search", RANKED_SQL)
+def ranked_search(spark, sf_dir):
+    return ranked.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query("op13_document_fingerprints")
+def document_fingerprints(spark, sf_dir):
+    return prints.fingerprints(table(spark, sf_dir, "documents"))

@@ -24,7 +24,7 @@ def con():
 
 def test_all_are_registered():
     names = entry.queries().keys()
-    assert [n for n in range(1, 11) if sum(x.startswith(f"op{n}_") for x in names) != 1] == [] and "pipeline" in names
+    assert [n for n in range(1, 14) if sum(x.startswith(f"op{n}_") for x in names) != 1] == [] and "pipeline" in names
 
 
 @pytest.mark.parametrize("name", sorted(SQL))
