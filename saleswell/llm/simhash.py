@@ -54,14 +54,15 @@ def fingerprint(data: bytes) -> int:
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint's 64 bits as a signed number."""
+    """(doc_id, fp, text_key): fp is the fingerprint's 64 bits as a signed number."""
 
     def run(batches):
         for batch in slices(batches, "text", 8 << 20):
             fp = np.fromiter((fingerprint(t) for t in byte_texts(batch.column("text"))), np.uint64, batch.num_rows)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64))], names=["doc_id", "fp"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp.view(np.int64)), batch.column("text_key")], names=["doc_id", "fp", "text_key"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, fp long")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("text_key"), "text")
+    return rows.mapInArrow(run, "doc_id long, fp long, text_key long")
 
 
 def _masks() -> np.ndarray:
@@ -136,19 +137,24 @@ def near_links(distinct: DataFrame, shards: int) -> DataFrame:
 
 
 def simhash_groups(docs: DataFrame) -> DataFrame:
-    """doc_id, fp, component_id (smallest doc_id reachable) for every row."""
+    """doc_id, fp, text_key (the text's hash), component_id (smallest doc_id reachable) for every row."""
     own = store(fingerprints(docs), "simhash")
     distinct = store(own.groupBy("fp").agg(F.min("doc_id").alias("doc_id")), "simhash-distinct")
     known = distinct.where("doc_id is not null")
     shards = max(32, -(-known.count() * 64 // PER_SHARD))
     near = components(near_links(known, shards))
     groups = known.join(near.withColumnRenamed("node", "doc_id"), "doc_id", "left").select(F.col("fp"), F.coalesce("component", "doc_id").alias("component_id"))
-    return own.join(groups, "fp", "left").select("doc_id", "fp", "component_id")
+    return own.join(groups, "fp", "left").select("doc_id", "fp", "text_key", "component_id")
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """Keep of each group the row with the smallest doc_id (of repeated rows one); rows without doc_id stay."""
-    c = free_name("__component", docs)
-    groups = simhash_groups(docs).where("doc_id = component_id").select(F.col("doc_id").alias(c)).distinct()
-    kept = docs.where("doc_id is not null").join(groups, docs["doc_id"] == groups[c], "left_semi")
-    return kept.dropDuplicates(["doc_id"]).unionByName(docs.where("doc_id is null"))
+    """Keep of each group the row with the smallest doc_id; rows without doc_id stay.
+
+    Of repeated rows one stays.  Of rows that share a doc_id, one stays for each group that it is the smallest in:
+    different texts with different fingerprints are not lost to each other.
+    """
+    c, key = free_name("__component", docs), free_name("__key", docs)
+    least = simhash_groups(docs).where("doc_id = component_id").groupBy("doc_id", "fp").agg(F.min("text_key").alias(key)).select(F.col("doc_id").alias(c), key).distinct()
+    rows = docs.where("doc_id is not null").withColumn(key, F.xxhash64("text"))
+    kept = rows.join(least, (rows["doc_id"] == least[c]) & (rows[key] == least[key]), "left_semi")
+    return kept.dropDuplicates(["doc_id", key]).drop(key).unionByName(docs.where("doc_id is null"))

@@ -95,6 +95,8 @@ def test_near_duplicates_odd_rows(spark):
     assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"]) for r in kept.collect() if r["text"]) == [(-1, "zz yy xx"), (-1, "zz yy xx"), (3, "a b c d")]
     groups = {(r["doc_id"], r["component_id"]) for r in simhash.simhash_groups(df).collect()}
     assert groups == {(5, 3), (3, 3), (None, 9), (9, 9), (None, None)}
+    clash = frame(spark, ["one text with its own words", "some quite different words here", "another text again and again", "another text again and again"], [4, 4, 6, 6])
+    assert sorted((r["doc_id"], r["text"][:4]) for r in simhash.drop_near_duplicates(clash).collect()) == [(4, "one "), (4, "some"), (6, "anot")]
     assert simhash.simhash_groups(df.limit(0)).count() == 0 and simhash.drop_near_duplicates(df.limit(0)).count() == 0
 
 
