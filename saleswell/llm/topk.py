@@ -1,6 +1,6 @@
 """Exact top-k inner products by ball trees.
 
-Vectors are dealt to shards by a hash of their ids; each shard builds a ball tree.  A ball with
+Vectors are dealt to shards by a hash of where they stand, so that repeated ids spread; each shard builds a ball tree.  A ball with
 centre c and radius r holds no vector whose product with q exceeds q.c + r|q|, so
 a query visits balls in the order of that bound and stops at the first below its k-th score.
 
@@ -10,7 +10,8 @@ travel in blocks of bounded size, so a task holds one shard and one block, howev
 many vectors and queries there are.
 
 Components become floor(256 x).  A vector that is null or empty or holds null or non-finite components
-(or components whose 256-fold overflows) takes no part; neither does a null vec_id.  Of rows that share a vec_id the least vector counts.
+(or components whose 256-fold overflows) takes no part; neither does a null vec_id.  Rows that share a vec_id are candidates each, and as queries
+give their best results together; they are not each other's candidates.
 Vectors of unequal length are not compared.  Products outside the range of long are set to its ends.  Extra columns are ignored.
 """
 
@@ -111,8 +112,8 @@ def top_products(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataF
     fine = "embedding is not null and size(embedding) > 0 and forall(embedding, x -> x is not null and not isnan(x) and abs(x) < double('inf'))"
     valid = store(
         embeddings.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where("vec_id is not null").where(fine)
-        .groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-        .select("vec_id", F.transform("embedding", lambda x: x * 256).alias("scaled")).where("forall(scaled, x -> abs(x) < double('inf'))"),
+        .select("vec_id", F.monotonically_increasing_id().alias("place"), F.transform("embedding", lambda x: x * 256).alias("scaled"))
+        .where("forall(scaled, x -> abs(x) < double('inf'))"),
         "topk",
     )
     n = valid.count()
@@ -125,30 +126,33 @@ def top_products(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataF
     def group(dim, shard, block):
         return (dim * shards + shard) * blocks + block
 
+    def home_of(place):
+        return (mix(place.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+
     def cells(batches, kind, first):
         for batch in batches:
-            ids = np.asarray(batch.column("vec_id"))
+            ids, place = np.asarray(batch.column("vec_id")), np.asarray(batch.column("place"))
             column = batch.column("scaled")
             size = np.asarray(pc.list_value_length(column))
             flat = np.floor(np.asarray(column.flatten()))
             least = np.asarray(batch.column("least")) if kind else None
             start = np.cumsum(size) - size
-            shard = (mix(ids.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-            block = (mix(ids.view(np.uint64) + np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
+            shard = home_of(place)
+            block = (mix(place.view(np.uint64) + np.uint64(1)) % np.uint64(blocks)).astype(np.int64)
             lead = shard if kind == 0 else block
             for dim in np.unique(size).tolist():
                 for s in np.unique(lead[size == dim]).tolist():
                     at = np.flatnonzero((size == dim) & (lead == s))
                     wide = flat[(start[at][:, None] + np.arange(dim)).reshape(-1)]
                     if kind == 0:
-                        yield from out([group(dim, s, b) for b in range(blocks)], pack([np.array([0]), ids[at], np.zeros(0, np.int64), wide]))
+                        yield from out([group(dim, s, b) for b in range(blocks)], pack([np.array([0]), ids[at], np.zeros(0, np.int64), place[at], wide]))
                     elif first:
                         for h in np.unique(shard[at]).tolist():
                             i = at[shard[at] == h]
                             wide = flat[(start[i][:, None] + np.arange(dim)).reshape(-1)]
-                            yield from out([group(dim, h, s)], pack([np.array([1]), ids[i], least[i], wide]))
+                            yield from out([group(dim, h, s)], pack([np.array([1]), ids[i], least[i], place[i], wide]))
                     else:
-                        yield from out([group(dim, h, s) for h in range(shards)], pack([np.array([1]), ids[at], least[at], wide]))
+                        yield from out([group(dim, h, s) for h in range(shards)], pack([np.array([1]), ids[at], least[at], place[at], wide]))
 
     def out(keys, cell):
         for i in range(0, len(keys), 256):
@@ -161,14 +165,13 @@ def top_products(embeddings: DataFrame, k: int = K, every: int = EVERY) -> DataF
             held = {0: [], 1: []}
             for cell in t.column("parcel"):
                 one = pa.chunked_array([pa.array([cell.as_py()], pa.binary())])
-                kind, ids, least, wide = gather(one, [np.int64, np.int64, np.int64, np.float64])
-                held[int(kind[0])].append((ids, least, _matrix(wide, len(ids))))
+                kind, ids, least, place, wide = gather(one, [np.int64, np.int64, np.int64, np.int64, np.float64])
+                held[int(kind[0])].append((ids, least, home_of(place), _matrix(wide, len(ids))))
             found: list[tuple[int, int, int]] = []
             if held[0] and held[1]:
-                ids, rows = np.concatenate([h[0] for h in held[0]]), np.concatenate([h[2] for h in held[0]])
+                ids, rows = np.concatenate([h[0] for h in held[0]]), np.concatenate([h[3] for h in held[0]])
                 tree = BallTree(rows)
-                for own, least, queries in held[1]:
-                    home = (mix(own.view(np.uint64)) % np.uint64(shards)).astype(np.int64)
+                for own, least, home, queries in held[1]:
                     for at in range(0, len(own), 256):
                         bound = tree.bounds(queries[at : at + 256])
                         for i in range(len(bound)):

@@ -19,16 +19,12 @@ def odd_rows(first=9000):
 
 
 def plain_topk(rows, k=5):
-    use = {}
-    for i, v, _ in rows:
-        if i is not None and v and all(x is not None and math.isfinite(x) and math.isfinite(256 * x) for x in v):
-            use.setdefault(i, v)
-            use[i] = min(use[i], v)
-    whole = {i: [math.floor(256 * x) for x in v] for i, v in use.items()}
+    fine = lambda i, v: i is not None and v and all(x is not None and math.isfinite(x) and math.isfinite(256 * x) for x in v)
+    whole = [(i, [math.floor(256 * x) for x in v]) for i, v, _ in rows if fine(i, v)]
     out = set()
-    for q in (i for i in whole if i % 50 == 0):
-        score = lambda v: min(max(sum(a * b for a, b in zip(whole[q], v)), -(2**63)), 2**63 - 1)
-        s = sorted((-score(v), i) for i, v in whole.items() if i != q and len(v) == len(whole[q]))
+    for q in {i for i, _ in whole if i % 50 == 0}:
+        score = lambda a, b: min(max(sum(x * y for x, y in zip(a, b)), -(2**63)), 2**63 - 1)
+        s = sorted((-score(a, v), i) for j, a in whole if j == q for i, v in whole if i != q and len(v) == len(a))
         out |= {(q, r, i, -p) for r, (p, i) in enumerate(s[:k], 1)}
     return out
 
@@ -52,6 +48,12 @@ def test_topk_of_few_and_huge(spark):
     assert got_topk(frame(spark, rows[:1])) == set() and got_topk(frame(spark, rows).limit(0)) == set()
 
 
+def test_topk_of_repeated_ids(spark):
+    rows = [(0, [1.0, 0.0], 0), (7, [1.0, 0.0], 0), (7, [0.5, 0.0], 0), (50, [0.0, 1.0], 0), (50, [2.0, 0.0], 0)] + [(8, [0.25, 0.25], 0)] * 4
+    got = got_topk(frame(spark, rows))
+    assert got == plain_topk(rows) and (0, 1, 50, 131072) in got and (0, 2, 7, 65536) in got and (0, 3, 7, 32768) in got
+
+
 def test_balls_bound_their_products():
     r = np.random.default_rng(1)
     rows = np.floor(r.normal(size=(500, 8)) * 300)
