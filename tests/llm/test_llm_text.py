@@ -203,6 +203,15 @@ def test_control_strings_cannot_be_forged(turns):
     assert "[INST]" not in out and "</s>" not in out
 
 
+def test_a_late_rewrite_of_an_early_turn_is_found():
+    def blanking(turns):
+        return chat.MarkedTemplate.render([(r, t if k != 1 or len(turns) <= 70 else "x" * len(t)) for k, (r, t) in enumerate(turns)])
+
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(80)]
+    assert chat.locate(blanking, turns).rewrites and not chat.locate(blanking, turns[:70]).rewrites
+    assert not chat.locate(chat.MarkedTemplate.render, turns).rewrites
+
+
 def test_chats_read_back(spark):
     r = random.Random(2)
     rows = []
