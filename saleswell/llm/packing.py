@@ -104,8 +104,8 @@ def pack(docs: DataFrame, capacity: int = CAPACITY, per_source: int = PER_SOURCE
                 code = own[k] if own is not None else h.intdigest() >> 1
                 for j, (n, part) in enumerate(parts):
                     seq += 1
-                    # The salt is the row's place in its batch stream and its content: copies and hot sources spread evenly.
-                    salt = xxhash.xxh64_intdigest(f"{doc}:{j}:{code}".encode(), seq if doc is None else 0)
+                    # The salt is the row's place in its batch stream and its content: copies, repeated rows and hot sources spread evenly.
+                    salt = xxhash.xxh64_intdigest(f"{doc}:{j}:{code}".encode(), seq)
                     for key, v in zip(out, (salt % shards, doc, j, len(parts), n, src, code, part if with_text else None)):
                         out[key].append(v)
             kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
