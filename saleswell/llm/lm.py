@@ -393,12 +393,17 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
 
         return run
 
+    entries = vocabulary = 0
     for level in range(1, order + 1):
+        if level > 1 and (entries + 1) * vocabulary >= 1 << 64:
+            raise OverflowError(f"level {level}: {entries} contexts and {vocabulary} tokens need keys of over 64 bits")
         count, write = (count_tokens, write_tokens) if level == 1 else (count_grams(level), write_grams(level))
         found = rows.mapInArrow(count, PARCEL).groupBy("shard").applyInArrow(write, "shard long, n long, total long").collect()  # two numbers for each shard
         n, total = np.zeros(shards, U), np.zeros(shards, U)
         for r in found:
             n[r["shard"]], total[r["shard"]] = r["n"], r["total"]
+        entries = int(n.sum())
+        vocabulary = entries if level == 1 else vocabulary
         os.makedirs(f"{folder}/level{level}", exist_ok=True)
         _write(f"{folder}/level{level}/sizes", [n, total])
     return folder
