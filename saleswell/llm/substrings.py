@@ -13,7 +13,7 @@ between them depends on the window's words alone.  A window is filed under one s
 of its core, the one of least hash at the highest level where the core has
 CORE symbols (level 0 always has 50): equal windows are filed alike, wherever they
 stand.  In a shuffle by symbol, symbols that two documents share reveal possible repeats,
-and the windows filed there are verified by their own hashes (48 bits beside the symbol's 64).
+and the windows filed there are verified by their own hashes (64 bits beside the symbol's 64).
 Heavy symbols, found by counts beforehand, are dealt by symbol and window hash, so none is bound to one task.
 
 Before the shuffle, windows that repeat within a batch are settled: all but those of the smallest
@@ -48,7 +48,7 @@ HEAVY = 1 / 12
 PART = 1 << 19
 WORD = re.compile(rb"[^\x20\x09-\x0d]+")
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
-_SEGMENT = [np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint8]
+_SEGMENT = [np.uint64, np.int64, np.int64, np.int64, np.uint16, np.uint64]
 _RANGE = [np.int64, np.int64, np.int64, np.int64]
 
 
@@ -205,7 +205,7 @@ def _laid(names: list[np.ndarray], window: int) -> tuple[np.ndarray, ...]:
     windows = n - window + 1
     step = np.arange(windows.sum()) - np.repeat(np.cumsum(windows) - windows, windows)
     where = np.repeat(left, windows) + step
-    verify = _window_hashes(flat, where, window) & np.uint64((1 << 48) - 1)
+    verify = _window_hashes(flat, where, window)
     return filing_symbols(flat, opens, where, window), verify, np.repeat(k, windows), np.repeat(at, windows) + step
 
 
@@ -247,12 +247,12 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SH
         shard, seg, length = shard[order], seg[order], length[order]
         at_window = np.concatenate([[0], np.cumsum(length)])
         pick = np.arange(at_window[-1]) - np.repeat(at_window[:-1], length) + np.repeat(seg, length)
-        short = np.ascontiguousarray(verify[pick]).view(np.uint8).reshape(-1, 8)[:, :6]
+        verify = verify[pick]
         cuts = np.flatnonzero(np.diff(shard)) + 1
         arrays = [symbol[seg], docs_[text[seg]], keys[text[seg]], start[seg], length.astype(np.uint16)]
         cells, ids = [], []
         for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(shard)]):
-            cells.append(pack([*(x[i:j] for x in arrays), short[at_window[i] : at_window[j]].reshape(-1)]))
+            cells.append(pack([*(x[i:j] for x in arrays), verify[at_window[i] : at_window[j]]]))
             ids.append(shard[i])
         yield parcel_batch(np.array(ids), cells)
 
@@ -265,17 +265,14 @@ def repeated_ranges(docs: DataFrame, window: int = WINDOW, shard_bytes: int = SH
         shard = t.column("shard")[0].as_py()
         if shard >= shards:
             return pa.table({"shard": pa.array([shard - shards] * t.num_rows, pa.int64()), "parcel": t.column("parcel")})
-        symbol, doc, key, start, length, short = gather(t.column("parcel"), _SEGMENT)
+        symbol, doc, key, start, length, verify = gather(t.column("parcel"), _SEGMENT)
         length = length.astype(np.int64)
-        wide = np.zeros((len(short) // 6, 8), np.uint8)
-        wide[:, :6] = short.reshape(-1, 6)
-        verify = wide.view(np.uint64).reshape(-1)
-        symbol = np.repeat(symbol, length)
-        doc = np.repeat(doc, length)
-        again = np.flatnonzero(_above_least(symbol, verify, doc))
-        del symbol, verify, wide
-        start = np.repeat(start, length) + np.arange(len(doc)) - np.repeat(np.cumsum(length) - length, length)
-        found = _ranges(doc[again], np.repeat(key, length)[again], start[again], window)
+        again = np.flatnonzero(_above_least(np.repeat(symbol, length), verify, np.repeat(doc, length)))
+        del symbol, verify
+        own = np.repeat(np.arange(len(length), dtype=np.int32), length)[again]  # the segment of each window found
+        start = start[own] + again - (np.cumsum(length) - length)[own]
+        found = _ranges(doc[own], key[own], start, window)
+        pa.default_memory_pool().release_unused()
         return pa.Table.from_batches(list(parcels(_bucket(found[0], shards), found)), pa.schema([("shard", pa.int64()), ("parcel", pa.binary())]))
 
     def unite(t: pa.Table) -> pa.Table:
