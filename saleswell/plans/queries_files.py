@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from saleswell.operators import maintenance as mt
+from saleswell.operators import maintenance as mt, versions as vs
 from saleswell.operators.settlements import unpivot
 from saleswell.plans import queries_ingest as ingest
 from saleswell.plans.registry import REGISTRY, query
@@ -102,3 +102,57 @@ def land_raw(f):
     path = work_folder(f.spark, "raw")
     mt.land_raw(f.events.select("event_id", "event_type", F.year("ts").alias("run")), path, ["run"])
     return files.read_jsonl(f.spark, path, "event_id bigint, event_type string, run int")
+
+
+# ------------------------------------------------------------ versioned tables
+_FROM, _TO = dt.date(1999, 1, 10), dt.date(1999, 2, 20)
+_WINDOW = f"BETWEEN DATE '{_FROM}' AND DATE '{_TO}'"
+
+
+def _run_of(rows):
+    """The folder of the write that a row's file came from."""
+    return F.regexp_extract(F.input_file_name(), "/data/([0-9a-f]{32})/", 1)
+
+
+@query("window_manifest", f"""SELECT business_date, msku, units, business_date >= DATE '1999-01-01' AND business_date < DATE '1999-03-01' AS rewritten
+    FROM (SELECT business_date, msku, units FROM v_sku_day WHERE business_date NOT {_WINDOW}
+      UNION ALL SELECT business_date, msku, units + 1000 FROM v_sku_day WHERE business_date {_WINDOW} AND day(business_date) % 2 = 0) q""")
+def window_manifest(f):
+    """Six weeks of a table by months reloaded: the two months they meet are rewritten, every other folder stays."""
+    table = work_folder(f.spark, "window-manifest")
+    facts = f.sku_day.select("business_date", "msku", "units")
+    first = vs.create(facts, table, vs.by_date("business_date", "month"), ["msku"])
+    inside = facts.where(F.col("business_date").between(F.lit(_FROM), F.lit(_TO)) & (F.dayofmonth("business_date") % 2 == 0))
+    vs.reload_window(table, inside.withColumn("units", F.col("units") + 1000), _FROM, _TO, ["msku"])
+    rows = vs.read(f.spark, table)
+    old = {folder.split("/")[1] for _, folder in first.entries}
+    return rows.select("business_date", "msku", "units", (~_run_of(rows).isin(*old)).alias("rewritten"))
+
+
+@query("window_manifest_read", f"SELECT business_date, msku, units FROM v_sku_day WHERE business_date {_WINDOW}")
+def window_manifest_read(f):
+    """A date range of a table by months: only the folders of its months are opened."""
+    table = work_folder(f.spark, "window-read")
+    vs.create(f.sku_day.select("business_date", "msku", "units"), table, vs.by_date("business_date", "month"), ["msku"])
+    return vs.read_window(f.spark, table, _FROM, _TO)
+
+
+@query("key_buckets", _again("key_reload"))
+def key_buckets(f):
+    """Settlements reloaded by key in a table of hash buckets."""
+    table = work_folder(f.spark, "key-buckets")
+    base = f.settle_wide.select("settlement_id", "shipment_id", "transaction_type")
+    shape = lambda df, o: df.select("settlement_id", "shipment_id", F.lit(o).alias("origin"))
+    vs.create(shape(base, "old"), table, vs.by_bucket(["settlement_id"], 16), ["settlement_id"])
+    vs.reload_keys(table, shape(base.where(F.col("settlement_id").startswith("S2000") & (F.col("transaction_type") == "Order")), "new"), ["settlement_id"])
+    return vs.read(f.spark, table)
+
+
+@query("upsert_buckets", f"SELECT sku, cost, description FROM ({_again('upsert_parts')}) q")
+def upsert_buckets(f):
+    """The part upsert into a table of hash buckets: only buckets of changed parts are rewritten."""
+    table = work_folder(f.spark, "upsert-buckets")
+    parts = f.part_master.select("sku", "cost", "description")
+    vs.create(parts, table, vs.by_bucket(["sku"], 16), ["sku"])
+    vs.upsert_buckets(table, ingest.part_changes(f), "n", ["sku"])
+    return vs.read(f.spark, table)

@@ -405,14 +405,18 @@ def dim_refresh(f):
       CASE WHEN t.sku IS NULL THEN 'inserted' WHEN s.sku IS NULL THEN 'kept' ELSE 'updated' END AS change
     FROM (SELECT sku, cost, description FROM v_part_master) t FULL JOIN s ON s.sku = t.sku""")
 def upsert_parts(f):
+    return mt.upsert(f.part_master.select("sku", "cost", "description"), part_changes(f), "sku", "n")
+
+
+def part_changes(f):
+    """Cost changes of some parts, padded names among them, and new parts; the highest ``n`` counts."""
     p = f.part_master.select("sku", "cost", "description", "reorder_point")
     batch = lambda cond, sku, cost, n: p.where(cond).select(sku.alias("sku"), cost.alias("cost"), F.lit(n).alias("n"))
-    source = (
+    return (
         batch("reorder_point > 20", F.col("sku"), F.col("cost") + 1, 1)
         .unionByName(batch("reorder_point > 35", F.concat(F.lit(" "), "sku"), F.col("cost") + 2, 2))
         .unionByName(batch("reorder_point = 5", F.concat(F.lit("NEW-"), "sku"), F.col("cost"), 3))
     )
-    return mt.upsert(p.select("sku", "cost", "description"), source, "sku", "n")
 
 
 # ---------------------------------------------------------------------- quality
