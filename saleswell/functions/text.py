@@ -57,11 +57,12 @@ def name_uuid(seed: Column) -> Column:
 def parse_timestamp(text: Column) -> Column:
     """ISO (``Z`` allowed) or ``dd.MM.yyyy``; anything else is NULL.
 
-    Dotted dates are turned round to ISO first, so there is one cast and no
-    failing format parse per row.
+    Dotted dates, told by their length and dots, are turned round to ISO first, so there is one cast and no
+    pattern or failing format parse per row.
     """
-    dotted = F.regexp_replace(text, r"^(\d{2})\.(\d{2})\.(\d{4})$", "$3-$2-$1")
-    return dotted.try_cast("timestamp")
+    piece = lambda at, n: F.substring(text, at, n)
+    dotted = (F.length(text) == 10) & (piece(3, 1) == ".") & (piece(6, 1) == ".")
+    return F.when(dotted, F.concat(piece(7, 4), F.lit("-"), piece(4, 2), F.lit("-"), piece(1, 2))).otherwise(text).try_cast("timestamp")
 
 
 def parse_ordinal_date(text: Column) -> Column:

@@ -149,12 +149,55 @@ def is_folder(spark: SparkSession, path: str) -> bool:
     return fs.getFileStatus(of(path)).isDirectory()
 
 
-def current_version(spark: SparkSession, table: str) -> str | None:
+def create_exclusively(spark: SparkSession, target: str, text: str) -> bool:
+    """Write a small file that does not exist yet; False if it does.  It appears whole or not at all, and of two writers one gets True.
+
+    Needs a file system whose rename refuses an existing target at once (HDFS and the like) or local disks.
+    """
+    fs, path = _fs(spark, target)
+    jvm, final = spark.sparkContext._jvm, path(target)
+    fs.mkdirs(final.getParent())
+    aside = path(final.getParent(), f".{uuid.uuid4().hex}")
+    stream = fs.create(aside, False)
+    try:
+        stream.write(bytearray(text, "utf-8"))
+    finally:
+        stream.close()
+    try:
+        if fs.getScheme() != "file":
+            return not fs.exists(final) and fs.rename(aside, final)
+        of = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
+        try:  # a local rename would replace the target; a link never does
+            jvm.java.nio.file.Files.createLink(of(final), of(aside))
+        except Exception:
+            if not fs.exists(final):
+                raise
+            return False
+        return True
+    finally:
+        fs.delete(aside, False)
+
+
+def read_small(spark: SparkSession, target: str) -> str:
+    fs, path = _fs(spark, target)
+    stream = fs.open(path(target))
+    try:
+        return spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8")
+    finally:
+        stream.close()
+
+
+def _pointer(spark: SparkSession, table: str) -> tuple[int, str | None]:
+    """Number and content of the newest pointer."""
     fs, path = _fs(spark, table)
-    pointer = path(f"{table}/{POINTER}")
-    if not fs.exists(pointer):
-        return None
-    return spark.read.text(f"{table}/{POINTER}").first()[0]
+    folder = path(f"{table}/{POINTER}")
+    names = [s.getPath().getName() for s in fs.listStatus(folder)] if fs.exists(folder) else []
+    newest = max((int(n) for n in names if n.isdigit()), default=0)
+    return newest, read_small(spark, f"{table}/{POINTER}/{newest:010d}") if newest else None
+
+
+def current_version(spark: SparkSession, table: str) -> str | None:
+    return _pointer(spark, table)[1]
 
 
 def read_table(spark: SparkSession, table: str) -> DataFrame:
@@ -202,25 +245,12 @@ def publish(
 def move_pointer(spark: SparkSession, table: str, seen: str | None, version: str) -> None:
     """Make ``version`` current, unless another writer has moved the pointer from ``seen`` meanwhile.
 
-    The pointer is written aside and renamed over the old one, so readers meet the old
-    name or the new one, never an empty file.
+    Pointers are numbered files, and the next number is created exclusively: of two publishers that saw the same
+    version one succeeds.  Readers take the newest whole pointer.
     """
-    fs, path = _fs(spark, table)
-    aside = path(f"{table}/{POINTER}.{uuid.uuid4().hex}")
-    stream = fs.create(aside, False)
-    try:
-        stream.write(bytearray(version, "utf-8"))
-    finally:
-        stream.close()
-    if current_version(spark, table) != seen:
-        fs.delete(aside, False)
+    number, now = _pointer(spark, table)
+    if now != seen or not create_exclusively(spark, f"{table}/{POINTER}/{number + 1:010d}", version):
         raise RuntimeError(f"{table} was published by another writer")
-    jvm, gateway = spark.sparkContext._jvm, spark.sparkContext._gateway
-    rename = jvm.org.apache.hadoop.fs.Options.Rename
-    options = gateway.new_array(rename, 1)
-    options[0] = rename.OVERWRITE
-    context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark.sparkContext._jsc.hadoopConfiguration())
-    context.rename(aside, path(f"{table}/{POINTER}"), options)
 
 
 def _remove(spark: SparkSession, target: str) -> None:

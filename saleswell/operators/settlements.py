@@ -76,7 +76,7 @@ def unpivot(wide: DataFrame, keep: tuple[str, ...] | None = None, ingested_at: d
     """Up to four components per row: price, fee, promotion, other.
 
     Zero components vanish, except the principal price of a row that sold
-    something.  A narrow ``inline`` of a filtered array: no shuffle, no UDF.
+    something.  No shuffle, no UDF.
     Settlement period, deposit time and total come along where the file has them; ``ingested_at`` is the caller's.
     """
     has = lambda names: [c for c in names if c in wide.columns]
@@ -87,16 +87,19 @@ def unpivot(wide: DataFrame, keep: tuple[str, ...] | None = None, ingested_at: d
         for kind, (label, amount) in cells.items()
     ])
     qty = F.col("quantity_purchased")
-    keeps = lambda p: (p["amount"] != 0) | (
-        (p["amount_type"] == "Price") & (p["amount_description"] == "Principal") & (qty > 0)
-    )
+    # Times are parsed beside the array, once a row: what stands beside ``inline`` itself is computed for each component.
+    # Components go after it, not by a filter over the array, which no generated code evaluates.  The array is never
+    # empty: ``inline_outer`` keeps the optimizer from building it once more, below, to ask for its size.
     rows = wide.withColumn("quantity_purchased", _quantity()).where(qty.isNotNull()).select(
         *keep,
         *[parse_timestamp(F.col(c)).alias(c) for c in has(TIMES)],
         *[_amount(c).alias(c) for c in has(("total_amount",))],
         _posted(wide).alias("posted_date_time"),
-        *([F.lit(ingested_at).alias("ingested_at")] if ingested_at else []),
         qty,
-        F.inline(F.filter(parts, keeps)),
+        parts.alias("_parts"),
     )
-    return rows.withColumn("posted_date", F.col("posted_date_time").cast("date"))
+    beside = [c for c in rows.columns if c != "_parts"]
+    stamped = [F.lit(ingested_at).alias("ingested_at")] if ingested_at else []
+    keeps = (F.col("amount") != 0) | ((F.col("amount_type") == "Price") & (F.col("amount_description") == "Principal") & (qty > 0))
+    out = rows.select(*beside, F.inline_outer("_parts")).where(keeps)
+    return out.select(*beside, *stamped, F.col("posted_date_time").cast("date").alias("posted_date"), "amount_type", "amount_description", "amount")

@@ -10,8 +10,8 @@ columns (:func:`by_bucket`).  Rows without a date form a partition of their own,
 
 The next number is claimed by creating its file exclusively: of two writers one wins.  The
 other starts again from the winner's version if that left its partitions alone, and gives
-up with :class:`Conflict` if not.  Readers hold one manifest and never see a mix.  The exclusive claim
-needs a file system whose rename refuses an existing target at once (HDFS and the like) or local disks.
+up with :class:`Conflict` if not.  Readers hold one manifest and never see a mix.  See :func:`maintenance.create_exclusively`
+for the file systems that this holds on.
 """
 
 from __future__ import annotations
@@ -106,42 +106,16 @@ def load(spark: SparkSession, table: str, number: int | None = None) -> Version:
     if not known or number is not None and number not in known:
         raise FileNotFoundError(f"{table} has no version {number or ''}".rstrip())
     number = known[-1] if number is None else number
-    fs, path = maintenance._fs(spark, table)
-    stream = fs.open(path(_file(table, number)))
-    try:
-        data = json.loads(spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
-    finally:
-        stream.close()
+    data = json.loads(maintenance.read_small(spark, _file(table, number)))
     kind, columns, buckets = data["layout"]
     return Version(table, number, Layout(kind, tuple(columns), buckets), T.StructType.fromJson(data["schema"]), tuple(map(tuple, data["entries"])))
 
 
 def claim(spark: SparkSession, version: Version) -> bool:
     """Make ``version`` the next one; False if its number is taken.  The file appears whole or not at all."""
-    fs, path = maintenance._fs(spark, version.table)
-    jvm = spark.sparkContext._jvm
     layout = version.layout
     data = json.dumps({"layout": [layout.kind, layout.columns, layout.buckets], "schema": version.schema.jsonValue(), "entries": version.entries})
-    fs.mkdirs(path(f"{version.table}/versions"))
-    aside, final = path(f"{version.table}/versions/.{uuid.uuid4().hex}"), path(_file(version.table, version.number))
-    stream = fs.create(aside, False)
-    try:
-        stream.write(bytearray(data, "utf-8"))
-    finally:
-        stream.close()
-    try:
-        if fs.getScheme() == "file":  # a local rename would replace the target; a link never does
-            of = lambda p: jvm.java.io.File(p.toUri().getPath()).toPath()
-            try:
-                jvm.java.nio.file.Files.createLink(of(final), of(aside))
-            except Exception:
-                if not fs.exists(final):
-                    raise
-                return False
-            return True
-        return not fs.exists(final) and fs.rename(aside, final)
-    finally:
-        fs.delete(aside, False)
+    return maintenance.create_exclusively(spark, _file(version.table, version.number), data)
 
 
 def _write(df: DataFrame, table: str, layout: Layout, sort: Sequence[str]) -> tuple[str, list[tuple[str, str]]]:

@@ -1,5 +1,7 @@
 import datetime as dt
 
+import threading
+
 import pytest
 from hypothesis import HealthCheck, given, settings, strategies as st
 from pyspark.sql import functions as F
@@ -283,6 +285,23 @@ def test_publish_is_atomic_and_refuses_lost_updates(spark, tmp_path):
     assert mt.publish(spark.range(0), table, empty_input="keep") and mt.read_table(spark, table).count() == 0
 
 
+def test_of_publishers_at_once_one_wins(spark, tmp_path):
+    table = str(tmp_path / "t")
+    first, won = mt.publish(spark.range(3), table), []
+
+    def move(name):
+        try:
+            mt.move_pointer(spark, table, first, name)
+            won.append(name)
+        except RuntimeError:
+            pass
+
+    threads = [threading.Thread(target=move, args=(f"v={k}",)) for k in range(12)]
+    [t.start() for t in threads]
+    [t.join() for t in threads]
+    assert len(won) == 1 and mt.current_version(spark, table) == won[0]
+
+
 def test_null_keys_spread_and_never_match(spark):
     df = spark.range(4000).select("id", F.when(F.col("id") % 10 == 0, F.col("id") % 3).alias("location_id"))
     keys = df.select(spread_nulls(F.col("location_id"), "bigint", F.col("id")).alias("k")).groupBy("k").count()
