@@ -104,6 +104,64 @@ def land_raw(f):
     return files.read_jsonl(f.spark, path, "event_id bigint, event_type string, run int")
 
 
+# ------------------------------------------- files of many layouts and encodings
+def _write_reports(f, lines, name):
+    """One file per value of ``file``, in two sub-folders, its lines by ``place``."""
+    path = work_folder(f.spark, name)
+    lines.repartition("file").sortWithinPartitions("file", "place").select("file", "value").write.partitionBy("file").text(f"{path}-parts")
+    fs, of = mt._fs(f.spark, path)
+    for k, folder in enumerate(sorted(s.getPath().toString() for s in fs.listStatus(of(f"{path}-parts")) if s.isDirectory())):
+        target = of(f"{path}/{k % 2}/{folder.rsplit('file=', 1)[1]}.csv")
+        fs.mkdirs(target.getParent())
+        (part,) = [s.getPath() for s in fs.listStatus(of(folder)) if s.getPath().getName().startswith("part-")]
+        fs.rename(part, target)
+    return path
+
+
+_EVEN = "month(business_date) % 2 = 0"
+_FILE = "'Econ ' || month(business_date) || '-1-' || {yy} || ' to ' || month(business_date) || '-' || day(last_day(business_date)) || '-' || {yy}"
+
+
+def _month_reports(f):
+    """Sales by month with two header lines; the columns of odd and even months differ in order and name."""
+    facts = f.sku_day.withColumn("file", F.expr(_FILE.format(yy="date_format(business_date, 'yy')"))).withColumn("even", F.expr(_EVEN))
+    even, odd = F.concat_ws(",", "msku", "asin", "units", "fees"), F.concat_ws(",", "msku", "fees", "units", "asin")
+    body = facts.select("file", F.lit(2).alias("place"), F.when(F.col("even"), even).otherwise(odd).alias("value"))
+    heads = facts.select("file", "even").distinct().select("file", F.posexplode(F.when(F.col("even"), F.array(F.lit("Product,,Sales,"), F.lit("SKU,ASIN,Units,Fees"), F.lit(",,,")))
+        .otherwise(F.array(F.lit("Product,Sales,,Info"), F.lit("SKU,Fees,Units,ASIN"), F.lit(" , ,,")))).alias("place", "value"))
+    return body.unionByName(heads)
+
+
+_REPORT = f"""SELECT *, {_FILE.format(yy="strftime(business_date, '%y')")} || '.csv' AS file, {_EVEN} AS even,
+    make_date(2000 + CAST(year(business_date) % 100 AS INTEGER), month(business_date), 1) AS first_day, day(last_day(business_date)) AS last FROM v_sku_day"""
+
+
+@query("two_row_header_csv", f"""SELECT CASE WHEN NOT even THEN asin END AS info_asin, CASE WHEN even THEN asin END AS product_asin, msku AS product_sku,
+    CAST(fees AS VARCHAR) AS sales_fees, CAST(units AS VARCHAR) AS sales_units, first_day AS report_start_date, first_day + CAST(last - 1 AS INTEGER) AS report_end_date, file AS source_file FROM ({_REPORT}) q""")
+def two_row_header_csv(f):
+    """Report files in nested folders, with two header lines and two layouts, read in one pass of heads and one of bodies."""
+    return files.read_reports(f.spark, _write_reports(f, _month_reports(f), "reports"))
+
+
+@query("recursive_reports", f"SELECT file AS source_file, even, CAST(COUNT(*) AS BIGINT) AS n, CAST(SUM(units) AS DOUBLE) AS units FROM ({_REPORT}) q GROUP BY 1, 2")
+def recursive_reports(f):
+    """What each report file of a folder tree holds."""
+    rows = files.numeric_columns(files.read_reports(f.spark, _write_reports(f, _month_reports(f), "reports")), ["sales_units"])
+    return rows.groupBy("source_file", F.col("product_asin").isNotNull().alias("even")).agg(F.count("*").alias("n"), F.sum("sales_units").alias("units"))
+
+
+@query("mixed_encodings", """SELECT sku, description || ' ' || chr(233) || CASE CAST(reorder_point AS BIGINT) % 3 WHEN 2 THEN chr(129) ELSE chr(8217) END AS description, cost FROM
+    (SELECT sku, description, reorder_point, CAST(CAST(cost AS DECIMAL(18,2)) AS VARCHAR) AS cost FROM v_part_master) q""")
+def mixed_encodings(f):
+    """CSV files in UTF-8, windows-1252 and Latin-1 below one folder, each decoded by its own bytes."""
+    path = work_folder(f.spark, "encodings")
+    for k, (encoding, mark) in enumerate((("utf-8", "\u2019"), ("iso-8859-1", "\u0092"), ("iso-8859-1", "\u0081"))):  # byte 92 is a windows-1252 quote, 81 undefined there
+        rows = f.part_master.where(F.col("reorder_point").cast("bigint") % 3 == k)
+        marked = rows.select("sku", F.concat("description", F.lit(f" \u00e9{mark}")).alias("description"), F.col("cost").cast("decimal(18,2)").alias("cost"))
+        marked.write.options(header=True, encoding=encoding, escape='"').csv(f"{path}/{k}")
+    return files.read_csv_any_encoding(f.spark, path, "*.csv").select("sku", "description", "cost")
+
+
 # ------------------------------------------------------------ versioned tables
 _FROM, _TO = dt.date(1999, 1, 10), dt.date(1999, 2, 20)
 _WINDOW = f"BETWEEN DATE '{_FROM}' AND DATE '{_TO}'"

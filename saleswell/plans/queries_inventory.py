@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from saleswell.functions import accounts as acc, keys as ky
-from saleswell.operators import generators as gen, ledger, maintenance as mt, parity, syncqueue as sq
+from saleswell.operators import generators as gen, ledger, maintenance as mt, parity, refusals, syncqueue as sq
 from saleswell.operators.ordered import row_numbers
 from saleswell.plans.registry import query
 from saleswell.sources.sample import Feeds
@@ -134,6 +134,47 @@ def ledger_balances(f):
     return ledger.final_balances(ledger.replay_requests(requests(f), "ord", block()), "ord")
 
 
+_WALK = """RECURSIVE rq AS (
+    SELECT l.sku, e.created_at * 10 + row_number() OVER (PARTITION BY l.event_id ORDER BY l.line_id) AS seq, l.line_id, l.qty, l.new_qty,
+      CASE WHEN l.from_location_id IS NOT NULL THEN 'transfer' WHEN l.new_qty IS NOT NULL THEN 'set' ELSE 'delta' END AS mode,
+      l.location_id, l.from_location_id, l.to_location_id FROM v_event_line l JOIN v_event e USING (event_id)),
+  od AS (SELECT *, row_number() OVER (PARTITION BY sku ORDER BY seq, line_id) AS n FROM rq),
+  wk AS (
+    SELECT sku, CAST(0 AS BIGINT) AS n, MAP([CAST(-1 AS BIGINT)], [CAST(0 AS DOUBLE)]) AS held, CAST(NULL AS VARCHAR) AS mode, CAST(NULL AS BIGINT) AS a, CAST(NULL AS BIGINT) AS b,
+      CAST(NULL AS DOUBLE) AS da, CAST(NULL AS DOUBLE) AS db, CAST(NULL AS BOOLEAN) AS fits FROM (SELECT DISTINCT sku FROM od) q
+    UNION ALL
+    SELECT sku, n, CASE WHEN NOT fits THEN held WHEN mode = 'transfer' THEN map_concat(map_concat(held, MAP([a], [greatest(ba + da, 0)])), MAP([b], [greatest(CASE WHEN a = b THEN ba + da ELSE bb END + db, 0)]))
+      ELSE map_concat(held, MAP([a], [greatest(ba + da, 0)])) END, mode, a, b, da, db, fits
+    FROM (SELECT *, ba + da >= -1e-9 AND (mode <> 'transfer' OR bb + db >= -1e-9) AS fits
+      FROM (SELECT *, CASE mode WHEN 'transfer' THEN -qty WHEN 'set' THEN new_qty - ba ELSE qty END AS da, qty AS db
+        FROM (SELECT o.sku, o.n, o.mode, o.qty, o.new_qty, k.held, coalesce(o.from_location_id, o.location_id) AS a, o.to_location_id AS b,
+            coalesce(k.held[coalesce(o.from_location_id, o.location_id)], 0) AS ba, coalesce(k.held[o.to_location_id], 0) AS bb
+          FROM wk k JOIN od o ON o.sku = k.sku AND o.n = k.n + 1) x) y) z),
+  rj AS (
+    SELECT w.sku, o.seq, o.line_id, w.a AS location_id, w.da AS delta, w.held[w.a] AS h, w.fits FROM wk w JOIN od o ON o.sku = w.sku AND o.n = w.n WHERE w.mode <> 'transfer'
+    UNION ALL SELECT w.sku, o.seq, o.line_id, w.a, w.da, CASE WHEN w.fits AND w.a = w.b THEN w.held[w.a] - w.db ELSE w.held[w.a] END, w.fits FROM wk w JOIN od o ON o.sku = w.sku AND o.n = w.n WHERE w.mode = 'transfer'
+    UNION ALL SELECT w.sku, o.seq, o.line_id, w.b, w.db, w.held[w.b], w.fits FROM wk w JOIN od o ON o.sku = w.sku AND o.n = w.n WHERE w.mode = 'transfer')"""
+
+
+def change_requests(f):
+    """All event lines as requests, in order."""
+    lines = sequenced(f)
+    mode = F.when(F.col("from_location_id").isNotNull(), "transfer").when(F.col("new_qty").isNotNull(), "set").otherwise("delta")
+    return lines.withColumn("mode", mode)
+
+
+@query("ledger_reject", f"WITH {_WALK} SELECT sku, line_id, location_id, delta, coalesce(h, 0) AS on_hand, fits AS accepted, CASE WHEN NOT fits THEN 'below zero' END AS reason FROM rj")
+def ledger_reject(f):
+    """Every change of the log, decided: those that would take a location below zero are refused."""
+    return refusals.decide(change_requests(f), block()).drop("seq")
+
+
+@query("ledger_reject_adjustments", f"WITH {_WALK.replace('JOIN v_event e USING (event_id))', 'JOIN v_event e USING (event_id) WHERE l.location_id IS NOT NULL)')} SELECT sku, line_id, location_id, delta, coalesce(h, 0) AS on_hand, fits AS accepted FROM rj")
+def ledger_reject_adjustments(f):
+    """Adjustments alone: no transfer couples locations, so every SKU goes by block functions."""
+    return refusals.decide(change_requests(f).where("mode <> 'transfer'"), block()).drop("seq", "reason")
+
+
 _TO_VOID = "e.event_id % 7 = 3"
 
 

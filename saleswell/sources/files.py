@@ -1,7 +1,6 @@
 """Readers for landed files.
 
-All reads are lazy and schema-first.  The only driver-side work is metadata:
-listing names, two header rows, the first bytes of a file.
+Reads are schema-first.  The only driver-side work is metadata: column names and the newest file's name.
 """
 
 from __future__ import annotations
@@ -17,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
 from saleswell.functions.calendar import try_date
+from saleswell.session import cut_lineage
 
 ENCODINGS = ("utf-8", "windows-1252", "iso-8859-1")
 
@@ -41,51 +41,125 @@ def read_tsv(spark: SparkSession, path: str) -> DataFrame:
     return df.toDF(*[c.strip().replace("-", "_") for c in df.columns])
 
 
+@functools.cache
+def _windows_marks() -> tuple[str, str]:
+    """The bytes that windows-1252 reads otherwise than Latin-1: as Latin-1 characters, and their meaning."""
+    codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
+    return "".join(map(chr, codes)), "".join(bytes([c]).decode("cp1252") for c in codes)
+
+
 def read_csv(spark: SparkSession, path: str, encoding: str = "utf-8", multiline: bool = False) -> DataFrame:
     """CSV with a header, all strings, byte-order mark removed from the first name.
 
     ``multiline`` allows line breaks inside quotes, at the price of unsplittable files.
     """
     # Spark reads no Windows code page; its bytes are Latin-1 but for one range of marks.
-    windows = encoding == "windows-1252"
+    windows = encoding == ENCODINGS[1]
     df = (
         spark.read.option("header", True).option("encoding", "iso-8859-1" if windows else encoding).option("escape", '"')
         .option("multiLine", multiline).csv(path)
     )
     if windows:
-        codes = [c for c in range(0x80, 0xA0) if bytes([c]).decode("cp1252", "ignore")]
-        marks = "".join(bytes([c]).decode("cp1252") for c in codes)
-        df = df.withColumns({c: F.translate(f"`{c}`", "".join(map(chr, codes)), marks) for c in df.columns})
+        codes, marks = _windows_marks()
+        df = df.withColumns({c: F.translate(f"`{c}`", codes, marks) for c in df.columns})
     return df.toDF(*[c.lstrip("\ufeff").strip() for c in df.columns])
 
 
-def detect_encoding(spark: SparkSession, path: str, choices: Sequence[str] = ENCODINGS) -> str:
-    """First encoding that decodes every file.
+# ------------------------------------------------- files of several encodings and headers
+#: Bytes that windows-1252 leaves undefined, as Latin-1 characters.
+_UNDEFINED = "[\u0081\u008d\u008f\u0090\u009d]"
+
+
+def _lines(spark: SparkSession, path: str, pattern: str | None) -> DataFrame:
+    """Lines as bytes, with their file and the start of their block.  Files are split like any text, none is held whole."""
+    reader = spark.read.option("recursiveFileLookup", True)
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.text(path).select(
+        F.col("value").cast("binary").alias("raw"), F.is_valid_utf8("value").alias("utf8"),
+        F.col("_metadata.file_path").alias("path"), F.col("_metadata.file_block_start").alias("at"),
+    )
+
 
-    Decoding runs on the executors and only a flag per file returns; the last
-    choice decodes anything.
+def file_profiles(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """``path, encoding, head``: per file the first encoding that decodes all its lines, and its first two lines as bytes.
+
+    One scan and one aggregate that combines on the map side.  A file's first two lines are neighbours in its first block, so
+    one has an even number there and one an odd number: the least of each are the two.
     """
-    raw = spark.read.format("binaryFile").load(path).select("content")
-    for name in choices[:-1]:
-        codec = {"windows-1252": "cp1252"}.get(name, name)
+    lines = _lines(spark, path, pattern).withColumn("id", F.monotonically_increasing_id())
+    first = lambda odd: F.min(F.when((F.col("at") == 0) & (F.col("id") % 2 == odd), F.struct("id", "raw")))
+    windows = ~F.decode("raw", "ISO-8859-1").rlike(_UNDEFINED)
+    found = lines.groupBy("path").agg(F.bool_and("utf8").alias("utf8"), F.bool_and(windows).alias("windows"), F.array_sort(F.array_compact(F.array(first(0), first(1)))).alias("head"))
+    encoding = F.when(F.col("utf8"), ENCODINGS[0]).when(F.col("windows"), ENCODINGS[1]).otherwise(ENCODINGS[2])
+    return found.select("path", encoding.alias("encoding"), F.col("head.raw").alias("head"))
+
+
+def decoded(raw: Column, encoding: Column) -> Column:
+    """Text of bytes in one of :data:`ENCODINGS`, row by row."""
+    latin = F.decode(raw, "ISO-8859-1")
+    codes, marks = _windows_marks()
+    return F.when(encoding == ENCODINGS[0], F.decode(raw, "UTF-8")).when(encoding == ENCODINGS[1], F.translate(latin, codes, marks)).otherwise(latin)
+
+
+def detect_encoding(spark: SparkSession, path: str) -> str:
+    """First encoding that decodes every file below a path; the last one decodes anything."""
+    worst = functools.reduce(lambda a, e: F.when(F.col("encoding") == e, ENCODINGS.index(e)).otherwise(a), ENCODINGS[1:], F.lit(0))
+    return ENCODINGS[file_profiles(spark, path).agg(F.max(worst)).first()[0] or 0]
+
+
+def read_csv_any_encoding(spark: SparkSession, path: str, pattern: str | None = None) -> DataFrame:
+    """CSV files with a header line, each in its own encoding and with its own columns; all strings, columns united by name."""
+    return _read_headed(spark, path, pattern, 1)
+
+
+def _cells(text: str) -> list[str]:
+    return next(csv.reader(io.StringIO(text)), [])
 
-        def broken(batches, codec=codec):
-            for frame in batches:
-                bad = 0
-                for blob in frame["content"]:
-                    try:
-                        bytes(blob).decode(codec)
-                    except UnicodeDecodeError:
-                        bad += 1
-                yield frame.head(1).assign(bad=bad)[["bad"]]
 
-        if not raw.mapInPandas(broken, "bad long").where("bad > 0").head(1):
-            return name
-    return choices[-1]
+def _names(head: list[bytes], encoding: str, rows: int) -> list[str]:
+    """Column names from a file's header lines; none if the file is too short."""
+    codec = {"windows-1252": "cp1252"}.get(encoding, encoding)
+    cells = [_cells(bytes(line).decode(codec).removeprefix("\ufeff")) for line in head[:rows]]
+    if len(cells) < rows:
+        return []
+    return flatten_headers(*cells) if rows == 2 else [c.strip() or f"col_{i}" for i, c in enumerate(cells[0])]
 
 
-def read_csv_any_encoding(spark: SparkSession, path: str) -> DataFrame:
-    return read_csv(spark, path, detect_encoding(spark, path))
+def file_layouts(spark: SparkSession, path: str, pattern: str | None, rows: int) -> DataFrame:
+    """``path, encoding, head, names`` of the files that have their header lines, computed once."""
+
+    def run(frames):
+        for frame in frames:
+            frame["names"] = [_names(list(h), e, rows) for h, e in zip(frame["head"], frame["encoding"])]
+            yield frame
+
+    profiles = file_profiles(spark, path, pattern)
+    named = profiles.mapInPandas(run, "path string, encoding string, head array<binary>, names array<string>")
+    return cut_lineage(named.where(F.size("names") > 0))
+
+
+def _read_headed(spark: SparkSession, path: str, pattern: str | None, rows: int) -> DataFrame:
+    """Rows of files with ``rows`` header lines, and ``_file``.
+
+    Layouts stay a table that joins the lines by their file; only the distinct column names, and the largest number of columns, reach
+    the driver.  Of columns that a file names alike the first counts.  Rows of a split file carry no position, so header lines are
+    told apart by content.  Rows without any value are dropped.
+    """
+    layouts = file_layouts(spark, path, pattern, rows)
+    names = sorted(r[0] for r in layouts.select(F.explode("names")).distinct().collect())
+    if not names:
+        raise FileNotFoundError(f"no {pattern or 'file'} with {rows} header lines under {path}")
+    width = layouts.agg(F.max(F.size("names"))).first()[0]
+    places = F.transform(F.array(*map(F.lit, names)), lambda n: F.array_position("names", n).cast("int"))
+    known = layouts.select("path", "encoding", F.slice("head", 1, rows).alias("head"), places.alias("places"))
+    lines = _lines(spark, path, pattern).select("path", "raw").join(known, "path").where(~F.array_contains("head", F.col("raw")))
+    schema = ", ".join(f"c{i} string" for i in range(width))
+    parsed = lines.select("path", "places", F.from_csv(decoded(F.col("raw"), F.col("encoding")), schema, {"escape": '"'}).alias("r"))
+    cells = parsed.select("path", "places", F.array(*[F.nullif(F.trim(f"r.c{i}"), F.lit("")) for i in range(width)]).alias("cells"))
+    file = F.replace(F.element_at(F.split("path", "/"), -1), F.lit("%20"), F.lit(" "))
+    value = lambda k: F.get("cells", F.get("places", F.lit(k)) - 1)
+    return cells.where(F.exists("cells", lambda c: c.isNotNull())).select(*[value(k).alias(n) for k, n in enumerate(names)], file.alias("_file"))
 
 
 # ----------------------------------------------------------- two-row header CSV
@@ -107,54 +181,16 @@ def flatten_headers(top: Sequence[str | None], bottom: Sequence[str | None]) ->
     return [normalize_name(label) or f"col_{i}" for i, label in enumerate(labels)]
 
 
-def report_layouts(spark: SparkSession, path: str, pattern: str = "*.csv") -> dict[tuple[str, str], list[str]]:
-    """Files grouped by their two header lines.
-
-    One job reads the heads on the executors; only names and header text, which
-    are metadata, reach the driver.
-    """
-    files = (
-        spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", pattern).load(path)
-    )
-    text = F.regexp_replace(F.decode("content", "UTF-8"), "^\ufeff", "")
-    heads = files.select("path", F.slice(F.split(text, r"\r?\n", 3), 1, 2).alias("h")).where(F.size("h") == 2)
-    grouped = heads.groupBy("h").agg(F.sort_array(F.collect_list("path")).alias("paths"))
-    return {tuple(r.h): r.paths for r in grouped.toLocalIterator()}
-
-
-def _read_layout(spark: SparkSession, paths: list[str], heads: tuple[str, str]) -> DataFrame:
-    top, bottom = (next(csv.reader(io.StringIO(h))) for h in heads)
-    names = flatten_headers(top, bottom)
-    cols = [f"c{i}" for i in range(len(names))]
-    schema = T.StructType([T.StructField(c, T.StringType()) for c in cols])
-    rows = spark.read.schema(schema).option("header", False).csv(paths)
-    name = F.replace(F.element_at(F.split(F.input_file_name(), "/"), -1), F.lit("%20"), F.lit(" "))
-    clean = {c: F.nullif(F.trim(F.regexp_replace(c, "^\ufeff", "")), F.lit("")) for c in cols}
-    body = rows.withColumns({**clean, "_file": name})
-    # Rows of a split file carry no position, so headers are told apart by content.
-    for head in (top, bottom):
-        same = [F.col(c).eqNullSafe(F.lit((head[i].strip() if i < len(head) else "") or None)) for i, c in enumerate(cols)]
-        body = body.where(~functools.reduce(lambda a, b: a & b, same))
-    start, end = report_period(F.col("_file"))
-    out = body.na.drop(how="all", subset=cols).select(
-        *[F.col(c).alias(n) for c, n in zip(cols, names)],
-        start.alias("report_start_date"), end.alias("report_end_date"), F.col("_file").alias("source_file"),
-    )
-    return out.where(F.col("report_start_date").isNotNull())
-
-
 def read_reports(spark: SparkSession, path: str, pattern: str = "*.csv") -> DataFrame:
-    """Every matching two-header report under a folder, recursively.
+    """Every matching two-header report under a folder, recursively, whatever its columns and encoding.
 
-    One scan per column layout; layouts are unioned by name.  Values stay text
-    (:func:`numeric_columns` types them), all-blank rows are dropped, and a
+    Columns are united by name.  Values stay text (:func:`numeric_columns` types them), all-blank rows are dropped, and a
     file whose name carries no period gives no rows.
     """
-    layouts = report_layouts(spark, path, pattern)
-    if not layouts:
-        raise FileNotFoundError(f"no {pattern} under {path}")
-    frames = [_read_layout(spark, paths, heads) for heads, paths in sorted(layouts.items())]
-    return functools.reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
+    rows = _read_headed(spark, path, pattern, 2)
+    start, end = report_period(F.col("_file"))
+    out = rows.select("*", start.alias("report_start_date"), end.alias("report_end_date"), F.col("_file").alias("source_file"))
+    return out.drop("_file").where(F.col("report_start_date").isNotNull())
 
 
 def numeric_columns(df: DataFrame, columns: Sequence[str]) -> DataFrame:
@@ -191,9 +227,11 @@ def read_documents(spark: SparkSession, folder: str, pattern: str = "*.md", skip
 
 
 def read_audit_tail(lines: DataFrame, schema: str, time_column: str, limit: int) -> DataFrame:
-    """Newest entries of a JSON-lines log; malformed lines are skipped."""
+    """Newest entries of a JSON-lines log; malformed lines are skipped, entries of one time follow by their content."""
+    if limit < 0:
+        raise ValueError(f"limit must not be negative: {limit}")
     parsed = lines.select(F.from_json("value", schema).alias("e")).where(F.col(f"e.{time_column}").isNotNull())
-    return parsed.select("e.*").orderBy(F.desc(time_column)).limit(max(int(limit), 0))
+    return parsed.orderBy(F.desc(f"e.{time_column}"), F.to_json("e")).select("e.*").limit(limit)
 
 
 def created_since(manifest: DataFrame, since: dt.datetime, column: str = "created_time") -> DataFrame:

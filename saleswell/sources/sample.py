@@ -281,8 +281,9 @@ def oracle(sql: str) -> str:
     if not ctes:
         return body
     head = ",\n".join(ctes)
-    if body.upper().startswith("WITH "):
-        return f"WITH {head},\n{body[5:]}"
+    for opening in ("WITH RECURSIVE ", "WITH "):
+        if body.upper().startswith(opening):
+            return f"{opening}{head},\n{body[len(opening):]}"
     return f"WITH {head}\n{body}"
 
 

@@ -31,6 +31,35 @@ def test_encodings_tsv_and_latest(spark, tmp_path):
     assert files.latest_file(spark, str(tmp_path), "s*.txt").endswith("s.txt")
 
 
+def test_each_file_has_its_own_encoding_and_columns(spark, tmp_path):
+    (tmp_path / "sub").mkdir()
+    (tmp_path / "u.csv").write_bytes("\ufeffSku,Name\na,Café ’\n\"b,1\",\"say \"\"hi\"\"\"\n,\n".encode("utf-8"))
+    (tmp_path / "sub" / "w.csv").write_bytes("Name,Sku,Extra\r\nCafé ’,c,\r\n".encode("cp1252"))
+    (tmp_path / "l.csv").write_bytes("Sku,Name\nd,é\x81\n".encode("latin-1"))
+    (tmp_path / "empty.csv").write_bytes(b"")
+    got = {tuple(r) for r in files.read_csv_any_encoding(spark, str(tmp_path), "*.csv").select("Sku", "Name", "Extra", "_file").collect()}
+    assert got == {("a", "Café ’", None, "u.csv"), ("b,1", 'say "hi"', None, "u.csv"), ("c", "Café ’", None, "w.csv"), ("d", "é\x81", None, "l.csv")}
+    profiles = {r["path"].rsplit("/", 1)[1]: (r["encoding"], [bytes(h) for h in r["head"]]) for r in files.file_profiles(spark, str(tmp_path), "*.csv").collect()}
+    assert {k: v[0] for k, v in profiles.items()} == {"u.csv": "utf-8", "w.csv": "windows-1252", "l.csv": "iso-8859-1"}
+    assert profiles["w.csv"][1] == [b"Name,Sku,Extra", "Café ’,c,".encode("cp1252")]
+    with pytest.raises(FileNotFoundError):
+        files.read_csv_any_encoding(spark, str(tmp_path), "empty.csv")
+
+
+def test_heads_of_split_files(spark, tmp_path):
+    """Files of many blocks, and many files in one partition: a head is always the file's own first two lines."""
+    for k in range(12):
+        (tmp_path / f"f{k}.csv").write_text(f"top{k},x\nmetric{k},y\n" + "".join(f"{k}-{i},{i}\n" for i in range(3000 if k % 5 == 0 else k)))
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "8k")
+    try:
+        heads = {r["path"].rsplit("/", 1)[1]: [bytes(h).decode() for h in r["head"]] for r in files.file_profiles(spark, str(tmp_path)).collect()}
+        assert heads == {f"f{k}.csv": [f"top{k},x", f"metric{k},y"] for k in range(12)}
+        assert files._read_headed(spark, str(tmp_path), "f5.csv", 2).count() == 3000
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_parts_master(spark, tmp_path):
     (tmp_path / "p.csv").write_text('Sku,Active Status,Cost,Price,Extra\n 007 ,Active,"$1,200.50",,z\n,Active,1,1,z\n', encoding="utf-8-sig")
     p = parts.clean_parts(files.read_csv(spark, str(tmp_path / "p.csv"))).collect()
