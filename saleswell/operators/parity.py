@@ -105,10 +105,13 @@ def all_match_count(compared: DataFrame) -> DataFrame:
 
 def known_item_lines(lines: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Lines whose item exists (by any candidate key), and the lines that do not."""
+    # Names are matched once for each distinct pair; lines then find their pair, without being exploded themselves.
     keys = item_lookup(items).select("key")
-    keyed = lines.select("line_id", F.explode(candidate_keys(F.col("item_full_name"), F.col("sku"))).alias("key"))
-    hit = keyed.join(keys, "key", "left_semi").select("line_id").distinct()
-    return lines.join(hit, "line_id", "left_semi"), lines.join(hit, "line_id", "left_anti")
+    pairs = lines.select(F.col("item_full_name").alias("_name"), F.col("sku").alias("_sku")).distinct()
+    keyed = pairs.select("_name", "_sku", F.explode(candidate_keys(F.col("_name"), F.col("_sku"))).alias("key"))
+    hit = keyed.join(keys, "key", "left_semi").select("_name", "_sku").distinct()
+    same = lines["item_full_name"].eqNullSafe(hit["_name"]) & lines["sku"].eqNullSafe(hit["_sku"])
+    return lines.join(hit, same, "left_semi"), lines.join(hit, same, "left_anti")
 
 
 def difference(left: DataFrame, right: DataFrame, key: Column | str) -> DataFrame:

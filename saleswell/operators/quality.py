@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import functools
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
@@ -14,6 +15,20 @@ def _row(name: str, value, passed) -> list:
     return [F.lit(name).alias("check_name"), value.cast("double").alias("value"), passed.alias("passed")]
 
 
+def skip_rows(raw: DataFrame, key: str, numbers: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Rows to load, ``numbers`` as double, and the rows left out with a ``reason``: ``empty``, ``no key`` or ``not a number``.
+
+    One pass decides both: every row is in exactly one of the two.
+    """
+    blank = lambda c: F.coalesce(F.trim(F.col(c).cast("string")), F.lit("")) == ""
+    empty = functools.reduce(lambda a, b: a & b, [blank(c) for c in raw.columns])
+    unread = functools.reduce(lambda a, b: a | b, [F.col(c).try_cast("double").isNull() for c in numbers], F.lit(False))
+    reason = F.when(empty, "empty").when(blank(key), "no key").when(unread, "not a number")
+    marked = raw.withColumn("reason", reason)
+    kept = marked.where("reason is null").drop("reason")
+    return kept.withColumns({c: F.col(c).try_cast("double") for c in numbers}), marked.where("reason is not null")
+
+
 def partition_present(fact: DataFrame, day: dt.date, column: str = "business_date") -> DataFrame:
     n = fact.where(F.col(column) == F.lit(day)).agg(F.count("*").alias("n"))
     return n.select(*_row("partition_present", F.col("n"), F.col("n") > 0))

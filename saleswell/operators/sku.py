@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saleswell import config
 from saleswell.functions.keys import canonical_sku, has_prefix, normalize_sku
@@ -575,6 +575,12 @@ def top_parent_variants(sales: DataFrame, stock: DataFrame, k: int = 10) -> Data
     )
 
 
+def rank_in_parent(variants: DataFrame) -> DataFrame:
+    """Variants with their ``rank_in_parent`` by revenue and their ``share`` of the parent's, for a breakdown of a few parents."""
+    order = Window.partitionBy("parent_sku").orderBy(F.desc("revenue"), "variant_sku", "product_name")
+    return variants.withColumn("rank_in_parent", F.row_number().over(order)).withColumn("share", ratio(F.col("revenue"), F.col("parent_revenue"), 100.0))
+
+
 def stock_by_sku(stock: DataFrame) -> DataFrame:
     return stock.groupBy(F.lower(F.trim("sku")).alias("join_sku")).agg(F.max("quantity").alias("stock"))
 

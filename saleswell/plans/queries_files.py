@@ -6,7 +6,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
-from saleswell.operators import maintenance as mt, versions as vs
+from saleswell.operators import maintenance as mt, runs, sketches, versions as vs
 from saleswell.operators.settlements import unpivot
 from saleswell.plans import queries_ingest as ingest
 from saleswell.plans.registry import REGISTRY, query
@@ -88,6 +88,16 @@ def write_fact_pruned(f):
     return f.spark.read.schema("msku string, units bigint, business_date date").parquet(path).where(days).select("business_date", "msku", "units")
 
 
+@query("bucketed_join", "SELECT o.channel, l.product_id, CAST(SUM(l.quantity) AS BIGINT) AS quantity FROM v_order o JOIN v_line l USING (order_id) GROUP BY 1, 2")
+def bucketed_join(f):
+    """Orders and lines in the same buckets of order_id: the join reads them side by side, without a shuffle."""
+    path = work_folder(f.spark, "bucketed")
+    name = lambda kind: f"{kind}_{path.rsplit('-', 1)[1]}"
+    orders = mt.write_bucketed(f.order.select("order_id", "channel"), name("orders"), f"{path}/orders", ["order_id"], 8)
+    lines = mt.write_bucketed(f.line.select("order_id", "product_id", "quantity"), name("lines"), f"{path}/lines", ["order_id"], 8)
+    return orders.join(lines, "order_id").groupBy("channel", "product_id").agg(F.sum("quantity").alias("quantity"))
+
+
 @query("export_report", "SELECT sku, item_full_name, CAST(CAST(cost AS DECIMAL(18,2)) AS VARCHAR) AS cost FROM v_part_master")
 def export_report(f):
     """CSV with a header and a fixed column order, names with commas and quotes included."""
@@ -214,3 +224,38 @@ def upsert_buckets(f):
     vs.create(parts, table, vs.by_bucket(["sku"], 16), ["sku"])
     vs.upsert_buckets(table, ingest.part_changes(f), "n", ["sku"])
     return vs.read(f.spark, table)
+
+
+# ------------------------------------------------------------------ measured runs
+@query("run_log", """SELECT channel AS query_id, 'success' AS status, CAST(COUNT(*) AS BIGINT) AS row_count, CAST(SUM(total) AS DOUBLE) AS total, false AS failed FROM v_order GROUP BY 1
+    UNION ALL SELECT 'again', 'failed', 0, NULL, true""")
+def run_log(f):
+    """Loads that log what they wrote while writing it, and one that fails because its target exists."""
+    path = work_folder(f.spark, "runs")
+    seconds = iter(range(1000))
+    now = lambda: dt.datetime(2002, 1, 1) + dt.timedelta(seconds=next(seconds))
+    run = lambda df, target, name: runs.logged(df, lambda d: d.write.mode("errorifexists").parquet(target), f"{path}/log", dt.date(2002, 1, 1), now, name, total=F.sum("total"))
+    sums = []
+    for channel in ("storefront", "marketplace", "wholesale"):
+        orders = f.order.where(F.col("channel") == channel)
+        sums.append((channel, float(run(orders, f"{path}/{channel}", channel)["total"] or 0)))
+    try:
+        run(f.order, f"{path}/wholesale", "again")
+    except Exception as error:
+        if "exist" not in str(error).lower():
+            raise
+    totals = f.spark.createDataFrame(sums, "query_id string, total double")
+    log = runs.read_log(f.spark, f"{path}/log")
+    return log.join(totals, "query_id", "left").select("query_id", "status", "row_count", "total", F.col("error").isNotNull().alias("failed"))
+
+
+@query("distinct_sketches", """SELECT CAST(date_trunc('month', event_day) AS DATE) AS month, CAST(COUNT(DISTINCT user_pseudo_id) AS BIGINT) AS users, true AS within FROM v_web GROUP BY 1""")
+def distinct_sketches(f):
+    """Monthly users from stored daily sketches, beside the exact count, and whether they keep their error bound."""
+    path = work_folder(f.spark, "sketches")
+    sketches.daily(f.web, "event_day", "user_pseudo_id").write.parquet(path)
+    month = F.trunc("event_day", "month").alias("month")
+    told = sketches.merged(f.spark.read.parquet(path), [month]).select("month", sketches.estimate("about"))
+    exact = f.web.groupBy(month).agg(F.count_distinct("user_pseudo_id").alias("users"))
+    bound = F.greatest(F.lit(1.0), F.col("users") * sketches.error_bound())
+    return exact.join(told, "month").select("month", "users", (F.abs(F.col("about") - F.col("users")) <= bound).alias("within"))

@@ -203,8 +203,18 @@ def skip_rules(f):
     raw = f.part.select(
         F.when(size % 5 == 1, F.lit(" ")).when(size % 5 != 0, F.col("p_name")).alias("sku"),
         F.when((size % 5 > 1) & (size % 7 != 0), F.col("p_retailprice").cast("string")).when(size % 5 > 1, F.lit("oops")).alias("price"))
-    kept = raw.na.drop(how="all").where(F.trim("sku") != "")
-    return kept.select("sku", F.col("price").try_cast("double").alias("price")).where(F.col("price").isNotNull())
+    return dq.skip_rows(raw, "sku", ["price"])[0]
+
+
+@query("skip_quarantine", """SELECT sku, price, CASE WHEN coalesce(trim(sku), '') = '' AND price IS NULL THEN 'empty' ELSE 'not a number' END AS reason FROM (SELECT CASE WHEN p_size % 5 = 0 THEN NULL WHEN p_size % 5 = 1 THEN ' ' ELSE p_name END AS sku,
+    CASE WHEN p_size % 5 IN (0, 1) THEN NULL WHEN p_size % 7 = 0 THEN 'oops' ELSE 'n' END AS price FROM part) q WHERE coalesce(trim(sku), '') = '' OR price = 'oops'""")
+def skip_quarantine(f):
+    """The rows that the skip rules leave out, each with its reason."""
+    size = F.col("p_size")
+    raw = f.part.select(
+        F.when(size % 5 == 1, F.lit(" ")).when(size % 5 != 0, F.col("p_name")).alias("sku"),
+        F.when((size % 5 > 1) & (size % 7 != 0), F.col("p_retailprice").cast("string")).when(size % 5 > 1, F.lit("oops")).alias("price"))
+    return dq.skip_rows(raw, "sku", ["price"])[1]
 
 
 @query("dates_from_filename", """SELECT o_orderkey AS order_id, CAST(o_orderdate + INTERVAL 8 YEAR AS DATE) AS report_start_date, CAST(o_orderdate + INTERVAL 8 YEAR AS DATE) + 6 AS report_end_date

@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from saleswell.functions import accounts as acc, keys as ky
-from saleswell.operators import generators as gen, ledger, maintenance as mt, parity, refusals, syncqueue as sq
+from saleswell.operators import generators as gen, ledger, maintenance as mt, paging, parity, refusals, syncqueue as sq
 from saleswell.operators.ordered import row_numbers
 from saleswell.plans.registry import query
+from saleswell.session import work_folder
 from saleswell.sources.sample import Feeds
 
 NOW = 915_148_800_000  # 1999-01-01 as epoch milliseconds
@@ -68,6 +69,15 @@ def paged_overview(f):
     return ledger.page(overview(f), [F.lower("sku"), "sku"], number=3, size=25).select("sku", "on_hand")
 
 
+@query("paged_rank_index", f"""WITH {_BAL}, {_OVERVIEW}, n AS (SELECT sku, on_hand, row_number() OVER (ORDER BY lower(sku), sku) AS rank, COUNT(*) OVER () AS total FROM ov)
+    SELECT rank, sku, on_hand, CAST((total + 24) // 25 AS BIGINT) AS pages FROM n WHERE rank BETWEEN 126 AND 150""")
+def paged_rank_index(f):
+    """The sixth page and the number of pages, from an index of blocks written once."""
+    table = work_folder(f.spark, "rank-index")
+    paging.build(overview(f), [F.lower("sku"), "sku"], table, rows_per_block=64)
+    return paging.page(f.spark, table, 6, 25).select("rank", "sku", "on_hand", F.lit(paging.pages(f.spark, table, 25)).cast("bigint").alias("pages"))
+
+
 @query("search_parts", f"SELECT sku, description FROM v_part_master WHERE {_ACTIVE} AND (lower(sku) LIKE '%5%' OR lower(description) LIKE '%red%')")
 def search_parts(f):
     hits = ledger.search_parts(f.part_master, "5").select("sku", "description")

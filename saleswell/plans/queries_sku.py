@@ -431,6 +431,16 @@ def top_parent_variants(f):
     return sku.top_parent_variants(variant_rows(f), stock(f))
 
 
+@query("parent_variant_ranks", f"""WITH {_VARIANTS}, tp AS (SELECT parent_sku, SUM(revenue) AS pr FROM vs GROUP BY 1 ORDER BY pr DESC, parent_sku LIMIT 10),
+    t AS (SELECT vs.parent_sku, product_name, variant_sku, {d2('SUM(revenue)')} AS revenue, {d2('max(pr)')} AS parent_revenue FROM vs JOIN tp USING (parent_sku) GROUP BY 1, 2, 3)
+    SELECT parent_sku, variant_sku, product_name, revenue, CAST(row_number() OVER (PARTITION BY parent_sku ORDER BY revenue DESC, variant_sku, product_name) AS INTEGER) AS rank_in_parent,
+      {sql_ratio('revenue', 'parent_revenue', 100)} AS share FROM t""")
+def parent_variant_ranks(f):
+    """Variants of the best parents in order, with their share of the parent."""
+    ranked = sku.rank_in_parent(sku.top_parent_variants(variant_rows(f), stock(f)))
+    return ranked.select("parent_sku", "variant_sku", "product_name", "revenue", "rank_in_parent", "share")
+
+
 @query("buy_forecast", f"""WITH {_VARIANTS}, s AS (SELECT parent_sku, product_name, variant_sku,
       CAST(SUM(CASE WHEN order_date BETWEEN DATE '2000-01-01' AND DATE '2000-05-31' THEN quantity ELSE 0 END) AS BIGINT) AS a,
       CAST(SUM(CASE WHEN order_date BETWEEN DATE '2000-06-01' AND DATE '2000-12-31' THEN quantity ELSE 0 END) AS BIGINT) AS b FROM vs GROUP BY 1, 2, 3)
