@@ -225,6 +225,8 @@ def lookup_parts(parts: DataFrame, requests: DataFrame) -> DataFrame:
 def page(df: DataFrame, order: Sequence[Column | str], number: int, size: int) -> DataFrame:
     """One page of an ordered result: the top ``number * size`` rows, then the last slice.
 
-    For deep pages filter on the last key seen instead (keyset paging).
+    For deep pages write a rank index once (:mod:`saleswell.operators.paging`).
     """
-    return df.orderBy(*order).offset((max(number, 1) - 1) * size).limit(size)
+    if number < 1 or size < 1:
+        raise ValueError(f"page number and size start at 1: {number}, {size}")
+    return df.orderBy(*order).offset((number - 1) * size).limit(size)

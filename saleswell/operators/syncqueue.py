@@ -97,7 +97,9 @@ def mark_in_flight(events: DataFrame, asked: DataFrame) -> tuple[DataFrame, Data
 
 def release_stale(events: DataFrame, now_ms: int, older_than_ms: int = config.STALE_IN_FLIGHT_SECONDS * 1000) -> DataFrame:
     """In-flight events without an answer for too long go back to pending."""
-    stale = (F.col("qb_status") == "in_flight") & (F.coalesce("last_attempt_at", "created_at") <= now_ms - max(older_than_ms, 0))
+    if older_than_ms < 0:
+        raise ValueError(f"older_than_ms must not be negative: {older_than_ms}")
+    stale = (F.col("qb_status") == "in_flight") & (F.coalesce("last_attempt_at", "created_at") <= now_ms - older_than_ms)
     return events.withColumns({
         "retry_at": F.when(stale, F.lit(now_ms)).otherwise(F.col("retry_at")),
         "qb_status": F.when(stale, F.lit("pending")).otherwise(F.col("qb_status")),

@@ -16,7 +16,8 @@ SAMPLE = (
     "new_vs_returning web_traffic cogs_bucket channel_week pl_monthly yoy_tolerance prior_period kpi_totals pl_variance sales_by_sku top_categories "
     "top_skus_channel sku_report buy_forecast cost_asof noise_products settlement_unpivot economics_flatten invoice_parse drift_checks upsert_parts "
     "ledger_replay running_balance queue_replay item_match parity_stats validate_lines chunk_events purge_selector session_kpi nested_events "
-    "mark_in_flight sync_lines invoice_headers economics_gz settlement_tsv_file item_xml_file publish_roundtrip write_fact_pruned stream_daily_kpi"
+    "mark_in_flight sync_lines invoice_headers economics_gz settlement_tsv_file item_xml_file publish_roundtrip write_fact_pruned stream_daily_kpi "
+    "window_manifest upsert_buckets ledger_reject ledger_reject_adjustments mixed_encodings two_row_header_csv paged_rank_index run_log session_blocks late_rows"
 ).split()
 NAMES = list(REGISTRY) if os.environ.get("SALESWELL_ALL") else SAMPLE
 

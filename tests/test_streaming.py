@@ -1,7 +1,9 @@
+import datetime as dt
+
 from pyspark.sql import functions as F
 
 from saleswell.operators import syncqueue as sq
-from saleswell.streaming import jobs, stateful
+from saleswell.streaming import jobs, late, stateful, timers
 from test_sources import INVOICE
 
 REQ = "sku string, seq long, line_id string, mode string, qty double, new_qty double, location_id long, from_location_id long, to_location_id long"
@@ -51,6 +53,48 @@ def test_invoice_stream_and_snapshots(spark, tmp_path):
     assert {(r.qb_status, r.events, r.taken_at) for r in spark.read.json(p("snap")).collect()} == {("pending", 2, "t0"), ("error", 1, "t0")}
 
 
+def test_queue_timers_equal_the_batch_steps(spark, tmp_path):
+    stateful.use_rocksdb(spark)
+    schema = "event_id long, seq int, at_ms long, kind string, success boolean, error_code string, error_message string, txn_id string, txn_type string"
+    minute, began, rows = 60_000, 10**9, []
+    for e in range(9):
+        rows.append((e, 1, began + e * minute, "mark", None, None, None, None, None))
+        if e % 3:
+            rows.append((e, 2, began + e * minute + 5, "result", e % 3 == 1, "3140" if e == 2 else "500", "m", "T" if e % 3 == 1 else None, None))
+    rows.append((99, 1, began + 14 * minute, "mark", None, None, None, None, None))  # moves the watermark
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    changes = jobs.once_appended(timers.queue_with_timers(jobs.parquet_stream(spark, str(tmp_path / "in"))), "timers")
+    got = {r["event_id"]: r for r in timers.latest(changes).collect()}
+    start = spark.range(9).select(F.col("id").alias("event_id"), F.lit("committed").alias("status"), F.lit("pending").alias("qb_status"), F.lit(None).cast("string").alias("error_code"), F.lit(0).alias("retry_count"),
+                                  F.lit(0).cast("long").alias("retry_at"), F.lit(0).cast("long").alias("created_at"), F.lit(None).cast("long").alias("last_attempt_at"))
+    log = spark.createDataFrame(rows, schema).where("event_id < 9")
+    marked, _, _ = sq.mark_in_flight(start, log.where("kind = 'mark'").select("event_id", F.lit("t").alias("ticket"), "at_ms"))
+    results = log.where("kind = 'result'").select("event_id", "seq", "at_ms", "success", "error_code", F.lit(None).cast("boolean").alias("retryable"), "error_message", "txn_id", "txn_type")
+    want = {r["event_id"]: r for r in sq.release_stale(sq.apply_results(marked, results), began + 14 * minute).collect()}
+    for e in range(9):
+        assert all(got[e][c] == want[e][c] for c in ("qb_status", "retry_count", "last_attempt_at", "error_code", "error_message", "txn_id")), e
+        released = got[e]["last_attempt_at"] + timers.STALE_MS
+        assert (got[e]["what"] == "released") == (want[e]["released"] and released < began + 14 * minute)
+        assert got[e]["retry_at"] == (released if got[e]["what"] == "released" else want[e]["retry_at"])
+    assert got[5]["what"] == "ready" and got[6]["qb_status"] == "in_flight" and got[99]["qb_status"] == "in_flight"
+
+
+def test_late_rows_are_counted_and_kept(spark, tmp_path):
+    src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
+    day = lambda d: dt.datetime(2024, 1, d)
+    put = lambda rows: spark.createDataFrame(rows, "id int, ts timestamp_ntz").coalesce(1).write.mode("append").parquet(src)
+    run = lambda: late.split_late(spark.readStream.schema("id int, ts timestamp_ntz").parquet(src), "ts", dt.timedelta(days=3), out, ck)
+    put([(1, day(10)), (2, day(1)), (3, None)])
+    run()
+    put([(4, day(7)), (5, day(6)), (6, None), (7, day(20))])
+    run()
+    put([(8, day(16)), (9, day(17))])
+    run()
+    assert sorted(r["id"] for r in late.read(spark, out, True).collect()) == [5, 8] and late.read(spark, out).count() == 9
+    got = [(r["batch_id"], r["rows"], r["late_rows"], r["watermark"]) for r in late.marks(spark, out).orderBy("batch_id").collect()]
+    assert got == [(0, 3, 0, None), (1, 4, 1, day(7)), (2, 2, 1, day(17))]
+
+
 def test_streams_read_a_file_or_a_folder_of_parts(spark, tmp_path):
     from conftest import SMALL
     from saleswell.streaming import traffic
