@@ -40,15 +40,20 @@ def encode(values: np.ndarray) -> list[np.ndarray]:
     return [np.array([n, low, top], U), low_words, high_words, before]
 
 
+#: Place of the nth set bit of a byte, at [byte, nth].
+_IN_BYTE = np.array([[*(p for p in range(8) if b >> p & 1), *[0] * (8 - b.bit_count())] for b in range(256)], np.uint8).reshape(-1)
+_EACH = U(0x0101010101010101)  # 1 in every byte
+_TOP = U(0x8080808080808080)
+
+
 def _nth_set(words: np.ndarray, nth: np.ndarray) -> np.ndarray:
-    """Position of the nth (from 0) set bit of each word."""
-    at, nth = np.zeros(len(words), U), nth.astype(np.int64)
-    for step in (32, 16, 8, 4, 2, 1):
-        count = np.bitwise_count((words >> at) & U((1 << step) - 1)).astype(np.int64)
-        beyond = nth >= count
-        nth -= np.where(beyond, count, 0)
-        at += np.where(beyond, U(step), U(0))
-    return at
+    """Position of the nth (from 0) set bit of each word: set bits up to each byte, then a table for the byte."""
+    x = words - ((words >> _ONE) & U(0x5555555555555555))
+    x = (x & U(0x3333333333333333)) + ((x >> U(2)) & U(0x3333333333333333))
+    upto = ((x + (x >> U(4))) & U(0x0F0F0F0F0F0F0F0F)) * _EACH
+    shift = np.bitwise_count(((nth * _EACH | _TOP) - upto) & _TOP).astype(U) << U(3)
+    nth = nth - (((upto << U(8)) >> shift) & U(255))
+    return shift + _IN_BYTE[(((words >> shift) & U(255)) << U(3)) | nth]
 
 
 class EliasFano:
@@ -83,12 +88,29 @@ class EliasFano:
         out[some] = (bit - nth).astype(np.int64)
         return out
 
-    def successor(self, values: np.ndarray, first: np.ndarray | None = None, last: np.ndarray | None = None) -> np.ndarray:
-        """First position in [first, last) whose element is >= value (last if none)."""
+    def _bucket_end(self, high: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """First position beyond the elements that share a high part, whose first one is known."""
+        bit = first.astype(U) + high
+        shift = bit & U(63)
+        rest = self.high_words[(bit >> U(6)).astype(np.int64)] >> shift
+        ones = np.bitwise_count(rest & ~(rest + _ONE)).astype(U)  # set bits before the next clear one
+        out = first + ones.astype(np.int64)
+        over = np.flatnonzero(shift + ones >= U(64))
+        out[over] = self._bucket(high[over] + _ONE)
+        return out
+
+    def successor(self, values: np.ndarray) -> np.ndarray:
+        """First position whose element is >= value (n if none)."""
+        return self.search(values, 0, self.n)[0]
+
+    def search(self, values: np.ndarray, first: np.ndarray | int, last: np.ndarray | int) -> tuple[np.ndarray, np.ndarray]:
+        """First position in [first, last) whose element is >= value (last if none), and whether it equals the value."""
         values = values.astype(U)
         over = values > U(self.top)
         high = np.where(over, U(0), values >> U(self.low))
-        a, b = self._bucket(high), self._bucket(high + _ONE)
+        a = self._bucket(high)
+        end = self._bucket_end(high, a)
+        b = end.copy()
         part = values & U((1 << self.low) - 1)
         while True:  # bisect the low parts of the bucket
             go = np.flatnonzero(a < b)
@@ -98,4 +120,7 @@ class EliasFano:
             less = self._low(mid) < part[go]
             a[go[less]], b[go[~less]] = mid[less] + 1, mid[~less]
         a[over] = self.n
-        return a if first is None else np.clip(a, first, last)
+        same = np.zeros(len(a), bool)
+        inside = np.flatnonzero((a < end) & ~over)
+        same[inside] = self._low(a[inside]) == part[inside]
+        return np.clip(a, first, last), same & (a >= first) & (a < last)

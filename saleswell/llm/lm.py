@@ -94,28 +94,39 @@ def _numbers(planes: np.ndarray, n: int) -> np.ndarray:
     return out.view(U).reshape(-1)
 
 
-def narrow(key: np.ndarray, count: np.ndarray) -> bytes:
-    """Ascending keys as byte planes of their steps, and counts less one likewise, in one cell; keys are whole."""
+def narrow(key: np.ndarray, count: np.ndarray, below: np.ndarray | None = None) -> bytes:
+    """Ascending keys as byte planes of their steps, counts less one likewise, and 32-bit floats if given, in one cell; keys are whole."""
     steps, counts = _planes(np.diff(key)), _planes(count.astype(U) - U(1))
-    return np.array([len(key), len(steps), key[0]], U).tobytes() + steps.tobytes() + counts.tobytes()
+    lower = b"" if below is None else below.astype(np.float32).tobytes()
+    return np.array([len(key), len(steps), len(counts), key[0]], U).tobytes() + steps.tobytes() + counts.tobytes() + lower
 
 
-def widen(cell) -> tuple[np.ndarray, np.ndarray]:
+def widen(cell) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, counts and floats (none, if none were given)."""
     data = np.frombuffer(cell, np.uint8)
-    n, size, first = (int(x) for x in data[:24].copy().view(U))
-    steps = _numbers(data[24 : 24 + size], n - 1) if n > 1 else np.empty(0, U)
-    return np.cumsum(np.concatenate([np.array([first], U), steps]), dtype=U), _numbers(data[24 + size :], n) + U(1)
+    n, size, counts, first = (int(x) for x in data[:32].copy().view(U))
+    steps = _numbers(data[32 : 32 + size], n - 1) if n > 1 else np.empty(0, U)
+    at = 32 + size + counts
+    key = np.cumsum(np.concatenate([np.array([first], U), steps]), dtype=U)
+    return key, _numbers(data[32 + size : at], n) + U(1), np.frombuffer(data[at:].tobytes(), np.float32)
 
 
-def _narrow_parcels(shard: np.ndarray, key: np.ndarray, count: np.ndarray) -> Iterator[pa.RecordBatch]:
-    """Rows of PARCEL of ascending keys."""
-    if len(key) == 0:
+def _narrow_parcels(shard: np.ndarray, *arrays: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Rows of PARCEL of ascending keys, their counts and perhaps floats."""
+    if len(shard) == 0:
         return
-    order = np.argsort(shard, kind="stable")
-    shard, key, count = shard[order], key[order], count[order]
+    if np.any(shard[1:] < shard[:-1]):
+        order = np.argsort(shard, kind="stable")
+        shard, arrays = shard[order], [a[order] for a in arrays]
     cuts = np.flatnonzero(np.diff(shard)) + 1
     first, last = [0, *cuts.tolist()], [*cuts.tolist(), len(shard)]
-    yield parcel_batch(shard[first].astype(np.int64), [narrow(key[i:j], count[i:j]) for i, j in zip(first, last)])
+    yield parcel_batch(shard[first].astype(np.int64), [narrow(*(a[i:j] for a in arrays)) for i, j in zip(first, last)])
+
+
+def _runs(values: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where runs of equal values begin, and each value's run."""
+    new = np.concatenate([[True], values[1:] != values[:-1]]) if len(values) else np.empty(0, bool)
+    return np.flatnonzero(new), np.cumsum(new) - 1
 
 
 class Shard:
@@ -143,14 +154,10 @@ class Shard:
         out = np.full(len(context), -1)
         own = context - self.first_context
         ok = np.flatnonzero((own >= 0) & (own < self.pointers.n - 1))
-        first, last = self.pointers.get(own[ok]).astype(np.int64), self.pointers.get(own[ok] + 1).astype(np.int64)
-        some = first < last
-        ok, first, last = ok[some], first[some], last[some]
+        begin, run = _runs(own[ok])
+        first, last = (self.pointers.get(own[ok][begin] + k).astype(np.int64)[run] for k in (0, 1))
         value = own[ok].astype(U) * U(vocabulary) + word[ok].astype(U)
-        at = self.successors.successor(value, first, last)
-        inside = at < last
-        ok, at, value = ok[inside], at[inside], value[inside]
-        same = self.successors.get(at) == value
+        at, same = self.successors.search(value, first, last)
         out[ok[same]] = at[same]
         return out
 
@@ -182,7 +189,7 @@ class Trie:
         return self.shards[level, k]
 
     def _by_shard(self, which: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-        order = np.argsort(which, kind="stable")
+        order = np.argsort(which, kind="stable") if np.any(which[1:] < which[:-1]) else np.arange(len(which))
         cuts = np.flatnonzero(np.diff(which[order])) + 1
         for part in np.split(order, cuts):
             if len(part):
@@ -211,71 +218,66 @@ class Trie:
             before[at], count[at] = a + self.totals[level][k], c
         return before, count
 
-    def gram_shard(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Shard of an n-gram: its place among all training tokens' places, in n_shards even parts."""
-        before, count = self.counts(level - 1, context)
-        whole = float(self.tokens + self.texts)
+    def gram_shard(self, context: tuple[np.ndarray, np.ndarray], word: np.ndarray) -> np.ndarray:
+        """Shard of an n-gram, given its context's counts(): its place among all training tokens' places, in n_shards even parts."""
+        before, count = context
+        whole = float(max(self.tokens + self.texts, 1))
         place = before.astype(np.float64) + count.astype(np.float64) * (word / max(self.vocabulary, 1))
         return np.minimum((place * (self.n_shards / whole)).astype(np.int64), self.n_shards - 1)
 
-    def find(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """Places of n-grams in their level, -1 where unknown (so are those of context or word)."""
-        out = np.full(len(context), -1)
-        some = np.flatnonzero((context >= 0) & (word >= 0))
-        if len(some) == 0:
-            return out
-        for k, at in self._by_shard(self.gram_shard(level, context[some], word[some])):
-            at = some[at]
+    def context_counts(self, level: int, context: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """counts() of contexts, places in level - 1 that mostly come in runs."""
+        begin, run = _runs(context)
+        before, count = self.counts(level - 1, context[begin])
+        return before[run], count[run]
+
+    def find(self, level: int, context: np.ndarray, word: np.ndarray, counts: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Places of n-grams with known contexts and words in their level, and quantised log10 probabilities; -1 where unknown."""
+        out, log_p = np.full(len(context), -1), np.zeros(len(context))
+        for k, at in self._by_shard(self.gram_shard(counts, word)):
             if (shard := self.shard(level, k)) is not None:
                 place = shard.find(context[at], word[at], self.vocabulary)
-                out[at] = np.where(place >= 0, place + self.sizes[level][k], -1)
-        return out
-
-    def stored(self, level: int, place: np.ndarray) -> np.ndarray:
-        """Quantised log10 probabilities."""
-        out = np.empty(len(place))
-        for k, at in self._by_shard(np.searchsorted(self.sizes[level], place, side="right") - 1):
-            shard = self.shard(level, k)
-            out[at] = shard.book[shard.codes[place[at] - self.sizes[level][k]]]
-        return out
-
-    def parts(self, level: int, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(context, last token) of the elements of a level above 1."""
-        context, word = np.empty(len(place), np.int64), np.empty(len(place), np.int64)
-        for k, at in self._by_shard(np.searchsorted(self.sizes[level], place, side="right") - 1):
-            shard = self.shard(level, k)
-            value = shard.successors.get(place[at] - self.sizes[level][k])
-            context[at] = (value // U(self.vocabulary)).astype(np.int64) + shard.first_context
-            word[at] = (value % U(self.vocabulary)).astype(np.int64)
-        return context, word
-
-    def unigram(self, count: np.ndarray) -> np.ndarray:
+                hit = place >= 0
+                out[at[hit]], log_p[at[hit]] = place[hit] + self.sizes[level][k], shard.book[shard.codes[place[hit]]]
+        return out, log_p
+
+    def unigram(self, word: np.ndarray) -> np.ndarray:
+        """log10 probabilities of tokens without context; -1 is an unknown one."""
+        count, known = np.zeros(len(word), U), np.flatnonzero(word >= 0)
+        count[known] = self.counts(1, word[known])[1]
         return np.log10((count.astype(np.float64) + 1) / (self.tokens + self.vocabulary + 1))
 
-    def log_probability(self, level: int, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """log10 p(word | context), context being a place in level - 1 (-1: none known), from the shortest context up."""
-        known = word >= 0
-        if level == 1:
-            count = np.zeros(len(word), U)
-            count[known] = self.counts(1, word[known])[1]
-            return self.unigram(count)
-        shorter = np.full(len(context), -1)
-        if level > 2:
-            some = np.flatnonzero(context >= 0)
-            shorter[some] = self.suffix(level - 1, context[some])
-        out = self.log_probability(level - 1, shorter, word)
-        some = np.flatnonzero(context >= 0)
-        count = self.counts(level - 1, context[some])[1].astype(np.float64)
-        out[some] += np.log10(MU / (count + MU))
-        place = self.find(level, context, word)
-        hit = np.flatnonzero(place >= 0)
-        out[hit] = self.stored(level, place[hit])
-        return out
+    def climb(self, ids: np.ndarray, opens: np.ndarray, log_p: np.ndarray, top: int) -> tuple[np.ndarray, np.ndarray]:
+        """For each token the place in level ``top`` of the n-gram that ends with it (-1: unknown) and its log10 probability.
 
-    def suffix(self, level: int, place: np.ndarray) -> np.ndarray:
-        """Place in level - 1 of each n-gram without its first token."""
-        context, word = self.parts(level, place)
-        return word if level == 2 else self.find(level - 1, self.suffix(level - 1, context), word)
+        A level's places are the next one's contexts, and its probabilities what the next
+        one falls back to, so each distinct n-gram of the texts is looked up once a level.
+        """
+        place, log_p = ids, log_p.copy()
+        for level in range(2, top + 1):
+            context = self.before(place, opens, level)
+            some = np.flatnonzero(context >= 0)
+            key, back = np.unique(context[some].astype(U) * U(self.vocabulary + 1) + (ids[some] + 1).astype(U), return_inverse=True)
+            ctx, word = (key // U(self.vocabulary + 1)).astype(np.int64), (key % U(self.vocabulary + 1)).astype(np.int64) - 1
+            counts = self.context_counts(level, ctx)
+            # an n-gram is known only if it is known without its first token
+            lower = np.ones(len(key), bool)
+            lower[back] = place[some] >= 0
+            asked = np.flatnonzero(lower)
+            found, stored = np.full(len(key), -1), np.zeros(len(key))
+            found[asked], stored[asked] = self.find(level, ctx[asked], word[asked], (counts[0][asked], counts[1][asked]))
+            less = np.log10(MU / (counts[1].astype(np.float64) + MU))
+            log_p[some] = np.where((found >= 0)[back], stored[back], log_p[some] + less[back])
+            place = np.full(len(ids), -1)
+            place[some] = found[back]
+        return place, log_p
+
+    def before(self, place: np.ndarray, opens: np.ndarray, level: int) -> np.ndarray:
+        """Contexts in level - 1: the place of the token before; at the opening of a text the begin mark, or -1 above level 2."""
+        context = np.empty(len(place), np.int64)
+        context[1:] = place[:-1]
+        context[opens] = self.vocabulary if level == 2 else -1
+        return context
 
 
 def token_shard(hashes: np.ndarray, shards: int) -> np.ndarray:
@@ -291,31 +293,6 @@ def _path(folder: str) -> str:
     return folder
 
 
-def _contexts(trie: Trie, ids: np.ndarray, opens: np.ndarray, level: int) -> np.ndarray:
-    """For each token the place in level - 1 of the level - 1 tokens before it; -1 where unknown or short of tokens."""
-    context = np.empty(len(ids), np.int64)
-    context[1:] = ids[:-1]
-    context[opens] = trie.vocabulary  # the begin mark
-    for k in range(2, level):
-        longer = np.full(len(ids), -1)
-        keys, back = _distinct(context[:-1], ids[:-1], trie.vocabulary)
-        found = trie.find(k, *keys)
-        longer[1:] = np.where(back >= 0, found[back], -1) if len(found) else -1
-        longer[opens] = -1
-        context = longer
-    return context
-
-
-def _distinct(context: np.ndarray, word: np.ndarray, vocabulary: int) -> tuple[tuple[np.ndarray, np.ndarray], np.ndarray]:
-    """Distinct known (context, word), in order, and each row's index among them (-1: unknown)."""
-    back = np.full(len(context), -1)
-    some = np.flatnonzero((context >= 0) & (word >= 0))
-    width = U(max(vocabulary, 1))
-    pair, which = np.unique(context[some].astype(U) * width + word[some].astype(U), return_inverse=True)
-    back[some] = which
-    return ((pair // width).astype(np.int64), (pair % width).astype(np.int64)), back
-
-
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Token hashes of the texts end to end, and where each text opens."""
     names = [_tokens(t) for t in texts]
@@ -323,6 +300,14 @@ def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(names), np.cumsum(size) - size
 
 
+def _known(trie: Trie, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Token ids of a batch's texts end to end, where each text opens, and the tokens' log10 probabilities without context."""
+    names, opens = _laid(byte_texts(batch.column("text")))
+    coded = pa.array(names).dictionary_encode()
+    back, own = coded.indices.to_numpy(), trie.words(coded.dictionary.to_numpy())
+    return own[back], opens, trie.unigram(own)[back]
+
+
 def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_bytes: int = SHARD_BYTES) -> str:
     """Count the rows with ``train`` true, level by level, and write the trie; returns its folder."""
     spark = docs.sparkSession
@@ -333,13 +318,12 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
     os.makedirs(folder)
     _write(f"{folder}/texts", [np.array([texts, shards], U)])
 
-    def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-        parts = [widen(x.as_buffer()) for x in t.column("parcel")]
-        key, count = (np.concatenate(x) for x in zip(*parts))
+    def merged(t: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        key, count, below = (np.concatenate(x) for x in zip(*(widen(x.as_buffer()) for x in t.column("parcel"))))
         order_ = np.argsort(key, kind="stable")
-        key, count = key[order_], count[order_]
-        at = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        return key[at], np.add.reduceat(count, at)
+        key = key[order_]
+        at = _runs(key)[0]
+        return key[at], np.add.reduceat(count[order_], at), below[order_[at]] if len(below) else below
 
     def summary(k, n, total):
         return pa.table({"shard": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64()), "total": pa.array([int(total)], pa.int64())})
@@ -351,7 +335,7 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
 
     def write_tokens(t):
         k = t.column("shard")[0].as_py()
-        key, count = merged(t)
+        key, count, _ = merged(t)
         total = np.cumsum(count, dtype=U)
         os.makedirs(f"{folder}/level1", exist_ok=True)
         _write(f"{folder}/level1/{k}", [np.array([0, len(key)], U), *encode(total), key])
@@ -360,14 +344,16 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
     def count_grams(level):
         def run(batches):
             trie = Trie(folder, level - 1)
+            v = U(max(trie.vocabulary, 1))
             for batch in slices(batches, "text", COUNT_BYTES):
-                names, opens = _laid(byte_texts(batch.column("text")))
-                unique, back = np.unique(names, return_inverse=True)
-                ids = trie.words(unique)[back]
-                (context, word), which = _distinct(_contexts(trie, ids, opens, level), ids, trie.vocabulary)
-                count = np.bincount(which[which >= 0], minlength=len(context))
-                key = context.astype(U) * U(trie.vocabulary) + word.astype(U)
-                yield from _narrow_parcels(trie.gram_shard(level, context, word), key, count)
+                ids, opens, base = _known(trie, batch)
+                place, log_p = trie.climb(ids, opens, base, level - 1)
+                context = trie.before(place, opens, level)
+                some = np.flatnonzero(context >= 0)
+                key, first, count = np.unique(context[some].astype(U) * v + ids[some].astype(U), return_index=True, return_counts=True)
+                shard = trie.gram_shard(trie.context_counts(level, (key // v).astype(np.int64)), key % v)
+                # what is known of an n-gram without its first token goes with it; single tokens are cheap to look up again
+                yield from _narrow_parcels(shard, key, count, *([log_p[some[first]]] if level > 2 else []))
 
         return run
 
@@ -375,13 +361,14 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
         def run(t):
             k = t.column("shard")[0].as_py()
             trie = Trie(folder, level - 1)
-            key, count = merged(t)
+            key, count, below = merged(t)
             v = U(trie.vocabulary)
-            context, word = (key // v).astype(np.int64), (key % v).astype(np.int64)
-            shorter = trie.suffix(level - 1, context) if level > 2 else np.full(len(context), -1)
-            below = 10 ** trie.log_probability(level - 1, shorter, word)
-            whole = trie.counts(level - 1, context)[1].astype(np.float64)
-            p = np.log10((count + MU * below) / (whole + MU))
+            context = (key // v).astype(np.int64)
+            if level == 2:
+                word, back = np.unique((key % v).astype(np.int64), return_inverse=True)
+                below = trie.unigram(word)[back]
+            whole = trie.context_counts(level, context)[1].astype(np.float64)
+            p = np.log10((count + MU * 10 ** below.astype(np.float64)) / (whole + MU))
             book = np.unique(np.quantile(p, np.linspace(0, 1, 256), method="nearest"))
             code = np.clip(np.searchsorted((book[1:] + book[:-1]) / 2, p), 0, 255).astype(np.uint8)
             lo = int(context[0])
@@ -395,7 +382,7 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
 
     entries = vocabulary = 0
     for level in range(1, order + 1):
-        if level > 1 and (entries + 1) * vocabulary >= 1 << 64:
+        if level > 1 and (entries + 1) * (vocabulary + 1) >= 1 << 64:
             raise OverflowError(f"level {level}: {entries} contexts and {vocabulary} tokens need keys of over 64 bits")
         count, write = (count_tokens, write_tokens) if level == 1 else (count_grams(level), write_grams(level))
         found = rows.mapInArrow(count, PARCEL).groupBy("shard").applyInArrow(write, "shard long, n long, total long").collect()  # two numbers for each shard
@@ -415,11 +402,8 @@ def score(docs: DataFrame, folder: str, order: int = ORDER) -> DataFrame:
     def run(batches):
         trie = Trie(folder, order)
         for batch in slices(batches, "text", BATCH_BYTES):
-            names, opens = _laid(byte_texts(batch.column("text")))
-            unique, back = np.unique(names, return_inverse=True)
-            own = trie.words(unique)
-            ids, base = own[back], trie.log_probability(1, own, own)[back]
-            log_p = _token_scores(trie, order, ids, opens, base)
+            ids, opens, base = _known(trie, batch)
+            log_p = trie.climb(ids, opens, base, order)[1]
             yield pa.RecordBatch.from_arrays(
                 [
                     batch.column("doc_id"), pa.array(np.diff(np.append(opens, len(ids)))), pa.array(np.add.reduceat((ids >= 0).astype(np.int64), opens)),
@@ -432,18 +416,6 @@ def score(docs: DataFrame, folder: str, order: int = ORDER) -> DataFrame:
     return rows.mapInArrow(run, "doc_id long, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def _token_scores(trie: Trie, order: int, ids: np.ndarray, opens: np.ndarray, base: np.ndarray) -> np.ndarray:
-    """log10 probability of each token from its longest known context; equal questions are asked once."""
-    out, left, width = base.copy(), np.ones(len(ids), bool), U(trie.vocabulary + 1)
-    for level in range(order, 1, -1):
-        context = _contexts(trie, ids, opens, level)
-        at = np.flatnonzero(left & (context >= 0))
-        asked, back = np.unique(context[at].astype(U) * width + (ids[at] + 1).astype(U), return_inverse=True)
-        out[at] = trie.log_probability(level, (asked // width).astype(np.int64), (asked % width).astype(np.int64) - 1)[back]
-        left[at] = False
-    return out
-
-
 def corpus_scores(docs: DataFrame, order: int = ORDER, folder: str | None = None) -> DataFrame:
     """Train outside the held-out fold, score all: doc_id, held_out and the columns of score()."""
     mod, out = HELD_OUT
