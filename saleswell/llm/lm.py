@@ -36,7 +36,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, functions as F
 
-from saleswell.llm.common import PARCEL, byte_texts, parcel_batch, slices, word_chunks
+from saleswell.llm.common import PARCEL, SPACE, byte_texts, mix, parcel_batch, slices
 from saleswell.llm.eliasfano import EliasFano, encode
 from saleswell.session import work_folder
 
@@ -44,17 +44,51 @@ ORDER, MU = 3, 16.0
 HELD_OUT = (7, 2)
 #: Bytes of text behind one shard of a level, about.
 SHARD_BYTES = 8 << 20
-BATCH_BYTES = 4 << 20
-#: Text counted at once: n-grams that repeat in it leave as one entry.
-COUNT_BYTES = 8 << 20
+#: Text counted or scored at once: n-grams that repeat in it are one entry and one question.
+BATCH_BYTES = 8 << 20
 U = np.uint64
 END = U(xxhash.xxh3_64_intdigest(b"\x00end of text"))
 
 
-def _tokens(data: bytes) -> np.ndarray:
-    digest = xxhash.xxh3_64_intdigest
-    parts = [np.fromiter(map(digest, words), U, len(words)) for words in word_chunks(data.lower())]
-    return np.concatenate([*parts, np.array([END])])
+#: A word of at most LONG bytes is named by a polynomial in BASE (modulo 2^64, 3 modulo 8) over a random number for each byte,
+#: read off running sums over PIECE bytes at a time; a longer one by xxh3.
+BASE, LONG, PIECE = 0x9E3779B97F4A7C13, 128, 1 << 18
+_POWER, _INVERSE = (np.concatenate([np.ones(1, U), np.multiply.accumulate(np.full(PIECE + LONG, b, U))]) for b in (BASE, pow(BASE, -1, 1 << 64)))
+_BYTE = mix(np.arange(1, 257, dtype=U) * U(0xD6E8FEB86659FD93))
+_BYTE[65:91] = _BYTE[97:123]  # A-Z as a-z
+_IN_WORD = np.array([b not in b"\x20\x09\x0a\x0b\x0c\x0d" for b in range(256)]).view(np.int8)
+
+
+def _named(piece: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where the words of at most PIECE + LONG bytes begin, and their 64-bit names."""
+    raw = np.frombuffer(piece, np.uint8)
+    edge = np.flatnonzero(np.diff(_IN_WORD[raw], prepend=np.int8(0), append=np.int8(0)))
+    begin, end = edge[::2], edge[1::2]
+    upto = np.zeros(len(raw) + 1, U)
+    np.cumsum(_BYTE[raw] * _POWER[: len(raw)], out=upto[1:])
+    name = mix((upto[end] - upto[begin]) * _INVERSE[begin] + (end - begin).astype(U))
+    for i in np.flatnonzero(end - begin > LONG).tolist():
+        name[i] = xxhash.xxh3_64_intdigest(piece[begin[i] : end[i]].lower())
+    return begin, name
+
+
+def _words_of(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where words begin, and their names."""
+    begins, names, at = [np.empty(0, np.int64)], [np.empty(0, U)], 0
+    while at < len(data):
+        cut = min(at + PIECE, len(data))
+        end = m.start() if (m := SPACE.search(data, cut)) else len(data)
+        last = 1 + max(data.rfind(bytes([c]), at, cut) for c in b"\x20\x09\x0a\x0b\x0c\x0d")
+        last = max(last, at)
+        if end - last > LONG:  # a long word crosses the cut
+            begin, name = _named(data[at:last])
+            begin, name = np.append(begin, last - at), np.append(name, U(xxhash.xxh3_64_intdigest(data[last:end].lower())))
+        else:
+            begin, name = _named(data[at:end])
+        begins.append(begin + at)
+        names.append(name)
+        at = end
+    return np.concatenate(begins), np.concatenate(names)
 
 
 def _write(path: str, arrays: list[np.ndarray]) -> None:
@@ -294,10 +328,14 @@ def _path(folder: str) -> str:
 
 
 def _laid(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Token hashes of the texts end to end, and where each text opens."""
-    names = [_tokens(t) for t in texts]
-    size = np.array([len(x) for x in names])
-    return np.concatenate(names), np.cumsum(size) - size
+    """Token names of the texts end to end, each followed by the end token, and where each text opens."""
+    begin, name = _words_of(b"\n".join(texts))
+    ends = np.cumsum(np.array([len(t) + 1 for t in texts]))
+    stop = np.searchsorted(begin, ends) + np.arange(len(texts))
+    out, word = np.empty(len(name) + len(texts), U), np.ones(len(name) + len(texts), bool)
+    word[stop] = False
+    out[word], out[stop] = name, END
+    return out, np.concatenate([[0], stop[:-1] + 1])
 
 
 def _known(trie: Trie, batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -329,7 +367,7 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
         return pa.table({"shard": pa.array([k], pa.int64()), "n": pa.array([n], pa.int64()), "total": pa.array([int(total)], pa.int64())})
 
     def count_tokens(batches):
-        for batch in slices(batches, "text", COUNT_BYTES):
+        for batch in slices(batches, "text", BATCH_BYTES):
             key, count = np.unique(_laid(byte_texts(batch.column("text")))[0], return_counts=True)
             yield from _narrow_parcels(token_shard(key, shards), key, count)
 
@@ -345,7 +383,7 @@ def build(docs: DataFrame, order: int = ORDER, folder: str | None = None, shard_
         def run(batches):
             trie = Trie(folder, level - 1)
             v = U(max(trie.vocabulary, 1))
-            for batch in slices(batches, "text", COUNT_BYTES):
+            for batch in slices(batches, "text", BATCH_BYTES):
                 ids, opens, base = _known(trie, batch)
                 place, log_p = trie.climb(ids, opens, base, level - 1)
                 context = trie.before(place, opens, level)
