@@ -89,6 +89,7 @@ def test_elias_fano(values, asked):
     e, q = EliasFano(encode(v)), np.array(asked, np.uint64)
     assert (e.get(np.arange(len(v))) == v).all()
     assert (e.successor(q) == np.searchsorted(v, q)).all()
+    assert (e.search(q, 0, len(v))[1] == np.isin(q, v)).all()
 
 
 def corpus(n=160):
@@ -152,6 +153,26 @@ def test_narrow_parcels_give_back_keys_and_counts():
         assert (got[0] == key).all() and (got[1] == count.astype(np.uint64)).all()
 
 
+def test_narrow_parcels_carry_lower_probabilities():
+    key, below = np.array([3, 9, 2**63], np.uint64), np.array([-0.5, -7.25, 0.0])
+    got = lm.widen(lm.narrow(key, np.array([1, 700, 2]), below))
+    assert (got[0] == key).all() and got[1].tolist() == [1, 700, 2] and got[2].tolist() == below.tolist()
+    assert len(lm.widen(lm.narrow(key, np.ones(3)))[2]) == 0
+
+
+def test_tokens_are_named_by_their_bytes_alone():
+    """Equal words get equal names wherever they stand, other words other names; long words and the end token too."""
+    r = random.Random(5)
+    mixed = b" ".join(bytes(r.choices(b"abXY\xc3\x00", k=r.choice((1, 2, 9, lm.LONG - 1, lm.LONG, lm.LONG + 1)))) for _ in range(9000))
+    texts = [b"", b" ", b"A a\tB\x0bb\x00 \x1c x", mixed, mixed.upper(), b"q" * (2 * lm.PIECE) + b" tail q", b"Q" * (2 * lm.PIECE), b"w " * lm.PIECE]
+    texts += [b"x" * (lm.PIECE + k) + b" yy" for k in (-1, 0, 1)] + [b"ab " * (lm.PIECE // 3) + b"c" * k + b" d" for k in (1, lm.LONG, lm.LONG + 1, 5000)]
+    names, opens = lm._laid(texts)
+    tokens = [w for t in texts for w in (*t.lower().split(), None)]
+    assert len(names) == len(tokens) and opens.tolist() == np.cumsum([0, *(len(t.split()) + 1 for t in texts[:-1])]).tolist()
+    by_word = {}
+    assert all(by_word.setdefault(w, n) == n for w, n in zip(tokens, names.tolist())) and len(set(by_word.values())) == len(by_word)
+
+
 def test_language_model_sums_to_one_and_odd_tables(spark):
     rows = lm.corpus_scores(frame(spark, ["x y", None, "x y"], ids=[None, None, None])).collect()
     assert len(rows) == 3 and not any(r["held_out"] for r in rows) and {r["train_tokens"] for r in rows} == {7}
