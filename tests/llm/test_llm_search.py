@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from saleswell.llm import topk, vectors
@@ -122,3 +123,44 @@ def test_crowded_nodes_are_compared_whole(spark):
     got = vectors.near_vectors(df).collect()
     assert {(x["n_links"], x["component_id"]) for x in got} == {(399, 0)}
     assert vectors.near_vectors(df.limit(0)).count() == 0
+
+
+def test_vectors_that_share_an_id(spark):
+    r = np.random.default_rng(4)
+    a, b, c = (r.normal(size=16) for _ in range(3))
+    rows = [(7, a.tolist(), 1), (7, b.tolist(), 1), (8, (a * 1.0001).tolist(), 1), (9, (b + 1e-3).tolist(), 1), (3, c.tolist(), 1), (3, c.tolist(), 1), (5, (b + 2e-3).tolist(), 1), (5, a.tolist(), 2)]
+    got = sorted((x["vec_id"], x["n_links"], x["component_id"]) for x in vectors.near_vectors(frame(spark, rows)).collect())
+    assert got == sorted(plain_links(rows))
+
+
+def planted(n, dim, seed):
+    """n vectors in groups of four: two members near the threshold, one close."""
+    r = np.random.default_rng(seed)
+    centre = r.normal(size=(n // 4, dim))
+    tilt = r.normal(size=(n // 4, 4, dim)) * np.array([0.0, 0.13, 0.14, 0.05])[None, :, None]
+    return (centre[:, None, :] + tilt).reshape(-1, dim)
+
+
+@pytest.mark.parametrize("n, dim", [(6000, 64), (3000, 768)])
+def test_forest_recall_at_registered_parameters(spark, n, dim):
+    vecs = planted(n, dim, dim)
+    frames = spark.createDataFrame([("x", dim, i, 1, v.tolist()) for i, v in enumerate(vecs)], "label string, dim int, cls long, m long, vec array<double>")
+    links = vectors.class_links(frames).where("ma > 0").collect()
+    found = {(x["a"], x["b"]) for x in links}
+    unit = vecs / np.linalg.norm(vecs, axis=1, keepdims=True)
+    true = set(zip(*(i.tolist() for i in np.nonzero(np.triu(unit @ unit.T >= 0.98, 1)))))
+    assert len(links) == len(found) and found <= true and len(true) > n // 2
+    print("recall", n, dim, len(found) / len(true))
+    assert len(found) >= 0.97 * len(true)
+
+
+def test_unsplit_labels_find_every_link(spark):
+    rows = clusters(60, 9)
+    classes = frame(spark, [r for r in rows if r[2] is not None]).groupBy("label", "embedding").agg(F.min("vec_id").alias("cls"), F.count("*").alias("m"))
+    classes = classes.selectExpr("cast(label as string) label", "24 dim", "cls", "m", "embedding vec")
+    held = {r["cls"]: (np.array(r["vec"]) / np.linalg.norm(r["vec"]), r["label"]) for r in classes.collect()}
+    true = {(a, b) for a in held for b in held if a < b and held[a][1] == held[b][1] and held[a][0] @ held[b][0] >= 0.98}
+    for leaf in (None, 16):
+        links = vectors.class_links(classes, leaf=leaf).where("ma > 0").collect()
+        found = {(r["a"], r["b"]) for r in links}
+        assert len(found) == len(links) and found <= true and len(found) >= (1.0 if leaf is None else 0.95) * len(true)
