@@ -1,9 +1,10 @@
 """Toxicity by a counterfactually regularised linear classifier.
 
 Features are the distinct words of a text and their first 5, 6 and 7 bytes.  A
-bounded sample of labelled rows fits the model; the features are the FEATURES
-most associated with the label, chosen from counts over that sample, plus
-every identity term.  For each sampled text with identity terms a counterfactual twin
+bounded sample of labelled rows fits the model (one row an id, the least text of those that share it); the features are the
+``size`` most associated with the label among those in LEAST_TEXTS sampled texts or more, chosen from counts over that sample, plus
+every identity term.  The ridge is that of RIDGES with the least log loss in cross-validation by id inside the sample,
+a Spark task for every ridge and fold; held-out labels are never read.  For each sampled text with identity terms a counterfactual twin
 swaps each term for another of its group, and the loss adds the squared change of
 the score between a text and its twin: a neutral mention of a group
 then moves the score little, whatever company the term kept in the labels.
@@ -20,13 +21,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from saleswell.llm.common import byte_texts, slices, store, word_chunks
+from saleswell.llm.common import byte_texts, mix, slices, store, word_chunks
 
 #: Bound of the labelled sample (rows with the smallest hashes of their ids).
 SAMPLE = 20_000
 FEATURES, LEAST_TEXTS = 4096, 4
+RIDGES, FOLDS = (2e-3, 6e-4, 2e-4, 6e-5), 3
 THRESHOLD = 0.3
 HELD_OUT = (4, 2)
 PREFIXES = (5, 6, 7)
@@ -69,6 +71,7 @@ class Model:
     index: dict[bytes, int]
     weights: np.ndarray
     bias: float
+    ridge: float = 0.0
 
     def score(self, data: bytes) -> float:
         hit = [self.index[f] for f in features(data)[0] & self.index.keys()]
@@ -77,9 +80,9 @@ class Model:
 
 
 def fit(
-    rows: list[np.ndarray], twins: list[np.ndarray], labels: np.ndarray, size: int, swap_weight: float = 1.0, ridge: float = 2e-4, steps: int = 300
+    rows: list[np.ndarray], twins: list[np.ndarray], labels: np.ndarray, size: int, swap_weight: float, ridge: float, steps: int = 300
 ) -> tuple[np.ndarray, float]:
-    """Weights and bias of the logistic loss + ridge + swap_weight * mean squared score change over the twins."""
+    """Weights and bias of the mean logistic loss + ridge / 2 * squared weights + swap_weight * mean squared score change over the twins; Adam at rate 0.1."""
 
     def sparse(parts):
         n = np.array([len(p) for p in parts], np.int64)
@@ -104,8 +107,39 @@ def fit(
     return w, bias
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_weight: float = 1.0) -> Model:
-    """Fit on at most ``sample`` labelled rows outside the held-out fold."""
+def log_loss(rows: list[np.ndarray], labels: np.ndarray, weights: np.ndarray, bias: float) -> float:
+    """Summed logistic loss."""
+    z = np.array([weights[r].sum() for r in rows]) + bias
+    return float(np.logaddexp(0, np.where(labels == 1, -z, z)).sum())
+
+
+def choose_ridge(spark: SparkSession, ids: np.ndarray, rows: list[np.ndarray], twins: list[np.ndarray], labels: np.ndarray, size: int, swap_weight: float) -> float:
+    """The ridge with the least loss over the folds of the sample, ties to the larger; each (ridge, fold) is fitted by a task of its own."""
+    fold = (mix(ids.astype(np.int64).view(np.uint64)) % np.uint64(FOLDS)).astype(np.int64)
+    share = spark.sparkContext.broadcast((fold, rows, twins, labels))
+
+    def run(batches):
+        fold, rows, twins, labels = share.value
+        for batch in batches:
+            for case in batch.column("id").to_pylist():
+                r, out = case // FOLDS, case % FOLDS
+                left, right = np.flatnonzero(fold != out), np.flatnonzero(fold == out)
+                loss = 0.0
+                if len(left) and len(right):
+                    model = fit([rows[i] for i in left], [twins[i] for i in left], labels[left], size, swap_weight, RIDGES[r])
+                    loss = log_loss([rows[i] for i in right], labels[right], *model)
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), pa.array([out], pa.int32()), pa.array([loss])], names=["r", "fold", "loss"])
+
+    cases = len(RIDGES) * FOLDS
+    losses = spark.range(0, cases, 1, cases).mapInArrow(run, "r int, fold int, loss double").collect()
+    total = [sum(x["loss"] for x in sorted(losses, key=lambda x: x["fold"]) if x["r"] == r) for r in range(len(RIDGES))]
+    return RIDGES[int(np.argmin(total))]
+
+
+def train(
+    docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_weight: float = 1.0, ridge: float | None = None, size: int = FEATURES
+) -> Model:
+    """Fit on at most ``sample`` labelled rows outside the held-out fold; ``ridge=None`` chooses it inside that sample."""
     mod, out = HELD_OUT
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
@@ -114,7 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_weight:
         .orderBy(F.xxhash64("__id"), "__id").limit(sample)
     )
     # The sample's ids are bounded by `sample`, so they go to every task and the texts stay in place.
-    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(chosen), "__id")
+    rows = docs.select(F.col("doc_id").cast("long").alias("__id"), "text").join(F.broadcast(chosen), "__id").groupBy("__id", "__toxic").agg(F.min("text").alias("text"))
 
     def extract(batches):
         for batch in slices(batches, "text", 4 << 20):
@@ -132,7 +166,7 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_weight:
     counts = seen.select(F.explode("own").alias("feature"), "toxic").groupBy("feature").agg(F.sum("toxic").alias("p"), F.count("*").alias("n"))
     rate = lambda part, whole: (part + 0.5) / (whole + 1.0)
     strength = F.col("n") * F.pow(F.log(rate(F.col("p"), pos)) - F.log(rate(F.col("n") - F.col("p"), neg)), 2)
-    top = counts.where(f"n >= {LEAST_TEXTS}").orderBy(strength.desc(), "feature").limit(FEATURES).select("feature").collect()
+    top = counts.where(f"n >= {LEAST_TEXTS}").orderBy(strength.desc(), "feature").limit(size).select("feature").collect()
     index = {bytes(r["feature"]): i for i, r in enumerate(top)}
     for term in sorted(SWAP):
         index.setdefault(term, len(index))
@@ -148,11 +182,14 @@ def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, swap_weight:
                 names=["id", "toxic", "own", "twin"],
             )
 
-    sampled = sorted(seen.mapInArrow(encode, "id long, toxic int, own binary, twin binary").collect(), key=lambda r: (r["id"], bytes(r["own"])))
+    sampled = sorted(seen.mapInArrow(encode, "id long, toxic int, own binary, twin binary").collect(), key=lambda r: r["id"])
     own = [np.frombuffer(r["own"], np.int32) for r in sampled]
     twin = [a if r["twin"] is None else np.frombuffer(r["twin"], np.int32) for a, r in zip(own, sampled)]
-    weights, bias = fit(own, twin, np.array([r["toxic"] for r in sampled], float), len(index), swap_weight)
-    return Model(index, weights, bias)
+    y = np.array([r["toxic"] for r in sampled], float)
+    if ridge is None:
+        ridge = choose_ridge(docs.sparkSession, np.array([r["id"] for r in sampled], np.int64), own, twin, y, len(index), swap_weight)
+    weights, bias = fit(own, twin, y, len(index), swap_weight, ridge)
+    return Model(index, weights, bias, ridge)
 
 
 def score(docs: DataFrame, model: Model, keep: float | None = None) -> DataFrame:

@@ -1,7 +1,10 @@
 """Toxicity and URL lists."""
 
+import collections
 import datetime as dt
+import math
 import random
+import re
 import zlib
 
 import numpy as np
@@ -60,6 +63,78 @@ def test_twins_swap_every_term():
     assert own is twin
 
 
+def plain_features(text):
+    """Words without marks at their ends, and their beginnings, as a set of strings; the twin's beside it."""
+    words = {w.strip(toxicity.EDGES) for w in re.findall(rb"[^\x20\x09-\x0d]+", text.encode().lower())} - {b""}
+    swapped = {toxicity.SWAP.get(w, w) for w in words}
+    whole = lambda ws: ws | {b"\x01" + w[:n] for w in ws for n in (5, 6, 7) if len(w) >= n}
+    return whole(words), whole(swapped)
+
+
+def test_toxicity_equals_a_plain_model(spark):
+    """Features, choice, loss and scores against dense matrices."""
+    docs, labels = labelled(300)
+    d, y = spark.createDataFrame(docs, DOCS), spark.createDataFrame(labels, LABELS)
+    model = toxicity.train(d, y, swap_weight=3.0, ridge=1e-3, size=200)
+    known = [(plain_features(t), z) for (i, t, *_), (_, _, z) in zip(docs, labels) if zlib.crc32(str(i).encode()) % 4 != 2]
+    pos = sum(z for _, z in known)
+    counts = collections.defaultdict(lambda: [0, 0])
+    for (own, _), z in known:
+        for f in own:
+            counts[f][z] += 1
+    rate = lambda part, n: math.log((part + 0.5) / (n + 1.0))
+    strength = {f: (a + b) * (rate(b, pos) - rate(a, len(known) - pos)) ** 2 for f, (a, b) in counts.items() if a + b >= 4}
+    best = sorted(strength, key=lambda f: (-round(strength[f], 9), f))[:200]
+    assert set(model.index) - set(toxicity.SWAP) <= set(best) and set(best) | set(toxicity.SWAP) == set(model.index)
+    X, T = (np.array([[f in parts[k] for f in model.index] for parts, _ in known], float) for k in (0, 1))
+    z = np.array([z for _, z in known], float)
+
+    def loss(w, b):
+        s, changed = X @ w + b, (X != T).any(axis=1)
+        swaps = 3.0 * (((X - T) @ w)[changed] ** 2).mean()
+        return (np.log1p(np.exp(-np.abs(s))) + np.maximum(s, 0) - z * s).mean() + 0.5e-3 * w @ w + swaps
+
+    def slope(w, b):
+        changed = (X != T).any(axis=1)
+        err = (1 / (1 + np.exp(-(X @ w + b))) - z) / len(z)
+        gap = (X - T)[changed]
+        return X.T @ err + 1e-3 * w + 3.0 * 2 * gap.T @ (gap @ w) / changed.sum(), err.sum()
+
+    r, n = np.random.default_rng(0), len(model.index)
+    w, b, e = r.normal(size=n), 0.3, r.normal(size=n)
+    assert abs((loss(w + 1e-5 * e, b) - loss(w - 1e-5 * e, b)) / 2e-5 - slope(w, b)[0] @ e) < 1e-5
+    w, b = np.zeros(n), math.log((z.sum() + 0.5) / (len(z) - z.sum() + 0.5))
+    first, second = np.zeros(n + 1), np.zeros(n + 1)
+    for t in range(1, 301):  # Adam, as documented: 300 steps at rate 0.1
+        g = np.append(*slope(w, b))
+        first, second = 0.9 * first + 0.1 * g, 0.999 * second + 0.001 * g * g
+        step = 0.1 * (first / (1 - 0.9**t)) / (np.sqrt(second / (1 - 0.999**t)) + 1e-8)
+        w, b = w - step[:-1], b - step[-1]
+    assert abs(loss(w, b) - loss(model.weights, model.bias)) < 1e-6 and loss(w, b) < 0.3 * loss(np.zeros(n), 0.0)
+    assert np.abs(w - model.weights).max() < 1e-3 and abs(b - model.bias) < 1e-3
+    for row in toxicity.score(d, model).collect():
+        own = plain_features(docs[row["doc_id"]][1])[0]
+        s = sum(w for f, w in zip(model.index, model.weights) if f in own) + model.bias
+        assert abs(row["score"] - 1 / (1 + math.exp(-s))) < 1e-9
+
+
+def test_ridge_is_chosen_inside_the_sample(spark):
+    docs, labels = labelled(400)
+    d = spark.createDataFrame(docs, DOCS)
+    one = toxicity.train(d, spark.createDataFrame(labels, LABELS))
+    flipped = [(i, q, 1 - z if zlib.crc32(str(i).encode()) % 4 == 2 else z) for i, q, z in labels]
+    two = toxicity.train(d, spark.createDataFrame(flipped, LABELS))
+    assert one.ridge in toxicity.RIDGES and one.ridge == two.ridge and one.bias == two.bias and np.array_equal(one.weights, two.weights)
+
+
+def test_toxicity_sample_keeps_one_row_an_id(spark):
+    docs, labels = labelled(200)
+    many = docs + [(i, "zz " + t, *rest) for i, t, *rest in docs for _ in range(3)]
+    y = spark.createDataFrame(labels, LABELS)
+    one, two = (toxicity.train(spark.createDataFrame(x, DOCS), y, ridge=1e-3) for x in (docs, many))
+    assert one.index == two.index and np.array_equal(one.weights, two.weights)
+
+
 def test_toxicity_odd_rows(spark):
     docs = [(None, "idiot", None, None, None, None), (1, None, None, None, None, None), (2, "", None, None, None, None), (2, "", None, None, None, None), (3, "a " * 400_000 + "idiot", None, None, None, None)]
     d = spark.createDataFrame(docs, DOCS)
