@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def normalize_sku(col: Column, case: str = "upper", trim: bool = True) -> Column:
@@ -59,9 +59,13 @@ def is_inventory_part(item_type: Column) -> Column:
 
 
 def resolve_headers(
-    headers: Sequence[str], wanted: dict[str, Sequence[str]], required: Sequence[str] = ()
+    headers: Sequence[str], wanted: dict[str, Sequence[str]], required: Sequence[str] = (), allow_partial: bool = False
 ) -> dict[str, str]:
-    """Match messy headers to fields; ``{found header: field}`` for withColumnsRenamed."""
+    """Match messy headers to fields; ``{found header: field}`` for withColumnsRenamed.
+
+    Case and punctuation don't count, the first candidate found wins, and of headers alike the last.  A missing
+    required field raises, unless ``allow_partial``.
+    """
     squash = lambda h: "".join(ch for ch in h.lower() if ch.isalnum())
     by_key = {squash(h): h for h in headers}
     found = {
@@ -69,6 +73,13 @@ def resolve_headers(
         for field, names in wanted.items()
     }
     missing = [f for f in required if not found.get(f)]
-    if missing:
+    if missing and not allow_partial:
         raise ValueError(f"required columns missing: {missing}; headers: {list(headers)}")
     return {header: field for field, header in found.items() if header}
+
+
+def with_fields(df: DataFrame, wanted: dict[str, Sequence[str]], required: Sequence[str] = (), allow_partial: bool = False) -> DataFrame:
+    """The wanted fields of a file with messy headers, in their order; fields that it lacks are NULL."""
+    found = {field: header for header, field in resolve_headers(df.columns, wanted, required, allow_partial).items()}
+    quoted = lambda h: F.col("`" + h.replace("`", "``") + "`")
+    return df.select(*[(quoted(found[f]) if f in found else F.lit(None).cast("string")).alias(f) for f in wanted])

@@ -392,7 +392,31 @@ def nested_events(f):
     return nested.select(*header, "part_no", F.size("lines").alias("line_count"), F.inline("lines"))
 
 
-@query("render_events")
+_ESC = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+_NUM = lambda c: rf"regexp_replace(regexp_replace(CAST(CAST({c} AS DECIMAL(28,8)) AS VARCHAR), '0+$', ''), '\.$', '')"
+_TAG = lambda name, *parts: f"'<{name}>' || {' || '.join(parts)} || '</{name}>'"
+_FULL = lambda name, c: _TAG(name, _TAG("FullName", _ESC(c)))
+_ROOT = "trim(split_part(acct, ':', 1))"
+_POSTED = f"array_to_string(list_filter(list_transform(string_split(CASE WHEN acct LIKE '%:%' AND lower({_ROOT}) LIKE 'cog%' THEN {_ROOT} ELSE trim(acct) END, ':'), lambda s: trim(s)), lambda s: s <> ''), ':')"
+_BRACED = """'{' || upper(concat_ws('-', k[1:8], k[9:12], '5' || k[14:16], substr('89ab', CAST(strpos('0123456789abcdef', k[17:17]) - 1 AS INTEGER) % 4 + 1, 1) || k[18:20], k[21:32])) || '}'"""
+_RENDERED = f"""{_HYDRATED}, x AS (SELECT *, trim(coalesce(item_full_name, sku)) AS item, CASE WHEN event_type = 'transfer' THEN
+      {_TAG('TransferInventoryLineAdd', _FULL('ItemRef', "trim(coalesce(item_full_name, sku))"), _TAG('QuantityToTransfer', _NUM('coalesce(qty, 0)')))}
+      ELSE {_TAG('InventoryAdjustmentLineAdd', _FULL('ItemRef', "trim(coalesce(item_full_name, sku))"),
+        _TAG('QuantityAdjustment', f"CASE WHEN new_qty IS NOT NULL THEN {_TAG('NewQuantity', _NUM('new_qty'))} ELSE {_TAG('QuantityDifference', _NUM('coalesce(qty, 0)'))} END"))} END AS line FROM h),
+  g AS (SELECT event_id, event_type, effective_date, created_by, memo, COUNT(*) AS line_count, string_agg(line, '' ORDER BY line_id) AS body, bool_or(item = '') AS no_item,
+      min(site_name) AS s, min(from_site_name) AS sf, min(to_site_name) AS st, COUNT(DISTINCT site_name) AS ns, COUNT(DISTINCT from_site_name) AS nf, COUNT(DISTINCT to_site_name) AS nt,
+      coalesce(arg_min(trim(account_full_name), line_id) FILTER (trim(account_full_name) <> ''), 'COGS:Inventory Adjustment') AS acct,
+      trim(concat_ws(' ', nullif(event_type, ''), CAST(event_id AS VARCHAR), nullif(created_by, ''), nullif(memo, ''))) AS note,
+      sha1(unhex('6ba7b8119dad11d180b400c04fd430c8') || encode('inventory:' || CAST(event_id AS VARCHAR))) AS k FROM x GROUP BY ALL),
+  y AS (SELECT *, CASE WHEN no_item THEN 'line without item' WHEN effective_date IS NULL THEN 'missing effective date'
+      WHEN event_type = 'transfer' AND (nf = 0 OR nt = 0) THEN 'missing transfer site' WHEN event_type = 'transfer' AND (nf > 1 OR nt > 1) THEN 'more than one transfer site'
+      WHEN event_type <> 'transfer' AND ns = 0 THEN 'missing site' WHEN event_type <> 'transfer' AND ns > 1 THEN 'more than one site' END AS reject_reason,
+      {_TAG('TxnDate', 'CAST(effective_date AS VARCHAR)')} AS day, {_TAG('Memo', _ESC('substr(note, 1, 4095)'))} AS said FROM g)"""
+
+
+@query("render_events", f"""WITH {_RENDERED} SELECT event_id, event_type, line_count, CAST(1 AS BIGINT) AS part_no, reject_reason, length(note) > 4095 AS memo_truncated, CASE WHEN reject_reason IS NULL THEN
+    CASE WHEN event_type = 'transfer' THEN '<TransferInventoryAddRq requestID="' || CAST(event_id AS VARCHAR) || '">' || {_TAG('TransferInventoryAdd', 'day', _FULL('FromInventorySiteRef', 'sf'), _FULL('ToInventorySiteRef', 'st'), 'said', 'body')} || '</TransferInventoryAddRq>'
+    ELSE '<InventoryAdjustmentAddRq requestID="' || CAST(event_id AS VARCHAR) || '">' || {_TAG('InventoryAdjustmentAdd', _FULL('AccountRef', _POSTED), 'day', _FULL('InventorySiteRef', 's'), 'said', _TAG('ExternalGUID', _BRACED), 'body')} || '</InventoryAdjustmentAddRq>' END END AS request_xml FROM y""")
 def render_events(f):
     return gen.render_events(hydrated(f), "COGS:Inventory Adjustment")
 
@@ -501,6 +525,29 @@ def account_match(f):
     return rows.select("sku", "field", F.col("our_value").alias("our_path"), F.col("their_value").alias("their_path"), "is_match")
 
 
+_MODE = lambda o, t, role: f"""SELECT sku, '{role}' AS field, array_to_string({o}, ':') AS our_path, array_to_string({t}, ':') AS their_path, {o} = {t} AS strict, {o} = {t}{" OR " + _ASSET if role == "asset_account" else ""} AS normalized,
+    {o} = {t} OR {_ASSET if role == "asset_account" else f"(len({o}) > 0 AND len({t}) > 0 AND {o}[1:least(len({o}), len({t}))] = {t}[1:least(len({o}), len({t}))])"}{_EXTRA.get(role, "")} AS hierarchy FROM b"""
+_ASSET = "(len(a1) > 0 AND len(a2) > 0 AND a1[-1] = 'inventory asset' AND a2[-1] = 'inventory asset')"
+_EXTRA = {"income_account": " OR (len(i1) >= 2 AND len(i2) >= 2 AND i1[1:2] = i2[1:2])", "cogs_account": " OR (len(g1) > 0 AND len(g2) > 0 AND g1[1] = 'cogs' AND g2[1] = 'cogs')"}
+_MODES = f"""b AS (SELECT p.sku, {', '.join(f"{sql_path(f'p.{c}')} AS {k}1, {sql_path('q.' + c)} AS {k}2" for k, c in zip('iga', acc.ACCOUNT_ROLES))} FROM v_part_master p JOIN
+    (SELECT sku, {', '.join(f"CASE hash4 WHEN 0 THEN {c} WHEN 1 THEN {c} || ':Extra' WHEN 2 THEN 'Stock:Inventory Asset' ELSE regexp_replace({c}, '[^:]+$', 'Other') END AS {c}" for c in acc.ACCOUNT_ROLES)}
+     FROM (SELECT *, CAST(reorder_point AS BIGINT) % 4 AS hash4 FROM v_part_master) z) q USING (sku))"""
+
+
+@query("account_match_modes", f"WITH {_MODES} " + " UNION ALL ".join(_MODE(f"{k}1", f"{k}2", c) for k, c in zip("iga", acc.ACCOUNT_ROLES)))
+def account_match_modes(f):
+    """Each account of a part against itself, a child, an asset label or a sibling, under the three modes."""
+    kind = F.col("reorder_point").cast("bigint") % 4
+
+    def pair(c):
+        other = (F.when(kind == 0, F.col(c)).when(kind == 1, F.concat(c, F.lit(":Extra"))).when(kind == 2, F.lit("Stock:Inventory Asset")).otherwise(F.regexp_replace(c, "[^:]+$", "Other")))
+        ours, theirs = acc.canonical_path(F.col(c)), acc.canonical_path(other)
+        modes = [acc.accounts_match(ours, theirs, c, m).alias(m) for m in ("strict", "normalized", "hierarchy")]
+        return F.struct(F.lit(c).alias("field"), F.array_join(ours, ":").alias("our_path"), F.array_join(theirs, ":").alias("their_path"), *modes)
+
+    return f.part_master.select("sku", F.inline(F.array(*map(pair, acc.ACCOUNT_ROLES))))
+
+
 _RAWPATH = "CAST(p_partkey % 90 + 10 AS VARCHAR) || ' - COG''s : Parts & ' || p_type || ' :: ' || p_brand || '-0A1B2C'"
 
 

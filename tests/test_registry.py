@@ -17,7 +17,8 @@ SAMPLE = (
     "top_skus_channel sku_report buy_forecast cost_asof noise_products settlement_unpivot economics_flatten invoice_parse drift_checks upsert_parts "
     "ledger_replay running_balance queue_replay item_match parity_stats validate_lines chunk_events purge_selector session_kpi nested_events "
     "mark_in_flight sync_lines invoice_headers economics_gz settlement_tsv_file item_xml_file publish_roundtrip write_fact_pruned stream_daily_kpi "
-    "window_manifest upsert_buckets ledger_reject ledger_reject_adjustments mixed_encodings two_row_header_csv paged_rank_index run_log session_blocks late_rows"
+    "window_manifest upsert_buckets ledger_reject ledger_reject_adjustments mixed_encodings two_row_header_csv paged_rank_index run_log session_blocks late_rows "
+    "render_events account_match_modes parts_jsonl parts_csv resolved_headers invoice_files invoice_stream queue_snapshots load_json_inferred latest_report"
 ).split()
 NAMES = list(REGISTRY) if os.environ.get("SALESWELL_ALL") else SAMPLE
 

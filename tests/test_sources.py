@@ -1,8 +1,10 @@
 import datetime as dt
+import json
 
 import pytest
 from pyspark.sql import functions as F
 
+from saleswell.functions import keys
 from saleswell.sources import accounting, files, invoices, marketplace, parts
 
 
@@ -143,3 +145,26 @@ def test_long_orders_stay_whole(spark, count):
     assert invoices.parse_headers(blocks).count() == 1
     lines = invoices.parse_lines(blocks)
     assert [(r.line_number, r.quantity) for r in lines.orderBy("line_number").collect()] == [(i + 1, i + 1) for i in range(count)]
+
+
+def test_parts_export_keeps_types_and_counts(spark, tmp_path):
+    raw = spark.createDataFrame([("007", "$1,234.5", 'say "hi", all', "n/a"), (" 1e5 ", None, None, ""), ("  ", "1", "x", "2"), (None, "1", "x", "2")], "Sku string, Cost string, Description string, Price string")
+    fields = ["sku", "description", "cost", "price"]
+    for kind in ("json", "csv"):
+        assert parts.export_parts(raw, str(tmp_path / kind), kind) == (2, 2)
+        rows = sorted(map(tuple, parts.read_parts(spark, str(tmp_path / kind), fields, kind).collect()))
+        assert rows == [("007", 'say "hi", all', 1234.5, 0.0), ("1e5", "", 0.0, 0.0)]
+    line = json.loads(sorted(r.value for r in spark.read.text(str(tmp_path / "json")).collect())[0])
+    assert line == {"sku": "007", "description": 'say "hi", all', "cost": 1234.5, "price": 0.0}
+    assert parts.export_parts(raw.limit(0), str(tmp_path / "none")) == (0, 0)
+    with pytest.raises(ValueError):
+        parts.export_parts(raw, str(tmp_path / "other"), "xml")
+
+
+def test_fields_of_messy_headers(spark):
+    df = spark.createDataFrame([("a", "1", "z")], "`FULL.name` string, `On-Hand` string, other string")
+    wanted = {"qty": ("TOTAL", "on hand"), "name": ("Full Name",), "cost": ("Cost",)}
+    assert [tuple(r) for r in keys.with_fields(df, wanted, ["name"]).collect()] == [("1", "a", None)]
+    assert keys.with_fields(df, wanted, ["cost"], allow_partial=True).columns == ["qty", "name", "cost"]
+    with pytest.raises(ValueError, match="cost"):
+        keys.with_fields(df, wanted, ["cost"])
