@@ -18,11 +18,6 @@ SKU_REPORT_EXCLUDED = (4, 6)
 # --- fixed values: SKU rules ------------------------------------------------
 WEB_ONLY_PREFIXES = ("web", "tweb")
 REPORT_PREFIXES = ("btkn", "bta", "btc", "btd", "tr-", "trk-")
-SKU_ALIASES = {
-    "trk-05": "trk-05b",
-    "tr-06rn-m": "tr-06rn",
-    "trk-02b-m": "trk-02b",
-}
 
 # --- fixed values: web traffic ----------------------------------------------
 ORGANIC_GROUPS = ("Organic Search", "Organic Social", "Organic Video", "Organic Shopping")

@@ -100,9 +100,11 @@ def land_raw(raw: DataFrame, path: str, partitions: Sequence[str]) -> None:
     raw.write.mode("append").partitionBy(*partitions).option("compression", "gzip").json(path)
 
 
-def write_fact(df: DataFrame, path: str, day: str, sort: Sequence[str], mode: str = "overwrite") -> None:
-    """Date-partitioned fact, rows clustered by the usual filter keys inside files."""
-    spread = df.repartition(F.col(day), F.pmod(F.hash(*sort), F.lit(8)))
+def write_fact(df: DataFrame, path: str, day: str, sort: Sequence[str], mode: str = "overwrite", files_per_day: int = 8) -> None:
+    """Date-partitioned fact, rows clustered by the usual filter keys inside files; a day is dealt to at most ``files_per_day`` tasks."""
+    if files_per_day < 1:
+        raise ValueError(f"files_per_day must be positive: {files_per_day}")
+    spread = df.repartition(F.col(day), F.pmod(F.hash(*sort), F.lit(files_per_day)))
     spread.sortWithinPartitions(day, *sort).write.mode(mode).partitionBy(day).parquet(path)
 
 

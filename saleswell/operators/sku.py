@@ -282,7 +282,8 @@ def resolve_aliases(df: DataFrame, aliases: DataFrame, column: str) -> DataFrame
     return joined.withColumn("sku", F.coalesce("_canonical", "_raw")).drop("_raw", "_canonical")
 
 
-def constant_aliases(spark, aliases: Mapping[str, str] = config.SKU_ALIASES) -> DataFrame:
+def constant_aliases(spark, aliases: Mapping[str, str]) -> DataFrame:
+    """A shop's own alias table, small enough to be written down."""
     return spark.createDataFrame(list(aliases.items()), "raw string, canonical string")
 
 

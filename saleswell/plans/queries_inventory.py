@@ -665,11 +665,15 @@ def missing_accounts(f):
     return gen.missing_accounts(account_requests(f), known).select("depth", "account", "account_type")
 
 
-@query("missing_items", """SELECT event_id, item_full_name, CASE WHEN nullif(trim(income_account), '') IS NULL THEN 'income account' END AS reject_reason FROM (
-    SELECT l.event_id, coalesce(p.item_full_name, l.sku) AS item_full_name, p.income_account, row_number() OVER (PARTITION BY l.event_id, lower(coalesce(p.item_full_name, l.sku)) ORDER BY l.line_id) AS rn
-    FROM v_event_line l JOIN v_part_master p USING (sku)) q WHERE rn = 1""")
+@query("missing_items", f"""WITH {_HYDRATED}, n AS (SELECT *, coalesce(nullif(trim(item_full_name), ''), nullif(trim(sku), '')) AS name, nullif(trim(income_account), '') AS i, coalesce(nullif(trim(cogs_account), ''), 'COGS') AS c,
+      nullif(trim(asset_account), '') AS a FROM h),
+    q AS (SELECT *, row_number() OVER (PARTITION BY event_id, lower(trim(name)) ORDER BY line_id) AS rn FROM n WHERE name IS NOT NULL)
+    SELECT event_id, name AS item_full_name, i AS income_account, c AS cogs_account, a AS asset_account, coalesce(nullif(trim(sales_description), ''), nullif(trim(sku), ''), name) AS sales_description,
+      CAST(sales_price AS DOUBLE) AS sales_price, CAST(purchase_cost AS DOUBLE) AS purchase_cost,
+      nullif(concat_ws(', ', CASE WHEN i IS NULL THEN 'income account' END, CASE WHEN a IS NULL THEN 'asset account' END), '') AS reject_reason FROM q WHERE rn = 1""")
 def missing_items(f):
-    return gen.missing_items(hydrated(f), {"cogs_account": "COGS"}).select("event_id", "item_full_name", "reject_reason")
+    specs = gen.missing_items(hydrated(f), {"cogs_account": "COGS"})
+    return specs.withColumns({c: F.col(c).cast("double") for c in ("sales_price", "purchase_cost")})
 
 
 @query("item_mods", f"""WITH {_MATCH}, j AS (SELECT l.event_id, l.line_id, l.sku, i.list_id, i.edit_sequence, i.item_full_name IS NULL AS gone, e.event_id % 2 = 0 AS pc,
