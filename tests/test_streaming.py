@@ -2,6 +2,7 @@ import datetime as dt
 
 from pyspark.sql import functions as F
 
+from saleswell import config
 from saleswell.operators import syncqueue as sq
 from saleswell.streaming import jobs, late, stateful, timers
 from test_sources import INVOICE
@@ -79,6 +80,31 @@ def test_queue_timers_equal_the_batch_steps(spark, tmp_path):
     assert got[5]["what"] == "ready" and got[6]["qb_status"] == "in_flight" and got[99]["qb_status"] == "in_flight"
 
 
+def test_neighbouring_events_share_a_group_and_keep_their_own_timers(spark, tmp_path):
+    schema = "event_id long, seq int, at_ms long, kind string, success boolean, error_code string, error_message string, txn_id string, txn_type string"
+    src, minute, t0, none = str(tmp_path / "in"), 60_000, 10**9, [None] * 5
+    batches = [
+        [(e, 1, t0 + k, "mark", *none) for k, e in enumerate((1, 2, 3, timers.BLOCK - 1, timers.BLOCK))],
+        [(2, 2, t0 + 5 * minute, "result", True, None, None, "T2", None), (3, 2, t0 + 5 * minute, "result", False, "500", None, None, None)],
+        [(1, 1, t0 + 60 * minute, "mark", *none)],
+    ]
+    for rows in batches:  # a file stream takes files in the order they appear
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(src)
+    out = timers.queue_with_timers(jobs.parquet_stream(spark, src, files_per_trigger=1))
+    query = out.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+    query.awaitTermination()
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 2  # two blocks, not five events and their timers
+    got = {}
+    for r in spark.read.schema(timers.OUTPUT).parquet(str(tmp_path / "out")).orderBy("event_id", "step").collect():
+        got.setdefault(r["event_id"], []).append((r["step"], r["what"], r["at_ms"]))
+    released = lambda k: [(1, "mark", t0 + k), (2, "released", t0 + k + timers.STALE_MS)]
+    retry = t0 + 5 * minute + config.RETRY_DELAYS_SECONDS[0] * 1000
+    third = [(1, "mark", t0 + 2), (2, "result", t0 + 5 * minute)] + ([(3, "ready", retry)] if retry < t0 + 60 * minute else [])
+    assert got[2] == [(1, "mark", t0 + 1), (2, "result", t0 + 5 * minute)] and got[3] == third
+    assert got[timers.BLOCK - 1] == released(3) and got[timers.BLOCK] == released(4)
+    assert got[1] == [(1, "mark", t0), (2, "mark", t0 + 60 * minute)]
+
+
 def test_late_rows_are_counted_and_kept(spark, tmp_path):
     src, out, ck = (str(tmp_path / n) for n in ("in", "out", "ck"))
     day = lambda d: dt.datetime(2024, 1, d)
