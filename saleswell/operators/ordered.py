@@ -23,6 +23,15 @@ def first_rows(df: DataFrame, order: Sequence[str | Column], limit: int | None)
     return df.orderBy(*order).limit(limit)
 
 
+def by_shuffle(df: DataFrame) -> DataFrame:
+    """The side of a join that grows with the data: never collected for a broadcast.
+
+    Before it runs, Spark knows only the size of a table's compressed files, which can be a small part of what its rows
+    take, all the more where a view makes several rows of one.
+    """
+    return df.hint("merge")
+
+
 def spread_nulls(key: Column, kind: str, salt: Column, ways: int = 4096) -> Column:
     """A join key whose NULLs become many values that no dimension holds, so they don't meet in one partition.
 

@@ -11,7 +11,7 @@ from saleswell import config
 from saleswell.functions.keys import canonical_sku, has_prefix, normalize_sku
 from saleswell.functions.numeric import as_double, pct_change, ratio
 from saleswell.operators.channels import between_days, combine, cost_lookup, cost_value, line_cost_parts
-from saleswell.operators.ordered import first_rows
+from saleswell.operators.ordered import by_shuffle, first_rows
 
 Period = tuple[dt.date, dt.date]
 
@@ -31,15 +31,15 @@ def _order_sales(lines, orders, products, variants, costs, statuses, precedence,
     """
     kept = tag_periods(orders.where(F.col("status").isin(*statuses)), "order_date", periods)
     grouped = (
-        lines.join(kept.select("order_id", "period"), "order_id")
+        lines.join(by_shuffle(kept.select("order_id", "period")), "order_id")
         .groupBy("period", "product_id", "variant_id")
         .agg(F.sum("total_ex_tax").alias("revenue"), F.sum("quantity").alias("units"), *line_cost_parts())
     )
-    named = grouped.join(products.select("product_id", "product_name", "sku"), "product_id", "left").join(
-        variants, ["variant_id", "product_id"], "left"
+    named = grouped.join(by_shuffle(products.select("product_id", "product_name", "sku")), "product_id", "left").join(
+        by_shuffle(variants), ["variant_id", "product_id"], "left"
     )
     keyed = named.withColumn("cost_key", canonical_sku(F.col("variant_sku"), F.col("product_name"), F.col("sku")))
-    priced = keyed.join(cost_lookup(costs, trim=True), "cost_key", "left")
+    priced = keyed.join(by_shuffle(cost_lookup(costs, trim=True)), "cost_key", "left")
     return priced.groupBy("period", F.col("cost_key").alias("sku")).agg(
         F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.sum(cost_value(precedence)).alias("cogs")
     )
@@ -51,7 +51,7 @@ def _marketplace_sales(sku_day, costs, periods) -> DataFrame:
         .groupBy("period", normalize_sku(F.col("msku")).alias("cost_key"))
         .agg(F.sum("gross_sales").alias("revenue"), F.sum("units").alias("units"))
     )
-    priced = grouped.join(cost_lookup(costs, trim=True), "cost_key", "left")
+    priced = grouped.join(by_shuffle(cost_lookup(costs, trim=True)), "cost_key", "left")
     cost = F.coalesce(F.col("cost_per_unit") * F.col("units").cast("decimal(38,0)"), F.lit(0).cast("decimal(38,2)"))
     return priced.groupBy("period", F.col("cost_key").alias("sku")).agg(
         F.sum("revenue").alias("revenue"), F.sum("units").alias("units"), F.sum(cost).alias("cogs")
@@ -105,7 +105,7 @@ def category_totals(sales: DataFrame, categories: DataFrame) -> DataFrame:
     cur, prev = F.col("period") == "current", F.col("period") == "previous"
     zero = F.lit(0).cast("decimal(38,2)")
     total = lambda c, when: F.sum(F.when(when, F.col(c)).otherwise(zero))
-    sums = sales.join(categories, "sku").groupBy("category").agg(
+    sums = sales.join(by_shuffle(categories), "sku").groupBy("category").agg(
         *[total(c, cur).alias(c) for c in ("revenue", "units", "cogs")],
         *[total(c, prev).alias(f"previous_{c}") for c in ("revenue", "units", "cogs")],
         F.count_if(cur).alias("sku_count"),
@@ -129,11 +129,10 @@ def top_categories(totals: DataFrame, limit: int | None = 8) -> DataFrame:
 
 
 def category_movers(totals: DataFrame) -> DataFrame:
-    """Largest rise and largest fall."""
-    up = totals.where(F.col("delta") > 0).orderBy(F.desc("delta"), "category").limit(1)
-    down = totals.where(F.col("delta") < 0).orderBy("delta", "category").limit(1)
-    pick = lambda df, name: df.select(F.lit(name).alias("direction"), "category", "delta")
-    return pick(up, "positive").unionByName(pick(down, "negative"))
+    """Largest rise and largest fall, both from one pass over the totals."""
+    first = lambda name, delta, sign: F.min(F.when(delta, F.struct((F.col("delta") * sign).alias("by"), "category", F.lit(name).alias("direction"), "delta")))
+    both = totals.agg(first("positive", F.col("delta") > 0, -1).alias("up"), first("negative", F.col("delta") < 0, 1).alias("down"))
+    return both.select(F.inline(F.array_compact(F.array("up", "down")))).select("direction", "category", "delta")
 
 
 def category_coverage(sales: DataFrame, categories: DataFrame) -> DataFrame:

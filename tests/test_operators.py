@@ -333,3 +333,15 @@ def test_missing_stock_is_never_sent(spark):
     hand = spark.createDataFrame([("a", 4.0), ("b", -1.0)], "sku string, on_hand double")
     assert {r.sku: (r.new_qty, r.reject_reason) for r in gen.sync_lines(miss, ["quantity"], hand).collect()} == {
         "a": (4.0, None), "b": (None, "negative stock"), "c": (None, "missing stock")}
+
+
+def test_category_movers_take_one_pass_and_no_broadcast(spark):
+    cols = "category string, delta double"
+    totals = lambda rows: spark.createDataFrame(rows, cols)
+    got = lambda rows: sorted(map(tuple, sku.category_movers(totals(rows)).collect()))
+    assert got([("b", 2.0), ("a", 2.0), ("c", 1.0), ("z", -3.0), ("y", -3.0), ("n", None), ("o", 0.0)]) == [("negative", "y", -3.0), ("positive", "a", 2.0)]
+    assert got([("a", 1.0)]) == [("positive", "a", 1.0)] and got([]) == []
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    assert plan(sku.category_movers(totals([("a", 1.0), ("b", 2.0)]))).count("ExistingRDD") == 1
+    sales = spark.createDataFrame([("current", "S", "1", "1")], "period string, sku string, revenue string, cogs string").selectExpr("period", "sku", "cast(revenue as decimal(18,2)) revenue", "1L units", "cast(cogs as decimal(18,2)) cogs")
+    assert "Broadcast" not in plan(sku.category_totals(sales, spark.createDataFrame([("S", "c")], "sku string, category string")))
