@@ -233,6 +233,20 @@ def test_a_late_rewrite_of_an_early_turn_is_found():
     assert not chat.locate(chat.MarkedTemplate.render, turns).rewrites
 
 
+def test_results_do_not_turn_on_the_length_of_a_conversation():
+    def blinking(turns):  # rewrites the second turn at one length only
+        return chat.MarkedTemplate.render([(r, "x" * len(t) if k == 1 and len(turns) == 100 else t) for k, (r, t) in enumerate(turns)])
+
+    turns = [("user" if k % 2 == 0 else "assistant", f"turn {k}") for k in range(140)]
+    assert chat.locate(blinking, turns).rewrites and not chat.locate(blinking, turns[:99]).rewrites
+    render = chat.MarkedTemplate.render
+    assert chat.locate(render, turns, by_turn=True) == chat.locate(render, turns) and chat.locate(render, [], by_turn=True) == chat.locate(render, [])
+    assert chat.turnwise(chat.MarkedTemplate) and not chat.turnwise(trimming()) and not chat.turnwise(Numbering)
+    assert chat.locate(blinking, turns[:100], by_turn=True).rewrites  # a wrong declaration is found where the whole shows it
+    spans = chat.locate(render, turns).spans
+    assert all(chat.text_span(render, turns, k, spans[k], render(turns), 0) == chat.text_span(render, turns, k, spans[k], render(turns)) for k in (0, 1, 70, 139))
+
+
 def test_chats_read_back(spark):
     r = random.Random(2)
     rows = []
