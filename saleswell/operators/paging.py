@@ -2,7 +2,7 @@
 
 The result is written once in blocks of the order, each sorted, with a small table that
 holds every block's first rank and size.  Any page, however deep, then reads the one or two
-blocks that it lies in.
+blocks that it lies in, and of a large block only the file pages that hold its places.
 """
 
 from __future__ import annotations
@@ -13,13 +13,19 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 BLOCK, PLACE, STOOD = "_block", "_place", "_stood"
 
+#: A block is a task and a folder, both known to the driver: a longer result has larger blocks, not more.
+MOST_BLOCKS = 512
+
 
 def build(df: DataFrame, order: Sequence[Column | str], table: str, rows_per_block: int = 100_000) -> None:
-    """Write the index.  Rows that the order leaves equal keep one order among all pages, by where they stood."""
+    """Write the index.  Rows that the order leaves equal keep one order among all pages, by where they stood.
+
+    Blocks have about ``rows_per_block`` rows, more where that would make over ``MOST_BLOCKS`` of them.
+    """
     if rows_per_block < 1:
         raise ValueError(f"blocks need at least one row: {rows_per_block}")
     keys = [*order, F.col(STOOD)]
-    blocks = max(1, -(-df.count() // rows_per_block))
+    blocks = min(max(1, -(-df.count() // rows_per_block)), MOST_BLOCKS)
     ranged = df.withColumn(STOOD, F.monotonically_increasing_id()).repartitionByRange(blocks, *keys).sortWithinPartitions(*keys)
     # The generated number holds the partition above bit 33 and the row's place in it below.
     number = ranged.drop(STOOD).withColumn(PLACE, F.monotonically_increasing_id())
@@ -52,6 +58,11 @@ def page(spark: SparkSession, table: str, number: int, size: int) -> DataFrame:
     rows = spark.read.parquet(f"{table}/rows")
     # Only blocks that the page meets are named: partition pruning leaves the other folders unread.
     rows = rows.where(F.col(BLOCK).isin([h[BLOCK] for h in hits])) if hits else rows.limit(0)
+    # Places ascend in a file: a filter on them alone reaches its page index.
+    inside = F.lit(not hits)
+    for h in hits:
+        inside = inside | F.col(PLACE).between(max(first - h["start"], 0), first + size - 1 - h["start"])
+    rows = rows.where(inside)
     start = F.lit(0).cast("bigint")
     for h in hits:
         start = F.when(F.col(BLOCK) == h[BLOCK], F.lit(h["start"])).otherwise(start)

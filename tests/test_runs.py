@@ -88,3 +88,12 @@ def test_sketches_merge_over_any_range(spark):
         assert abs(got - exact) <= max(1, sketches.error_bound() * exact)
     apart = {r["shop"]: r["distinct"] for r in sketches.distinct_between(by_day, "day", days[0], days[-1], ["shop"]).collect()}
     assert all(abs(n - 18_500) <= sketches.error_bound() * 18_500 for n in apart.values()) and len(apart) == 2
+
+
+def test_a_long_rank_index_has_larger_blocks_not_more(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(paging, "MOST_BLOCKS", 8, raising=False)
+    table = str(tmp_path / "index")
+    paging.build(spark.range(3_000), [F.desc("id")], table, rows_per_block=50)
+    assert len([p for p in (tmp_path / "index" / "rows").iterdir() if p.name.startswith("_block=")]) <= 8
+    got = [(r["rank"], r["id"]) for n in range(1, 32) for r in paging.page(spark, table, n, 97).orderBy("rank").collect()]
+    assert got == [(k + 1, 2_999 - k) for k in range(3_000)]
