@@ -539,13 +539,19 @@ def account_match_modes(f):
     """Each account of a part against itself, a child, an asset label or a sibling, under the three modes."""
     kind = F.col("reorder_point").cast("bigint") % 4
 
+    def paths(c):
+        other = F.when(kind == 0, F.col(c)).when(kind == 1, F.concat(c, F.lit(":Extra"))).when(kind == 2, F.lit("Stock:Inventory Asset")).otherwise(F.regexp_replace(c, "[^:]+$", "Other"))
+        return {f"_a_{c}": acc.canonical_path(F.col(c)), f"_b_{c}": acc.canonical_path(other)}
+
     def pair(c):
-        other = (F.when(kind == 0, F.col(c)).when(kind == 1, F.concat(c, F.lit(":Extra"))).when(kind == 2, F.lit("Stock:Inventory Asset")).otherwise(F.regexp_replace(c, "[^:]+$", "Other")))
-        ours, theirs = acc.canonical_path(F.col(c)), acc.canonical_path(other)
+        ours, theirs = F.col(f"_a_{c}"), F.col(f"_b_{c}")
         modes = [acc.accounts_match(ours, theirs, c, m).alias(m) for m in ("strict", "normalized", "hierarchy")]
         return F.struct(F.lit(c).alias("field"), F.array_join(ours, ":").alias("our_path"), F.array_join(theirs, ":").alias("their_path"), *modes)
 
-    return f.part_master.select("sku", F.inline(F.array(*map(pair, acc.ACCOUNT_ROLES))))
+    # Paths are cleaned once per row, as columns of their own; the rows of one small table file are dealt first.
+    parts = f.part_master.select("sku", "reorder_point", *acc.ACCOUNT_ROLES).repartition("sku", "reorder_point")
+    cleaned = parts.select("sku", *[v.alias(k) for c in acc.ACCOUNT_ROLES for k, v in paths(c).items()])
+    return cleaned.select("sku", F.inline(F.array(*map(pair, acc.ACCOUNT_ROLES))))
 
 
 _RAWPATH = "CAST(p_partkey % 90 + 10 AS VARCHAR) || ' - COG''s : Parts & ' || p_type || ' :: ' || p_brand || '-0A1B2C'"
