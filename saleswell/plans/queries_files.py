@@ -13,6 +13,7 @@ from saleswell.plans.registry import REGISTRY, query
 from saleswell.session import work_folder
 from saleswell.sources import accounting, files, marketplace
 
+ITEMS_PER_FILE = 100_000  # about 60 MB of XML
 TIMES = ("settlement_start_date", "settlement_end_date", "deposit_date", "posted_date_time", "ingested_at")
 
 
@@ -50,7 +51,9 @@ def item_xml_file(f):
         F.col("list_id").alias("ListID"), F.col("edit_sequence").alias("EditSequence"), F.col("item_full_name").alias("FullName"), F.lit("true").alias("IsActive"),
         F.col("quantity").alias("QuantityOnHand"), F.col("sales_price").alias("SalesPrice"), F.col("purchase_cost").alias("PurchaseCost"),
         ref("income_account").alias("IncomeAccountRef"), ref("cogs_account").alias("COGSAccountRef"), ref("asset_account").alias("AssetAccountRef"))
-    rows.write.format("xml").option("rowTag", "ItemInventoryRet").option("rootTag", "Items").save(path)
+    # A file of elements over several lines is read by one task, so its size is bounded, and the rows of one small table file are dealt first.
+    writer = rows.repartition("ListID").write.format("xml").option("maxRecordsPerFile", ITEMS_PER_FILE)
+    writer.option("rowTag", "ItemInventoryRet").option("rootTag", "Items").save(path)
     return accounting.read_item_snapshot(f.spark, path)
 
 
