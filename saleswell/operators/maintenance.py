@@ -108,6 +108,13 @@ def write_fact(df: DataFrame, path: str, day: str, sort: Sequence[str], mode: st
     spread.sortWithinPartitions(day, *sort).write.mode(mode).partitionBy(day).parquet(path)
 
 
+def bucket_count(rows: int, rows_per_bucket: int = 1_000_000, least: int = 1) -> int:
+    """Buckets for a table of so many rows: a bucket is sorted and joined by one task, so it must not grow with the table."""
+    if rows < 0 or rows_per_bucket < 1 or least < 1:
+        raise ValueError(f"rows from 0, rows a bucket and buckets from 1: {rows}, {rows_per_bucket}, {least}")
+    return max(least, -(-rows // rows_per_bucket))
+
+
 def write_bucketed(df: DataFrame, table: str, path: str, keys: Sequence[str], buckets: int, sort: Sequence[str] = ()) -> DataFrame:
     """An external table in ``buckets`` hash buckets of ``keys``, sorted in each; tables alike in both join and group by them without a shuffle."""
     if buckets < 1 or not keys:

@@ -96,8 +96,10 @@ def bucketed_join(f):
     """Orders and lines in the same buckets of order_id: the join reads them side by side, without a shuffle."""
     path = work_folder(f.spark, "bucketed")
     name = lambda kind: f"{kind}_{path.rsplit('-', 1)[1]}"
-    orders = mt.write_bucketed(f.order.select("order_id", "channel"), name("orders"), f"{path}/orders", ["order_id"], 8)
-    lines = mt.write_bucketed(f.line.select("order_id", "product_id", "quantity"), name("lines"), f"{path}/lines", ["order_id"], 8)
+    order_rows, line_rows = f.order.select("order_id", "channel"), f.line.select("order_id", "product_id", "quantity")
+    buckets = mt.bucket_count(max(order_rows.count(), line_rows.count()), least=8)
+    orders = mt.write_bucketed(order_rows, name("orders"), f"{path}/orders", ["order_id"], buckets)
+    lines = mt.write_bucketed(line_rows, name("lines"), f"{path}/lines", ["order_id"], buckets)
     return orders.join(lines, "order_id").groupBy("channel", "product_id").agg(F.sum("quantity").alias("quantity"))
 
 

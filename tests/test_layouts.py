@@ -61,3 +61,21 @@ def test_known_items_are_matched_by_distinct_pairs(spark):
     items = spark.createDataFrame([("Parts:a",), ("b",)], "item_full_name string")
     known, unknown = parity.known_item_lines(lines, items)
     assert sorted(r["line_id"] for r in known.collect()) == [0, 1, 2] and sorted(r["line_id"] for r in unknown.collect()) == [3, 4]
+
+
+def test_files_buckets_and_paths_follow_the_rows(spark, monkeypatch):
+    from saleswell.plans import queries_files
+    from saleswell.plans.catalog import REGISTRY
+    from saleswell.sources.sample import Feeds
+
+    feeds = Feeds(spark, "/root/testdata/sf0.001")
+    monkeypatch.setattr(queries_files, "ITEMS_PER_FILE", 25, raising=False)
+    items = REGISTRY["item_xml_file"].build(feeds)
+    assert items.count() == feeds.item.count() and len(items.inputFiles()) >= items.count() / 25
+    whole = mt.bucket_count
+    monkeypatch.setattr(mt, "bucket_count", lambda rows, least: whole(rows, 500, least))
+    joined = REGISTRY["bucketed_join"].build(feeds)
+    assert f"out of {-(-feeds.line.count() // 500)}" in joined._jdf.queryExecution().executedPlan().toString()
+    # Six account paths, each cleaned once however often it is compared.
+    plan = REGISTRY["account_match_modes"].build(feeds)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("cog's") == 6
