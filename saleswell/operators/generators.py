@@ -11,7 +11,7 @@ from saleswell.functions.accounts import account_key, infer_account_type, path_p
 from saleswell.functions.keys import item_key
 from saleswell.functions.numeric import number_text
 from saleswell.functions.text import name_uuid, sanitize_text, truncate_name
-from saleswell.operators.ordered import row_numbers
+from saleswell.operators.ordered import row_numbers, spread_nulls
 
 BLOCK_CHARS = 6
 
@@ -128,11 +128,14 @@ def item_modifications(lines: DataFrame, items: DataFrame, matches: DataFrame) -
 
     ``reject_reason`` is NULL when everything required is there.
     """
-    detail = items.select(
-        F.col("item_full_name").alias("matched_name"), "list_id", "edit_sequence",
+    detail = items.select(F.col("item_full_name").alias("_name"), F.struct(
+        "list_id", "edit_sequence",
         *[F.col(c).alias(f"_{c}") for c in ("income_account", "cogs_account", "asset_account")], F.lit(True).alias("_found"),
-    )
-    rows = lines.join(matches, "sku", "left").join(detail, "matched_name", "left")
+    ).alias("_item"))
+    # Details meet the matches, one row a SKU, before the lines do: the lines of all SKUs without a match would share one NULL key.
+    name = spread_nulls(F.col("matched_name"), "string", F.col("sku"))
+    found = matches.withColumn("_name", name).join(detail, "_name", "left").withColumn("_item", F.when(F.col("matched_name").isNotNull(), F.col("_item")))
+    rows = lines.join(found.select("sku", "_item.*"), "sku", "left")
     theirs = F.contains(F.lower(F.coalesce("created_by", F.lit(""))), F.lit("price-cost"))
     text = lambda c: F.nullif(F.trim(F.col(c)), F.lit(""))
     chosen = {c: F.when(theirs, text(f"_{c}")).otherwise(F.coalesce(text(c), text(f"_{c}"))) for c in ("income_account", "cogs_account", "asset_account")}

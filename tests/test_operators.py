@@ -345,3 +345,21 @@ def test_category_movers_take_one_pass_and_no_broadcast(spark):
     assert plan(sku.category_movers(totals([("a", 1.0), ("b", 2.0)]))).count("ExistingRDD") == 1
     sales = spark.createDataFrame([("current", "S", "1", "1")], "period string, sku string, revenue string, cogs string").selectExpr("period", "sku", "cast(revenue as decimal(18,2)) revenue", "1L units", "cast(cogs as decimal(18,2)) cogs")
     assert "Broadcast" not in plan(sku.category_totals(sales, spark.createDataFrame([("S", "c")], "sku string, category string")))
+
+
+def test_lines_without_a_matched_item_stay_spread(spark):
+    lines = spark.range(4_000).select(F.col("id").alias("event_id"), F.lit("1").alias("line_id"), F.concat(F.lit("s"), "id").alias("sku"), F.lit("me").alias("created_by"),
+                                      *[F.lit("a").alias(c) for c in ("income_account", "cogs_account", "asset_account")])
+    items = spark.createDataFrame([("s1", "L1", "E1", "x", "y", "z"), ("\x001", "L2", "E2", "x", "y", "z")], "item_full_name string, list_id string, edit_sequence string, income_account string, cogs_account string, asset_account string")
+    matches = lines.select("sku", F.when(F.col("sku") == "s1", F.col("sku")).alias("matched_name"))
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        rows = gen.item_modifications(lines, items, matches).select("sku", "list_id", "reject_reason", F.spark_partition_id().alias("p")).collect()
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    assert {(r.list_id, r.reject_reason) for r in rows if r.sku == "s1"} == {("L1", None)}
+    assert {(r.list_id, r.reject_reason) for r in rows if r.sku != "s1"} == {(None, "missing item detail")}
+    assert len(rows) == 4_000 and max(sum(r.p == p for r in rows) for p in range(4)) < 2_000
