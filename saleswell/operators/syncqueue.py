@@ -131,7 +131,8 @@ def retry_failed(events: DataFrame, asked: DataFrame, now_ms: int) -> DataFrame:
 def hydrate(events: DataFrame, lines: DataFrame, parts: DataFrame, locations: DataFrame, reasons: DataFrame) -> DataFrame:
     """Event lines with item, account and site names; one flat row per line.
 
-    Dimensions join by equi keys and AQE broadcasts whichever is small enough.
+    Dimensions join by equi keys and AQE broadcasts whichever is small enough.  Short names join first, while rows are
+    narrow, and events last: grouping the result by event then needs no further shuffle.
     Nest with :func:`saleswell.operators.generators.nest_lines` only for the events about to be sent.
     """
     # Most lines have one of three locations and few have a reason: their NULL keys are spread.
@@ -145,10 +146,10 @@ def hydrate(events: DataFrame, lines: DataFrame, parts: DataFrame, locations: Da
         F.col("cogs_account").alias("_cogs"), F.col("asset_account").alias("_asset"), "description", "price", "cost",
         F.lit(True).alias("_part"),
     )
-    rows = lines.join(events, "event_id").join(item, "sku", "left")
-    rows = named(rows, reasons, "reason_code", "string", "account_full_name", "account_full_name")
+    rows = named(lines, reasons, "reason_code", "string", "account_full_name", "account_full_name")
     for role in ("location_id", "from_location_id", "to_location_id"):
         rows = named(rows, locations, role, "bigint", "site_name", role.replace("location_id", "site"))
+    rows = rows.join(item, "sku", "left").join(events, "event_id")
     return (
         rows.select(
             "event_id", "line_id", "event_type", "effective_date", "created_by", "memo", "sku", "qty", "new_qty", "reason_code",
