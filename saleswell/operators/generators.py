@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from saleswell import config
 from saleswell.functions.accounts import account_key, infer_account_type, path_prefixes
@@ -220,7 +220,12 @@ def render_events(
         site("site_name").alias("_site"), site("from_site_name").alias("_from"), site("to_site_name").alias("_to"),
         F.nullif(F.trim("account_full_name"), F.lit("")).alias("_acct"),
     )
+    bodies = F.collect_list(F.struct("line_id", "_line"))
+    text_of = lambda pairs: F.array_join(F.transform(F.sort_array(pairs), lambda p: p["_line"]), "").alias("_body")
+    # Whole requests come from the same pass as their heads; only parts of a bounded size are grouped on their own.
+    whole = lines_per_part is None
     events = rows.groupBy(*keys).agg(
+        *([bodies.alias("_pairs")] if whole else []),
         *[f(c).alias(f"{c}_{n}") for c in ("_site", "_from", "_to") for n, f in (("lo", F.min), ("hi", F.max))],
         F.min_by("_acct", F.when(F.col("_acct").isNotNull(), F.col("line_id"))).alias("_acct"),
         F.max("_no_item").alias("_no_item"), F.count("*").alias("line_count"),
@@ -247,11 +252,14 @@ def render_events(
     kind = F.when(transfer, F.lit("TransferInventory")).otherwise(F.lit("InventoryAdjustment"))
     opening = F.concat(F.lit("<"), kind, F.lit('AddRq requestID="'), F.col("event_id").cast("string"), F.lit('"><'), kind, F.lit("Add>"), head)
     closing = F.concat(F.lit("</"), kind, F.lit("Add></"), kind, F.lit("AddRq>"))
-    checked = events.select("event_id", "event_type", "line_count", reason.alias("reject_reason"), (F.length(whole_memo) > config.MEMO_MAX).alias("memo_truncated"), opening.alias("_open"), closing.alias("_close"))
-    parts = event_parts(rows.select("event_id", "line_id", "_line"), lines_per_part).groupBy("event_id", "chunk_no", "chunk_count").agg(
-        F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("line_id", "_line"))), lambda p: p["_line"]), "").alias("_body")
-    )
-    out = checked.join(parts, "event_id")
+    checked = events.select("event_id", "event_type", "line_count", reason.alias("reject_reason"), (F.length(whole_memo) > config.MEMO_MAX).alias("memo_truncated"), opening.alias("_open"), closing.alias("_close"), *(["_pairs"] if whole else []))
+    if whole:
+        # Of an id with several heads each request has all lines.
+        pairs = F.flatten(F.collect_list("_pairs").over(Window.partitionBy("event_id")))
+        out = event_parts(checked.where(F.col("event_id").isNotNull()).withColumn("_pairs", pairs), None).withColumn("_body", text_of(F.col("_pairs")))
+    else:
+        parts = event_parts(rows.select("event_id", "line_id", "_line"), lines_per_part)
+        out = checked.join(parts.groupBy("event_id", "chunk_no", "chunk_count").agg(text_of(bodies)), "event_id")
     text = F.concat(
         F.when(F.col("chunk_no") == 1, F.col("_open")).otherwise(F.lit("")), "_body",
         F.when(F.col("chunk_no") == F.col("chunk_count"), F.col("_close")).otherwise(F.lit("")),

@@ -363,3 +363,44 @@ def test_lines_without_a_matched_item_stay_spread(spark):
     assert {(r.list_id, r.reject_reason) for r in rows if r.sku == "s1"} == {("L1", None)}
     assert {(r.list_id, r.reject_reason) for r in rows if r.sku != "s1"} == {(None, "missing item detail")}
     assert len(rows) == 4_000 and max(sum(r.p == p for r in rows) for p in range(4)) < 2_000
+
+
+def _exchanges(spark, make, what):
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        return make()._jdf.queryExecution().executedPlan().toString().count(f"Exchange hashpartitioning({what}")
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+
+
+def test_blocks_share_one_dealing_of_the_rows(spark):
+    rows = [(k, o, 1.0) for k in ("a", None) for o in range(200)]
+    df = spark.createDataFrame(rows, "k string, o int, v double")
+    made = lambda: running_sum(df, ["k"], ["o"], F.floor(F.col("o") / 37), "v", "s")
+    assert _exchanges(spark, made, "") == 4  # the rows, their blocks' totals, those by key, the starts
+    got = made()
+    assert got.columns == ["k", "o", "v", "s"] and got.where("s <> o + 1").count() == 0 and got.count() == 400
+    numbered = row_numbers(df, ["k"], ["o"], F.floor(F.col("o") / 37))
+    assert numbered.where("rn <> o + 1").count() == 0 and numbered.count() == 400
+
+
+def test_events_meet_their_lines_last(spark):
+    from saleswell.operators import syncqueue as sq
+    from saleswell.sources.sample import Feeds
+
+    f = Feeds(spark, "/root/testdata/sf0.001")
+    rows = sq.hydrate(f.event, f.event_line, f.part_master, f.location, f.reason)
+    # One exchange of lines and one of events; nesting, item specs and requests need no other.
+    for made in (lambda: gen.nest_lines(rows, ["event_id", "event_type", "effective_date"]), lambda: gen.missing_items(rows, {}), lambda: gen.render_events(rows, "COGS")):
+        assert _exchanges(spark, made, "event_id") == 2
+
+
+def test_requests_of_an_id_with_two_heads_have_all_lines(spark):
+    cols = "event_id long, line_id string, event_type string, effective_date date, created_by string, memo string, sku string, qty double, new_qty double, account_full_name string, item_full_name string, site_name string, from_site_name string, to_site_name string"
+    day = dt.date(2024, 1, 1)
+    row = lambda e, line, memo: (e, line, "adjustment", day, "u", memo, "s", 1.0, None, "A", f"I{line}", "Site", None, None)
+    out = gen.render_events(spark.createDataFrame([row(1, "1", "x"), row(1, "2", "y"), row(None, "1", "x")], cols), "COGS").collect()
+    assert [r.event_id for r in out] == [1, 1] and all("I1" in r.request_xml and "I2" in r.request_xml for r in out)
