@@ -50,9 +50,9 @@ def balances(lines: DataFrame, reserved: DataFrame | None = None) -> DataFrame:
 
 def running_balance(lines: DataFrame, order: str, block: Column) -> DataFrame:
     """Balance after every movement; below-zero ones are flagged.  ``block`` never decreases along ``order`` (a day, say)."""
-    moves = movements(lines).where(F.col("location_id").isNotNull()).withColumn("_o", F.struct(order, "line_id", "leg", "delta"))
-    run = running_sum(moves, KEYS, ["_o"], block, "delta", "balance")
-    return run.withColumn("negative", F.col("balance") < -EPS).drop("_o")
+    moves = movements(lines).where(F.col("location_id").isNotNull())
+    run = running_sum(moves, KEYS, [order, "line_id", "leg", "delta"], block, "delta", "balance")
+    return run.withColumn("negative", F.col("balance") < -EPS)
 
 
 def replay_requests(requests: DataFrame, order: str, block: Column) -> DataFrame:

@@ -48,30 +48,34 @@ def _before(keys: Sequence[str]):
 
 def row_numbers(df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], block: Column, name: str = "rn") -> DataFrame:
     """Exact ``row_number`` per key; ``order`` must be unique within a key."""
-    tagged = df.withColumn("_block", block)
-    sizes = tagged.groupBy(*keys, "_block").agg(F.count("*").alias("_n"))
-    starts = sizes.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"),
-        F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_start"),
-    )
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order)
-    joined = _join_blocks(tagged, starts, keys)
-    return joined.withColumn(name, F.col("_start") + F.row_number().over(inner)).drop("_block", "_start")
+    tagged = _tagged(df, keys, block)
+    sizes = tagged.groupBy("_key").agg(F.count("*").alias("_n")).select("_key", "_key.*", "_n")
+    starts = sizes.select("_key", F.coalesce(F.sum("_n").over(_before(keys)), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("_key").orderBy(*order)
+    return _placed(tagged, starts, keys).withColumn(name, F.col("_start") + F.row_number().over(inner)).select(*df.columns, name)
 
 
 def running_sum(
     df: DataFrame, keys: Sequence[str], order: Sequence[str | Column], block: Column, value: str, name: str
 ) -> DataFrame:
     """Exact running sum per key, the current row included."""
-    tagged = df.withColumn("_block", block)
-    totals = tagged.groupBy(*keys, "_block").agg(F.sum(value).alias("_t"))
-    starts = totals.select(
-        *[F.col(k).alias(f"_k_{k}") for k in keys], F.col("_block").alias("_b"),
-        F.coalesce(F.sum("_t").over(_before(keys)), F.lit(0)).alias("_start"),
-    )
-    inner = Window.partitionBy(*keys, "_block").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    joined = _join_blocks(tagged, starts, keys)
-    return joined.withColumn(name, F.col("_start") + F.sum(value).over(inner)).drop("_block", "_start")
+    tagged = _tagged(df, keys, block)
+    totals = tagged.groupBy("_key").agg(F.sum(value).alias("_t")).select("_key", "_key.*", "_t")
+    starts = totals.select("_key", F.coalesce(F.sum("_t").over(_before(keys)), F.lit(0)).alias("_start"))
+    inner = Window.partitionBy("_key").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    return _placed(tagged, starts, keys).withColumn(name, F.col("_start") + F.sum(value).over(inner)).select(*df.columns, name)
+
+
+def _tagged(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
+    """Keys and block as one struct: never NULL and equal where its parts are, NULL parts too.
+
+    So totals, join and window of a block all ask for the same dealing of the rows, and they are shuffled for it once.
+    """
+    return df.withColumn("_key", F.struct(*keys, block.alias("_block"))).drop(*keys)
+
+
+def _placed(tagged: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return tagged.join(starts, "_key").withColumns({k: F.col(f"_key.{k}") for k in keys})
 
 
 def _join_blocks(tagged: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
