@@ -75,7 +75,8 @@ def _tagged(df: DataFrame, keys: Sequence[str], block: Column) -> DataFrame:
 
 
 def _placed(tagged: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return tagged.join(starts, "_key").withColumns({k: F.col(f"_key.{k}") for k in keys})
+    # Rows without a block have no place in the order: they count before all others, but get no value of their own.
+    return tagged.where(F.col("_key._block").isNotNull()).join(starts, "_key").withColumns({k: F.col(f"_key.{k}") for k in keys})
 
 
 def _join_blocks(tagged: DataFrame, starts: DataFrame, keys: Sequence[str]) -> DataFrame:

@@ -404,3 +404,10 @@ def test_requests_of_an_id_with_two_heads_have_all_lines(spark):
     row = lambda e, line, memo: (e, line, "adjustment", day, "u", memo, "s", 1.0, None, "A", f"I{line}", "Site", None, None)
     out = gen.render_events(spark.createDataFrame([row(1, "1", "x"), row(1, "2", "y"), row(None, "1", "x")], cols), "COGS").collect()
     assert [r.event_id for r in out] == [1, 1] and all("I1" in r.request_xml and "I2" in r.request_xml for r in out)
+
+
+def test_rows_without_a_block_count_but_get_no_value(spark):
+    df = spark.createDataFrame([("a", None, 5.0), ("a", 1, 1.0), ("a", 40, 1.0), (None, 2, 1.0), (None, None, 7.0)], "k string, o int, v double")
+    out = running_sum(df, ["k"], ["o"], F.floor(F.col("o") / 37), "v", "s")
+    assert sorted((r.k or "", r.o, r.s) for r in out.collect()) == [("", 2, 8.0), ("a", 1, 6.0), ("a", 40, 7.0)]
+    assert row_numbers(df, ["k"], ["o"], F.floor(F.col("o") / 37)).count() == 3
