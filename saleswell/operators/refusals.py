@@ -8,7 +8,8 @@ openings follow by applying one function per block, and then all blocks are repl
 from their openings.
 
 A SKU with transfers has one balance per location and a change couples two of them; its rows are streamed in order
-through one task that holds these few balances (the sort spills, the rows are never held together).
+through one task that holds these few balances (the sort spills, the rows are never held together).  So are those of a SKU
+of few rows: blocks are for SKUs that would keep one task busy.
 
 ``requests``: ``sku, seq, line_id, mode (delta, set, transfer), qty, new_qty, location_id, from_location_id,
 to_location_id``, unique by (sku, seq, line_id).  A line without what its mode needs is refused as ``invalid`` and changes
@@ -18,7 +19,7 @@ nothing.  Sums of a block are added up before the opening, so fractional balance
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -26,6 +27,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from saleswell import config
 
 EPS = config.BALANCE_EPSILON
+#: A SKU of fewer rows is streamed by one task in seconds.
+HOT = 1_000_000
 OUTPUT = "sku string, seq bigint, line_id string, location_id bigint, delta double, on_hand double, accepted boolean, reason string"
 _NAMES = [c.split()[0] for c in OUTPUT.split(", ")]
 _KEY = ["sku", "location_id"]
@@ -130,7 +133,7 @@ def openings(functions: DataFrame) -> DataFrame:
 
 
 def _single(requests: DataFrame, block: Column) -> DataFrame:
-    """Decisions for SKUs without transfers, location by location."""
+    """Decisions for hot SKUs without transfers, location by location."""
     changes = requests.select(
         "sku", F.col("location_id").cast("bigint").alias("location_id"), block.cast("bigint").alias("block"), "seq", "line_id",
         (F.col("mode") == "set").alias("setting"), F.when(F.col("mode") == "set", F.col("new_qty")).otherwise(F.col("qty")).cast("double").alias("value"),
@@ -156,32 +159,50 @@ def _single(requests: DataFrame, block: Column) -> DataFrame:
     return ordered.mapInPandas(lambda f: _typed(_batches(replay(_rows(f)), _NAMES)), OUTPUT)
 
 
-def _coupled(requests: DataFrame) -> DataFrame:
-    """Decisions for SKUs with transfers: their rows in order, with one balance for each location."""
+def _whole(requests: DataFrame, heads: DataFrame, block: Column) -> DataFrame:
+    """Decisions for SKUs of one task each: their rows in order, with one balance for each location.
 
-    def walk(rows):
-        sku, held = None, {}
-        for r in rows:
-            if r.sku != sku:
-                sku, held = r.sku, {}
-            here, out, into, qty, new = (_number(getattr(r, c)) for c in ("location_id", "from_location_id", "to_location_id", "qty", "new_qty"))
-            if r.mode == "transfer":
-                moves = None if None in (out, into, qty) else [(int(out), -qty), (int(into), qty)]
-            elif r.mode == "set":
-                moves = None if None in (here, new) else [(int(here), new - held.get(int(here), 0.0))]
-            else:
-                moves = None if None in (here, qty) else [(int(here), qty)]
-            if moves is None:
-                yield (sku, r.seq, r.line_id, here if here is not None else out, None, None, False, "invalid")
-                continue
-            fits = all(after_delta(held.get(place, 0.0), delta)[1] for place, delta in moves)
-            for place, delta in moves:
-                if fits:
-                    held[place] = after_delta(held.get(place, 0.0), delta)[0]
-                yield (sku, r.seq, r.line_id, place, delta, held.get(place, 0.0), fits, None if fits else "below zero")
+    A SKU's head, which tells whether transfers couple its locations, comes before its rows.
+    """
 
-    ordered = requests.repartition("sku").sortWithinPartitions("sku", "seq", "line_id")
-    return ordered.mapInPandas(lambda f: _typed(_batches(walk(_rows(f)), _NAMES)), OUTPUT)
+    def walk(frames):
+        sku, linked, held = None, False, {}
+        for frame in frames:
+            decided = []
+            columns = (frame[c].tolist() for c in ("sku", "linked", "dated", "mode", "seq", "line_id"))
+            numbers = ([None if x != x else x for x in frame[c].tolist()] for c in ("location_id", "from_location_id", "to_location_id", "qty", "new_qty"))
+            for key, head, dated, mode, seq, line, here, out, into, qty, new in zip(*columns, *numbers):
+                if key != sku:
+                    sku, linked, held = key, False, {}
+                if head is not None:
+                    linked = head
+                    continue
+                if mode == "transfer":
+                    moves = None if out is None or into is None or qty is None else ((out, -qty), (into, qty))
+                else:
+                    value = new if mode == "set" else qty
+                    moves = None if here is None or value is None else ((here, value - held.get(here, 0.0) if mode == "set" else value),)
+                if moves is None:
+                    place = here if here is not None or not linked else out
+                    decided.append((sku, seq, line, place, None, None, False, "invalid"))
+                    continue
+                fits = all([held.get(place, 0.0) + delta >= -EPS for place, delta in moves])
+                reason = None if fits else "below zero"
+                for place, delta in moves:
+                    if fits:
+                        held[place] = max(held.get(place, 0.0) + delta, 0.0)
+                    if dated or linked:
+                        decided.append((sku, seq, line, place, delta, held.get(place, 0.0), fits, reason))
+                if not dated and not linked:  # has no place in the order: shown from an empty location, as by ``_single``
+                    balance, alone = after_delta(0.0, value)
+                    decided.append((sku, seq, line, here, value, balance, alone, None if alone else "below zero"))
+            if decided:
+                yield pd.DataFrame(dict(zip(_NAMES, zip(*decided))))
+
+    fields = ["sku", "mode", "seq", "line_id", "qty", "new_qty", "location_id", "from_location_id", "to_location_id"]
+    rows = requests.select(*fields, block.isNotNull().alias("dated"), F.lit(None).cast("boolean").alias("linked"))
+    ordered = rows.unionByName(heads, allowMissingColumns=True).repartition("sku").sortWithinPartitions("sku", F.col("linked").isNull(), "seq", "line_id")
+    return ordered.mapInPandas(lambda f: _typed(walk(f)), OUTPUT)
 
 
 def _typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,13 +212,22 @@ def _typed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield frame
 
 
-def decide(requests: DataFrame, block: Column) -> DataFrame:
+def decide(requests: DataFrame, block: Column, dated: Callable[[DataFrame], DataFrame] = lambda rows: rows, hot: int = HOT) -> DataFrame:
     """Every change with ``delta, on_hand`` after it, ``accepted`` and ``reason``; a transfer gives two rows.
 
-    ``block`` never decreases along (seq, line_id); finer blocks spread a hot location better.
+    ``block`` never decreases along (seq, line_id); it spreads SKUs of ``hot`` or more rows without transfers.  ``dated`` adds
+    ``seq`` to requests that lack it: a join is left to it, so that rows are dealt by SKU after they are joined, and once.
     """
-    linked = requests.where("mode = 'transfer'").select("sku").distinct()
-    return _single(requests.join(linked, "sku", "left_anti"), block).unionByName(_coupled(requests.join(linked, "sku", "left_semi")))
+    sizes = requests.groupBy("sku").agg(
+        F.count("*").alias("n"), F.coalesce(F.max(F.col("mode") == "transfer"), F.lit(False)).alias("linked")
+    )
+    apart = (F.col("n") >= hot) & ~F.col("linked")
+    # One SKU for every ``hot`` rows at most (and NULL), so small enough to be sent to all tasks.
+    spread = F.broadcast(sizes.where(apart | F.col("sku").isNull()).select(F.col("sku").alias("_sku")))
+    same = F.col("sku").eqNullSafe(F.col("_sku"))
+    heads = sizes.where(~apart).select("sku", "linked")
+    single = _single(dated(requests.join(spread, same, "left_semi")), block)
+    return single.unionByName(_whole(dated(requests.join(spread, same, "left_anti")), heads, block))
 
 
 def closing(decided: DataFrame) -> DataFrame:

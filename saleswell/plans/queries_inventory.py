@@ -106,7 +106,12 @@ def item_detail(f):
 
 # --------------------------------------------------------------------- replay
 def sequenced(f):
-    return f.event_line.join(f.event.select("event_id", F.col("created_at").alias("seq")), "event_id")
+    return dated(f)(f.event_line)
+
+
+def dated(f):
+    """Gives event lines their place in the order."""
+    return lambda lines: lines.join(f.event.select("event_id", F.col("created_at").alias("seq")), "event_id")
 
 
 def block():
@@ -167,22 +172,21 @@ _WALK = """RECURSIVE rq AS (
 
 
 def change_requests(f):
-    """All event lines as requests, in order."""
-    lines = sequenced(f)
+    """All event lines as requests, not yet in order."""
     mode = F.when(F.col("from_location_id").isNotNull(), "transfer").when(F.col("new_qty").isNotNull(), "set").otherwise("delta")
-    return lines.withColumn("mode", mode)
+    return f.event_line.withColumn("mode", mode)
 
 
 @query("ledger_reject", f"WITH {_WALK} SELECT sku, line_id, location_id, delta, coalesce(h, 0) AS on_hand, fits AS accepted, CASE WHEN NOT fits THEN 'below zero' END AS reason FROM rj")
 def ledger_reject(f):
     """Every change of the log, decided: those that would take a location below zero are refused."""
-    return refusals.decide(change_requests(f), block()).drop("seq")
+    return refusals.decide(change_requests(f), block(), dated(f)).drop("seq")
 
 
 @query("ledger_reject_adjustments", f"WITH {_WALK.replace('JOIN v_event e USING (event_id))', 'JOIN v_event e USING (event_id) WHERE l.location_id IS NOT NULL)')} SELECT sku, line_id, location_id, delta, coalesce(h, 0) AS on_hand, fits AS accepted FROM rj")
 def ledger_reject_adjustments(f):
-    """Adjustments alone: no transfer couples locations, so every SKU goes by block functions."""
-    return refusals.decide(change_requests(f).where("mode <> 'transfer'"), block()).drop("seq", "reason")
+    """Adjustments alone: no transfer couples locations, so every hot SKU goes by block functions."""
+    return refusals.decide(change_requests(f).where("mode <> 'transfer'"), block(), dated(f)).drop("seq", "reason")
 
 
 _TO_VOID = "e.event_id % 7 = 3"

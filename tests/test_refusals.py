@@ -88,3 +88,28 @@ def test_lines_without_what_they_need_are_refused(spark):
     assert got == {"x": (5, True, None), "y": bad, "z": bad, "w": bad, "v": bad, "u": (5, False, "below zero"), "t": (5, False, "below zero"), "s": (0, True, None)}
     assert [tuple(r) for r in refusals.closing(out).collect()] == [("a", 1, 0.0)]
     assert refusals.decide(spark.createDataFrame([], REQUEST), F.col("seq")).count() == 0
+
+
+def test_hot_and_other_skus_decide_alike(spark):
+    rows = log(400, 5, transfers=True)
+    want = walk(rows)
+    df = spark.createDataFrame(rows, REQUEST).repartition(5)
+    block = F.floor(F.col("seq") / 9)
+    for hot in (1, 60, refusals.HOT):  # every SKU without transfers in blocks, some of them, none
+        assert sorted(tuple(r)[:7] for r in refusals.decide(df, block, hot=hot).collect()) == want
+    # Rows without a SKU are kept; those without a place in the order are shown from an empty location, hot or not.
+    odd = [(None, 1, "n", "delta", 2.0, None, 1, None, None), ("u", None, "a", "delta", 5.0, None, 1, None, None), ("u", 3, "b", "delta", -4.0, None, 1, None, None), ("u", None, "c", "set", None, 9.0, 2, None, None), ("u", 4, "d", "delta", 1.0, None, None, None, None)]
+    frame = spark.createDataFrame(odd, REQUEST)
+    spread, whole = (sorted(map(str, refusals.decide(frame, F.floor(F.col("seq") / 9), hot=h).collect())) for h in (1, 100))
+    assert spread == whole and len(whole) == 5
+
+
+def test_skus_are_told_apart_before_rows_are_joined(spark):
+    rows = spark.createDataFrame(log(50, 6, transfers=True), REQUEST)
+    times = rows.select("line_id", "seq")
+    plan = refusals.decide(rows.drop("seq"), F.col("seq"), lambda part: part.join(times.hint("merge"), "line_id"))._jdf.queryExecution().optimizedPlan().toString()
+    depth = lambda line: next(i for i, c in enumerate(line) if c.isalpha())
+    joins = [(depth(line), line) for line in plan.splitlines() if "Join " in line]
+    inner = [i for i, (_, line) in enumerate(joins) if "Join Inner" in line]
+    assert len(inner) == 3  # for hot SKUs the functions of blocks and their rows, for others the rows
+    assert all(("LeftSemi" in joins[i + 1][1] or "LeftAnti" in joins[i + 1][1]) and joins[i + 1][0] > joins[i][0] for i in inner)
