@@ -65,9 +65,9 @@ def parse_bools(f):
 
 
 def _landed_invoices(f):
-    """The invoices as whole-text files of up to twenty documents."""
+    """The invoices as whole-text files of up to a thousand documents: a few megabytes, so that there are few to list and open."""
     path = work_folder(f.spark, "invoices")
-    ingest.invoice_documents(f).select("content").write.option("maxRecordsPerFile", 20).text(path)
+    ingest.invoice_documents(f).select("content").write.option("maxRecordsPerFile", 1000).text(path)
     return path
 
 

@@ -50,7 +50,9 @@ def _amount(block: Column, label: str) -> Column:
 
 def parse_headers(blocks: DataFrame) -> DataFrame:
     b = F.col("block")
-    billing = _section(b, "billing details")
+    # Cut once, as five values are read from it.
+    blocks = blocks.withColumn("_billing", _section(b, "billing details"))
+    billing = F.col("_billing")
     name, company = _label(billing, "Name"), _label(billing, "Company", "Organization")
     email = F.regexp_extract(billing, r"([A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,})", 1)
     phone = F.regexp_extract(billing, r"(?im)^[*\s]*(?:\*\*)?Phone:(?:\*\*)?[ \t]*([\d\-() +]*\d[\d\-() +]*)", 1)
@@ -90,9 +92,10 @@ def parse_lines(blocks: DataFrame) -> DataFrame:
         money(F.get(c, F.size(c) - 2)).alias("unit_price"), money(F.get(c, F.size(c) - 1)).alias("line_total"),
     )
     rows = F.filter(F.split(b, "\n"), lambda line: F.startswith(line, F.lit("|")))
-    wide = F.filter(F.transform(rows, cells), lambda c: F.size(c) >= 5)
-    is_line = lambda r: r["quantity"].isNotNull() & r["unit_price"].isNotNull() & r["line_total"].isNotNull() & r["sku"].rlike(r"^[\w.\-]+$")
-    lines = F.filter(F.transform(wide, parsed), is_line)
+    # Heads and rules go before their amounts are read: a text that is no number costs far more than one that is.
+    is_line = lambda c: (F.size(c) >= 5) & F.get(c, F.lit(0)).try_cast("int").isNotNull() & F.get(c, F.lit(1)).rlike(r"^[\w.\-]+$")
+    priced = lambda r: r["unit_price"].isNotNull() & r["line_total"].isNotNull()
+    lines = F.filter(F.transform(F.filter(F.transform(rows, cells), is_line), parsed), priced)
     return blocks.select(order_id(b).alias("order_id"), F.posexplode(lines).alias("pos", "r")).select(
         "order_id", (F.col("pos") + 1).alias("line_number"), "r.*"
     )

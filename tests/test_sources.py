@@ -168,3 +168,17 @@ def test_fields_of_messy_headers(spark):
     assert keys.with_fields(df, wanted, ["cost"], allow_partial=True).columns == ["qty", "name", "cost"]
     with pytest.raises(ValueError, match="cost"):
         keys.with_fields(df, wanted, ["cost"])
+
+
+def test_landed_invoices_are_few_files(spark, monkeypatch):
+    import glob
+
+    from saleswell.plans import queries_feeds
+    from saleswell.sources.sample import Feeds
+
+    documents = spark.range(0, 1500, 1, 1).select(F.concat(F.lit("## Order #"), F.col("id").cast("string"), F.lit("\n\n| 1 | a.x | Item | $1.00 | $2.00 |\n")).alias("content"))
+    monkeypatch.setattr(queries_feeds.ingest, "invoice_documents", lambda f: documents)
+    path = queries_feeds._landed_invoices(Feeds(spark, "unused"))
+    assert len(glob.glob(f"{path}/*.txt")) == 2
+    lines = invoices.parse_lines(invoices.split_orders(files.read_documents(spark, path, "*.txt")))
+    assert lines.count() == lines.select("order_id").distinct().count() == 1500
