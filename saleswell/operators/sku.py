@@ -620,9 +620,9 @@ def sku_lifetime(lines, orders, products, variants, since, prefixes=config.REPOR
     live = (F.col("order_date") >= F.lit(since)) & ~F.col("status").isin(*config.SKU_REPORT_EXCLUDED)
     kept = orders.where(live).select("order_id", "order_date")
     named = (
-        lines.join(kept, "order_id")
-        .join(products.select("product_id", "sku", "product_name", "brand"), "product_id")
-        .join(variants, ["variant_id", "product_id"], "left")
+        lines.join(by_shuffle(kept), "order_id")
+        .join(by_shuffle(products.select("product_id", "sku", "product_name", "brand")), "product_id")
+        .join(by_shuffle(variants), ["variant_id", "product_id"], "left")
         .where(has_prefix(F.coalesce("variant_sku", "sku"), prefixes))
     )
     return named.groupBy(report_sku().alias("sku"), "product_name", "brand").agg(
