@@ -300,10 +300,10 @@ def _named_lines(lines, orders, products, variants, prefixes, order_filter) -> D
     own = names.where(has_prefix(F.col("sku"), prefixes)).select("product_id")
     by_variant = variants.where(has_prefix(F.col("variant_sku"), prefixes)).select("product_id")
     return (
-        lines.join(own.unionByName(by_variant).distinct(), "product_id", "left_semi")
-        .join(orders.where(order_filter).select("order_id"), "order_id")
-        .join(names, "product_id")
-        .join(variants, ["variant_id", "product_id"], "left")
+        lines.join(by_shuffle(orders.where(order_filter).select("order_id")), "order_id")
+        .join(by_shuffle(own.unionByName(by_variant).distinct()), "product_id", "left_semi")
+        .join(by_shuffle(names), "product_id")
+        .join(by_shuffle(variants), ["variant_id", "product_id"], "left")
         .where(has_prefix(F.coalesce("variant_sku", "sku"), prefixes))
         .withColumn("sku", report_sku())
     )
@@ -336,8 +336,8 @@ def refunds_by_sku(refunds, lines, orders, products, variants, since, prefixes=c
     live = orders.where(F.col("order_date") >= F.lit(since)).select("order_id")
     sums = (
         refunds.select("order_id", "line_id", "quantity", "requested_amount")
-        .join(lines.select("line_id", "product_id", "variant_id"), "line_id")
-        .join(live, "order_id")
+        .join(by_shuffle(lines.select("line_id", "product_id", "variant_id")), "line_id")
+        .join(by_shuffle(live), "order_id")
         .groupBy("product_id", "variant_id")
         .agg(
             F.sum(F.coalesce("quantity", F.lit(0))).alias("units"),
@@ -345,8 +345,8 @@ def refunds_by_sku(refunds, lines, orders, products, variants, since, prefixes=c
         )
     )
     named = (
-        sums.join(products.select("product_id", "sku"), "product_id")
-        .join(variants, ["variant_id", "product_id"], "left")
+        sums.join(by_shuffle(products.select("product_id", "sku")), "product_id")
+        .join(by_shuffle(variants), ["variant_id", "product_id"], "left")
         .where(has_prefix(F.coalesce("variant_sku", "sku"), prefixes))
     )
     return named.groupBy(report_sku().alias("sku")).agg(

@@ -411,3 +411,20 @@ def test_rows_without_a_block_count_but_get_no_value(spark):
     out = running_sum(df, ["k"], ["o"], F.floor(F.col("o") / 37), "v", "s")
     assert sorted((r.k or "", r.o, r.s) for r in out.collect()) == [("", 2, 8.0), ("a", 1, 6.0), ("a", 40, 7.0)]
     assert row_numbers(df, ["k"], ["o"], F.floor(F.col("o") / 37)).count() == 3
+
+
+def test_sku_dimensions_are_joined_by_shuffle(spark):
+    lines = spark.createDataFrame([("l1", 1, 10, 40, 2, 5), ("l2", 1, 10, 41, 1, 0)], "line_id string, order_id bigint, product_id bigint, variant_id bigint, quantity bigint, base_total int")
+    lines = lines.withColumn("base_total", F.col("base_total").cast("decimal(18,2)"))
+    orders = spark.createDataFrame([(1, dt.date(2000, 1, 1), 2)], "order_id bigint, order_date date, status int")
+    products = spark.createDataFrame([(10, "TR-1", "Red", "B")], "product_id bigint, sku string, product_name string, brand string")
+    variants = spark.createDataFrame([(40, 10, "TR-1-v1")], "variant_id bigint, product_id bigint, variant_sku string")
+    refunds = spark.createDataFrame([(1, "l1", 1)], "order_id bigint, line_id string, quantity bigint").withColumn("requested_amount", F.lit(3).cast("decimal(18,2)"))
+    since = dt.date(1999, 1, 1)
+    frames = [
+        sku.sku_lifetime(lines, orders, products, variants, since), sku.retail_sales(lines, orders, products, variants, since),
+        sku.wholesale_sku_sales(lines, orders, products, variants, since), sku.refunds_by_sku(refunds, lines, orders, products, variants, since),
+    ]
+    for frame, rows in zip(frames, (2, 2, 2, 1)):
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+        assert frame.count() == rows
